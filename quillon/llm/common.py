@@ -51,7 +51,7 @@ def unstage(df: DataFrame | None) -> None:
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate; for a scan of files, their bytes."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def shards_for(df: DataFrame, mb_each: float, least: int = 8) -> int:

@@ -30,6 +30,12 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir, "doc_id", "text"), tokenizer_path())
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_components
+
+    return jaccard_components(documents(spark, sf_dir, "doc_id", "text"), words=4, num=85, den=100)
+
+
 def _words(text: str):
     from pyspark.sql import functions as F
 
@@ -41,6 +47,7 @@ def _words(text: str):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_entropy_mix": op1_entropy_mix,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_jaccard_join": op8_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {}
