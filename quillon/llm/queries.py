@@ -24,6 +24,17 @@ def op1_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .langid import fit, identify, remainder
+
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    held = remainder(F.col("doc_id"), 4) == 2
+    out = identify(docs.select("doc_id", "text", held.alias("held_out")), fit(docs.where(~held)))
+    return out.select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -46,6 +57,7 @@ def _words(text: str):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_entropy_mix": op1_entropy_mix,
+    "op5_language_id": op5_language_id,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_jaccard_join": op8_jaccard_join,
 }

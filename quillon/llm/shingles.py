@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 #: Words kept with their hashes in a worker, at most; then the memory starts anew.
@@ -24,7 +25,7 @@ class WordHashes(dict):
 def text_blocks(batches: Iterator[pa.RecordBatch], column: int, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about ``most`` bytes of text; a longer text stands alone."""
     for b in batches:
-        size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), np.int64)
+        size = np.asarray(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), np.int64)
         ends = np.cumsum(size)
         at = 0
         while at < b.num_rows:
