@@ -24,6 +24,15 @@ def op1_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .langid import remainder
+    from .lm import score_texts
+
+    return score_texts(documents(spark, sf_dir, "doc_id", "text"), remainder(F.col("doc_id"), 7) != 2)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -57,6 +66,7 @@ def _words(text: str):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_entropy_mix": op1_entropy_mix,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_language_id": op5_language_id,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_jaccard_join": op8_jaccard_join,
