@@ -56,6 +56,12 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir, "doc_id", "text"), words=4, num=85, den=100)
 
 
+def op10_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import media_features
+
+    return media_features(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def _words(text: str):
     from pyspark.sql import functions as F
 
@@ -70,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_jaccard_join": op8_jaccard_join,
+    "op10_media_chunks": op10_media_chunks,
 }
 
 ORACLE_SQL: dict[str, str] = {}
