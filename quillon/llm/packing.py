@@ -12,7 +12,9 @@ gets; pieces learn their r by a salted exact rank, so no task holds a whole leng
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -26,34 +28,71 @@ from .common import salted_rank, stage
 
 CAPACITY = 4096
 END_ID = 1
-#: Words kept with their ids in a worker, at most; then the memory starts anew.
+#: Parts of text kept with their ids in a worker, at most; others are merged each time.
 CACHE = 300_000
 
 
-class _Ids(dict):
-    """Word bytes to the bytes of their ids (little-endian unsigned 32 bits)."""
+#: Latin-1 bytes of plain text: white space, printable ASCII, letters from U+00C0 on. Normalising it is lower-casing.
+_PLAIN = bytes([*range(9, 14), *range(0x20, 0x7F), *(b for b in range(0xC0, 0x100) if b not in (0xD7, 0xF7))])
+_LOWER = bytes(b + 0x20 if 0x41 <= b <= 0x5A or 0xC0 <= b <= 0xDE and b != 0xD7 else b for b in range(256))
+_PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\sa-z0-9\xdf-\xf6\xf8-\xff]+")
+
+
+class _Parts(dict):
+    """Parts of plain text (Latin-1, lower case) to the bytes of their ids."""
+
+    def __init__(self, merge):
+        self.merge = merge
+        # byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on, in turn
+        own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        rest = iter(range(256, 512))
+        self.letters = [chr(b if b in own else next(rest)) for b in range(256)]
+
+    def __missing__(self, part: bytes) -> bytes:
+        text = part.decode("latin-1")
+        if not part.isascii():
+            text = "".join(map(self.letters.__getitem__, text.encode()))
+        ids = array("I", [t.id for t in self.merge(text)]).tobytes()
+        if len(self) < CACHE:
+            self[part] = ids
+        return ids
+
+
+class _Ids:
+    """A text's ids as bytes (little-endian unsigned 32 bits).
+
+    The tokenizer drops white space and merges each part of a text alone. Plain texts are
+    cut into parts here and each part is merged once; other texts go to the tokenizer.
+    """
 
     def __init__(self, tokenizer: str):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_str(tokenizer).encode_batch
+        self.whole = Tokenizer.from_str(tokenizer)
+        self.parts = _Parts(self.whole.model.tokenize)
+        tries = "a It's don't12.5% \u00c9t\u00e9, A'LLb'reX stra\u00dfe--x a_b=C3+/ $$$.!!\n\u00dc\u00f1\u00ff"
+        self.alike = self.of_plain(tries.encode("latin-1")) == self.of_any(tries)  # a file that cuts otherwise does all texts itself
+
+    def of_any(self, text: str) -> bytes:
+        return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def of_plain(self, raw: bytes) -> bytes:
+        return b"".join(map(self.parts.__getitem__, _PARTS.findall(raw.translate(_LOWER))))
 
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > CACHE:
-            self.clear()
-            new = list(words)
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for w, e in zip(part, self.encode([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self[w] = np.asarray(e.ids, "<u4").tobytes()
+    def of(self, text: str) -> bytes:
+        try:
+            raw = text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.of_any(text)
+        if not self.alike or b"<|" in raw or raw.translate(None, _PLAIN):
+            return self.of_any(text)
+        return self.of_plain(raw)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """(key, piece int, start long, length long, ids_crc32 long) of each document's ids and an end.
 
-    tokenizer: path of a ``tokenizers`` file that drops white space, so a text's ids are
-    those of its words in turn. Only documents over capacity are cut, into pieces of
+    tokenizer: path of a ``tokenizers`` file. Only documents over capacity are cut, into pieces of
     capacity and a rest. A null or empty text is the end alone; repeated rows have pieces each.
     """
     with open(tokenizer, encoding="utf-8") as f:
@@ -66,11 +105,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
-                words = [(t.encode().split() if t else []) for t in b.column(1).to_pylist()]
-                ids.learn(set().union(*words))
                 row, piece, start, length, crc = [], [], [], [], []
-                for i, w in enumerate(words):
-                    data = memoryview(b"".join(map(ids.__getitem__, w)) + end)
+                for i, t in enumerate(b.column(1).to_pylist()):
+                    data = memoryview((ids.of(t) if t else b"") + end)
                     for p, s in enumerate(range(0, len(data), 4 * capacity)):
                         part = data[s : s + 4 * capacity]
                         row.append(i), piece.append(p), start.append(s // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part))
