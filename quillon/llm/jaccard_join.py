@@ -8,9 +8,10 @@
 3. The classes whose prefixes hold a shingle go to that shingle's leader, the class with
    the most often seen shingles; the centre of a group of near copies leads its lists.
    The rows are one for each (leader, class), never one for each pair.
-4. A leader's classes, in blocks of bounded size that all hold the leader, are put in a
-   prefix tree of their ordered sets. Each set walks the tree with its partial overlap and
-   leaves a subtree when what remains of both can't reach the threshold.
+4. Where a leader's classes fit one block, those that can't link with any other in it go:
+   counts of shingles by the last byte of their hash bound the overlap of two sets from above.
+   What is left, and larger groups in blocks that all hold the leader, is put in a prefix tree of ordered whole sets. Each set walks the tree with its partial overlap and leaves a
+   subtree when what remains of both can't reach the threshold.
 5. Blocks of one leader are then joined with each other, but for the classes that are
    already in the leader's largest component: their links add nothing.
 6. Links are verified on whole sets as the walk ends at them. Components of links, then
@@ -90,19 +91,20 @@ def _prefixes(k: int, num: int, den: int, common, types: list[str]):
             size = np.array([len(s) for s in sets], np.int64)
             ranks = _ranks(np.concatenate(sets) if sets else np.zeros(0, np.uint64), common.value)
             to = np.cumsum(size)
-            cls, heat, rare, often = [], [], [], []
+            cls, heat, rare, often, marks = [], [], [], [], []
             for s, e in zip(sets, to.tolist(), strict=True):
                 n = len(s)
                 if not n:
-                    cls.append(None), heat.append(0), rare.append(None), often.append(None)
+                    cls.append(None), heat.append(0), rare.append(None), often.append(None), marks.append(None)
                     continue
                 c = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
                 r = ranks[e - n : e]
                 cls.append(c)
                 heat.append(int(r.sum(dtype=np.int64)) * 1000 // n)
                 if c in met:
-                    rare.append(None), often.append(None)
+                    rare.append(None), often.append(None), marks.append(None)
                     continue
+                marks.append(sketch(s))
                 if len(met) < 2_000_000:  # beyond this a class's prefix may be told twice, which does no harm
                     met.add(c)
                 p = n - -(-num * n // den) + 1
@@ -112,7 +114,7 @@ def _prefixes(k: int, num: int, den: int, common, types: list[str]):
                 else:
                     rare.append(_signed(s[:p])), often.append(None)
             lists = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(cls, pa.int64()), pa.array(heat, pa.int32()), pa.array(rare, lists), pa.array(often, lists)], types)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(cls, pa.int64()), pa.array(heat, pa.int32()), pa.array(rare, lists), pa.array(often, lists), pa.array(marks, pa.binary())], types)
 
     return f
 
@@ -133,6 +135,45 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], ["leader", "cls"])
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Counts of shingles by the last byte of their hash, at most 255 each."""
+    return np.minimum(np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
+
+
+def _sift(num: int, den: int):
+    """Of rows (leader, cls, n, sketch), sorted by leader: (leader, block 0, cls) of the classes that may link with another of the leader's."""
+
+    def solve(lead: int, cls: list, size: list, sketches: list) -> list[tuple[int, int]]:
+        if len(cls) < 2:
+            return []
+        s = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(cls), 256)
+        n = np.array(size, np.int64)
+        over = n - s.sum(axis=1, dtype=np.int64)
+        keep = np.zeros(len(cls), bool)
+        for i in range(len(cls) - 1):
+            both = np.minimum(s[i], s[i + 1 :]).sum(axis=1, dtype=np.int64) + np.minimum(over[i], over[i + 1 :])
+            ok = (num + den) * both >= num * (n[i] + n[i + 1 :])
+            keep[i + 1 :] |= ok
+            keep[i] |= ok.any()
+        return [(lead, c) for c, k in zip(cls, keep, strict=True) if k]
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, ([], [], [])
+        for b in batches:
+            out = []
+            for lead, *row in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if lead != key:
+                    out += solve(key, *held)
+                    key, held = lead, ([], [], [])
+                for h, v in zip(held, row, strict=True):
+                    h.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([0] * len(out), pa.int32()), pa.array([x[1] for x in out], pa.int64())], ["leader", "block", "cls"])
+        out = solve(key, *held)
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([0] * len(out), pa.int32()), pa.array([x[1] for x in out], pa.int64())], ["leader", "block", "cls"])
+
+    return f
+
+
 class _Tree:
     """Prefix tree of rank sequences; edges hold runs of ranks."""
 
@@ -281,8 +322,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     docs = docs.select(key, text)
     kind = docs.schema[key].dataType.simpleString()
     common = spark.sparkContext.broadcast(common_shingles(docs, text, words))  # TOLD rows of 9 bytes at most
-    names = [key, "n_shingles", "cls", "heat", "rare", "often"]
-    sets = stage(docs.mapInArrow(_prefixes(words, num, den, common, names), f"{key} {kind}, n_shingles long, cls long, heat int, rare array<long>, often array<long>"), "sets")
+    names = [key, "n_shingles", "cls", "heat", "rare", "often", "sketch"]
+    sets = stage(docs.mapInArrow(_prefixes(words, num, den, common, names), f"{key} {kind}, n_shingles long, cls long, heat int, rare array<long>, often array<long>, sketch binary"), "sets")
     parts = max(shards_for(docs, 8), shards_for(sets, 16))
     rare = sets.select(F.explode("rare").alias("token"), "cls", "heat").repartition(parts, "token")
     rare_stars = rare.mapInArrow(_stars, "leader long, cls long")
@@ -291,11 +332,15 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     often_stars = often.join(lead, "token").where("leader <> cls").select("leader", "cls")
     stars = stage(rare_stars.unionAll(often_stars).distinct(), "stars")
 
-    # blocks: every class once, the leader in each
-    size = stars.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    dealt = stars.join(size, "leader").select("leader", F.pmod(F.xxhash64("cls"), "blocks").cast("int").alias("block"), "cls")
-    dealt = dealt.unionAll(size.select("leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("leader").alias("cls")))
-    wanted = stars.select("cls").unionAll(size.select(F.col("leader").alias("cls"))).distinct()
+    # one block: what may link; several: every class once, the leader in each
+    size = stage(stars.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "leaders")
+    small = stars.join(size.where("blocks = 1"), "leader").select("leader", "cls").unionAll(size.where("blocks = 1").select("leader", F.col("leader").alias("cls")))
+    marks = sets.where("sketch is not null").select("cls", "n_shingles", "sketch").dropDuplicates(["cls"])
+    sifted = small.join(marks, "cls").select("leader", "cls", "n_shingles", "sketch").repartition(parts, "leader").sortWithinPartitions("leader").mapInArrow(_sift(num, den), "leader long, block int, cls long")
+    dealt = stars.join(size.where("blocks > 1"), "leader").select("leader", F.pmod(F.xxhash64("cls"), "blocks").cast("int").alias("block"), "cls")
+    dealt = dealt.unionAll(size.where("blocks > 1").select("leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("leader").alias("cls")))
+    dealt = stage(sifted.unionAll(dealt), "dealt")
+    wanted = dealt.select("cls").distinct()
 
     # the whole sets of the classes in question, from the text of each one's first document
     firsts = sets.where("cls is not null").groupBy("cls").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"))).alias("first"))
