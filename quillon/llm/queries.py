@@ -52,6 +52,25 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected")
 
 
+#: (verdict, host, path)
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op6_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urlfilter import judge
+
+    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), URL_RULES)
+
+
+def op9_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .secrets import default_forest, scan
+
+    found = scan(documents(spark, sf_dir, "doc_id", "text", "source"), default_forest(spark))
+    return found.select("doc_id", "start", "length", F.sha2("c", 256).alias("sha256"), "score", "is_secret")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -83,6 +102,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_balanced_ann": op3_balanced_ann,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_language_id": op5_language_id,
+    "op6_redirect_equivalence": op6_redirect_equivalence,
+    "op9_secret_forest": op9_secret_forest,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_jaccard_join": op8_jaccard_join,
     "op10_media_chunks": op10_media_chunks,
