@@ -9,7 +9,7 @@
    the most often seen shingles; the centre of a group of near copies leads its lists.
    The rows are one for each (leader, class), never one for each pair.
 4. Where a leader's classes fit one block, those that can't link with any other in it go:
-   counts of shingles by the last byte of their hash bound the overlap of two sets from above.
+   counts of shingles by the low bits of their hash bound the overlap of two sets from above.
    What is left, and larger groups in blocks that all hold the leader, is put in a prefix tree of ordered whole sets. Each set walks the tree with its partial overlap and leaves a
    subtree when what remains of both can't reach the threshold.
 5. Blocks of one leader are then joined with each other, but for the classes that are
@@ -37,7 +37,7 @@ LOCAL, COMMON = 4, 32
 #: Common shingles whose rank is told to all tasks, at most (9 bytes each): the most frequent ones. It bounds a broadcast; others rank with the rare.
 TOLD = 500_000
 #: Classes in one prefix tree, at most, beside the leader.
-BLOCK = 256
+BLOCK = 128
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -136,8 +136,9 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Counts of shingles by the last byte of their hash, at most 255 each."""
-    return np.minimum(np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
+    """Counts of shingles by the low bits of their hash, at most 255 each: 2 to 4 shingles a count, so 16 times less than the set."""
+    width = max(64, 1 << max(0, (len(s) - 1) // 4).bit_length())
+    return np.minimum(np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width), 255).astype(np.uint8).tobytes()
 
 
 def _sift(num: int, den: int):
@@ -146,15 +147,25 @@ def _sift(num: int, den: int):
     def solve(lead: int, cls: list, size: list, sketches: list) -> list[tuple[int, int]]:
         if len(cls) < 2:
             return []
-        s = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(cls), 256)
         n = np.array(size, np.int64)
-        over = n - s.sum(axis=1, dtype=np.int64)
+        width = np.array([len(x) for x in sketches])
         keep = np.zeros(len(cls), bool)
-        for i in range(len(cls) - 1):
-            both = np.minimum(s[i], s[i + 1 :]).sum(axis=1, dtype=np.int64) + np.minimum(over[i], over[i + 1 :])
-            ok = (num + den) * both >= num * (n[i] + n[i + 1 :])
-            keep[i + 1 :] |= ok
-            keep[i] |= ok.any()
+        for w in np.unique(width):
+            # widths that differ by more than a factor of 2 belong to sizes too far apart
+            own, wide = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
+            s = np.frombuffer(b"".join(sketches[i] for i in own), np.uint8).reshape(-1, w).astype(np.int32)
+            t = np.frombuffer(b"".join(sketches[i] for i in wide), np.uint8).reshape(-1, 2, w).sum(axis=1, dtype=np.int32)
+            rows, every = np.concatenate([own, wide]), np.concatenate([s, t])
+            over = n[rows] - every.sum(axis=1)
+            for i in range(len(own)):
+                m = n[rows[i + 1 :]]
+                near = np.flatnonzero(den * np.minimum(m, n[own[i]]) >= num * np.maximum(m, n[own[i]])) + i + 1
+                if len(near):
+                    both = np.minimum(every[i], every[near]).sum(axis=1) + np.minimum(over[i], over[near])
+                    hit = near[(num + den) * both >= num * (n[own[i]] + n[rows[near]])]
+                    if len(hit):
+                        keep[own[i]] = True
+                        keep[rows[hit]] = True
         return [(lead, c) for c, k in zip(cls, keep, strict=True) if k]
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
