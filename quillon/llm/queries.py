@@ -24,6 +24,12 @@ def op1_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
 
 
+def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import derive, responses
+
+    return derive(responses(spark.read.parquet(f"{sf_dir}/pages.parquet"))).drop("record")
+
+
 def op3_balanced_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -99,6 +105,7 @@ def _words(text: str):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_entropy_mix": op1_entropy_mix,
+    "op2_warc_derivatives": op2_warc_derivatives,
     "op3_balanced_ann": op3_balanced_ann,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_language_id": op5_language_id,
