@@ -1 +1,21 @@
+"""Registered queries, each with DuckDB SQL for the same rows where SQL can say it."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _modules():
+    from . import answers
+
+    return [answers]
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: f for m in _modules() for k, f in m.Q.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: s for m in _modules() for k, s in m.SQL.items()}
