@@ -12,6 +12,7 @@ owners; the rebuilt bytes are verified against digest and length.
 
 from __future__ import annotations
 
+import bz2
 import functools
 import hashlib
 import struct
@@ -20,11 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, unstage
 from .shingles import text_blocks
 
 LEAST, MOST, BITS = 512, 8192, 11
@@ -110,7 +110,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (text): the media's digest and its bytes, compressed; a media that the task has packed already is left out."""
-    squeeze, met = zstandard.ZstdCompressor(level=3), set()
+    met = set()
     for b in text_blocks(batches, 0):
         rows = []
         for text in b.column(0).to_pylist():
@@ -119,23 +119,22 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if digest not in met:
                 if len(met) < 1_000_000:  # beyond this a media may be packed twice, which does no harm
                     met.add(digest)
-                rows.append((digest, len(media), squeeze.compress(media)))
+                rows.append((digest, len(media), bz2.compress(media)))
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.binary()))], ["media", "media_bytes", "packed"])
 
 
 def _owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (media, media_bytes, packed, sizes, foreign, lent): the stored row, with own chunks only."""
-    squeeze, open_ = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
     for b in batches:
         packed = []
         for p, sizes, foreign in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
             if foreign:
-                media, skip, at, own = open_.decompress(p), {f["seq"] for f in foreign}, 0, []
+                media, skip, at, own = bz2.decompress(p), {f["seq"] for f in foreign}, 0, []
                 for i, n in enumerate(sizes):
                     if i not in skip:
                         own.append(media[at : at + n])
                     at += n
-                p = squeeze.compress(b"".join(own))
+                p = bz2.compress(b"".join(own))
             packed.append(p)
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary()), *(b.column(i) for i in (3, 4, 5))], ["media", "media_bytes", "packed", "sizes", "foreign", "lent"])
 
@@ -158,16 +157,18 @@ def build_store(docs: DataFrame, text: str = "text") -> DataFrame:
     held = texts.mapInArrow(_packed, "media binary, media_bytes long, packed binary").dropDuplicates(["media"])
     held = held.join(lists.select("media", "sizes"), "media").join(told, "media", "left").join(lent, "media", "left").select("media", "media_bytes", "packed", "sizes", "foreign", "lent")
     kept = "media binary, media_bytes long, packed binary, sizes array<long>, foreign array<struct<seq:int,owner:binary,owner_seq:int>>, lent array<int>"
-    return stage(held.mapInArrow(_owned, kept), "store")
+    store = stage(held.mapInArrow(_owned, kept), "store")
+    unstage(lists)
+    unstage(foreign)
+    return store
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (media, packed, sizes, foreign, lent): the lent chunks, (owner, owner_seq, chunk)."""
-    open_ = zstandard.ZstdDecompressor()
     for b in batches:
         out = []
         for media, p, sizes, foreign, lent in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-            skip, own, at, asked = {f["seq"] for f in foreign or ()}, open_.decompress(p), 0, set(lent)
+            skip, own, at, asked = {f["seq"] for f in foreign or ()}, bz2.decompress(p), 0, set(lent)
             for i, n in enumerate(sizes):
                 if i in skip:
                     continue
@@ -179,11 +180,10 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of stored rows (media, media_bytes, packed, sizes, foreign, got [(seq, chunk)]): what reading the media gives, verified."""
-    open_ = zstandard.ZstdDecompressor()
     for b in batches:
         rows = []
         for digest, size, p, sizes, foreign, got in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-            own = open_.decompress(p)
+            own = bz2.decompress(p)
             if foreign:
                 more, at, parts = {g["seq"]: g["chunk"] for g in got}, 0, []
                 for i, k in enumerate(sizes):
