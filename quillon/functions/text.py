@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def strip(text: Column) -> Column:
@@ -19,7 +20,7 @@ def normalise_ascii(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[ \t\n\x0B\f\r]+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Compatibility composition, which Spark has no function for."""
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
@@ -77,7 +78,7 @@ def _leaves(value, out: list[str]) -> None:
         out.append(json.dumps(value))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def leaf_values(text: pd.Series) -> pd.Series:
     """Leaves of JSON of any depth, keys in order, nulls left out; other text is its own leaf."""
 
@@ -91,7 +92,7 @@ def leaf_values(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-@F.pandas_udf("array<struct<path:string,value:string>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("value", T.StringType())])))
 def iter_strings(text: pd.Series) -> pd.Series:
     """(path, string) of each non-empty string in JSON of any depth, keys in order."""
 

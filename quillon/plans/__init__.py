@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _modules():
-    from . import answers
+    from . import answers, datasets, texts
 
-    return [answers]
+    return [answers, datasets, texts]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
