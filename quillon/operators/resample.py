@@ -12,9 +12,9 @@ def group_sums(rows: DataFrame, group: str, **sums) -> DataFrame:
     """(g from 0, n, sums): one row per group, numbered by group."""
     from pyspark.sql.window import Window as W
 
-    s = rows.groupBy(group).agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()])
+    s = rows.groupBy(F.col(group).alias("__group")).agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()])
     # groups only, after the sum over rows
-    return s.withColumn("g", F.row_number().over(W.orderBy(group)) - 1)
+    return s.withColumn("g", F.row_number().over(W.orderBy("__group")) - 1)
 
 
 def bootstrap(sums: DataFrame, statistic, draws: int = 200, seed: int = 0, least: int = 5) -> DataFrame:
@@ -23,7 +23,7 @@ def bootstrap(sums: DataFrame, statistic, draws: int = 200, seed: int = 0, least
     statistic: a Column of the summed columns. Each draw takes as many groups as there are,
     with replacement; draws x groups rows, so groups are the unit to keep few.
     """
-    columns = [c for c in sums.columns if c not in ("g",)][1:]
+    columns = [c for c in sums.columns if c not in ("g", "__group")]
     size = F.broadcast(sums.agg(F.count(F.lit(1)).cast("int").alias("k")))  # one row
     slots = sums.sparkSession.range(draws).withColumnRenamed("id", "b").crossJoin(size).where(F.col("k") >= least).select("b", "k", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("slot"))
     picks = slots.select("b", draw(F.col("k"), F.lit(seed), F.col("b"), F.col("slot")).cast("int").alias("g"))

@@ -103,7 +103,7 @@ def markdown_tables(sections: DataFrame) -> DataFrame:
     """(path, heading, line, cells) of table rows without separators, links and back quotes taken off."""
     rows = sections.where(F.rlike("text", F.lit(r"^\s*\|")) & ~F.rlike("text", F.lit(r"^[\s|:\-]+$")))
     bare = F.regexp_replace(F.regexp_replace(F.trim("text"), r"^\||\|$", ""), r"\[([^\]]*)\]\([^)]*\)|`", "$1")
-    return rows.select("path", "heading", "line", F.transform(F.split(bare, r"\|"), F.trim).alias("cells"))
+    return rows.select("path", "heading", "line", F.transform(F.split(bare, r"\|"), lambda c: F.trim(c)).alias("cells"))
 
 
 def predictions_file(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
