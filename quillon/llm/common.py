@@ -55,9 +55,11 @@ def plan_bytes(df: DataFrame) -> int:
 
 
 def shards_for(df: DataFrame, mb_each: float, least: int = 8) -> int:
-    """How many shards of about mb_each MB of input the plan's estimate asks for."""
+    """How many shards of about mb_each MB of input the plan's estimate asks for; where it has none, the session's number."""
     spark = df.sparkSession
-    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")), int(plan_bytes(df) / (mb_each * 1e6)))
+    size = plan_bytes(df)
+    known = size if size < 1e17 else 0  # what Spark can't estimate counts as 8 EB or a multiple
+    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")), int(known / (mb_each * 1e6)))
 
 
 def n_words(text: Column) -> Column:

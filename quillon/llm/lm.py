@@ -126,13 +126,20 @@ def _blocks(shards: int, frequent: np.ndarray):
         part = np.where(heavy[ranked][w], mixed(sorted_hash[h]) % np.uint64(SPLIT), np.uint64(0))
         shard = (mixed(sorted_hash[w] + part) % np.uint64(shards)).astype(np.int64)
         total = np.bincount(w, counted, len(ranked)).astype(np.int64)
+        # a frequent word's count goes to all its shards, as other blocks' pairs may be there
+        many = np.flatnonzero(heavy[ranked] & (total > 0))
+        told = np.unique(np.stack([(mixed(sorted_hash[many] + np.uint64(j)) % np.uint64(shards)).astype(np.int64) * len(ranked) + many for j in range(SPLIT)])) if len(many) else np.zeros(0, np.int64)
+        told_shard, told_word = told // len(ranked), told % len(ranked)
+        told_cuts = np.searchsorted(told_shard, np.arange(shards + 1))
         by = np.argsort(shard, kind="stable")
         cuts = np.searchsorted(shard[by], np.arange(shards + 1))
         for s in range(shards):
             own = by[cuts[s] : cuts[s + 1]]
-            if not len(own):
+            more = told_word[told_cuts[s] : told_cuts[s + 1]]
+            if not len(own) and not len(more):
                 continue
-            here, index = np.unique(w[own], return_inverse=True)
+            here, index = np.unique(np.concatenate([w[own], more]), return_inverse=True)
+            index = index[: len(own)]
             lists = np.repeat(head[own] - np.concatenate([[0], np.cumsum(times[own])[:-1]]), times[own]) + np.arange(int(times[own].sum()))
             # keys of predecessors: 40 bits of a hash
             prior = mixed(sorted_hash[h[own]]) >> np.uint64(64 - Trie.BITS)
@@ -193,6 +200,8 @@ def _shard(mu: float, total: int):
             g = trie.gains(at[p[3]], p[4])
             base, context, have = np.log10(c + 1)[p[3]], (np.log10(c + mu) * (p[2] == 0))[p[3]], (c > 0)[p[3]]
             times, docs = p[6], p[7]
+            if not len(docs):
+                continue
             size = int(docs.max()) + 1
             rows = [np.bincount(docs, np.repeat(v, times), size) for v in (base, context, g, have)]
             yield block, _pack(*rows[:3], rows[3].astype(np.uint32))

@@ -1,0 +1,403 @@
+"""Each corpus operator against a brute-force version, and on nulls, empty and long texts, ties, repeats, empty tables and clashing columns."""
+
+import collections
+import hashlib
+import math
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def words(t):
+    return (t or "").encode().lower().split()
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """A small corpus with copies, near copies, nulls, empty and long texts, repeated rows."""
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnoprstuv") for _ in range(rng.randint(2, 9))) for _ in range(300)]
+    make = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    rows, base = [], make(120)
+    for i in range(60):
+        rows.append((i, make(rng.randint(1, 200)), "en", f"s{i % 4}"))
+    for i in range(60, 80):
+        w = base.split()
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = rng.choice(vocabulary)
+        rows.append((i, " ".join(w), "en", "s0"))
+    long_ = make(9000)
+    rows += [(90, None, None, None), (91, "", "en", "s1"), (92, " \n\t ", "en", None), (93, "one", "en", "s2"), (94, "ONE", "en", "s2"), (95, long_, "en", "s3"), (96, long_, "en", "s3"), (97, base, "en", "s0"), (97, base, "en", "s0"), (None, "no id here at all", "en", "s1"), (98, "é ü ß Straße NAÏVE café", "fr", "s1"), (99, "日本語 text", "en", "s1")]
+    return spark.createDataFrame([(a, b, c, d, len(b) if b else None) for a, b, c, d in rows], DOCS).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def test_mix_meets_targets(spark, docs, empty):
+    from quillon.llm.mixing import mix, source_targets
+
+    clash = docs.withColumn("size", F.lit("x")).withColumn("target", F.lit(0))
+    out = mix(clash).collect()
+    assert len(out) == docs.count()
+    sizes = collections.Counter()
+    for r in out:
+        assert r.size == len(words(r.text)) and 0 <= r.copies <= 2
+        sizes[r.source] += r.size
+    want = source_targets(dict(sizes))
+    assert all(t <= 2 * sizes[s] + 1e-9 for s, t in want.items()) and sum(want.values()) == pytest.approx(1.5 * sum(sizes.values()))
+    for s, t in want.items():
+        taken = sum(r.copies * r.size for r in out if r.source == s)
+        most = max(r.size for r in out if r.source == s)
+        assert abs(taken - t) <= most / 2 + 1, (s, taken, t)
+    again = mix(docs.repartition(7)).collect()
+    key = lambda r: (str(r.doc_id), r.text or "", r.copies)
+    assert sorted(map(key, out)) == sorted(map(key, again))
+    assert mix(empty).count() == 0
+
+
+def test_packing_is_exact_and_gapless(spark, docs, empty):
+    from tokenizers import Tokenizer
+
+    from quillon.llm.packing import pack_documents, packing_plan
+    from quillon.llm.queries import tokenizer_path
+
+    tok = Tokenizer.from_file(tokenizer_path())
+    out = pack_documents(docs, tokenizer_path()).collect()
+    by_seq = collections.defaultdict(list)
+    for r in out:
+        by_seq[r.sequence_id].append((r.offset, r.length))
+    for places in by_seq.values():
+        at = 0
+        for o, n in sorted(places):
+            assert o == at
+            at += n
+        assert at <= 4096
+    want = collections.Counter()
+    for r in docs.collect():
+        ids = np.array([*tok.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4")
+        for i, s in enumerate(range(0, len(ids), 4096)):
+            part = ids[s : s + 4096]
+            want[r.doc_id, i, s, len(part), zlib.crc32(part.tobytes())] += 1
+    assert want == collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out)
+    assert len(by_seq) <= 1.1 * sum(n for p in by_seq.values() for _, n in p) / 4096 + 1
+    assert pack_documents(empty, tokenizer_path()).count() == 0
+    rng = random.Random(1)
+    for _ in range(20):
+        counts = {rng.randint(1, 100): rng.randint(1, 50) for _ in range(rng.randint(1, 30))}
+        used = collections.Counter()
+        for times, items in packing_plan(counts, 100, groups=6):
+            assert sum(items) <= 100
+            for n in items:
+                used[n] += times
+        assert used == counts
+
+
+def brute_components(rows, k, num, den):
+    sets = []
+    for _, t in rows:
+        w = words(t)
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set())
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if a and b and den * len(a & b) >= num * len(a | b):
+                parent[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[find(i)] = min(d, least.get(find(i), d))
+    return [(d, len(sets[i]), least.get(find(i))) for i, (d, _) in enumerate(rows)]
+
+
+@pytest.mark.parametrize(("k", "num"), [(4, 85), (5, 80)])
+def test_jaccard_components(spark, docs, empty, k, num):
+    from quillon.llm.jaccard_join import jaccard_components
+
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = [tuple(r) for r in jaccard_components(docs, words=k, num=num).collect()]
+    assert sorted(got, key=str) == sorted(brute_components(rows, k, num, 100), key=str)
+    assert jaccard_components(empty).count() == 0
+
+
+def test_jaccard_in_blocks_of_one_leader(spark, monkeypatch):
+    from quillon.llm import jaccard_join as J
+
+    monkeypatch.setattr(J, "BLOCK", 5)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(80)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 70):
+        w = base[:]
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(80)] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    got = [tuple(r) for r in J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == sorted(brute_components(rows, 4, 85, 100))
+
+
+def test_tree_join_finds_what_all_pairs_find():
+    from quillon.llm.jaccard_join import sketch, tree_join
+
+    rng = np.random.default_rng(0)
+    for _ in range(30):
+        base = rng.choice(2000, 60, replace=False)
+        sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(40, 60), replace=False), rng.integers(3000, 4000, rng.integers(0, 8))])).astype(np.uint64) for _ in range(15)]
+        parent = list(range(15))
+
+        def find(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for i in range(15):
+            for j in range(i):
+                o = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * o >= 80 * (len(sets[i]) + len(sets[j]) - o):
+                    parent[find(i)] = find(j)
+        want = {frozenset(i for i in range(15) if find(i) == r) for r in map(find, range(15))}
+        links = tree_join(sets, 80, 100, list(range(15)))
+        parent = list(range(15))
+        for a, b in links:
+            parent[find(a)] = find(b)
+        assert {frozenset(i for i in range(15) if find(i) == r) for r in map(find, range(15))} == want
+    assert len(sketch(np.arange(10_000, dtype=np.uint64))) == 4096
+
+
+def test_language_id(spark, empty):
+    from quillon.llm.langid import fit, identify, remainder
+
+    rng = random.Random(5)
+    syllables = {"aa": ["ka", "to", "mi", "re"], "bb": ["xur", "qop", "zek", "wuv"]}
+    word = lambda s: "".join(rng.choice(s) for _ in range(rng.randint(1, 4)))
+    rows = [(i, " ".join(word(syllables[x]) for _ in range(rng.randint(3, 60))), x, "s", 0) for i in range(200) for x in [rng.choice("ab") * 2]]
+    rows += [(900, None, "aa", "s", 0), (901, "", None, "s", 0), (902, "12 34 !!", "bb", "s", 0), (903, "Kato MIRE", None, "s", 0), (903, "Kato MIRE", None, "s", 0), (None, "xur qop", None, "s", 0), (904, "kato " * 50_000, None, "s", 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    held = remainder(F.col("doc_id"), 4) == 2
+    out = identify(df.withColumn("score", F.lit("clash")), fit(df.where(~held))).collect()
+    assert len(out) == len(rows)
+    by = {r.doc_id: r for r in out}
+    assert [by[i].lang_pred for i in (900, 901, 902, 903, 904, None)] == ["und", "und", "und", "aa", "aa", "bb"]
+    assert by[902].rejected and not by[903].rejected and not by[904].rejected
+    tested = [r for r in out if r.doc_id is not None and r.doc_id < 900 and zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    assert sum(r.lang == r.lang_pred for r in tested) >= 0.98 * len(tested)
+    assert all(0 <= r.score <= 1 for r in out)
+    assert {r.lang_pred for r in identify(df, fit(empty)).collect()} == {"und"}
+    assert identify(empty, fit(df)).count() == 0
+
+
+def test_kneser_ney_sums_to_one():
+    from quillon.llm.langid import kneser_ney, windows
+
+    token, gram = windows(["abra", "cadabra", "arab", "bar"])
+    keys, n = np.unique(gram, return_counts=True)
+    m = kneser_ney({"x": (keys, n)})
+    letters = [32, *map(ord, "abcdr")]
+    for context in (0x20, 0x61 | 0x20 << 16, 0x62 | 0x61 << 16 | 0x20 << 32, 0x72 | 0x62 << 16 | 0x61 << 32, 0x7A | 0x20 << 16):
+        total = np.exp(m.log_p(np.array([(context << 16 | c) & 0xFFFFFFFFFFFFFFFF for c in letters], np.uint64)))[:, 0].sum()
+        # one share is left for letters never seen
+        assert total == pytest.approx(1 - m.base * _weight(m, context), abs=1e-9)
+
+
+def _weight(m, context):
+    """What reaches the uniform share, found by a letter that occurs nowhere."""
+    return float(np.exp(m.log_p(np.array([(context << 16 | 0x3B1) & 0xFFFFFFFFFFFFFFFF], np.uint64)))[0, 0] / m.base)
+
+
+def test_lm_scores(spark, docs, empty):
+    from quillon.llm.langid import remainder
+    from quillon.llm.lm import MU, score_texts
+
+    rows = [(r.doc_id, [*words(r.text), 0]) for r in docs.collect()]
+    trained = [zlib.crc32(("" if d is None else str(d)).encode()) % 7 != 2 for d, _ in rows]
+    c, pairs, before = collections.Counter(), collections.Counter(), collections.Counter()
+    for (_, w), t in zip(rows, trained, strict=True):
+        if t:
+            c.update(w)
+            chain = list(zip([1, *w[:-1]], w, strict=True))
+            pairs.update(chain)
+            before.update(h for h, _ in chain)
+    n, m = sum(c.values()), sum(c.values()) + len(c) + 1
+    want = []
+    for (d, w), t in zip(rows, trained, strict=True):
+        base = sum(math.log10((c[x] + 1) / m) for x in w)
+        score = sum(math.log10((pairs[h, x] + MU * (c[x] + 1) / m) / (before[h] + MU)) for h, x in zip([1, *w[:-1]], w, strict=True))
+        want.append((d, not t, len(w), sum(c[x] > 0 for x in w), n, base, score))
+    got = score_texts(docs, remainder(F.col("doc_id"), 7) != 2).collect()
+    key = lambda x: (str(x[0]), x[2], round(x[5], 3))
+    for a, b in zip(sorted(map(tuple, got), key=key), sorted(want, key=key), strict=True):
+        assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], abs=1e-6) and a[6] == pytest.approx(b[6], rel=1e-3, abs=1e-3)
+    assert score_texts(empty, F.lit(True)).count() == 0
+    assert all(abs(r.score) < 1e-6 for r in score_texts(docs, F.lit(False)).collect())
+
+
+def test_elias_fano():
+    from quillon.llm.ef_trie import EliasFano
+
+    rng = np.random.default_rng(2)
+    for n, top in ((0, 1000), (1, 5), (500, 600), (3000, 1 << 58)):
+        v = np.sort(rng.choice(top, n, replace=False) if top < 10_000 else rng.integers(0, top, n)).astype(np.uint64)
+        v = np.unique(v)
+        ef = EliasFano(EliasFano.pack(v, top))
+        assert (ef.find(v) == np.arange(len(v))).all()
+        if len(v):
+            assert (ef.at(np.arange(len(v))) == v).all()
+        ask = rng.integers(0, top, 200).astype(np.uint64)
+        assert ((ef.find(ask) >= 0) == np.isin(ask, v)).all()
+    assert len(EliasFano.pack(v, 1 << 58)) < len(v) * 8
+
+
+def test_nearest(spark):
+    from quillon.llm.ann import nearest
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(1500, 16)).astype(np.float32)
+    x[100:400] = x[100]
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)]
+    bad = [(5000, None), (5020, [0.0] * 16), (5040, [float("nan")] + [1.0] * 15), (5060, [None] + [1.0] * 15), (5080, [1.0] * 3), (5100, [float("inf")] + [1.0] * 15), (100, [float(a) for a in x[100]])]
+    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>")
+    got = nearest(df, F.col("vec_id") % 20 == 0, per_list=64).collect()
+    found = collections.defaultdict(list)
+    for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
+        found[r.query_id].append((r.vec_id, r.score))
+    assert set(found) == set(range(0, 1500, 20))
+    d, hits = x.astype(float), 0
+    for q, near in found.items():
+        s = d @ d[q]
+        s[q] = -np.inf
+        want = np.lexsort((np.arange(1500), -np.round(s, 12)))[:20]
+        hits += len(set(want) & {v for v, _ in near})
+        assert len(near) == 20 and all(a[1] > b[1] or (a[1] == b[1] and a[0] < b[0]) for a, b in zip(near, near[1:], strict=False))
+        assert all(sc == pytest.approx(float(d[v] @ d[q]), abs=1e-9) for v, sc in near)
+    assert hits >= 0.9 * 20 * len(found)
+    assert [v for v, _ in found[100]] == list(range(101, 121))
+    few = nearest(df.where("vec_id < 5"), F.col("vec_id") == 0).collect()
+    assert len(few) == 4
+    assert nearest(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_media_round_trip(spark, docs, empty):
+    from quillon.llm.media import build_store, decode, encode, gear_cuts, media_features, payload_of
+
+    got = collections.Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_sha256) for r in media_features(docs).collect())
+    want = collections.Counter()
+    for r in docs.collect():
+        n, p = payload_of(r.text)
+        assert len(p) % 64 == 0 and len(p) >= 64 and decode(encode(p)) == p
+        want[r.doc_id, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), hashlib.sha256(encode(p)).hexdigest()] += 1
+    assert got == want
+    assert media_features(empty).count() == 0
+    body = random.Random(1).randbytes(100_000)
+    cuts, moved = gear_cuts(body), gear_cuts(b"some bytes in front" + body)
+    chunks = lambda b, c: {b[s:e] for s, e in zip([0, *c[:-1]], c, strict=True)}
+    assert cuts[-1] == len(body) and len(chunks(body, cuts) & chunks(b"some bytes in front" + body, moved)) > 0.9 * len(cuts)
+    shared = spark.createDataFrame([(1, body[:40_000].hex()), (2, "x" * 300 + body[:40_000].hex())], "doc_id long, text string")
+    assert any(r.foreign for r in build_store(shared).collect())
+    assert {r.n_chunks > r.n_owned for r in media_features(shared).collect()} == {True, False}
+
+
+def test_warc_derivatives(spark, tmp_path):
+    from quillon.llm.warc import derive, digest, parse_records, read_warc, responses, write_warc
+
+    page = '<html><head><title>A &amp; B</title><script>var t="</p>";</script></head><body><p>One<br>two</p><a href="/x?a=1&amp;b">three</a><!-- no --></body></html>'
+    pages = spark.createDataFrame([(1, "http://a.example/é", page), (2, None, None), (3, "http://b.example/", ""), (3, "http://b.example/", "")], "page_id long, url string, html string")
+    resp = responses(pages.withColumn("record", F.lit("clash")))
+    out = derive(resp).collect()
+    assert len(out) == 8
+    source = {r.page_id: dict(next(parse_records(r.record))[0]) for r in resp.collect()}
+    for r in out:
+        headers, block = next(parse_records(r.record))
+        h = dict(headers)
+        assert h["WARC-Refers-To"] == source[r.page_id]["WARC-Record-ID"] == r.refers_to
+        assert h["WARC-Block-Digest"] == digest(block) and int(h["Content-Length"]) == len(block)
+        assert r.source_payload_digest == source[r.page_id]["WARC-Payload-Digest"]
+    text = next(r for r in out if r.page_id == 1 and r.record_type == "conversion")
+    assert text.body == "A & B\nOne\ntwo\nthree" and text.n_links == 1
+    assert "/x?a=1&b" in next(r for r in out if r.page_id == 1 and r.record_type == "metadata").body
+    write_warc(resp, f"file://{tmp_path}/w").collect()
+    back = derive(read_warc(spark, f"{tmp_path}/w/*.warc.gz").withColumnRenamed("seq", "page_id")).collect()
+    assert sorted(r.record for r in back) == sorted(r.record for r in out)
+    with pytest.raises(ValueError):
+        list(parse_records(resp.first().record[:-9]))
+
+
+def test_url_rules_follow_aliases(spark):
+    from quillon.llm import urlfilter as U
+    from quillon.llm.queries import URL_RULES
+
+    link = '<html><link href="{}" rel="canonical"></html>'
+    rows = [(1, "http://x.example.net/es/1#top", None), (2, "http://alias.example.org/a", link.format("http://x.example.net/es/1")), (3, "http://far.example.org/b", '<meta http-equiv="refresh" content="0; url=http://alias.example.org/a">'), (4, "http://www.example.com/en/1", ""), (5, "http://other.example.org/", link.format("http://www.example.com/en/1")), (6, "http://m.example.com/en/1", ""), (7, None, link.format("/q")), (8, "no scheme", ""), (9, "http://EXAMPLE.com", ""), (10, "http://z.example.org/d/e", link.format("../c")), (11, "http://example.com.evil.org/en/", ""), (12, "http://mixed.example.org/", link.format("http://alias.example.org/a")), (12, "http://mixed.example.org/", link.format("http://alias.example.org/a"))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = [tuple(r)[:5] for r in U.judge(pages, URL_RULES).collect()]
+    by = {r[0]: r[1:] for r in got}
+    assert len(got) == len(rows)
+    assert by[1] == ("x.example.net", "/es/1", "net/es/", "block")
+    assert by[2][3] == "block" and by[3][3] == "block" and by[12][3] == "block"
+    assert by[4] == ("www.example.com", "/en/1", "www.example.com/en/", "allow") and by[5][3] == "allow"
+    assert by[6][2:] == ("example.com/en/", "block")
+    assert by[7] == ("", "", None, "allow") and by[8] == ("", "", None, "allow")
+    assert by[9] == ("example.com", "", None, "allow") and by[11][2] is None
+    both = U.judge(pages, URL_RULES, redirects=spark.createDataFrame([("http://far.example.org/b", "http://www.example.com/en/1")], "a string, b string"))
+    assert {r.page_id: r.verdict for r in both.collect()}[2] == "allow"
+    many = [*URL_RULES, *(("block", f"h{i}.test", "/") for i in range(300))]
+    assert sorted(tuple(r)[:5] for r in U.judge(pages, many).collect()) == sorted(got)
+    assert U.judge(pages.limit(0), URL_RULES).count() == 0
+
+
+def test_components_of_a_path_and_a_star(spark):
+    from quillon.llm.common import components
+
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(50)] + [(7, 7), (None, 3)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 150), 100)}
+
+
+def test_secrets(spark, docs, empty):
+    from quillon.llm.secrets import MASK, default_forest, feature_array, labelled_findings, redact, scan
+
+    forest = default_forest(spark, 3000)
+    held = labelled_findings(spark, 1500, seed=77)
+    s = held.select("y", forest.score(feature_array(F.col("c"), F.col("before"), F.col("after"), F.col("path"))).alias("s"))
+    assert s.select(F.avg(((F.col("s") >= 0.5) == (F.col("y") == 1)).cast("double"))).first()[0] > 0.95
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    rows = [(1, f'we set token = "{key}" here', "a"), (2, f"commit {key} is old", "a"), (3, "card 4734663219866878 twice 4734663219866878", "a"), (4, None, None), (5, "", "a"), (6, f'TOKEN = "{key}" and token = "{key[::-1]}"', "a"), (7, ("word " * 40_000) + f'token = "{key}"', "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = scan(df.withColumn("start", F.lit("clash")), forest).collect()
+    assert {(r.doc_id, r.is_secret) for r in found} == {(1, True), (2, False), (3, False), (6, True), (7, True)}
+    texts = {r[0]: r[1] for r in rows}
+    assert all(texts[r.doc_id][r.start - 1 : r.start - 1 + r.length] == r.c for r in found)
+    clean = {r.doc_id: r.text for r in redact(df, forest).collect()}
+    assert clean[1] == f'we set token = "{MASK}" here' and clean[2] == texts[2] and clean[3] == texts[3] and clean[4] is None and clean[5] == ""
+    assert clean[6] == f'TOKEN = "{MASK}" and token = "{MASK}"' and clean[7].endswith(f'token = "{MASK}"')
+    assert redact(docs, forest).count() == docs.count() and scan(empty, forest).count() == 0
+
+
+def test_pipeline(spark, docs, empty, tmp_path):
+    import corpus_pipeline
+
+    docs.where("doc_id is not null").write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    ids = {r.doc_id for r in out.select("doc_id").distinct().collect()}
+    assert not ids & {90, 91, 92} and len(ids & set(range(60))) > 30
+    deduped = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    assert deduped.columns == docs.columns
+    kept = [r.doc_id for r in deduped.collect()]
+    assert sum(x in (95, 96) for x in kept) == 1 and sum(x == 97 for x in kept) <= 1 and {90, 91, 92} <= set(kept)
+    step = empty
+    for _, f in corpus_pipeline.STAGES:
+        step = f(spark, step, str(tmp_path))
+    assert step.count() == 0
