@@ -33,9 +33,9 @@ from .common import components, plan_bytes, shards_for, stage, unstage
 from .shingles import WordHashes, shingle_sets, text_blocks
 
 #: A shingle is common if tasks that saw it often (LOCAL times or more) saw it COMMON times together.
-LOCAL, COMMON = 4, 32
+LOCAL, COMMON = 2, 4
 #: Common shingles whose rank is told to all tasks, at most (9 bytes each): the most frequent ones. It bounds a broadcast; others rank with the rare.
-TOLD = 500_000
+TOLD = 1_000_000
 #: Classes in one prefix tree, at most, beside the leader.
 BLOCK = 128
 
