@@ -116,4 +116,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_media_chunks": op10_media_chunks,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+def _rule_sql(what: str) -> str:
+    """CASE over the rules, longest first."""
+    fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+    order = sorted(URL_RULES, key=lambda r: (-len(r[1]) - len(r[2]), r[0] != "allow"))
+    return "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{h + p if what == 'rule' else v}'" for v, h, p in order) + " END"
+
+
+def _url_sql(url: str) -> str:
+    """host and path of a url."""
+    rest = f"(CASE WHEN contains({url}, '://') THEN substr({url}, strpos({url}, '://') + 3) ELSE '' END)"
+    return f"translate(coalesce(regexp_extract({rest}, '^[^/?#]*'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1), '') AS path"
+
+
+def _op6_sql() -> str:
+    from .urlfilter import CANONICAL, HREF, REFRESH, TARGET
+
+    q = lambda x: x.replace("'", "''")
+    ref = "regexp_replace(replace(ref, '&amp;', '&'), '(?s)#.*$', '')"
+    site = "regexp_extract(url, '^(?s:.*?)://[^/?#]*')"
+    folder = "coalesce(nullif(regexp_extract(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '^(?s:.*/)'), ''), '/')"
+    return f"""WITH RECURSIVE refs AS (SELECT url, unnest([regexp_extract(regexp_extract(html, '{q(CANONICAL)}'), '{q(HREF)}', 1), regexp_extract(regexp_extract(html, '{q(REFRESH)}'), '{q(TARGET)}', 1)]) AS ref FROM pages WHERE url IS NOT NULL AND html IS NOT NULL),
+e AS (SELECT DISTINCT regexp_replace(url, '(?s)#.*$', '') AS a, CASE WHEN contains({ref}, '://') THEN {ref} WHEN starts_with({ref}, '//') THEN regexp_extract(url, '^(?s:.*?):') || {ref} WHEN starts_with({ref}, '/') THEN {site} || {ref} ELSE {site} || {folder} || {ref} END AS b FROM refs WHERE ref <> ''),
+s AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b), r AS (SELECT a AS n, b AS m FROM s UNION SELECT r.n, s.b FROM r JOIN s ON r.m = s.a),
+c AS (SELECT n AS node, least(n, min(m)) AS component FROM r GROUP BY n), j AS (SELECT node, component, {_rule_sql('verdict')} AS v FROM (SELECT *, {_url_sql('node')} FROM c)),
+sh AS (SELECT component, CASE WHEN bool_or(v = 'allow') THEN 'allow' WHEN bool_or(v = 'block') THEN 'block' END AS shared FROM j GROUP BY 1),
+o AS (SELECT page_id, regexp_replace(url, '(?s)#.*$', '') AS node, {_url_sql('url')} FROM pages)
+SELECT page_id, host, path, {_rule_sql('rule')} AS rule, coalesce({_rule_sql('verdict')}, shared, 'allow') AS verdict, c.component FROM o LEFT JOIN c USING (node) LEFT JOIN sh ON sh.component = c.component"""
+
+
+OP8_SQL = """WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1), o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM g x JOIN g y USING (s) WHERE x.doc_id <> y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM o JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * o >= 85 * (p.n + q.n - o)), r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM r GROUP BY 1) USING (doc_id)"""
+
+#: Where SQL can say what the query returns. The others depend on a fitted model, a rounding or bytes; tests/llm has their brute-force versions.
+ORACLE_SQL: dict[str, str] = {"op6_redirect_equivalence": _op6_sql(), "op8_jaccard_join": OP8_SQL}
