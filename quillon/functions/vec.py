@@ -16,6 +16,11 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def dot(a, b) -> Column:
     return _sum(F.zip_with(_c(a), _c(b), lambda x, y: x.cast("double") * y.cast("double")))
 
@@ -33,16 +38,18 @@ def relative_l2(a, b) -> Column:
     return F.sqrt(_sum(F.zip_with(_c(a), _c(b), lambda x, y: (x - y) * (x - y)))) / F.greatest(norm(b), F.lit(EPS))
 
 
+def _share(a: Column) -> Column:
+    return let(_sum(a), lambda s: F.transform(a, lambda x: x / s))
+
+
 def normalise(a) -> Column:
     """Divided by the sum where that is over 0; as it is elsewhere."""
-    a = _c(a)
-    return F.when(_sum(a) > 0, F.transform(a, lambda x: x / _sum(a))).otherwise(a)
+    return let(_c(a), lambda v: F.when(_sum(v) > 0, _share(v)).otherwise(v))
 
 
 def softmax(z, temperature: float | Column = 1.0) -> Column:
-    z = _c(z)
-    e = F.transform(z, lambda x: F.exp((x - F.array_max(z)) / temperature))
-    return F.transform(e, lambda x: x / _sum(e))
+    raised = lambda v: let(F.array_max(v), lambda m: F.transform(v, lambda x: F.exp((x - m) / temperature)))
+    return let(_c(z), lambda v: let(raised(v), _share))
 
 
 def argmax(p) -> Column:
@@ -120,7 +127,7 @@ def temper(p, temperature: float | Column, keep_zeros: bool = True) -> Column:
     """p to the power 1 / T, made to sum to 1; zeros stay zeros if asked."""
     p = _c(p)
     raised = F.transform(p, lambda x: (F.when(x > 0, F.pow(clip(x), 1.0 / temperature)).otherwise(0.0) if keep_zeros else F.pow(clip(x), 1.0 / temperature)))
-    return F.transform(raised, lambda x: x / _sum(raised))
+    return let(raised, _share)
 
 
 def ordinal_soft_target(x, k: int) -> Column:
