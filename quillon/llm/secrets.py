@@ -1,8 +1,9 @@
 """Secret scans with a random forest that removes false positives. DataFrame functions only.
 
-A candidate is a run of 16 or more key characters with a digit. Its features are length,
-shares and transitions of character classes, dictionary coverage, the path, and
-neighbouring words. The forest is grown level by level from grouped counts of binned
+A candidate is a run of 16 or more key characters with a digit, or a value of 6 or more
+characters that is assigned to a name with a keyword; the name and its '=' are context.
+Its features are length, shares and transitions of character classes, dictionary
+coverage, the path, and neighbouring words. The forest is grown level by level from grouped counts of binned
 features over labelled findings, and applied as an expression on literal arrays.
 """
 
@@ -15,12 +16,19 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEY = r"A-Za-z0-9+/=_\-"
-CANDIDATE = rf"(?<![{KEY}])(?=[A-Za-z+/=_\-]*[0-9])[{KEY}]{{16,}}"
+KEY = r"A-Za-z0-9+/_\-"
+#: '=' belongs to a candidate as padding only; else it parts a name from its value.
+PADDING = rf"(?:={{1,2}}(?![{KEY}=]))?"
+RUN = rf"(?=[A-Za-z+/_\-]*[0-9])[{KEY}]{{16,}}"
+_NAMES = "token|secret|passw|pwd|api|key|auth|bearer|credential|private|access"
+_SIGN = r"""[=:]>?[ \t]{0,2}["'`]?(?:(?i:bearer|basic) )?"""
+#: The short look-behind fails at most places before the long one is tried.
+ASSIGNED = rf"""(?<={_SIGN})(?<=(?i:{_NAMES})[A-Za-z0-9_\-]{{0,24}}["'`]?[ \t]{{0,2}}:?{_SIGN})(?!(?i:bearer|basic)\b)[{KEY}.!?@#$%^*~]{{5,}}[{KEY}!@#$%^*~]"""
+CANDIDATE = rf"(?<![{KEY}])(?:{ASSIGNED}|{RUN}){PADDING}"
 MASK = "[SECRET]"
 #: Words that make a candidate likely to be an identifier or a placeholder.
 WORDS = ("example", "sample", "test", "dummy", "placeholder", "changeme", "your", "here", "insert", "fake", "default", "value", "name", "user", "index", "version", "image", "file", "data", "table", "column", "config", "module", "class", "function", "service", "server", "client", "message", "request", "response", "report", "build", "release", "package", "static", "assets", "http", "www", "com")
-KEYWORDS = r"(?i)(token|secret|passw|pwd|api|key|auth|bearer|credential|private|access)"
+KEYWORDS = rf"(?i)({_NAMES})"
 DIGESTS = r"(?i)(sha-?\d|sha|md5|commit|digest|checksum|etag|integrity|revision|uuid|guid|hash|order|invoice|serial|card|account|phone)"
 FEATURES = ("length", "digits", "upper", "lower", "hex", "symbols", "transitions", "distinct", "coverage", "longest_letters", "keyword", "digest_word", "assigned", "quoted", "path_test", "all_digits")
 
@@ -126,11 +134,12 @@ def train_forest(labelled: DataFrame, trees: int = 15, depth: int = 5, bins: int
 
 
 def labelled_findings(spark: SparkSession, n: int = 6_000, seed: int = 1) -> DataFrame:
-    """n labelled findings by rule (id, y, c, before, after, path): what stands for a labelled history where none is given.
+    """Findings of n lines labelled by rule (id, y, c, before, after, path): what stands for a labelled history where none is given.
 
     True: access tokens, keys and passwords in assignments and headers. False: digests,
-    commits, identifiers, numbers, placeholders, versioned names and paths. n bounds the
-    rows that a forest is fit on.
+    commits, identifiers, numbers, placeholders, versioned names and paths, and words
+    and code behind a keyword. The scanner's own expression finds the candidates in the
+    lines; n bounds the rows that a forest is fit on, as few lines have a second one.
     """
     h = lambda k: F.sha2(F.concat_ws("|", F.col("id"), F.lit(seed), F.lit(k)), 256)
     r = lambda k, m: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(m))
@@ -138,14 +147,20 @@ def labelled_findings(spark: SparkSession, n: int = 6_000, seed: int = 1) -> Dat
     mix = F.regexp_replace(F.base64(F.unhex(F.concat(h("a"), h("b")))), "[^A-Za-z0-9]", "")
     word = pick("w", ["report", "image", "config", "module", "table", "release", "package", "service", "index", "version"])
     hexes = F.substring(h("x"), 1, 40)
-    true = F.element_at(F.array(hexes, F.substring(h("x"), 1, 32), F.concat(F.lit("sk_live_"), F.substring(mix, 1, 24)), F.substring(mix, 1, 40), F.concat(F.lit("ghp_"), F.substring(mix, 1, 36)), F.concat(F.lit("AKIA"), F.upper(F.substring(h("k"), 1, 16))), F.upper(hexes)), (r("kind", 7) + 1).cast("int"))
-    false = F.element_at(F.array(hexes, h("x"), F.concat_ws("-", F.substring(h("x"), 1, 8), F.substring(h("x"), 9, 4), F.substring(h("x"), 13, 4), F.substring(h("x"), 17, 4), F.substring(h("x"), 21, 12)), F.substring(F.translate(h("x"), "abcdef", "123456"), 1, 16), F.concat_ws("_", word, F.lit("default"), pick("v", ["name", "value", "column"]), r("d", 99).cast("string")), F.concat(F.lit("your_"), pick("v", ["api_key", "token", "secret"]), F.lit("_here_1234")), F.concat(F.lit("/static/assets/"), word, F.lit("-"), r("d", 9999).cast("string")), F.concat(F.lit("EXAMPLEKEY"), F.repeat(F.lit("0"), 12)), F.concat_ws("-", word, F.lit("service-release"), r("d", 99).cast("string"))), (r("kind", 9) + 1).cast("int"))
+    plain = pick("plain", ["required", "string", "nobody", "Johnson", "different", "request.headers", "config.get_token", "os.environ", "$DB_PASSWORD", "your_token1", "2024-01-02", "20240102", "version2", "module.key_1", "www.example.com/a1", "NoneType"])
+    true = F.element_at(F.array(hexes, F.substring(h("x"), 1, 32), F.concat(F.lit("sk_live_"), F.substring(mix, 1, 24)), F.substring(mix, 1, 40), F.concat(F.lit("ghp_"), F.substring(mix, 1, 36)), F.concat(F.lit("AKIA"), F.upper(F.substring(h("k"), 1, 16))), F.upper(hexes), F.substring(mix, 1, 10), F.substring(h("x"), 1, 12), F.concat(F.substring(mix, 1, 8), F.lit("!"), F.substring(h("x"), 1, 1))), (r("kind", 10) + 1).cast("int"))
+    false = F.element_at(F.array(hexes, h("x"), F.concat_ws("-", F.substring(h("x"), 1, 8), F.substring(h("x"), 9, 4), F.substring(h("x"), 13, 4), F.substring(h("x"), 17, 4), F.substring(h("x"), 21, 12)), F.substring(F.translate(h("x"), "abcdef", "123456"), 1, 16), F.concat_ws("_", word, F.lit("default"), pick("v", ["name", "value", "column"]), r("d", 99).cast("string")), F.concat(F.lit("your_"), pick("v", ["api_key", "token", "secret"]), F.lit("_here_1234")), F.concat(F.lit("/static/assets/"), word, F.lit("-"), r("d", 9999).cast("string")), F.concat(F.lit("EXAMPLEKEY"), F.repeat(F.lit("0"), 12)), F.concat_ws("-", word, F.lit("service-release"), r("d", 99).cast("string")), plain, plain), (r("kind", 11) + 1).cast("int"))
     y = r("y", 2).cast("int")
-    context = F.when(y == 1, pick("b", ['token = "', "api_key: ", "password='", "Authorization: Bearer ", "secret=", '"access_key": "', "export AUTH_TOKEN=", 'TOKEN = "'])).otherwise(F.when(r("kind", 9) < 3, pick("b", ["commit ", "sha256:", "md5 ", "integrity: ", "revision ", "uuid=", 'checksum = "'])).otherwise(pick("b", ["see ", "id ", "order ", "card ", "file ", "the ", ", ", "key: "])))
+    given = pick("b", ['token = "', "api_key: ", "password='", "Authorization: Bearer ", "secret=", '"access_key": "', "export AUTH_TOKEN=", 'TOKEN = "', "api_key=", "DB_PASSWORD=", "/v1/items?id=3&token=", "--auth-token=", "SECRET_KEY_FOR_RELEASE_2="])
+    named = pick("b", ["password: ", "token = ", "author: ", "key=", "api: ", 'secret="', "access_token=", "private: ", "?api_key="])
+    context = F.when(y == 1, given).when(r("kind", 11) >= 9, named).otherwise(F.when(r("kind", 11) < 3, pick("b", ["commit ", "sha256:", "md5 ", "integrity: ", "revision ", "uuid=", 'checksum = "'])).otherwise(pick("b", ["see ", "id ", "order ", "card ", "file ", "the ", ", ", "key: ", "version=", "image=", "/static?file="])))
     before = F.concat(pick("p", ["the report of ", "and then ", "", "in those days ", "use "]), context)
     quote = F.regexp_extract(before, """["']$""", 0)
     path = pick("f", ["src/app.py", "config/prod.env", "tests/test_api.py", "README.md", "src0", ""])
-    return spark.range(n).select("id", y.alias("y"), F.when(y == 1, true).otherwise(false).alias("c"), before.alias("before"), quote.alias("after"), path.alias("path"))
+    value = F.when(y == 1, true).otherwise(false)
+    line = F.concat(before, value, F.when(quote != "", quote).otherwise(pick("t", ["", " and", "\n", "&page=2"])))
+    rows = spark.range(n).select("id", y.alias("y"), value.alias("value"), path.alias("path"), F.explode(_findings(line)).alias("x"))
+    return rows.select("id", ((F.col("y") == 1) & (F.col("x.c") == F.col("value"))).cast("int").alias("y"), "x.c", "x.before", "x.after", "path")
 
 
 def default_forest(spark: SparkSession, n: int = 6_000) -> Forest:
@@ -153,18 +168,38 @@ def default_forest(spark: SparkSession, n: int = 6_000) -> Forest:
     return train_forest(rows.select("id", "y", feature_array(F.col("c"), F.col("before"), F.col("after"), F.col("path")).alias("features")))
 
 
-def _findings(text: Column, path: Column) -> Column:
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _gaps(text: Column, body) -> Column:
+    """body(texts around candidates, [(gap, c, before, after)] of each): before is what the text has before c, candidates too."""
+
+    def rows(x: Column) -> Column:
+        gaps, found = x["gaps"], x["found"]
+        shifted = lambda a: F.slice(F.concat(F.array(F.lit("")), a), F.lit(1), F.size(found))
+        each = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("c"), F.slice(gaps, 2, F.greatest(F.size(found), F.lit(1))).alias("next"), shifted(gaps).alias("gap0"), shifted(found).alias("c0"))
+        return body(gaps, F.transform(each, near))
+
+    def near(x: Column) -> Column:
+        before = F.right(F.concat(F.right(x["gap0"], F.lit(40)), x["c0"], F.right(x["gap"], F.lit(40))), F.lit(40))
+        return F.struct(x["gap"].alias("gap"), x["c"].alias("c"), before.alias("before"), F.left(x["next"], F.lit(20)).alias("after"))
+
+    cut = lambda t: F.struct(F.split(t, CANDIDATE, -1).alias("gaps"), F.regexp_extract_all(t, F.lit(CANDIDATE), 0).alias("found"))
+    return _let(text, lambda t: _let(cut(t), rows))
+
+
+def _findings(text: Column) -> Column:
     """[(start from 1, c, before, after)] of a text's candidates."""
-    gaps, found = F.split(text, CANDIDATE, -1), F.regexp_extract_all(text, F.lit(CANDIDATE), 0)
-    rows = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("c"), F.slice(gaps, 2, F.greatest(F.size(found), F.lit(1))).alias("next"))
     none = F.expr("CAST(array() AS array<struct<start:int,c:string,before:string,after:string>>)")
 
     def add(a: Column, x: Column) -> Column:
         start = a["at"] + F.length(x["gap"])
-        row = F.struct(start.alias("start"), x["c"].alias("c"), F.right(x["gap"], F.lit(40)).alias("before"), F.left(x["next"], F.lit(20)).alias("after"))
+        row = F.struct(start.alias("start"), x["c"].alias("c"), x["before"].alias("before"), x["after"].alias("after"))
         return F.struct(F.array_append(a["out"], row).alias("out"), (start + F.length(x["c"])).alias("at"))
 
-    return F.aggregate(rows, F.struct(none.alias("out"), F.lit(1).alias("at")), add, lambda a: a["out"])
+    return _gaps(text, lambda _, rows: F.aggregate(rows, F.struct(none.alias("out"), F.lit(1).alias("at")), add, lambda a: a["out"]))
 
 
 def scan(docs: DataFrame, forest: Forest, key: str = "doc_id", text: str = "text", path: str | None = "source", threshold: float = 0.5) -> DataFrame:
@@ -174,7 +209,7 @@ def scan(docs: DataFrame, forest: Forest, key: str = "doc_id", text: str = "text
     no candidates; repeated rows give theirs each.
     """
     where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")
-    rows = docs.select(F.col(key), where.alias("__path"), F.explode(_findings(F.col(text), where)).alias("x"))
+    rows = docs.select(F.col(key), where.alias("__path"), F.explode(_findings(F.col(text))).alias("x"))
     rows = rows.select(key, "__path", "x.*").withColumn("features", feature_array(F.col("c"), F.col("before"), F.col("after"), F.col("__path")))
     score = F.round(forest.score(F.col("features")), 9)
     return rows.select(key, "start", F.length("c").alias("length"), "c", score.alias("score")).withColumn("is_secret", F.col("score") >= threshold)
@@ -183,12 +218,10 @@ def scan(docs: DataFrame, forest: Forest, key: str = "doc_id", text: str = "text
 def redact(docs: DataFrame, forest: Forest, text: str = "text", path: str | None = "source", threshold: float = 0.5, mask: str = MASK) -> DataFrame:
     """docs with each secret in text replaced by mask; other columns and texts stay as they are."""
     where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")
-    gaps, found = F.split(F.col(text), CANDIDATE, -1), F.regexp_extract_all(F.col(text), F.lit(CANDIDATE), 0)
-    rows = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("c"), F.slice(gaps, 2, F.greatest(F.size(found), F.lit(1))).alias("next"))
 
     def shown(x: Column) -> Column:
-        features = feature_array(x["c"], F.right(x["gap"], F.lit(40)), F.left(x["next"], F.lit(20)), where)
+        features = feature_array(x["c"], x["before"], x["after"], where)
         return F.concat(x["gap"], F.when(F.round(forest.score(features), 9) >= threshold, F.lit(mask)).otherwise(x["c"]))
 
-    new = F.concat(F.array_join(F.transform(rows, shown), ""), F.element_at(gaps, -1))
+    new = _gaps(F.col(text), lambda gaps, rows: F.concat(F.array_join(F.transform(rows, shown), ""), F.element_at(gaps, -1)))
     return docs.withColumn(text, F.when(F.rlike(F.col(text), F.lit(CANDIDATE)), new).otherwise(F.col(text)))

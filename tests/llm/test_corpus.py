@@ -386,6 +386,32 @@ def test_secrets(spark, docs, empty):
     assert redact(docs, forest).count() == docs.count() and scan(empty, forest).count() == 0
 
 
+def test_secrets_of_unquoted_assignments(spark):
+    from quillon.llm.secrets import MASK, default_forest, labelled_findings, redact, scan
+
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    lines = {
+        f"export AUTH_TOKEN={key}": key,
+        f"api_key={key}": key,
+        f"GET /v1/items?page=3&access_token={key}&sort=asc": key,
+        f"SECRET_KEY_FOR_PRODUCTION_2={key}": key,
+        f"TOKEN={key[:-2]}==": key[:-2] + "==",
+        "DB_PASSWORD=x7Kq92mZ": "x7Kq92mZ",
+        "password: 'h4Tn!9wQz'": "h4Tn!9wQz",
+        "Authorization: Bearer a91f03cc47de": "a91f03cc47de",
+    }
+    plain = ["password: required", "author: Johnson", "token = request.headers", f"commit={key}", "version=release-service-12", "the api: different words"]
+    rows = [(i, text, "a") for i, text in enumerate([*lines, *plain])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    forest = default_forest(spark)
+    found = {(r.doc_id, r.c) for r in scan(df, forest).where("is_secret").collect()}
+    assert found == set(enumerate(lines.values()))
+    clean = {r.doc_id: r.text for r in redact(df, forest).collect()}
+    assert clean == {i: text.replace(lines.get(text, "\0"), MASK) for i, text, _ in rows}
+    # each true training line is found whole
+    assert labelled_findings(spark, 2000).where("y = 1").count() > 900
+
+
 def test_pipeline(spark, docs, empty, tmp_path):
     import corpus_pipeline
 
