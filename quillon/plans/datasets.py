@@ -140,11 +140,24 @@ def family_alpha_weights(spark, d):
     return D.family_weights(read(spark, d, "documents"), "lang", 0.5).select("lang", "n", F.round("p_family", 6).alias("p_family"), F.round("p_row", 9).alias("p_row"))
 
 
+PACK_BUDGET = 16384
+
+
+def _questions(spark, d):
+    return read(spark, d, "documents").select("doc_id", "lang", (F.col("n_chars") / 4 + 1).cast("int").alias("width"), (F.col("doc_id") % 4 + 2).cast("int").alias("k"))
+
+
 @query()
 def pack_questions(spark, d):
-    docs = read(spark, d, "documents").select("doc_id", "lang", (F.least(F.col("n_chars"), F.lit(4000)) / 4 + 1).cast("int").alias("width"), (F.col("doc_id") % 4 + 2).cast("int").alias("k"))
+    docs = _questions(spark, d).where(F.col("k") * F.col("width") <= PACK_BUDGET)
     shard = F.concat_ws("-", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(8)).cast("string"))
-    return D.greedy_pack(docs.withColumn("shard", shard), "shard", "doc_id", "k", "width", 16384)
+    return D.greedy_pack(docs.withColumn("shard", shard), "shard", "doc_id", "k", "width", PACK_BUDGET)
+
+
+@query(f"SELECT lang, count(*) AS n FROM documents WHERE (doc_id % 4 + 2) * floor(n_chars / 4 + 1) > {PACK_BUDGET} GROUP BY 1")
+def pack_questions_over_budget(spark, d):
+    """The questions that pack_questions leaves out, counted."""
+    return _questions(spark, d).where(F.col("k") * F.col("width") > PACK_BUDGET).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
 
 MIX = "(SELECT l.doc_id, lang, toxic, text FROM documents d JOIN labels l USING (doc_id))"

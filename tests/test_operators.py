@@ -96,6 +96,19 @@ def test_packs_keep_the_budget(spark):
         dataset.greedy_pack(rows, "s", "id", "k", "w", 100).collect()
 
 
+def test_registered_packs_count_questions_over_the_budget(spark, tmp_path):
+    from quillon.plans import queries
+
+    docs = spark.createDataFrame([(i, "en", 9_000 + i) for i in range(40)] + [(40, "en", 128_657), (41, "de", 30_000)], "doc_id long, lang string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    packs = {}
+    for r in queries()["pack_questions"](spark, str(tmp_path)).join(docs, "doc_id").collect():
+        packs.setdefault((r["shard"], r["pack"]), []).append((r.doc_id % 4 + 2, r.n_chars // 4 + 1))
+    assert sum(map(len, packs.values())) == 40
+    assert all(sum(k for k, _ in p) * max(w for _, w in p) <= 16384 for p in packs.values())
+    assert {(r.lang, r.n) for r in queries()["pack_questions_over_budget"](spark, str(tmp_path)).collect()} == {("en", 1), ("de", 1)}
+
+
 def test_mail_cleaning_and_claims(spark):
     mail = "Hello,\nI need help.\nThis message is confidential.\nOn Monday Bob wrote:\n> old text"
     assert one(spark, probes.clean_email(F.col("t")), t=mail) == "Hello,\nI need help."
