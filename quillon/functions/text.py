@@ -26,9 +26,14 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
+def collapse(text: Column) -> Column:
+    """Lower case, Unicode white space collapsed, stripped."""
+    return strip(F.regexp_replace(F.lower(text), r"(?U)\s+", " "))
+
+
 def normalise(text: Column) -> Column:
     """NFKC, lower case, Unicode white space collapsed, stripped."""
-    return strip(F.regexp_replace(F.lower(nfkc(text)), r"(?U)\s+", " "))
+    return collapse(nfkc(text))
 
 
 def humanize(label: Column) -> Column:

@@ -25,8 +25,8 @@ def query(sql: str | None = None):
     return add
 
 
-def _both(spark, d):
-    return C.normal(read(spark, d, "documents"), "doc_id"), C.normal(read(spark, d, "benchmark"), "item_id")
+def _both(spark, d, guard: bool = False):
+    return C.normal(read(spark, d, "documents"), "doc_id", guard=guard), C.normal(read(spark, d, "benchmark"), "item_id", guard=guard)
 
 
 NORM = "trim(regexp_replace(lower(text), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
@@ -91,7 +91,7 @@ def contam_window40(spark, d):
 
 @query(BOTH + " SELECT tr.id AS doc_id FROM tr WHERE NOT EXISTS (SELECT 1 FROM ev WHERE len(ev.norm) >= 40 AND contains(tr.norm, substr(ev.norm, 1, 40)))")
 def guard_anti_join(spark, d):
-    t, e = _both(spark, d)
+    t, e = _both(spark, d, guard=True)
     return t.join(C.window_hits(t, e).select(F.col("train_id").alias("id")), "id", "left_anti").select(F.col("id").alias("doc_id"))
 
 

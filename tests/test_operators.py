@@ -80,6 +80,24 @@ def test_contamination_on_empty_short_and_equal_texts(spark):
     assert {(r.train_id, r.jaccard) for r in contamination.jaccard_pairs(t, e).collect()} == {(4, 1.0), (5, 1.0)}
 
 
+def test_contamination_sees_through_compatibility_forms(spark, tmp_path):
+    import unicodedata
+
+    from quillon.plans import queries
+
+    item = "the official office finds five different offers in the first file of the day"
+    copies = {1: item.replace(" ", "\u00a0"), 2: item.replace("ffi", "\ufb03").replace("fi", "\ufb01"), 3: "".join(chr(ord(c) + 0xFEE0) if c.isalpha() else c for c in item), 4: "\u2003" + item.upper() + "\u3000", 5: "a text of another kind that has nothing in common"}
+    spark.createDataFrame(list(copies.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(9, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {n: queries()[n](spark, str(tmp_path)).collect() for n in ("contam_exact", "contam_jaccard13", "contam_minhash_lsh", "contam_rare_gram", "contam_window40", "guard_anti_join")}
+    brute = {i for i, t in copies.items() if " ".join(unicodedata.normalize("NFKC", t).lower().split()) == item}
+    assert brute == {1, 2, 3, 4} and [(r.eval_id, r.train_id) for r in got["contam_exact"]] == [(9, 1)]
+    assert {r.train_id for r in got["contam_jaccard13"] if r.jaccard == 1} == brute and {r.train_id for r in got["contam_minhash_lsh"] if r.similarity == 1} == brute
+    assert {r.train_id for r in got["contam_rare_gram"]} == brute and {r.train_id for r in got["contam_window40"]} == brute
+    # the guard has no NFKC, but Unicode white space
+    assert {r.doc_id for r in got["guard_anti_join"]} == {2, 3, 5}
+
+
 def test_long_texts_give_each_gram_once(spark):
     body = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(3000))
     df = contamination.normal(spark.createDataFrame([(1, body)], "doc_id long, text string"), "doc_id")
