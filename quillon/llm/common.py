@@ -7,10 +7,14 @@ cut from its lineage is a Parquet table in the folder that the session names in
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+import functools
+import gc
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,15 +25,55 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests), a temporary one is set."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    """The folder of spark.checkpoint.dir, or else the context's checkpoint folder; ValueError where neither is set."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-"))
-        found = sc.getCheckpointDir()
+        raise ValueError("spark.checkpoint.dir is not set: it names a folder that driver and executors share")
     return found.rstrip("/")
 
 
+def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f as a task that gives its memory back when it ends: Python workers are reused, and allocators keep what was freed."""
+
+    @functools.wraps(f)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # not every C library has it
+                pass
+
+    return run
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for internal columns that no column of df has, whatever case Spark minds."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while (name := f"_{name}").lower() in taken:
+            pass
+        out.append(name)
+    return out
+
+
+def done_with(*parts: Broadcast | DataFrame | None) -> None:
+    """Frees broadcasts and deletes staged tables that no later plan reads."""
+    for x in parts:
+        if isinstance(x, Broadcast):
+            x.destroy()
+        elif x is not None:
+            unstage(x)
+
+
+def quoted(names: Iterable[str]) -> list[str]:
+    """Column names as Spark takes them literally, dots and back quotes included."""
+    return ["`" + c.replace("`", "``") + "`" for c in names]
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again."""
     spark = df.sparkSession

@@ -12,7 +12,7 @@ U = np.uint64
 
 
 class EliasFano:
-    """A sorted sequence of unsigned numbers under 2^62: low bits packed, high parts as a unary bit map.
+    """A sorted sequence of unsigned 64-bit numbers: low bits packed, high parts as a unary bit map.
 
     ``bytes`` holds about ``2 + log2(universe / n)`` bits a number. Opening it derives the
     start of each high part from the bit map; reads go to the packed low bits in place.
@@ -36,10 +36,13 @@ class EliasFano:
         high = (values >> U(low)).astype(np.int64)
         bits = np.zeros(n + (universe >> low) + 2, np.uint8)
         bits[high + np.arange(n)] = 1
-        parts = (values[:, None] >> np.arange(low, dtype=np.uint64)[None, :] & U(1)).astype(np.uint8) if n and low else np.zeros(0, np.uint8)
         packed = np.packbits(bits, bitorder="little").tobytes()
-        lows = np.packbits(parts.ravel(), bitorder="little").tobytes()
-        return struct.pack("<QQQ", n, low, len(packed)) + packed + lows.ljust((n * low + 7) // 8 + 8, b"\0")
+        lows = np.zeros((n * low + 7) // 8 + 8, np.uint8)
+        for at in range(0, n if low else 0, 1 << 16):  # 2^16 numbers of any width end on a whole byte
+            some = values[at : at + (1 << 16), None] >> np.arange(low, dtype=np.uint64) & U(1)
+            row = np.packbits(some.astype(np.uint8).ravel(), bitorder="little")
+            lows[at * low // 8 : at * low // 8 + len(row)] = row
+        return struct.pack("<QQQ", n, low, len(packed)) + packed + lows.tobytes()
 
     def lows_at(self, i: np.ndarray) -> np.ndarray:
         if not self.low:
@@ -50,21 +53,25 @@ class EliasFano:
             word |= self.lows[(bit >> 3) + b].astype(np.uint64) << U(8 * b)
         return (word >> (bit & 7).astype(np.uint64)) & U((1 << self.low) - 1)
 
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """Place of x, by successor search within its high part; -1 where it is missing."""
+    def find(self, x: np.ndarray, begin: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
+        """Place of x by successor search, within places begin to end of each where given; -1 where it is missing."""
         if not self.n:
             return np.full(len(x), -1)
         high = np.minimum((x >> U(self.low)).astype(np.int64), len(self.start) - 2)
         want = x & U((1 << self.low) - 1)
         lo, hi = self.start[high], self.start[high + 1]
-        end = hi.copy()
+        if begin is not None:
+            lo, hi = np.maximum(lo, begin), np.minimum(hi, end)
+        stop = hi.copy()
         for _ in range(self.most + 1):
             open_ = lo < hi
+            if not open_.any():
+                break
             mid = np.where(open_, (lo + hi) >> 1, 0)
             less = open_ & (self.lows_at(mid) < want)
             lo = np.where(less, mid + 1, lo)
             hi = np.where(open_ & ~less, mid, hi)
-        inside = lo < end
+        inside = lo < stop
         ok = inside & (self.lows_at(np.where(inside, lo, 0)) == want) & ((x >> U(self.low)).astype(np.int64) == high)
         return np.where(ok, lo, -1)
 
@@ -73,54 +80,85 @@ class EliasFano:
         return high.astype(np.uint64) << U(self.low) | self.lows_at(i)
 
 
-class Trie:
-    """Two levels: words, and below each the words seen before it.
+class Quantised:
+    """Numbers in 2^16 even steps from their least to their largest."""
+
+    def __init__(self, data):
+        self.least, self.step, n = struct.unpack_from("<ddQ", data, 0)
+        self.codes = np.frombuffer(data, "<u2", n, 24)
+        self.size = 24 + 2 * n
+
+    @staticmethod
+    def pack(values: np.ndarray) -> bytes:
+        least, top = (float(values.min()), float(values.max())) if len(values) else (0.0, 0.0)
+        step = (top - least) / 65535 or 1.0
+        return struct.pack("<ddQ", least, step, len(values)) + np.round((values - least) / step).astype("<u2").tobytes()
 
-    Level 1 holds word keys; level 2 the predecessors of each word in turn, made one rising
-    sequence by adding the word's place times 2^bits, so a search for a predecessor is
-    relative to its word. A monotone sequence points from words to their first predecessor.
-    Gains (log10 of what a seen pair multiplies the smoothed unigram share by) are
-    quantised linearly in ``2^16`` steps.
+    def at(self, i: np.ndarray) -> np.ndarray:
+        return self.least + self.step * self.codes[i] if len(self.codes) else np.zeros(len(i))
+
+
+class Trie:
+    """Three levels: words, below each the words seen before it, below each of those the words seen before both.
+
+    Each level holds the keys of its nodes as one rising sequence: a node's key is made
+    relative to its context by adding the context's place times 2^bits. A monotone sequence
+    of pointers says where the children of each node begin; a search goes through the
+    pointers to the children of one context and looks for the successor of a key there.
+    Levels 2 and 3 hold quantised log10 probabilities, level 2 quantised weights of the
+    context that the node makes for the next word.
     """
 
-    BITS = 40
-    KEY = 60
+    #: Bits of the keys of words before: relative to their context, which has far fewer children.
+    SECOND, THIRD = 40, 32
 
     @classmethod
-    def pack(cls, words: np.ndarray, counts: np.ndarray, node: np.ndarray, before: np.ndarray, gain: np.ndarray) -> bytes:
-        """words: sorted keys; node, before: pairs sorted by (node, before)."""
-        first = np.searchsorted(node, np.arange(len(words) + 1)).astype(np.uint64)
-        top = float(gain.max(initial=0.0)) or 1.0
-        codes = np.round(gain / top * 65535).astype("<u2").tobytes()
-        levels = [EliasFano.pack(words, 1 << cls.KEY), EliasFano.pack(first, len(node) + 1), EliasFano.pack((node.astype(np.uint64) << U(cls.BITS)) + before, (len(words) + 1) << cls.BITS)]
-        return struct.pack("<dQ", top, len(words)) + counts.astype("<u8").tobytes() + b"".join(levels) + codes
+    def pack(cls, words: np.ndarray, counts: np.ndarray, node2: np.ndarray, key2: np.ndarray, prob2: np.ndarray, weight2: np.ndarray, node3: np.ndarray, key3: np.ndarray, prob3: np.ndarray) -> bytes:
+        """words: sorted keys; node2, key2: contexts (place of the word, key before it), sorted; node3, key3: the same for places of contexts."""
+        first2 = np.searchsorted(node2, np.arange(len(words) + 1)).astype(np.uint64)
+        first3 = np.searchsorted(node3, np.arange(len(node2) + 1)).astype(np.uint64)
+        levels = [
+            EliasFano.pack(words, 1 << 64),
+            EliasFano.pack(first2, len(node2) + 1),
+            EliasFano.pack((node2.astype(np.uint64) << U(cls.SECOND)) + key2, (len(words) + 1) << cls.SECOND),
+            EliasFano.pack(first3, len(node3) + 1),
+            EliasFano.pack((node3.astype(np.uint64) << U(cls.THIRD)) + key3, (len(node2) + 1) << cls.THIRD),
+            *map(Quantised.pack, (prob2, weight2, prob3)),
+        ]
+        return struct.pack("<Q", len(words)) + counts.astype("<u8").tobytes() + b"".join(levels)
 
     def __init__(self, data: bytes):
-        # the levels live in a file of their own that only this process sees; the mapping keeps them after it is closed
+        # the levels live in an unnamed file of this task alone, which a task run again makes anew; the mapping outlives its name
         with tempfile.TemporaryFile() as f:
             f.write(data)
             f.flush()
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
         view = memoryview(self.map)
-        self.top, n = struct.unpack_from("<dQ", view, 0)
-        self.counts = np.frombuffer(view, "<u8", n, 16)
-        at = 16 + 8 * n
-        self.words = EliasFano(view[at:])
-        at += self.words.size
-        self.first = EliasFano(view[at:])
-        at += self.first.size
-        self.before = EliasFano(view[at:])
-        at += self.before.size
-        self.codes = np.frombuffer(view, "<u2", self.before.n, at)
+        (n,) = struct.unpack_from("<Q", view, 0)
+        self.counts = np.frombuffer(view, "<u8", n, 8)
+        at, levels = 8 + 8 * n, []
+        for kind in (EliasFano, EliasFano, EliasFano, EliasFano, EliasFano, Quantised, Quantised, Quantised):
+            levels.append(kind(view[at:]))
+            at += levels[-1].size
+        self.words, self.first2, self.keys2, self.first3, self.keys3, self.prob2, self.weight2, self.prob3 = levels
 
     def lookup(self, words: np.ndarray) -> np.ndarray:
+        """Places of words; -1 where one is unknown."""
         return self.words.find(words)
 
-    def gains(self, node: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """Gain of each (place of a word, predecessor); 0 where the word or the pair is unknown."""
-        got = np.zeros(len(node))
-        known = node >= 0
-        at = self.before.find((node[known].astype(np.uint64) << U(self.BITS)) + before[known])
-        value = np.where(at >= 0, self.codes[np.maximum(at, 0)], 0) if self.before.n else np.zeros(len(at))
-        got[known] = value * (self.top / 65535)
-        return got
+    @staticmethod
+    def _children(pointers: EliasFano, keys: EliasFano, bits: int, node: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Place of each (node, key) among the children of node; -1 where node is -1 or has no such child."""
+        out = np.full(len(node), -1)
+        known = np.flatnonzero(node >= 0)
+        if len(known) and keys.n:
+            n = node[known]
+            begin, end = (pointers.at(n + j).astype(np.int64) for j in (0, 1))
+            out[known] = keys.find((n.astype(np.uint64) << U(bits)) + key[known].astype(np.uint64), begin, end)
+        return out
+
+    def second(self, word: np.ndarray, before: np.ndarray) -> np.ndarray:
+        return self._children(self.first2, self.keys2, self.SECOND, word, before)
+
+    def third(self, context: np.ndarray, before: np.ndarray) -> np.ndarray:
+        return self._children(self.first3, self.keys3, self.THIRD, context, before)

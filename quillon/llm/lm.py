@@ -1,19 +1,25 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
-The model is a bigram model with Dirichlet smoothing towards the add-one unigram share
-``P1(w) = (c(w) + 1) / (N + V + 1)``:
-
-    P(w | h) = (c(h, w) + mu P1(w)) / (c(h) + mu)
-
-so a text's log probability is a sum of word terms plus, for pairs seen in training, the
-gain ``log10(1 + c(h, w) / (mu P1(w)))``. Words go to shards by hash; a shard builds the
-trie of its words (each with the words before it), maps it, and answers the pairs of all
-blocks of documents that end in its words. Very frequent words (a 2000th of all tokens or
-more: 2000 words at most) are dealt to several shards by the word before.
-
-A block of documents ships each distinct pair once per shard, with the documents that
-hold it, in packed arrays; shards return sums per document. Counts cover every training
-document; nothing is pruned. What a task holds is one block or one shard.
+The model is of order three. Counts of longer contexts are added to a share of those of
+shorter ones, down to the add-one unigram share ``P1(w) = (c(w) + 1) / (N + V + 1)``:
+
+    num2(h, w)    = c(h, w) + MU P1(w)             den2(h)    = c(h) + MU
+    num3(g, h, w) = c(g, h, w) + B num2(h, w)      den3(g, h) = c(g, h) + B den2(h)
+    P(w | g, h)   = num3(g, h, w) / den3(g, h)
+
+Every sum over w is 1. The numerator needs only counts of n-grams that end in w, the
+denominator only counts of n-grams that end in h, so a text's log probability is a sum over
+its tokens of ``log10 num3`` less ``log10 den3`` of the context that the token makes for the
+next one, and both stand in the shard of that token. Words go to shards by hash; a shard
+builds the trie of its words (below each the words before it, below each pair the word
+before both), maps it, and answers the triples of all blocks of documents that end in its
+words. Very frequent words (a 2000th of all tokens or more: 2000 words at most) are dealt
+to several shards by the word before.
+
+A block of documents ships each distinct triple once, with the documents that hold it, in
+packed arrays to the shards that it has words for; shards return sums per document. Counts
+cover every training document; nothing is pruned. What a task holds is one block or one
+shard.
 """
 
 from __future__ import annotations
@@ -26,21 +32,26 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import shards_for
+from .common import lean, shards_for
 from .ef_trie import Trie
 from .shingles import mixed, text_blocks
 
-MU = 1500.0
+#: Smoothing, chosen by the likelihood of held-out documents.
+MU, B = 1000.0, 0.002
 #: Tokens of a block of documents.
-BLOCK = 5_000_000
+BLOCK = 1_500_000
 #: Words with a share of 1 / FREQUENT of the tokens or more are split into SPLIT shards.
 FREQUENT, SPLIT = 2_000, 16
-_KEY = np.uint64(64 - Trie.KEY)
+#: MB of text a shard: small ones up to MANY shards, beyond that larger ones, so that a block's rows stay long.
+SMALL_MB, LARGE_MB, MANY = 8, 64, 4096
+#: Partitions of a shuffle, at most; each then holds several shards or blocks, one after the other.
+PARTS = 20_000
 _END, _START = (xxhash.xxh3_64_intdigest(x, seed=1) for x in (b"end", b"start"))
+_BITS = 21  # block-local numbers of words, if a triple is to be one 64-bit number
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -74,96 +85,111 @@ class _Words(dict):
         self.hashes.append(xxhash.xxh3_64_intdigest(word))
         return i
 
+    def numbers(self, text: str | None) -> np.ndarray:
+        w = text.encode().lower().split() if text else []
+        return np.fromiter(map(self.__getitem__, w), np.int32, len(w))
 
+
+@lean
 def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts (key, n) of the words and ends of texts."""
-    words, ids, ends = _Words(), [], 0
+    words, ids, size, ends = _Words(), [], 0, 0
 
     def flush() -> pa.RecordBatch:
         n = np.bincount(np.concatenate(ids), minlength=len(words.hashes))
         n[0] = ends
         keep = n > 0
-        return pa.RecordBatch.from_arrays([pa.array((np.array(words.hashes, np.uint64) >> _KEY)[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], ["key", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(np.array(words.hashes, np.uint64)[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], ["key", "n"])
 
     for b in text_blocks(batches, 0):
         for t in b.column(0).to_pylist():
-            w = t.encode().lower().split() if t else []
-            ids.append(np.fromiter(map(words.__getitem__, w), np.int32, len(w)))
+            ids.append(words.numbers(t))
+            size += len(ids[-1])
             ends += 1
-        if sum(map(len, ids)) > 2_000_000:  # fold what is counted
+        if size > 2_000_000:  # fold what is counted
             yield flush()
-            words, ids, ends = _Words(), [], 0
+            words, ids, size, ends = _Words(), [], 0, 0
     if ends:
         yield flush()
 
 
+def _order(word: np.ndarray, h: np.ndarray, g: np.ndarray, words: int) -> np.ndarray:
+    """Places of triples in the order of (word, h, g), equal ones as they come."""
+    if words < 1 << _BITS:
+        return np.argsort(word << 2 * _BITS | h << _BITS | g, kind="stable")
+    return np.lexsort((g, h, word))
+
+
+def _encode(shards: int, frequent: np.ndarray, hashes: np.ndarray, ids: list[np.ndarray], trained: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(shard, payload) of a block of documents: the distinct triples that end in words of the shard, and their documents."""
+    size = np.array([len(x) for x in ids], np.int64)
+    doc = np.repeat(np.arange(len(ids), dtype=np.uint32), size)
+    word = np.concatenate(ids).astype(np.int64)
+    begins = np.cumsum(size) - size
+    h = np.empty_like(word)
+    h[1:] = word[:-1]
+    h[begins] = 1
+    g = np.empty_like(word)
+    g[1:] = h[:-1]
+    g[begins] = 1
+    order = _order(word, h, g, len(hashes))
+    word, h, g, doc = word[order], h[order], g[order], doc[order]
+    head = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (h[1:] != h[:-1]) | (g[1:] != g[:-1])))
+    times = np.diff(np.append(head, len(word)))
+    w, h, g = word[head], h[head], g[head]
+    counted = np.add.reduceat(trained[doc].astype(np.int64), head)
+    heavy = np.isin(hashes, frequent)
+    part = np.where(heavy[w], mixed(hashes[h]) % np.uint64(SPLIT), np.uint64(0))
+    shard = (mixed(hashes[w] + part) % np.uint64(shards)).astype(np.int64)
+    total = np.bincount(w, counted, len(hashes)).astype(np.int64)
+    # a frequent word's count goes to all its shards, as other blocks' triples may be there
+    many = np.flatnonzero(heavy & (total > 0))
+    told = np.unique(np.concatenate([(mixed(hashes[many] + np.uint64(j)) % np.uint64(shards)).astype(np.int64) * len(hashes) + many for j in range(SPLIT)])) if len(many) else np.zeros(0, np.int64)
+    told_shard, told_word = told // len(hashes), told % len(hashes)
+    by = np.argsort(shard, kind="stable")
+    place = np.cumsum(times) - times
+    # only the shards that the block has something for: rows are never more than triples and told words
+    for s in np.unique(np.concatenate([shard, told_shard])).tolist():
+        own = by[np.searchsorted(shard, s, sorter=by) : np.searchsorted(shard, s, "right", sorter=by)]
+        more = told_word[np.searchsorted(told_shard, s) : np.searchsorted(told_shard, s, "right")]
+        here, index = np.unique(np.concatenate([w[own], more]), return_inverse=True)
+        n = times[own]
+        lists = np.repeat(place[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        second, third = (mixed(hashes[x[own]]) >> np.uint64(64 - bits) for x, bits in ((h, Trie.SECOND), (g, Trie.THIRD)))
+        yield s, _pack(hashes[here], total[here].astype(np.uint32), (here == 0).astype(np.uint8), index[: len(own)].astype(np.uint32), second, third.astype(np.uint32), counted[own].astype(np.uint32), n.astype(np.uint32), doc[lists])
+
+
+_FLOW = ["shard", "block", "kind", "payload", "keys"]
+
+
+def _row(shard: int, block: int, kind: int, payload: bytes, keys: pa.Array) -> pa.RecordBatch:
+    """One row; keys: the keys of a block's documents, or none."""
+    held = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)
+    return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([block]), pa.array([kind]), pa.array([payload], pa.binary()), held], _FLOW)
+
+
 def _blocks(shards: int, frequent: np.ndarray):
-    """Rows (shard, block, kind, payload) of documents (key, trained, text): kind 0 the documents themselves, 1 a shard's words and pairs."""
-
-    def encode(block: int, words: _Words, ids: list, keys: list, train: list) -> Iterator[tuple[int, int, int, bytes]]:
-        size = np.array([len(x) for x in ids], np.int64)
-        doc = np.repeat(np.arange(len(ids), dtype=np.uint32), size)
-        word = np.concatenate(ids).astype(np.int64)
-        begins = np.cumsum(size) - size
-        before = np.empty_like(word)
-        before[1:] = word[:-1]
-        before[begins] = 1
-        trained = np.array(train, bool)
-        yield block % shards, block, 0, _pack(size.astype(np.uint32), trained.astype(np.uint8))
-        hashes = np.array(words.hashes, np.uint64)
-        heavy = np.isin(hashes >> _KEY, frequent)
-        ranked = np.argsort(hashes, kind="stable")
-        place = np.empty(len(ranked), np.int64)
-        place[ranked] = np.arange(len(ranked))
-        pair = place[word] << 32 | place[before]
-        order = np.argsort(pair, kind="stable")
-        pair, pdoc = pair[order], doc[order]
-        head = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
-        times = np.diff(np.append(head, len(pair)))
-        w, h = pair[head] >> 32, pair[head] & 0xFFFFFFFF
-        counted = np.add.reduceat(trained[pdoc].astype(np.int64), head) if len(head) else np.zeros(0, np.int64)
-        sorted_hash = hashes[ranked]
-        part = np.where(heavy[ranked][w], mixed(sorted_hash[h]) % np.uint64(SPLIT), np.uint64(0))
-        shard = (mixed(sorted_hash[w] + part) % np.uint64(shards)).astype(np.int64)
-        total = np.bincount(w, counted, len(ranked)).astype(np.int64)
-        # a frequent word's count goes to all its shards, as other blocks' pairs may be there
-        many = np.flatnonzero(heavy[ranked] & (total > 0))
-        told = np.unique(np.stack([(mixed(sorted_hash[many] + np.uint64(j)) % np.uint64(shards)).astype(np.int64) * len(ranked) + many for j in range(SPLIT)])) if len(many) else np.zeros(0, np.int64)
-        told_shard, told_word = told // len(ranked), told % len(ranked)
-        told_cuts = np.searchsorted(told_shard, np.arange(shards + 1))
-        by = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[by], np.arange(shards + 1))
-        for s in range(shards):
-            own = by[cuts[s] : cuts[s + 1]]
-            more = told_word[told_cuts[s] : told_cuts[s + 1]]
-            if not len(own) and not len(more):
-                continue
-            here, index = np.unique(np.concatenate([w[own], more]), return_inverse=True)
-            index = index[: len(own)]
-            lists = np.repeat(head[own] - np.concatenate([[0], np.cumsum(times[own])[:-1]]), times[own]) + np.arange(int(times[own].sum()))
-            # keys of predecessors: 40 bits of a hash
-            prior = mixed(sorted_hash[h[own]]) >> np.uint64(64 - Trie.BITS)
-            yield s, block, 1, _pack(sorted_hash[here] >> _KEY, total[here].astype(np.uint32), (here == place[0]).astype(np.uint8), index.astype(np.uint32), prior, counted[own].astype(np.uint32), times[own].astype(np.uint32), pdoc[lists])
+    """Rows (shard, block, kind, payload, keys) of documents (key, trained, text): kind 0 the documents themselves, 1 a shard's words and triples."""
 
+    @lean
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, block = TaskContext.get().partitionId(), 0
         words, ids, keys, train, n = _Words(), [], [], [], 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            number = at << 24 | block
-            yield pa.RecordBatch.from_arrays([pa.array([number % shards]), pa.array([number]), pa.array([2]), pa.array([b""], pa.binary()), pa.array([[None if k is None else str(k) for k in pa.concat_arrays(keys).to_pylist()]], pa.list_(pa.string()))], ["shard", "block", "kind", "payload", "keys"])
-            for s, b, kind, payload in encode(number, words, ids, keys, train):
-                yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([b]), pa.array([kind]), pa.array([payload], pa.binary()), pa.array([None], pa.list_(pa.string()))], ["shard", "block", "kind", "payload", "keys"])
+            number, trained = at << 24 | block, np.array(train, bool)
+            whole = pa.concat_arrays(keys)
+            size = np.array([len(x) for x in ids], np.uint32)
+            yield _row(number % shards, number, 0, _pack(size, trained.astype(np.uint8)), whole)
+            for s, payload in _encode(shards, frequent, np.array(words.hashes, np.uint64), ids, trained):
+                yield _row(s, number, 1, payload, whole[:0])
 
         for b in text_blocks(batches, 2):
             keys.append(b.column(0))
             train += b.column(1).to_pylist()
             for t in b.column(2).to_pylist():
-                w = t.encode().lower().split() if t else []
-                x = np.zeros(len(w) + 1, np.int32)
-                x[:-1] = np.fromiter(map(words.__getitem__, w), np.int32, len(w))
-                ids.append(x)
-                n += len(x)
+                ids.append(np.append(words.numbers(t), np.int32(0)))
+                n += len(ids[-1])
             if n >= BLOCK:
                 yield from out()
                 words, ids, keys, train, n, block = _Words(), [], [], [], 0, block + 1
@@ -173,123 +199,144 @@ def _blocks(shards: int, frequent: np.ndarray):
     return f
 
 
-def _shard(mu: float, total: int):
+def _build(parts: list[list[np.ndarray]], mu: float, share: float, total: int) -> Trie:
+    """The trie of a shard's words from the payloads of all blocks."""
+    words, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    counts = np.bincount(at, np.concatenate([p[1] for p in parts]).astype(float), len(words)).astype(np.int64)
+    cuts = np.cumsum([0, *(len(p[0]) for p in parts)])
+    word = np.concatenate([at[a:b][p[3]] for p, a, b in zip(parts, cuts[:-1], cuts[1:], strict=True)])
+    h, g, n = (np.concatenate([p[i] for p in parts]) for i in (4, 5, 6))
+    seen, known = n > 0, counts > 0
+    word, h, g, n = (np.cumsum(known) - 1)[word[seen]].astype(np.uint64), h[seen], g[seen].astype(np.uint64), n[seen].astype(float)
+    words, counts = words[known], counts[known]
+    pair, inv = np.unique(word << np.uint64(Trie.SECOND) | h, return_inverse=True)
+    c2 = np.bincount(inv, n, len(pair))
+    triple, inv = np.unique(inv.astype(np.uint64) << np.uint64(Trie.THIRD) | g, return_inverse=True)
+    c3 = np.bincount(inv, n, len(triple))
+    node2 = (pair >> np.uint64(Trie.SECOND)).astype(np.int64)
+    node3 = (triple >> np.uint64(Trie.THIRD)).astype(np.int64)
+    low = share * (c2 + mu * (counts[node2] + 1.0) / total)
+    weight = np.log10(c2 + share * (counts[node2] + mu))
+    mask = lambda bits: np.uint64((1 << bits) - 1)
+    return Trie(Trie.pack(words, counts, node2, pair & mask(Trie.SECOND), np.log10(low), weight, node3, triple & mask(Trie.THIRD), np.log10(c3 + low[node3])))
+
+
+def _answers(trie: Trie, p: list[np.ndarray], mu: float, share: float, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block's triples: log10(c + 1), log10 of what the token and the context that it makes give, and whether the word is known."""
+    at = trie.lookup(p[0])
+    c = np.where(at >= 0, trie.counts[np.maximum(at, 0)] if len(trie.counts) else 0, 0).astype(float)
+    two = trie.second(at[p[3]], p[4])
+    three = trie.third(two, p[5])
+    prob = np.log10(share * mu * (c + 1) / total)[p[3]]
+    weight = np.log10(share * (c + mu))[p[3]]
+    pair, triple = two >= 0, three >= 0
+    prob[pair], weight[pair] = trie.prob2.at(two[pair]), trie.weight2.at(two[pair])
+    prob[triple] = trie.prob3.at(three[triple])
+    weight[(p[2] == 1)[p[3]]] = 0.0  # nothing follows an end
+    return np.log10(c + 1)[p[3]], prob - weight, (c > 0)[p[3]]
+
+
+def _shard(mu: float, share: float, total: int):
     """Of rows sorted by shard: sums by document of each block, from the shard's trie. total: N + V + 1."""
 
-    def solve(blobs: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
-        parts = [_unpack(p) for _, p in blobs]
-        words, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        counts = np.bincount(at, np.concatenate([p[1] for p in parts]).astype(float), len(words)).astype(np.int64)
-        cuts = np.cumsum([0, *(len(p[0]) for p in parts)])
-        node = np.concatenate([at[a:b][p[3]] for p, a, b in zip(parts, cuts[:-1], cuts[1:], strict=True)])
-        prior, n = np.concatenate([p[4] for p in parts]), np.concatenate([p[5] for p in parts])
-        seen = n > 0
-        node, prior, n = node[seen], prior[seen], n[seen].astype(np.int64)
-        known = counts > 0
-        rank = np.cumsum(known) - 1
-        key = (rank[node].astype(np.uint64) << np.uint64(Trie.BITS)) | prior
-        pairs, inv = np.unique(key, return_inverse=True)
-        seen_n = np.bincount(inv, n, len(pairs))
-        node2 = (pairs >> np.uint64(Trie.BITS)).astype(np.int64)
-        gain = np.log10(1 + seen_n * total / (mu * (counts[known][node2] + 1.0)))
-        trie = Trie(Trie.pack(words[known], counts[known], node2, pairs & np.uint64((1 << Trie.BITS) - 1), gain))
-        del node, prior, n, key, pairs, inv, seen_n, node2, gain
-        for (block, _), p in zip(blobs, parts, strict=True):
-            at = trie.lookup(p[0])
-            c = np.where(at >= 0, trie.counts[np.maximum(at, 0)] if len(trie.counts) else 0, 0).astype(float)
-            g = trie.gains(at[p[3]], p[4])
-            base, context, have = np.log10(c + 1)[p[3]], (np.log10(c + mu) * (p[2] == 0))[p[3]], (c > 0)[p[3]]
-            times, docs = p[6], p[7]
+    def solve(blobs: list[tuple[int, bytes]], none: pa.Array) -> Iterator[pa.RecordBatch]:
+        trie = _build([_unpack(p) for _, p in blobs], mu, share, total)
+        for block, payload in blobs:
+            p = _unpack(payload)
+            times, docs = p[7], p[8]
             if not len(docs):
                 continue
-            size = int(docs.max()) + 1
-            rows = [np.bincount(docs, np.repeat(v, times), size) for v in (base, context, g, have)]
-            yield block, _pack(*rows[:3], rows[3].astype(np.uint32))
+            # documents of the block that the shard has a token of
+            here, at = np.unique(docs, return_inverse=True)
+            base, score, known = (np.bincount(at, np.repeat(v, times), len(here)) for v in _answers(trie, p, mu, share, total))
+            yield _row(0, block, 1, _pack(here, base, score, known.astype(np.uint32)), none)
 
+    @lean
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def row(block, kind, payload, keys):
-            return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([kind]), pa.array([payload], pa.binary()), pa.array([keys], pa.list_(pa.string()))], ["block", "kind", "payload", "keys"])
-
-        key, blobs = None, []
+        key, blobs, none = None, [], None
         for b in batches:
-            for shard, block, kind, payload, keys in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            none = b.column(4).flatten()[:0]
+            for i, (shard, block, kind) in enumerate(zip(*(b.column(j).to_pylist() for j in range(3)), strict=True)):
                 if kind != 1:
-                    yield row(block, kind, payload, keys)
+                    yield b.slice(i, 1)
                     continue
                 if shard != key:
                     if blobs:
-                        for n, p in solve(blobs):
-                            yield row(n, 1, p, None)
+                        yield from solve(blobs, none)
                     key, blobs = shard, []
-                blobs.append((block, payload))
+                blobs.append((block, b.column(3)[i].as_py()))
         if blobs:
-            for n, p in solve(blobs):
-                yield row(n, 1, p, None)
+            yield from solve(blobs, none)
 
     return f
 
 
-def _texts(mu: float, total: int, starts: int):
+def _texts(mu: float, share: float, total: int, starts: int):
     """Of rows sorted by block: the scores of each block's documents."""
     names = ["key", "held_out", "n_tokens", "n_known", "base_score", "score"]
 
-    def solve(rows: list) -> pa.RecordBatch:
-        keys = next(k for kind, _, k in rows if kind == 2)
-        size, trained = next(_unpack(p) for kind, p, _ in rows if kind == 0)
-        sums = np.zeros((4, len(keys)))
-        for kind, p, _ in rows:
-            if kind == 1:
-                for i, v in enumerate(_unpack(p)):
-                    sums[i, : len(v)] += v
+    def solve(keys: pa.Array, own: bytes, sums: list[bytes]) -> pa.RecordBatch:
+        size, trained = _unpack(own)
+        base, score, known = (np.zeros(len(size)) for _ in range(3))
+        for blob in sums:
+            here, *parts = _unpack(blob)
+            for to, part in zip((base, score, known), parts, strict=True):
+                to[here] += part
         size = size.astype(np.int64)
-        base = sums[0] - size * np.log10(total)
-        # each word and the start stand before one token
-        score = base + size * np.log10(mu) - sums[1] - np.log10(starts + mu) + sums[2]
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(trained == 0), pa.array(size), pa.array(np.round(sums[3]).astype(np.int64)), pa.array(base), pa.array(score)], names)
+        # before the first token stand two starts, as often as there are documents
+        score -= np.log10(starts + share * (starts + mu))
+        return pa.RecordBatch.from_arrays([keys, pa.array(trained == 0), pa.array(size), pa.array(np.round(known).astype(np.int64)), pa.array(base - size * np.log10(total)), pa.array(score)], names)
 
+    @lean
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
+        key, keys, own, sums = None, None, None, []
         for b in batches:
-            for block, *row in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for i, (block, kind) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
                 if block != key:
-                    if rows:
-                        yield solve(rows)
-                    key, rows = block, []
-                rows.append(row)
-        if rows:
-            yield solve(rows)
+                    if own is not None:
+                        yield solve(keys, own, sums)
+                    key, keys, own, sums = block, None, None, []
+                if kind == 1:
+                    sums.append(b.column(2)[i].as_py())
+                else:
+                    keys, own = b.column(3).slice(i, 1).flatten(), b.column(2)[i].as_py()
+        if own is not None:
+            yield solve(keys, own, sums)
 
     return f
 
 
-def score_texts(docs: DataFrame, trained: Column, key: str = "doc_id", text: str = "text", mu: float = MU) -> DataFrame:
+def score_texts(docs: DataFrame, trained: Column, key: str = "doc_id", text: str = "text", mu: float = MU, share: float = B) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document.
 
     trained: which documents the model learns from; null counts as not. Words are runs of
     anything but ASCII white space with A-Z lower-cased, and an end follows each text; a
     null or empty text is its end alone. base_score: sum of log10 P1; score: the model's
-    log10 probability. Repeated rows give a row each and count each. Without any training
-    document P1 is 1 for every token (N = V = 0) and the scores are 0. Words that
-    share 60 bits of a hash, and predecessors of a word that share 40, are one.
+    log10 probability, of quantised parts. Repeated rows give a row each and count each;
+    keys may be of any type and null. Without any training document P1 is 1 for every token
+    (N = V = 0). An empty table gives an empty table. Words that share 64 bits of a hash are
+    one; so are words before a word that share 40 bits, and before a pair that share 32,
+    which touches score alone.
     """
-    spark = docs.sparkSession
     kind = docs.schema[key].dataType
     use = docs.select(F.col(key).alias("key"), F.coalesce(trained, F.lit(False)).alias("trained"), F.col(text).alias("text"))
     words = use.where("trained").select("text").mapInArrow(_unigrams, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    from pyspark.sql import Observation
-
     seen = Observation("unigrams")
-    end = int(np.array(_END, np.uint64) >> _KEY)
+    end = int(np.array(_END, np.uint64).view(np.int64))
     watched = words.observe(seen, F.count(F.lit(1)).alias("v"), F.sum("n").alias("n"), F.sum(F.when(F.col("key") == end, F.col("n"))).alias("ends"))
     top = watched.orderBy(F.desc("n"), "key").limit(FREQUENT).collect()
     got = seen.get
     n, v, starts = int(got.get("n") or 0), int(got.get("v") or 0), int(got.get("ends") or 0)
-    frequent = np.array([r.key for r in top if r.n * FREQUENT >= n], np.int64).astype(np.uint64)
-    shards = shards_for(use, 8)
-    flow = "shard long, block long, kind long, payload binary, keys array<string>"
-    sent = use.mapInArrow(_blocks(shards, frequent), flow).repartition(shards, "shard").sortWithinPartitions("shard")
-    sums = sent.mapInArrow(_shard(mu, n + v + 1), "block long, kind long, payload binary, keys array<string>")
-    by_block = sums.repartition(shards, "block").sortWithinPartitions("block")
-    out = by_block.mapInArrow(_texts(mu, n + v + 1, starts), "key string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    back = F.col("key").cast(kind) if not isinstance(kind, T.StringType) else F.col("key")
-    return out.select(back.alias(key), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    frequent = np.array([r.key for r in top if r.n * FREQUENT >= n], np.int64).view(np.uint64)
+    shards = shards_for(use, SMALL_MB)
+    if shards > MANY:
+        shards = max(MANY, shards_for(use, LARGE_MB))
+    parts = min(shards, PARTS)
+    to_arrow_type(kind)  # a key that Arrow can't carry fails here, not in a task
+    keys = f"keys array<{kind.simpleString()}>"
+    flow = f"shard long, block long, kind long, payload binary, {keys}"
+    sent = use.mapInArrow(_blocks(shards, frequent), flow).repartition(parts, "shard").sortWithinPartitions("shard")
+    sums = sent.mapInArrow(_shard(mu, share, n + v + 1), flow).select("block", "kind", "payload", "keys")
+    by_block = sums.repartition(parts, "block").sortWithinPartitions("block")
+    out = by_block.mapInArrow(_texts(mu, share, n + v + 1, starts), f"key {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

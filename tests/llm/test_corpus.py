@@ -220,23 +220,26 @@ def _weight(m, context):
 
 def test_lm_scores(spark, docs, empty):
     from quillon.llm.langid import remainder
-    from quillon.llm.lm import MU, score_texts
+    from quillon.llm.lm import MU, B, score_texts
 
     rows = [(r.doc_id, [*words(r.text), 0]) for r in docs.collect()]
     trained = [zlib.crc32(("" if d is None else str(d)).encode()) % 7 != 2 for d, _ in rows]
-    c, pairs, before = collections.Counter(), collections.Counter(), collections.Counter()
+    chain = lambda w: list(zip([1, 1, *w[:-2]] if len(w) > 1 else [1], [1, *w[:-1]], w, strict=True))
+    c, c2, c3, h1, h2 = (collections.Counter() for _ in range(5))
     for (_, w), t in zip(rows, trained, strict=True):
         if t:
             c.update(w)
-            chain = list(zip([1, *w[:-1]], w, strict=True))
-            pairs.update(chain)
-            before.update(h for h, _ in chain)
+            c2.update((h, x) for _, h, x in chain(w))
+            c3.update(chain(w))
+            h1.update(h for _, h, _ in chain(w))
+            h2.update((g, h) for g, h, _ in chain(w))
     n, m = sum(c.values()), sum(c.values()) + len(c) + 1
-    want = []
-    for (d, w), t in zip(rows, trained, strict=True):
-        base = sum(math.log10((c[x] + 1) / m) for x in w)
-        score = sum(math.log10((pairs[h, x] + MU * (c[x] + 1) / m) / (before[h] + MU)) for h, x in zip([1, *w[:-1]], w, strict=True))
-        want.append((d, not t, len(w), sum(c[x] > 0 for x in w), n, base, score))
+    p1 = lambda x: (c[x] + 1) / m
+    p = lambda g, h, x: (c3[g, h, x] + B * (c2[h, x] + MU * p1(x))) / (h2[g, h] + B * (h1[h] + MU))
+    # a distribution: all words seen in training and one that stands for the rest
+    for g, h in list(h2)[:20]:
+        assert sum(p(g, h, x) for x in [*c, "never seen"]) == pytest.approx(1.0)
+    want = [(d, not t, len(w), sum(c[x] > 0 for x in w), n, sum(math.log10(p1(x)) for x in w), sum(math.log10(p(*x)) for x in chain(w))) for (d, w), t in zip(rows, trained, strict=True)]
     got = score_texts(docs, remainder(F.col("doc_id"), 7) != 2).collect()
     key = lambda x: (str(x[0]), x[2], round(x[5], 3))
     for a, b in zip(sorted(map(tuple, got), key=key), sorted(want, key=key), strict=True):
@@ -245,20 +248,52 @@ def test_lm_scores(spark, docs, empty):
     assert all(abs(r.score) < 1e-6 for r in score_texts(docs, F.lit(False)).collect())
 
 
+def test_lm_keys_of_any_type_and_small_blocks(spark, docs, monkeypatch):
+    from quillon.llm import lm
+
+    want = sorted((r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 3)) for r in lm.score_texts(docs, F.lit(True)).collect())
+    monkeypatch.setattr(lm, "BLOCK", 300)
+    monkeypatch.setattr(lm, "_BITS", 3)
+    keyed = docs.withColumn("doc_id", F.encode(F.col("doc_id").cast("string"), "utf-8")).withColumn("block", F.lit("clash")).withColumn("key", F.lit(1))
+    out = lm.score_texts(keyed, F.lit(True)).collect()
+    assert sorted((r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 3)) for r in out) == want
+    assert sum(r.doc_id is None for r in out) == 1 and {bytes(r.doc_id) for r in out if r.doc_id} >= {b"0", b"97"}
+
+
+def test_trie_against_a_dictionary():
+    from quillon.llm.ef_trie import Trie
+
+    rng = np.random.default_rng(4)
+    word = np.unique(rng.integers(0, 1 << 63, 50).astype(np.uint64) << np.uint64(1))
+    two = np.unique(np.stack([rng.integers(0, 50, 400), rng.integers(0, 1 << 20, 400)], 1), axis=0)
+    three = np.unique(np.stack([rng.integers(0, len(two), 900), rng.integers(0, 1 << 30, 900)], 1), axis=0)
+    p2, w2, p3 = rng.normal(size=len(two)), rng.normal(size=len(two)), rng.normal(size=len(three))
+    key = lambda x: x.astype(np.uint64)
+    t = Trie(Trie.pack(word, np.arange(50), two[:, 0], key(two[:, 1]), p2, w2, three[:, 0], key(three[:, 1]), p3))
+    assert (t.lookup(word) == np.arange(50)).all() and (t.lookup(word + np.uint64(1)) == -1).all()
+    at = t.second(two[:, 0], key(two[:, 1]))
+    assert (at == np.arange(len(two))).all() and np.abs(t.prob2.at(at) - p2).max() < 1e-3 and np.abs(t.weight2.at(at) - w2).max() < 1e-3
+    at = t.third(three[:, 0], key(three[:, 1]))
+    assert (at == np.arange(len(three))).all() and np.abs(t.prob3.at(at) - p3).max() < 1e-3
+    # a key of another context isn't found
+    assert (t.second((two[:, 0] + 1) % 50, key(two[:, 1])) == -1).sum() > 390
+    assert (t.second(np.full(3, -1), key(two[:3, 1])) == -1).all()
+
+
 def test_elias_fano():
     from quillon.llm.ef_trie import EliasFano
 
     rng = np.random.default_rng(2)
-    for n, top in ((0, 1000), (1, 5), (500, 600), (3000, 1 << 58)):
-        v = np.sort(rng.choice(top, n, replace=False) if top < 10_000 else rng.integers(0, top, n)).astype(np.uint64)
+    for n, top in ((0, 1000), (1, 5), (500, 600), (200_000, 1 << 40), (3000, 1 << 58), (3000, 1 << 64)):
+        v = np.sort(rng.choice(top, n, replace=False) if top < 10_000 else rng.integers(0, top, n, dtype=np.uint64)).astype(np.uint64)
         v = np.unique(v)
         ef = EliasFano(EliasFano.pack(v, top))
         assert (ef.find(v) == np.arange(len(v))).all()
         if len(v):
             assert (ef.at(np.arange(len(v))) == v).all()
-        ask = rng.integers(0, top, 200).astype(np.uint64)
+        ask = rng.integers(0, top, 200, dtype=np.uint64)
         assert ((ef.find(ask) >= 0) == np.isin(ask, v)).all()
-    assert len(EliasFano.pack(v, 1 << 58)) < len(v) * 8
+    assert len(EliasFano.pack(v, 1 << 64)) < len(v) * 8
 
 
 def test_nearest(spark):
