@@ -7,6 +7,7 @@ cut from its lineage is a Parquet table in the folder that the session names in
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import gc
@@ -74,11 +75,26 @@ def quoted(names: Iterable[str]) -> list[str]:
     return ["`" + c.replace("`", "``") + "`" for c in names]
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs inside pass Arrow batches of a few MB at most to Python workers, however long their rows are."""
+    want = {"spark.sql.execution.arrow.maxRecordsPerBatch": 4096, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+    before = {k: spark.conf.get(k, None) for k in want}
+    try:
+        for k, v in want.items():
+            spark.conf.set(k, str(v))
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillon/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out

@@ -8,28 +8,30 @@
 3. The classes whose prefixes hold a shingle go to that shingle's leader, the class with
    the most often seen shingles; the centre of a group of near copies leads its lists.
    The rows are one for each (leader, class), never one for each pair.
-4. Where a leader's classes fit one block, those that can't link with any other in it go:
-   counts of shingles by the low bits of their hash bound the overlap of two sets from above.
-   What is left, and larger groups in blocks that all hold the leader, is put in a prefix tree of ordered whole sets. Each set walks the tree with its partial overlap and leaves a
-   subtree when what remains of both can't reach the threshold.
+4. A leader's classes are one block, or several of bounded size that all hold the leader,
+   by size classes. Those that can't link with any other in their block go: counts of
+   shingles by the low bits of their hash bound the overlap of two sets from above. What is
+   left is put in a prefix tree of ordered whole sets. Each set walks the tree with its
+   partial overlap and leaves a subtree when what remains of both can't reach the threshold.
 5. Blocks of one leader are then joined with each other, but for the classes that are
-   already in the leader's largest component: their links add nothing.
+   already in the leader's largest component, whose links add nothing, and for size classes
+   out of reach. Only counts meet first; whole sets follow for what may link.
 6. Links are verified on whole sets as the walk ends at them. Components of links, then
    the smallest doc_id of each.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, plan_bytes, shards_for, stage, unstage
+from .common import components, done_with, lean, shards_for, stage
 from .shingles import WordHashes, shingle_sets, text_blocks
 
 #: A shingle is common if tasks that saw it often (LOCAL times or more) saw it COMMON times together.
@@ -38,6 +40,16 @@ LOCAL, COMMON = 2, 4
 TOLD = 1_000_000
 #: Classes in one prefix tree, at most, beside the leader.
 BLOCK = 128
+#: Classes that are compared with a block in one task, at most.
+PROBES = 4096
+#: Bits of the map of documents whose whole sets are wanted, at most (16 MB): it bounds a broadcast; beyond it more sets are made than are asked for, and a join drops them.
+FILTER = 1 << 27
+#: Numbers of blocks: size class (of a few hundred at most) and place within.
+_STEPS, _SPAN = 1 << 10, 1 << 20
+
+
+def _class(s: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -47,6 +59,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 def common_shingles(docs: DataFrame, text: str, k: int, least: int = LOCAL, common: int = COMMON, told: int = TOLD) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (sorted) and ranks of shingles that tasks see often."""
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held, n = WordHashes(), [], 0
 
@@ -84,6 +97,7 @@ def _ranks(h: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
 def _prefixes(k: int, num: int, den: int, common, types: list[str]):
     """Rows of a document: its class, set size, heat (mean rank of its shingles in 1/1000), and its class's prefix where the task meets the class first."""
 
+    @lean
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, met = WordHashes(), set()
         for b in text_blocks(batches, 1):
@@ -97,7 +111,7 @@ def _prefixes(k: int, num: int, den: int, common, types: list[str]):
                 if not n:
                     cls.append(None), heat.append(0), rare.append(None), often.append(None), marks.append(None)
                     continue
-                c = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+                c = _class(s)
                 r = ranks[e - n : e]
                 cls.append(c)
                 heat.append(int(r.sum(dtype=np.int64)) * 1000 // n)
@@ -105,7 +119,7 @@ def _prefixes(k: int, num: int, den: int, common, types: list[str]):
                     rare.append(None), often.append(None), marks.append(None)
                     continue
                 marks.append(sketch(s))
-                if len(met) < 2_000_000:  # beyond this a class's prefix may be told twice, which does no harm
+                if len(met) < 200_000:  # beyond this a class's prefix may be told twice, which does no harm
                     met.add(c)
                 p = n - -(-num * n // den) + 1
                 if r.any():
@@ -119,6 +133,7 @@ def _prefixes(k: int, num: int, den: int, common, types: list[str]):
     return f
 
 
+@lean
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a partition of (token, cls, heat), whole tokens in each: the distinct (leader, cls) of tokens with two classes."""
     parts = [tuple(np.asarray(b.column(i)) for i in range(3)) for b in batches]
@@ -141,46 +156,69 @@ def sketch(s: np.ndarray) -> bytes:
     return np.minimum(np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width), 255).astype(np.uint8).tobytes()
 
 
-def _sift(num: int, den: int):
-    """Of rows (leader, cls, n, sketch), sorted by leader: (leader, block 0, cls) of the classes that may link with another of the leader's."""
+def may_link(num: int, den: int, size: np.ndarray, sketches: list[bytes], asks: np.ndarray, apart: np.ndarray | None = None) -> np.ndarray:
+    """Which sets may link with another one: a flag for each, from upper bounds on overlaps, so no link is lost.
+
+    asks: the sets that are compared with all. apart: labels; sets of one label needn't link.
+    The wider of two sketches is folded to the width of the other. Shingles beyond a count's
+    255 may be anything.
+    """
+    keep, width = np.zeros(len(size), bool), np.array([len(x) for x in sketches])
+    for w in np.unique(width):
+        rows = np.flatnonzero(width >= w)
+        # the widths of sizes in reach: a set of Jaccard num / den is den / num times as large at most
+        rows = rows[width[rows] <= 4 * w * -(-den // num)]
+        folded = [np.frombuffer(sketches[i], np.uint8).reshape(-1, w).sum(axis=0, dtype=np.int64) for i in rows]
+        table = np.stack(folded).astype(np.int32)
+        over, n = size[rows] - table.sum(axis=1), size[rows]
+        own, asking = width[rows] == w, asks[rows]
+        for i in np.flatnonzero(asking):
+            # a pair is compared once: at the narrower width, and from the first one that asks
+            other = (den * np.minimum(n, n[i]) >= num * np.maximum(n, n[i])) & (own | own[i])
+            other[: i + 1] &= ~asking[: i + 1]
+            if apart is not None:
+                other &= apart[rows] != apart[rows[i]]
+            near = np.flatnonzero(other)
+            if len(near):
+                both = np.minimum(table[i], table[near]).sum(axis=1) + np.minimum(over[i], over[near])
+                hit = near[(num + den) * both >= num * (n[i] + n[near])]
+                if len(hit):
+                    keep[rows[i]] = True
+                    keep[rows[hit]] = True
+    return keep
+
+
+def _groups(columns: int, key: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[list]]]:
+    """(key, the other columns as lists) of each run of rows with equal first ``key`` columns."""
+    now, held = None, [[] for _ in range(columns - key)]
+    for b in batches:
+        for row in zip(*(b.column(i).to_pylist() for i in range(columns)), strict=True):
+            if row[:key] != now:
+                if now is not None:
+                    yield now, held
+                now, held = row[:key], [[] for _ in range(columns - key)]
+            for h, v in zip(held, row[key:], strict=True):
+                h.append(v)
+    if now is not None:
+        yield now, held
 
-    def solve(lead: int, cls: list, size: list, sketches: list) -> list[tuple[int, int]]:
-        if len(cls) < 2:
-            return []
-        n = np.array(size, np.int64)
-        width = np.array([len(x) for x in sketches])
-        keep = np.zeros(len(cls), bool)
-        for w in np.unique(width):
-            # widths that differ by more than a factor of 2 belong to sizes too far apart
-            own, wide = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
-            s = np.frombuffer(b"".join(sketches[i] for i in own), np.uint8).reshape(-1, w).astype(np.int32)
-            t = np.frombuffer(b"".join(sketches[i] for i in wide), np.uint8).reshape(-1, 2, w).sum(axis=1, dtype=np.int32)
-            rows, every = np.concatenate([own, wide]), np.concatenate([s, t])
-            over = n[rows] - every.sum(axis=1)
-            for i in range(len(own)):
-                m = n[rows[i + 1 :]]
-                near = np.flatnonzero(den * np.minimum(m, n[own[i]]) >= num * np.maximum(m, n[own[i]])) + i + 1
-                if len(near):
-                    both = np.minimum(every[i], every[near]).sum(axis=1) + np.minimum(over[i], over[near])
-                    hit = near[(num + den) * both >= num * (n[own[i]] + n[rows[near]])]
-                    if len(hit):
-                        keep[own[i]] = True
-                        keep[rows[hit]] = True
-        return [(lead, c) for c, k in zip(cls, keep, strict=True) if k]
 
+def _sift(num: int, den: int):
+    """Of rows (leader, block, cls, label, probe, n, sketch), sorted by leader and block: those (without n and sketch) that may link within."""
+
+    @lean
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, ([], [], [])
-        for b in batches:
-            out = []
-            for lead, *row in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                if lead != key:
-                    out += solve(key, *held)
-                    key, held = lead, ([], [], [])
-                for h, v in zip(held, row, strict=True):
-                    h.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([0] * len(out), pa.int32()), pa.array([x[1] for x in out], pa.int64())], ["leader", "block", "cls"])
-        out = solve(key, *held)
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([0] * len(out), pa.int32()), pa.array([x[1] for x in out], pa.int64())], ["leader", "block", "cls"])
+        for (leader, block), (cls, label, probe, size, sketches) in _groups(7, 2, batches):
+            first: dict[int, int] = {}
+            for i, (c, p) in enumerate(zip(cls, probe, strict=True)):
+                if c not in first or (p and not probe[first[c]]):
+                    first[c] = i
+            at = np.array(list(first.values()))
+            flags, labels = np.array(probe, bool)[at], np.array(label, np.int64)[at]
+            keep = at[may_link(num, den, np.array(size, np.int64)[at], [sketches[i] for i in at], flags, labels)]
+            n = len(keep)
+            take = lambda x: pa.array(np.array(x)[keep])  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([pa.array([leader] * n, pa.int64()), pa.array([block] * n, pa.int64()), take(cls), take(label), pa.array(np.array(probe, bool)[keep])], ["leader", "block", "cls", "label", "probe"])
 
     return f
 
@@ -295,29 +333,55 @@ def _join_groups(num: int, den: int):
         probes = [j for j, i in enumerate(rows) if probe[i]]
         return [(cls[rows[a]], cls[rows[b]]) for a, b in tree_join(sets, num, den, [label[i] for i in rows], probes)]
 
+    @lean
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, out = None, ([], [], [], []), []
-        for b in batches:
-            c = [b.column(i).to_pylist() for i in range(6)]
-            for lead, block, *row in zip(*c, strict=True):
-                if (lead, block) != key:
-                    out += solve(*held)
-                    key, held = (lead, block), ([], [], [], [])
-                for h, v in zip(held, row, strict=True):
-                    h.append(v)
-            if len(out) > 10_000:
+        for _, held in _groups(6, 2, batches):
+            out = solve(*held)
+            if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
-                out = []
-        out += solve(*held)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
 
     return f
 
 
-def _linked(rows: DataFrame, num: int, den: int, parts: int) -> DataFrame:
-    dealt = rows.select("leader", "block", "cls", "label", "probe", "tokens").repartition(parts, "leader", "block").sortWithinPartitions("leader", "block")
-    return dealt.mapInArrow(_join_groups(num, den), "a long, b long")
+def _dealt(rows: DataFrame, parts: int) -> DataFrame:
+    return rows.repartition(parts, "leader", "block").sortWithinPartitions("leader", "block")
+
+
+_MEMBERS = "leader long, block long, cls long, label long, probe boolean"
+
+
+def _linked(rows: DataFrame, marks: DataFrame, tokens: DataFrame, num: int, den: int, parts: int) -> DataFrame:
+    """Links (a, b) within the blocks of rows (leader, block, cls, label, probe): sketches first, then the whole sets of what may link."""
+    sketched = _dealt(rows.join(marks, "cls").select("leader", "block", "cls", "label", "probe", "n", "sketch"), parts)
+    left = sketched.mapInArrow(_sift(num, den), _MEMBERS)
+    sets = _dealt(left.join(tokens, "cls").select("leader", "block", "cls", "label", "probe", "tokens"), parts)
+    return sets.mapInArrow(_join_groups(num, den), "a long, b long")
+
+
+def _bits(keys: DataFrame, column: str, most: int) -> np.ndarray:
+    """A bit map of hashed longs: a power of two of bits, about 16 for each, ``most`` at most. It bounds what reaches the driver and is broadcast."""
+    n = keys.count()
+    size = min(most, 1 << max(10, (16 * n - 1).bit_length()))
+    at = F.pmod(F.xxhash64(column), F.lit(size))
+    rows = keys.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))).alias("bits")).toArrow()  # size / 64 rows
+    words = np.zeros(size // 64, np.uint64)
+    words[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().astype(np.int64).view(np.uint64)
+    return words
+
+
+def _whole(words: int, told) -> object:
+    """Of rows (hash of the key, text): (cls, tokens) of the texts whose key may be one of those in told's bit map."""
+
+    @lean
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, bits = WordHashes(), told.value
+        for b in text_blocks(batches, 1):
+            h = np.asarray(b.column(0), np.int64) % (64 * len(bits))
+            b = b.filter(pa.array(bits[h >> 6] >> (h & 63).astype(np.uint64) & np.uint64(1) == 1))
+            found = [s for s in shingle_sets(b.column(1).to_pylist(), words, known) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([_class(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["cls", "tokens"])
+
+    return f
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -327,14 +391,21 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     whole sequence is one shingle. A document without words or text has size 0, links with
     none and is its own component. component_id is the smallest key of the component.
     Repeated rows give a row each; rows with a null key take part, and a component of such
-    rows alone has a null id. An empty table gives an empty table.
+    rows alone has a null id. An empty table gives an empty table. Any threshold with
+    0 < num <= den will do; others raise ValueError.
+
+    One task sees a whole list only of shingles that aren't told as common. Such a one is in
+    LOCAL - 1 texts of each 6,000,000 shingles that a task counts together at most, or rarer
+    than the TOLD most frequent ones.
     """
+    if not 0 < num <= den:
+        raise ValueError("the threshold must be over 0 and at most 1")
     spark = docs.sparkSession
-    docs = docs.select(key, text)
-    kind = docs.schema[key].dataType.simpleString()
-    common = spark.sparkContext.broadcast(common_shingles(docs, text, words))  # TOLD rows of 9 bytes at most
-    names = [key, "n_shingles", "cls", "heat", "rare", "often", "sketch"]
-    sets = stage(docs.mapInArrow(_prefixes(words, num, den, common, names), f"{key} {kind}, n_shingles long, cls long, heat int, rare array<long>, often array<long>, sketch binary"), "sets")
+    docs = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    kind = docs.schema["key"].dataType.simpleString()
+    common = spark.sparkContext.broadcast(common_shingles(docs, "text", words))  # TOLD rows of 9 bytes at most
+    names = ["key", "n_shingles", "cls", "heat", "rare", "often", "sketch"]
+    sets = stage(docs.mapInArrow(_prefixes(words, num, den, common, names), f"key {kind}, n_shingles long, cls long, heat int, rare array<long>, often array<long>, sketch binary"), "sets")
     parts = max(shards_for(docs, 8), shards_for(sets, 16))
     rare = sets.select(F.explode("rare").alias("token"), "cls", "heat").repartition(parts, "token")
     rare_stars = rare.mapInArrow(_stars, "leader long, cls long")
@@ -342,51 +413,63 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     lead = often.groupBy("token").agg(F.max(F.struct("heat", "cls")).alias("top")).select("token", F.col("top.cls").alias("leader"))
     often_stars = often.join(lead, "token").where("leader <> cls").select("leader", "cls")
     stars = stage(rare_stars.unionAll(often_stars).distinct(), "stars")
-
-    # one block: what may link; several: every class once, the leader in each
-    size = stage(stars.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "leaders")
-    small = stars.join(size.where("blocks = 1"), "leader").select("leader", "cls").unionAll(size.where("blocks = 1").select("leader", F.col("leader").alias("cls")))
-    marks = sets.where("sketch is not null").select("cls", "n_shingles", "sketch").dropDuplicates(["cls"])
-    sifted = small.join(marks, "cls").select("leader", "cls", "n_shingles", "sketch").repartition(parts, "leader").sortWithinPartitions("leader").mapInArrow(_sift(num, den), "leader long, block int, cls long")
-    dealt = stars.join(size.where("blocks > 1"), "leader").select("leader", F.pmod(F.xxhash64("cls"), "blocks").cast("int").alias("block"), "cls")
-    dealt = dealt.unionAll(size.where("blocks > 1").select("leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("leader").alias("cls")))
-    dealt = stage(sifted.unionAll(dealt), "dealt")
-    wanted = dealt.select("cls").distinct()
-
-    # the whole sets of the classes in question, from the text of each one's first document
-    firsts = sets.where("cls is not null").groupBy("cls").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"))).alias("first"))
-    firsts = firsts.join(wanted, "cls").select("cls", F.coalesce(F.col("first.id").cast("string"), F.lit("")).alias("__id")).distinct()
-    again = docs.withColumn("__id", F.coalesce(F.col(key).cast("string"), F.lit(""))).join(firsts.select("__id").distinct(), "__id", "left_semi").select(text)
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for b in text_blocks(batches, 0):
-            found = [s for s in shingle_sets(b.column(0).to_pylist(), words, known) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["cls", "tokens"])
-
-    tokens = stage(again.mapInArrow(whole, "cls long, tokens binary").join(wanted, "cls", "left_semi"), "tokens")
-    rows = dealt.withColumn("label", F.col("cls")).withColumn("probe", F.lit(True)).join(tokens, "cls")
+    done_with(common)
+
+    # groups by leader: a small one is one block, its leader included; of large ones each class goes to a block of its size class, the leader to all
+    marks = stage(sets.where("sketch is not null").select("cls", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["cls"]), "marks")
+    grown = stars.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).withColumn("large", F.col("n") > BLOCK)
+    size = stage(grown.select("leader", "large"), "leaders")
+    small = stars.join(size.where("not large"), "leader").select("leader", "cls").unionAll(size.where("not large").select("leader", F.col("leader").alias("cls")))
+    groups = small.select("leader", F.lit(0).cast("long").alias("block"), "cls", F.col("cls").alias("label"), F.lit(True).alias("probe"))
+    large = size.where("large").select("leader")
+    some = bool(large.limit(1).count())
+    if some:
+        # Jaccard at the threshold needs sizes of the same or neighbouring classes
+        step = F.floor(F.log(F.col("n").cast("double")) / (math.log(den / min(num, 0.999 * den)) * (1 + 1e-6))).cast("int")
+        held = stars.join(large, "leader").join(marks.select("cls", "n"), "cls").select("leader", "cls", step.alias("step"))
+        many = held.groupBy("leader", "step").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+        many = stage(many, "blocks")
+        number = lambda at: (F.pmod("step", F.lit(_STEPS)) * _SPAN + at).cast("long").alias("block")
+        held = stage(held.join(many, ["leader", "step"]).select("leader", "cls", "step", number(F.pmod(F.xxhash64("cls"), "blocks"))), "members")
+        every = many.select("leader", "step", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("at")).select("leader", "step", number(F.col("at")))
+        member = lambda df, probe: df.select("leader", "block", "cls", F.col("cls").alias("label"), F.lit(probe).alias("probe"))
+        groups = groups.unionAll(member(held, True)).unionAll(member(every.select("leader", "block", F.col("leader").alias("cls")), True))
+
+    # whole sets are made anew from the text of each class's first document, for classes that may be asked for
+    first = sets.where("cls is not null").groupBy("cls").agg(F.min(F.struct(F.col("key").isNull().alias("none"), F.xxhash64("key").alias("hash"))).alias("first"))
+    asked = _dealt(groups.join(marks, "cls").select("leader", "block", "cls", "label", "probe", "n", "sketch"), parts).mapInArrow(_sift(num, den), _MEMBERS)
+    asked = stage(asked, "asked")
+    wanted = asked.select("cls").unionAll(held.select("cls")).unionAll(large.select(F.col("leader").alias("cls"))).distinct() if some else asked.select("cls").distinct()
+    told = spark.sparkContext.broadcast(_bits(first.join(wanted, "cls").select(F.col("first.hash").alias("hash")), "hash", FILTER))
+    texts = docs.select(F.xxhash64(F.xxhash64("key")).alias("hash"), "text")
+    tokens = stage(texts.mapInArrow(_whole(words, told), "cls long, tokens binary").join(wanted, "cls", "left_semi").dropDuplicates(["cls"]), "tokens")
+    done_with(told)
     parts = max(parts, shards_for(tokens, 8))
-    links = stage(_linked(rows, num, den, parts), "links")
-
-    # leaders of several blocks: what isn't in the largest component meets every block
-    large = size.where("blocks > 1")
-    if large.limit(1).count():
-        label = components(links)
-        held = dealt.join(large.select("leader"), "leader", "left_semi")
-        held = stage(held.join(label, held["cls"] == label["node"], "left").select("leader", "block", "cls", F.coalesce("component", "cls").alias("label")), "held")
-        most = held.groupBy("leader", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("leader").agg(F.max(F.struct("n", "label")).alias("top")).select("leader", F.col("top.label").alias("main"))
-        apart = held.join(most, "leader").where("label <> main").select("leader", "cls", "label").distinct()
-        blocks = large.select("leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-        probes = apart.join(blocks, "leader").select("leader", "block", "cls", "label", F.lit(True).alias("probe"))
-        met = held.join(apart.select("leader").distinct(), "leader", "left_semi").withColumn("probe", F.lit(False))
-        more = _linked(met.unionByName(probes).join(tokens, "cls"), num, den, parts)
+    links = stage(_dealt(asked.join(tokens, "cls").select("leader", "block", "cls", "label", "probe", "tokens"), parts).mapInArrow(_join_groups(num, den), "a long, b long"), "links")
+    done_with(asked)
+
+    # large groups: what isn't in the leader's largest component meets the blocks of its own and neighbouring size classes
+    if some:
+        label = stage(components(links), "labels")
+        named = held.select("leader", "cls", "step", "block").join(label, held["cls"] == label["node"], "left").select("leader", "block", "step", "cls", F.coalesce("component", "cls").alias("label"))
+        named = stage(named, "named")
+        most = named.groupBy("leader", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("leader").agg(F.max(F.struct("n", "label")).alias("top")).select("leader", F.col("top.label").alias("main"))
+        apart = named.join(most, "leader").where("label <> main").select("leader", "cls", "label", "step")
+        near = apart.select("leader", "cls", "label", F.explode(F.array(*[F.col("step") + d for d in (-1, 0, 1)])).alias("step"))
+        lots = stage(near.groupBy("leader", "step").agg(F.ceil(F.count(F.lit(1)) / PROBES).cast("int").alias("lots")), "lots")
+        within = lambda lot: (F.col("block") + lot.cast("long") * F.lit(_STEPS * _SPAN)).alias("block")
+        probes = near.join(lots, ["leader", "step"]).join(every, ["leader", "step"])
+        probes = probes.select("leader", within(F.pmod(F.xxhash64("cls", F.lit(7)), "lots")), "cls", "label", F.lit(True).alias("probe"))
+        met = named.join(lots, ["leader", "step"]).withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
+        met = met.select("leader", within(F.col("lot")), "cls", "label", F.lit(False).alias("probe"))
+        more = _linked(met.unionAll(probes), marks, tokens, num, den, parts)
         links = stage(links.unionAll(more), "links")
+        done_with(label, named, held, many, lots)
     group = components(links)
-    least = sets.where("cls is not null").groupBy("cls").agg(F.min(key).alias("__least"))
-    class_group = least.join(group, least["cls"] == group["node"], "left").select("cls", "__least", F.coalesce("component", "cls").alias("component"))
-    ids = class_group.groupBy("component").agg(F.min("__least").alias("component_id"))
+    least = sets.where("cls is not null").groupBy("cls").agg(F.min("key").alias("least"))
+    class_group = least.join(group, least["cls"] == group["node"], "left").select("cls", "least", F.coalesce("component", "cls").alias("component"))
+    ids = class_group.groupBy("component").agg(F.min("least").alias("component_id"))
     final = stage(class_group.join(ids, "component").select("cls", "component_id"), "classes")
-    unstage(tokens)
-    out = sets.select(key, "n_shingles", "cls").join(final, "cls", "left")
-    return out.select(key, "n_shingles", F.when(F.col("cls").isNull(), F.col(key)).otherwise(F.col("component_id")).alias("component_id"))
+    done_with(tokens, stars, size, marks, links)
+    out = sets.select("key", "n_shingles", "cls").join(final, "cls", "left")
+    return out.select(F.col("key").alias(key), "n_shingles", F.when(F.col("cls").isNull(), F.col("key")).otherwise(F.col("component_id")).alias("component_id"))

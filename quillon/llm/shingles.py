@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Words kept with their hashes in a worker, at most; then the memory starts anew.
-CACHE = 400_000
+CACHE = 100_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
@@ -22,7 +22,7 @@ class WordHashes(dict):
         return h
 
 
-def text_blocks(batches: Iterator[pa.RecordBatch], column: int, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def text_blocks(batches: Iterator[pa.RecordBatch], column: int, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about ``most`` bytes of text; a longer text stands alone."""
     for b in batches:
         size = np.asarray(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), np.int64)

@@ -124,7 +124,7 @@ def brute_components(rows, k, num, den):
     return [(d, len(sets[i]), least.get(find(i))) for i, (d, _) in enumerate(rows)]
 
 
-@pytest.mark.parametrize(("k", "num"), [(4, 85), (5, 80)])
+@pytest.mark.parametrize(("k", "num"), [(4, 85), (5, 80), (4, 30), (1, 10), (4, 100)])
 def test_jaccard_components(spark, docs, empty, k, num):
     from quillon.llm.jaccard_join import jaccard_components
 
@@ -150,6 +150,49 @@ def test_jaccard_in_blocks_of_one_leader(spark, monkeypatch):
     assert sorted(got) == sorted(brute_components(rows, 4, 85, 100))
 
 
+def test_jaccard_at_low_thresholds(spark, monkeypatch):
+    """Sets of very unlike sizes link at low thresholds, in one block and in several."""
+    from quillon.llm import jaccard_join as J
+
+    rng, rows = random.Random(12), []
+    for i in range(90):
+        n = rng.choice((30, 60, 120, 300))
+        rows.append((i, " ".join(f"w{rng.randrange(i % 3 * 60, i % 3 * 60 + n)}" for _ in range(n))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (128, 6):
+        monkeypatch.setattr(J, "BLOCK", block)
+        monkeypatch.setattr(J, "PROBES", 4)
+        got = [tuple(r) for r in J.jaccard_components(df, words=1, num=34, den=100).collect()]
+        assert sorted(got) == sorted(brute_components(rows, 1, 34, 100))
+    with pytest.raises(ValueError):
+        J.jaccard_components(df, num=0)
+
+
+def test_many_unlike_sets_that_share_shingles(spark):
+    """5,000 sets of ten out of 60 passages: every shingle is in a sixth of the sets, and hardly two sets are alike."""
+    from quillon.llm.jaccard_join import jaccard_components
+
+    rng = random.Random(4)
+    passages = [" ".join(f"p{i}w{j}" for j in range(8)) for i in range(60)]
+    picks = [sorted(rng.sample(range(60), 10)) for _ in range(5000)]
+    picks += [[*p[:5], *p[5:]] for p in picks[:3]] + [[*p[:9]] for p in picks[5:8]]
+    rows = [(i, " ".join(passages[j] for j in p)) for i, p in enumerate(picks)]
+    got = {r.doc_id: r.component_id for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), num=80).collect()}
+    grams = [{(p[a], a_) for a in range(len(p)) for a_ in range(5)} | {(x, y, z) for x, y in zip(p, p[1:], strict=False) for z in range(3)} for p in picks]
+    want = list(range(len(rows)))
+    by = collections.defaultdict(list)
+    for i, g in enumerate(grams):
+        for x in g:
+            by[x].append(i)
+    for i, g in enumerate(grams):
+        both = collections.Counter(j for x in g for j in by[x] if j < i)
+        for j, n in both.items():
+            if 100 * n >= 80 * (len(g) + len(grams[j]) - n):
+                a, b = sorted((want[i], want[j]))
+                want = [a if w == b else w for w in want] if a != b else want
+    assert got == dict(enumerate(want))
+
+
 def test_tree_join_finds_what_all_pairs_find():
     from quillon.llm.jaccard_join import sketch, tree_join
 
