@@ -157,13 +157,14 @@ def sketch(s: np.ndarray) -> bytes:
 
 
 def may_link(num: int, den: int, size: np.ndarray, sketches: list[bytes], asks: np.ndarray, apart: np.ndarray | None = None) -> np.ndarray:
-    """Which sets may link with another one: a flag for each, from upper bounds on overlaps, so no link is lost.
+    """Groups of sets that may link: a number for each set, -1 where it can't link. From upper bounds on overlaps, so no link is lost.
 
     asks: the sets that are compared with all. apart: labels; sets of one label needn't link.
     The wider of two sketches is folded to the width of the other. Shingles beyond a count's
     255 may be anything.
     """
-    keep, width = np.zeros(len(size), bool), np.array([len(x) for x in sketches])
+    group, width = np.arange(len(size)), np.array([len(x) for x in sketches])
+    keep = np.zeros(len(size), bool)
     for w in np.unique(width):
         rows = np.flatnonzero(width >= w)
         # the widths of sizes in reach: a set of Jaccard num / den is den / num times as large at most
@@ -181,11 +182,12 @@ def may_link(num: int, den: int, size: np.ndarray, sketches: list[bytes], asks:
             near = np.flatnonzero(other)
             if len(near):
                 both = np.minimum(table[i], table[near]).sum(axis=1) + np.minimum(over[i], over[near])
-                hit = near[(num + den) * both >= num * (n[i] + n[near])]
+                hit = rows[near[(num + den) * both >= num * (n[i] + n[near])]]
                 if len(hit):
-                    keep[rows[i]] = True
-                    keep[rows[hit]] = True
-    return keep
+                    hit = np.append(hit, rows[i])
+                    keep[hit] = True
+                    group[np.isin(group, group[hit])] = group[hit].min()
+    return np.where(keep, group, -1)
 
 
 def _groups(columns: int, key: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[list]]]:
@@ -203,22 +205,47 @@ def _groups(columns: int, key: int, batches: Iterator[pa.RecordBatch]) -> Iterat
         yield now, held
 
 
+def _of_like_size(num: int, den: int):
+    """Of rows (leader, block, cls, label, probe, n), sorted by leader and block: those with another one of a size in reach."""
+
+    @lean
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[np.asarray(b.column(i)) if i != 4 else np.asarray(b.column(i).cast(pa.int8())) for i in range(6)] for b in batches]
+        if not parts:
+            return
+        leader, block, cls, label, probe, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
+        at = np.lexsort((n, block, leader))
+        l, b, n = leader[at], block[at], n[at]  # noqa: E741
+        near = (l[1:] == l[:-1]) & (b[1:] == b[:-1]) & (num * n[1:] <= den * n[:-1])
+        at = at[np.append(near, False) | np.append(False, near)]
+        yield pa.RecordBatch.from_arrays([*(pa.array(x[at]) for x in (leader, block, cls, label)), pa.array(probe[at] == 1)], ["leader", "block", "cls", "label", "probe"])
+
+    return f
+
+
 def _sift(num: int, den: int):
-    """Of rows (leader, block, cls, label, probe, n, sketch), sorted by leader and block: those (without n and sketch) that may link within."""
+    """Of rows (leader, block, cls, label, probe, n, sketch), sorted by leader and block: groups (leader, block, cls, label, probe) within that may link.
+
+    A group is named by its members alone, so one that several leaders have is one.
+    """
 
     @lean
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (leader, block), (cls, label, probe, size, sketches) in _groups(7, 2, batches):
+        for _, (cls, label, probe, size, sketches) in _groups(7, 2, batches):
             first: dict[int, int] = {}
             for i, (c, p) in enumerate(zip(cls, probe, strict=True)):
                 if c not in first or (p and not probe[first[c]]):
                     first[c] = i
             at = np.array(list(first.values()))
-            flags, labels = np.array(probe, bool)[at], np.array(label, np.int64)[at]
-            keep = at[may_link(num, den, np.array(size, np.int64)[at], [sketches[i] for i in at], flags, labels)]
-            n = len(keep)
-            take = lambda x: pa.array(np.array(x)[keep])  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([pa.array([leader] * n, pa.int64()), pa.array([block] * n, pa.int64()), take(cls), take(label), pa.array(np.array(probe, bool)[keep])], ["leader", "block", "cls", "label", "probe"])
+            cls, label, probe = np.array(cls, np.int64)[at], np.array(label, np.int64)[at], np.array(probe, bool)[at]
+            group = may_link(num, den, np.array(size, np.int64)[at], [sketches[i] for i in at], probe, label)
+            names = np.zeros(len(at), np.int64)
+            for g in np.unique(group[group >= 0]):
+                own = group == g
+                names[own] = _class(np.sort(cls[own]).view(np.uint64))
+            k = group >= 0
+            yield pa.RecordBatch.from_arrays([pa.array(names[k]), pa.array(np.zeros(int(k.sum()), np.int64)), pa.array(cls[k]), pa.array(label[k]), pa.array(probe[k])], ["leader", "block", "cls", "label", "probe"])
 
     return f
 
@@ -350,20 +377,27 @@ def _dealt(rows: DataFrame, parts: int) -> DataFrame:
 _MEMBERS = "leader long, block long, cls long, label long, probe boolean"
 
 
+def _sifted(rows: DataFrame, marks: DataFrame, num: int, den: int, parts: int) -> DataFrame:
+    """Groups of rows (leader, block, cls, label, probe) that may link by their sizes and sketches."""
+    sized = _dealt(rows.join(marks.select("cls", "n"), "cls").select("leader", "block", "cls", "label", "probe", "n"), parts).mapInArrow(_of_like_size(num, den), _MEMBERS)
+    sketched = _dealt(sized.join(marks, "cls").select("leader", "block", "cls", "label", "probe", "n", "sketch"), parts)
+    return sketched.mapInArrow(_sift(num, den), _MEMBERS).distinct()
+
+
 def _linked(rows: DataFrame, marks: DataFrame, tokens: DataFrame, num: int, den: int, parts: int) -> DataFrame:
-    """Links (a, b) within the blocks of rows (leader, block, cls, label, probe): sketches first, then the whole sets of what may link."""
-    sketched = _dealt(rows.join(marks, "cls").select("leader", "block", "cls", "label", "probe", "n", "sketch"), parts)
-    left = sketched.mapInArrow(_sift(num, den), _MEMBERS)
-    sets = _dealt(left.join(tokens, "cls").select("leader", "block", "cls", "label", "probe", "tokens"), parts)
+    """Links (a, b) within the blocks of rows (leader, block, cls, label, probe): sizes first, then sketches, then the whole sets of what may link."""
+    sets = _dealt(_sifted(rows, marks, num, den, parts).join(tokens, "cls").select("leader", "block", "cls", "label", "probe", "tokens"), parts)
     return sets.mapInArrow(_join_groups(num, den), "a long, b long")
 
 
 def _bits(keys: DataFrame, column: str, most: int) -> np.ndarray:
-    """A bit map of hashed longs: a power of two of bits, about 16 for each, ``most`` at most. It bounds what reaches the driver and is broadcast."""
+    """A bit map of hashed longs, two bits each: a power of two of bits, about 16 for each long, ``most`` at most. It bounds what reaches the driver and is broadcast."""
     n = keys.count()
     size = min(most, 1 << max(10, (16 * n - 1).bit_length()))
-    at = F.pmod(F.xxhash64(column), F.lit(size))
-    rows = keys.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))).alias("bits")).toArrow()  # size / 64 rows
+    h = F.xxhash64(column)
+    at = F.col("at")
+    twice = keys.select(F.explode(F.array(F.pmod(h, F.lit(size)), F.pmod(F.shiftrightunsigned(h, 32), F.lit(size)))).alias("at"))
+    rows = twice.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))).alias("bits")).toArrow()  # size / 64 rows
     words = np.zeros(size // 64, np.uint64)
     words[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().astype(np.int64).view(np.uint64)
     return words
@@ -376,8 +410,11 @@ def _whole(words: int, told) -> object:
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, bits = WordHashes(), told.value
         for b in text_blocks(batches, 1):
-            h = np.asarray(b.column(0), np.int64) % (64 * len(bits))
-            b = b.filter(pa.array(bits[h >> 6] >> (h & 63).astype(np.uint64) & np.uint64(1) == 1))
+            h = np.asarray(b.column(0), np.int64).view(np.uint64)
+            has = np.ones(len(h), bool)
+            for at in (h % np.uint64(64 * len(bits)), (h >> np.uint64(32)) % np.uint64(64 * len(bits))):
+                has &= bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1) == 1
+            b = b.filter(pa.array(has))
             found = [s for s in shingle_sets(b.column(1).to_pylist(), words, known) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([_class(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["cls", "tokens"])
 
@@ -437,8 +474,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     # whole sets are made anew from the text of each class's first document, for classes that may be asked for
     first = sets.where("cls is not null").groupBy("cls").agg(F.min(F.struct(F.col("key").isNull().alias("none"), F.xxhash64("key").alias("hash"))).alias("first"))
-    asked = _dealt(groups.join(marks, "cls").select("leader", "block", "cls", "label", "probe", "n", "sketch"), parts).mapInArrow(_sift(num, den), _MEMBERS)
-    asked = stage(asked, "asked")
+    asked = stage(_sifted(groups, marks, num, den, parts), "asked")
     wanted = asked.select("cls").unionAll(held.select("cls")).unionAll(large.select(F.col("leader").alias("cls"))).distinct() if some else asked.select("cls").distinct()
     told = spark.sparkContext.broadcast(_bits(first.join(wanted, "cls").select(F.col("first.hash").alias("hash")), "hash", FILTER))
     texts = docs.select(F.xxhash64(F.xxhash64("key")).alias("hash"), "text")

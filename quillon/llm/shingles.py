@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Words kept with their hashes in a worker, at most; then the memory starts anew.
-CACHE = 100_000
+CACHE = 250_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
