@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import n_words, stage
+from .common import done_with, n_words, quoted, stage
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -107,43 +107,47 @@ def mix(docs: DataFrame, size: Column | None = None, key: str = "doc_id", source
     size: words of ``text`` unless given. Null sources are one source, null texts and
     texts without words have size 0 and no copies, an empty table gives an empty table.
     Repeated rows are rows of their own. Columns of docs named like the new ones are
-    replaced. Within a source and size, copies go to documents by (hash of key, key):
-    reruns agree. More than max_sources sources raise ValueError.
+    replaced; any others, whatever their names, are carried in one struct and clash with
+    nothing. Within a source and size, copies go to documents by (hash of key, key): reruns
+    agree. More than max_sources sources raise ValueError: it bounds what is broadcast.
     """
     spark = docs.sparkSession
-    new = {"size", "source_size", "target", "rate", "copies"}
+    new = ["size", "source_size", "target", "rate", "copies"]
+    own = [c for c in docs.columns if c.lower() not in new]
     size = n_words(F.col("text")) if size is None else size
     salt = F.xxhash64(F.col(key), F.lit("mix"))
-    d = docs.select(*[c for c in docs.columns if c not in new], size.cast("long").alias("size"), F.pmod(salt, F.lit(buckets)).cast("int").alias("__bucket"))
-    slim = stage(d.groupBy(F.col(source).alias("__source"), "size", "__bucket").agg(F.count(F.lit(1)).alias("n")), "mix-sizes")
-    tops = slim.groupBy("__source").agg(F.sum(F.col("size") * F.col("n")).alias("total"), F.sum("n").alias("docs"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least"), F.sum(F.when(F.col("size") > 0, F.col("n"))).alias("full")).limit(max_sources + 1).collect()
+    d = docs.select(F.struct(*quoted(own)).alias("doc"), F.col(source).alias("source"), F.col(key).alias("key"), salt.alias("salt"), size.cast("long").alias("size"))
+    d = d.withColumn("bucket", F.pmod("salt", F.lit(buckets)).cast("int"))
+    slim = stage(d.groupBy("source", "size", "bucket").agg(F.count(F.lit(1)).alias("n")), "mix-sizes")
+    some = F.col("size") > 0
+    tops = slim.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("total"), F.min(F.when(some, F.col("size"))).alias("least"), F.sum(F.when(some, F.col("n"))).alias("full")).limit(max_sources + 1).collect()
     if len(tops) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
-    tops.sort(key=lambda r: (r[0] is None, r[0] or ""))
-    number = {r[0]: i for i, r in enumerate(tops)}
-    totals = {number[r[0]]: int(r.total) for r in tops}
-    targets = {number[s]: t for s, t in source_targets({r[0]: int(r.total) for r in tops}, share, weights, cap).items()}
-    means = {number[r[0]]: r.total / r.full if r.full else 1.0 for r in tops}
-    least = {number[r[0]]: int(r.least or 1) for r in tops}
-    names = spark.createDataFrame([(i, s) for s, i in number.items()], "src int, __name string")
-    names = F.broadcast(names)  # one row per source, at most max_sources
-    coded = slim.join(names, F.col("__source").eqNullSafe(F.col("__name"))).select("src", "size", "__bucket", "n")
+    tops.sort(key=lambda r: (r.source is None, r.source or ""))
+    number = {r.source: i for i, r in enumerate(tops)}
+    totals = {number[r.source]: int(r.total) for r in tops}
+    targets = {number[s]: t for s, t in source_targets({r.source: int(r.total) for r in tops}, share, weights, cap).items()}
+    means = {number[r.source]: r.total / r.full if r.full else 1.0 for r in tops}
+    least = {number[r.source]: int(r.least or 1) for r in tops}
+    kind = docs.select(F.col(source).alias("source")).schema["source"].dataType.simpleString()
+    names = F.broadcast(spark.createDataFrame([(i, s) for s, i in number.items()], f"src int, name {kind}"))  # one row per source, at most max_sources
+    coded = slim.join(names, F.col("source").eqNullSafe(F.col("name"))).select("src", "size", "bucket", "n")
     counts = stage(coded.where("size > 0").groupBy("src", "size").agg(F.sum("n").alias("n")), "mix-counts")
     lam = newton(counts, means, targets, totals, least, cap)
-    table = F.broadcast(spark.createDataFrame([(i, s, float(lam.get(i, -math.inf)), float(means[i]), totals[i], float(targets[i])) for s, i in number.items()], "src int, __name string, lam double, mean double, source_size long, target double"))  # as above
-    rate = F.when(F.col("lam") == F.lit(math.inf), F.lit(float(cap))).when(F.col("lam") == F.lit(-math.inf), F.lit(0.0)).otherwise(F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(math.log(cap)))))
+    table = F.broadcast(spark.createDataFrame([(i, s, float(lam.get(i, -math.inf)), float(means[i]), totals[i], float(targets[i])) for s, i in number.items()], f"src int, name {kind}, lam double, mean double, source_size long, target double"))  # as above
+    tilted = F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(math.log(cap))))
+    rate = F.when(F.col("lam") == F.lit(math.inf), F.lit(float(cap))).when(F.col("lam") == F.lit(-math.inf), F.lit(0.0)).otherwise(tilted)
     rated = counts.join(table, "src").select("src", "size", "n", rate.alias("rate"))
     classes = rated.groupBy("src").applyInPandas(_rounded(cap), "src int, size long, copies long")
     classes = stage(rated.join(classes, ["src", "size"]).select("src", "size", F.col("n").alias("all"), "copies", "rate"), "mix-classes")
     # every copy beyond the whole ones of a class goes to one document; buckets get theirs by running counts
-    sub = coded.where("size > 0").groupBy("src", "size", "__bucket").agg(F.sum("n").alias("n")).join(classes, ["src", "size"])
-    upto = F.sum("n").over(W.partitionBy("src", "size").orderBy("__bucket"))
-    more = F.expr("copies % all")
-    sub = sub.withColumn("__upto", upto).withColumn("__more", more)
-    extra = F.expr("((__upto * __more) div all) - (((__upto - n) * __more) div all)")
-    sub = sub.select("src", "size", "__bucket", "rate", F.expr("copies div all").alias("__base"), extra.alias("__extra"))
-    coded_docs = d.join(table, F.col(source).eqNullSafe(F.col("__name"))).drop("__name", "lam", "mean")
-    at = F.row_number().over(W.partitionBy("src", "size", "__bucket").orderBy(salt, F.col(key)))
-    out = coded_docs.withColumn("__at", at).join(sub.hint("merge"), ["src", "size", "__bucket"], "left")
-    copies = F.coalesce(F.col("__base") + F.when(F.col("__at") <= F.col("__extra"), 1).otherwise(0), F.lit(0)).cast("int")
-    return out.select(*[c for c in docs.columns if c not in new], "size", "source_size", "target", F.coalesce("rate", F.lit(0.0)).alias("rate"), copies.alias("copies"))
+    sub = coded.where("size > 0").groupBy("src", "size", "bucket").agg(F.sum("n").alias("n")).join(classes, ["src", "size"])
+    sub = sub.withColumn("upto", F.sum("n").over(W.partitionBy("src", "size").orderBy("bucket"))).withColumn("more", F.expr("copies % all"))
+    extra = F.expr("((upto * more) div all) - (((upto - n) * more) div all)")
+    sub = sub.select("src", "size", "bucket", "rate", F.expr("copies div all").alias("base"), extra.alias("extra"))
+    coded_docs = d.join(table, F.col("source").eqNullSafe(F.col("name"))).select("doc", "key", "salt", "size", "bucket", "src", "source_size", "target")
+    at = F.row_number().over(W.partitionBy("src", "size", "bucket").orderBy("salt", "key"))
+    out = coded_docs.withColumn("at", at).join(sub.hint("merge"), ["src", "size", "bucket"], "left")
+    copies = F.coalesce(F.col("base") + F.when(F.col("at") <= F.col("extra"), 1).otherwise(0), F.lit(0)).cast("int")
+    done_with(counts)
+    return out.select("doc.*", "size", "source_size", "target", F.coalesce("rate", F.lit(0.0)).alias("rate"), copies.alias("copies"))

@@ -18,9 +18,12 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 def op1_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
+    from .common import n_words, stage
     from .mixing import mix
 
-    out = mix(documents(spark, sf_dir, "doc_id", "source", "text").select("doc_id", "source", _words("text")), size=F.col("words"))
+    # three short columns, so that texts are read once
+    sized = stage(documents(spark, sf_dir, "doc_id", "source", "text").select("doc_id", "source", n_words(F.col("text")).alias("words")), "sized")
+    out = mix(sized, size=F.col("words"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
 
 
@@ -95,14 +98,6 @@ def op10_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(documents(spark, sf_dir, "doc_id", "text"))
 
 
-def _words(text: str):
-    from pyspark.sql import functions as F
-
-    from .common import n_words
-
-    return n_words(F.col(text)).alias("words")
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_entropy_mix": op1_entropy_mix,
     "op2_warc_derivatives": op2_warc_derivatives,
