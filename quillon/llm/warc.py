@@ -14,6 +14,7 @@ import html
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
 from .shingles import text_blocks
 
 DATE = "2024-01-01T00:00:00Z"
@@ -29,6 +31,7 @@ _DROP = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template)\b.*?(?:<
 _BREAK = re.compile(r"<(?:/?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|title|head|body|blockquote|pre|hr|dt|dd)\b)[^>]*>", re.I)
 _TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
 _HREF = re.compile(r"""<(a|link|img|script|iframe)\b[^>]*?\b(?:href|src)\s*=\s*["']?([^"'\s>]+)""", re.I)
+_CHARSET = re.compile(r"""charset\s*=\s*["']?([A-Za-z0-9_:.\-]+)""", re.I)
 _TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.S | re.I)
 
 
@@ -47,21 +50,120 @@ def build_record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
+def _members(data: bytes) -> Iterator[bytes]:
+    """What WARC data holds, in pieces: gzip members unpacked one bit after the other, or plain bytes as they are."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    while data:
+        unpack = zlib.decompressobj(31)
+        while not unpack.eof:
+            piece = unpack.decompress(data, 1 << 20)
+            if not piece and not unpack.unconsumed_tail and not unpack.eof:
+                raise ValueError("cut gzip member")
+            data = unpack.unconsumed_tail
+            yield piece
+        data = unpack.unused_data.lstrip(b"\0")  # some writers fill up with zeros
+
+
+def _headers(head: bytes) -> list[tuple[str, str]]:
+    """Header lines in order, repeated ones too; white space around values is no part of them, and indented lines go on the one before."""
+    out: list[tuple[str, str]] = []
+    for line in head.decode("utf-8", "replace").split("\r\n"):
+        if line[:1] in (" ", "\t") and out:
+            out[-1] = (out[-1][0], f"{out[-1][1]} {line.strip()}")
+        elif line:
+            name, _, value = line.partition(":")
+            out.append((name.strip(), value.strip()))
+    return out
+
+
+def raw_records(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes, bytes]]:
+    """(headers, block, the record's own bytes) of each record; what is unpacked is held one record at a time. A cut or malformed record raises ValueError."""
+    held, pieces = bytearray(), _members(data)
+
+    def more() -> bool:
+        piece = next(pieces, None)
+        if piece is not None:
+            held.extend(piece)
+        return piece is not None
+
+    while True:
+        while len(held) < 5 and more():
+            pass
+        if not held:
+            return
+        if held[:5] != b"WARC/":
+            raise ValueError("no record where one should begin")
+        while (end := held.find(b"\r\n\r\n")) < 0:
+            if not more():
+                raise ValueError("cut record")
+        _, _, lines = bytes(held[:end]).partition(b"\r\n")
+        headers = _headers(lines)
+        size = next((v for k, v in headers if k.lower() == "content-length"), "")
+        if not size.isdigit():
+            raise ValueError("no content length")
+        to = end + 8 + int(size)
+        while len(held) < to:
+            if not more():
+                raise ValueError("cut record")
+        yield headers, bytes(held[end + 4 : to - 4]), bytes(held[:to])
+        del held[:to]
+
+
 def parse_records(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
-    """(headers, block) of each record in a WARC file's bytes, gzip members or plain. A cut or malformed record raises."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while at < len(data):
-        if data[at : at + 5] != b"WARC/":
-            raise ValueError(f"no record at byte {at}")
-        end = data.index(b"\r\n\r\n", at)
-        headers = [tuple(x.split(": ", 1)) if ": " in x else (x.rstrip(":"), "") for x in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]]
-        size = int(next(v for k, v in headers if k.lower() == "content-length"))
-        if end + 4 + size + 4 > len(data):
-            raise ValueError("cut record")
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+    """(headers, block) of each record in WARC data, gzip members or plain."""
+    for headers, block, _ in raw_records(data):
+        yield headers, block
+
+
+_HASHES = {"sha1": hashlib.sha1, "sha256": hashlib.sha256, "md5": hashlib.md5}
+
+
+def verify(what: str, claimed: str | None, data: bytes) -> None:
+    """Raises ValueError where data hasn't the claimed digest (base 32 or hex); unknown algorithms are taken as they are."""
+    name, _, value = (claimed or "").partition(":")
+    if (make := _HASHES.get(name.lower().replace("-", ""))) and value:
+        got = make(data).digest()
+        if value.upper().rstrip("=") != base64.b32encode(got).decode().rstrip("=") and value.lower() != got.hex():
+            raise ValueError(f"{what} doesn't match its digest")
+
+
+def payload_text(http: list[tuple[str, str]], payload: bytes) -> str:
+    """A payload as text: chunks joined, gzip and deflate unpacked, in the charset of its header or its own meta tag, else UTF-8.
+
+    What can't be unpacked stays as it is; bytes that aren't of the charset become U+FFFD.
+    """
+    at = {k.lower(): v for k, v in http}
+    if at.get("transfer-encoding", "").lower() == "chunked":
+        payload = _joined(payload)
+    coding = at.get("content-encoding", "").lower()
+    if coding in ("gzip", "x-gzip", "deflate"):
+        for bits in (47, -15):
+            try:
+                payload = zlib.decompressobj(bits).decompress(payload)
+                break
+            except zlib.error:
+                pass
+    said = _CHARSET.search(at.get("content-type", "")) or _CHARSET.search(payload[:2048].decode("latin-1"))
+    try:
+        return payload.decode(said[1] if said else "utf-8", "replace")
+    except LookupError:
+        return payload.decode("utf-8", "replace")
+
+
+def _joined(payload: bytes) -> bytes:
+    """A chunked body's content; the body as it is, where it isn't chunked after all."""
+    out, at = [], 0
+    while (end := payload.find(b"\r\n", at)) >= 0:
+        size = payload[at:end].split(b";")[0].strip()
+        if not re.fullmatch(rb"[0-9a-fA-F]+", size):
+            return payload
+        if not (n := int(size, 16)):
+            return b"".join(out)
+        out.append(payload[end + 2 : end + 2 + n])
+        at = end + 4 + n
+    return payload
 
 
 def response_record(key: str, url: str | None, body: str | None, date: str = DATE) -> bytes:
@@ -85,15 +187,16 @@ def derive_record(record: bytes) -> Iterator[dict]:
         at = {k.lower(): v for k, v in headers}
         if at.get("warc-type") != "response":
             continue
+        source = at["warc-record-id"]
         head, _, payload = block.partition(b"\r\n\r\n")
-        status, *lines = head.decode("utf-8", "replace").split("\r\n")
-        if (claimed := at.get("warc-payload-digest")) and claimed.startswith("sha1:") and claimed != digest(payload):
-            raise ValueError(f"payload of {at['warc-record-id']} doesn't match its digest")
-        page = payload.decode("utf-8", "replace")
+        status, _, lines = head.partition(b"\r\n")
+        http = _headers(lines)
+        verify(f"block of {source}", at.get("warc-block-digest"), block)
+        verify(f"payload of {source}", claimed := at.get("warc-payload-digest"), payload)
+        page = payload_text(http, payload)
         title = _TITLE.search(page)
         links = [{"tag": t.lower(), "url": html.unescape(u)} for t, u in _HREF.findall(_DROP.sub(" ", page))]
-        meta = {"warc": dict(headers), "status": status, "http": [x.split(": ", 1) for x in lines], "title": " ".join(html.unescape(title[1]).split()) if title else None, "links": links}
-        source = at["warc-record-id"]
+        meta = {"warc": headers, "status": status.decode("utf-8", "replace"), "http": http, "title": " ".join(html.unescape(title[1]).split()) if title else None, "links": links}
         shared = [("WARC-Date", at.get("warc-date", DATE)), *([("WARC-Target-URI", at["warc-target-uri"])] if "warc-target-uri" in at else []), ("WARC-Refers-To", source)]
         for kind, mime, body in (("metadata", "application/json", json.dumps(meta, ensure_ascii=False, sort_keys=True).encode()), ("conversion", "text/plain; charset=utf-8", plain_text(page).encode())):
             name = record_id(kind, source)
@@ -106,12 +209,13 @@ _ARROW = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
 
 
 def responses(pages: DataFrame, key: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
-    """(key, record binary): a response record for each page; a null url has no target, a null body is empty."""
+    """(key, record binary): a response record for each page; a null url has no target, a null body is empty, a null key names nothing. Repeated rows give a record each."""
     kind = pages.schema[key].dataType.simpleString()
 
+    @lean
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_blocks(batches, 2):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([response_record(str(k), u, t) for k, u, t in zip(*(c.to_pylist() for c in b.columns), strict=True)], pa.binary())], [key, "record"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([response_record("" if k is None else str(k), u, t) for k, u, t in zip(*(c.to_pylist() for c in b.columns), strict=True)], pa.binary())], [key, "record"])
 
     return pages.select(key, url, body).mapInArrow(f, f"`{key}` {kind}, record binary")
 
@@ -119,11 +223,14 @@ def responses(pages: DataFrame, key: str = "page_id", url: str = "url", body: st
 def derive(records: DataFrame, key: str = "page_id") -> DataFrame:
     """(key, record_type, record_id, refers_to, target_uri, ...) of the two records derived from each response in ``record``.
 
-    Null and empty records derive nothing, nor do records of other types; a payload that
-    doesn't match its digest, or a cut record, raises. Repeated rows derive theirs each.
+    Null and empty records derive nothing, nor do records of other types; a block or payload
+    that doesn't match its digest, or a cut record, raises. The metadata record lists the
+    response's WARC and HTTP headers in order, repeated ones too. Repeated rows derive theirs
+    each.
     """
     kind = records.schema[key].dataType.simpleString()
 
+    @lean
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_blocks(batches, 1):
             row, out = [], []
@@ -136,15 +243,20 @@ def derive(records: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def read_warc(spark, path: str) -> DataFrame:
-    """(path, seq, record binary) of the records in WARC files, gzip or plain."""
+    """(path, seq, record binary) of the records in WARC files, gzip or plain, byte for byte; an empty file has none.
+
+    A file's packed bytes (2 GB at most, as Spark's reader of whole files has it) and one
+    unpacked record are held at a time.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
+    @lean
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for i, (headers, block) in enumerate(parse_records(data)):
-                    keep = [(k, v) for k, v in headers if k.lower() not in ("content-length", "warc-block-digest")]
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([i]), pa.array([build_record(keep, block)], pa.binary())], ["path", "seq", "record"])
+            for i in range(b.num_rows):
+                name = b.column(0)[i].as_py()
+                for n, (_, _, record) in enumerate(raw_records(b.column(1)[i].as_py())):
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n]), pa.array([record], pa.binary())], ["path", "seq", "record"])
 
     return files.mapInArrow(f, "path string, seq long, record binary")
 
@@ -153,7 +265,7 @@ def write_warc(records: DataFrame, path: str) -> DataFrame:
     """Writes ``record`` as .warc.gz files under path, one a task, a gzip member a record; returns (file, records).
 
     path: a URI that pyarrow's file systems open on executors. A file gets its name when it is
-    whole, so a task that is run again replaces its own.
+    whole, so a task that is run again replaces its own. Null and empty records aren't written.
     """
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
