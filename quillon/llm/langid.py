@@ -21,12 +21,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import done_with, lean, quoted, stage
 from .shingles import mixed, text_blocks
 
 ORDER = 4
-MAX_DOCS, MAX_CHARS = 4_000, 6_000_000
+MAX_DOCS, MAX_CHARS, MAX_LANGS = 4_000, 6_000_000, 1_000
 UNKNOWN = "und"
-CACHE = 300_000
+CACHE = 100_000
 _BOUNDARY = 32
 
 
@@ -39,7 +40,9 @@ def windows(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(token number, gram) of each predicted character: four 16-bit codes, the predicted one lowest, 0 where the context ends."""
     raw = np.frombuffer(("\n" + "\n".join(tokens) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _letters()[raw]
-    code = np.where(letter, np.minimum(raw, 0xFFFF), _BOUNDARY).astype(np.uint64)
+    # letters beyond 16 bits share the codes of the private area, by a hash
+    folded = np.where(raw > 0xFFFF, 0xE000 + (raw * np.uint32(2654435761) >> np.uint32(8)) % np.uint32(6400), raw)
+    code = np.where(letter, folded, _BOUNDARY).astype(np.uint64)
     line = raw == 10
     token = np.cumsum(line) - line - 1
     asked = np.flatnonzero(letter[1:] | letter[:-1]) + 1
@@ -174,22 +177,32 @@ class _Tokens(dict):
         return out[:, :-1], out[:, -1]
 
 
-def fit(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS, max_langs: int = 256, quantile: float = 0.999, margin: float = 1.0) -> Models:
-    """Models of the labels in docs. Rows with null label or text don't count.
+def fit(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS, max_langs: int = MAX_LANGS, quantile: float = 0.999, margin: float = 1.0) -> Models:
+    """Models of the labels in docs. Rows with null label or text don't count; without any row the models are empty.
 
     The sample takes rows whose hash of key lies below a share per language that gives about
-    max_docs rows and max_chars characters, or all. A language's rejection limit is the
-    quantile of cross-entropy over its sample's rows plus margin (nats a character).
+    max_docs rows and max_chars characters, or all, and always the row of the smallest hash,
+    so that no language goes without. A language's rejection limit is the quantile of
+    cross-entropy over a fifth of its sample's rows, which the models aren't fit on, plus
+    margin (nats a character); over all of them where that fifth or the rest is under 20
+    rows. Over max_langs languages raise ValueError: it bounds the models.
     """
     use = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(key).alias("key"))
-    sizes = use.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+    draw = F.pmod(F.xxhash64(F.col("key"), F.lit("langid")), F.lit(1 << 40)) / float(1 << 40)
+    sizes = use.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"), F.min(draw).alias("least")).limit(max_langs + 1).collect()
+    if len(sizes) > max_langs:
+        raise ValueError(f"more than {max_langs} languages")
     share = {r.lang: min(1.0, max_docs / max(1, r.n), max_chars / max(1, r.chars)) for r in sizes}
     if not share:
         return Models()
-    part = F.create_map(*[x for k, v in share.items() for x in (F.lit(k), F.lit(v))])
-    draw = F.pmod(F.xxhash64(F.col("key"), F.lit("langid")), F.lit(1 << 40)) / float(1 << 40)
-    sample = use.where(draw < F.element_at(part, F.col("lang"))).select("lang", "text")
-
+    table = lambda what: F.element_at(F.create_map(*[x for k, v in what.items() for x in (F.lit(k), F.lit(v))]), F.col("lang"))
+    sample = use.where((draw < table(share)) | (draw == table({r.lang: r.least for r in sizes})))
+    aside = F.pmod(F.xxhash64("key", F.lit("aside")), F.lit(5)) == 0
+    sample = stage(sample.select("lang", "text", aside.alias("aside")), "sample")  # bounded as said
+    few = {r.lang for r in sample.groupBy("lang").agg(F.count_if("aside").alias("a"), F.count_if(~F.col("aside")).alias("b")).collect() if min(r.a, r.b) < 20}
+    every = F.col("lang").isin(*few) if few else F.lit(False)
+
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_blocks(batches, 1):
             words: dict[str, Counter] = {}
@@ -202,7 +215,7 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc
                 n = np.bincount(inv, np.fromiter(c.values(), float, len(c))[token], len(keys)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
-    got = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()  # bounded by the sample
+    got = sample.where(~F.col("aside") | every).select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()  # bounded by the sample
     names, gram, n = got.column("lang").to_numpy(), got.column("gram").to_numpy(), got.column("n").to_numpy()
     counts = {}
     for name in set(names):
@@ -213,6 +226,7 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc
     models = kneser_ney(counts)
     told = docs.sparkSession.sparkContext.broadcast(models)  # bounded by the sample
 
+    @lean
     def entropies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _Tokens(told.value)
         at = {name: i for i, name in enumerate(told.value.langs)}
@@ -222,8 +236,9 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc
             ok = np.flatnonzero((chars > 0) & (i >= 0))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ok)), pa.array(-lp[ok, i[ok]] / chars[ok])], ["lang", "h"])
 
-    limits = sample.mapInArrow(entropies, "lang string, h double").groupBy("lang").agg(F.percentile_approx("h", quantile, 10_000).alias("q")).collect()
+    limits = sample.where(F.col("aside") | every).select("lang", "text").mapInArrow(entropies, "lang string, h double").groupBy("lang").agg(F.percentile_approx("h", quantile, 10_000).alias("q")).collect()
     models.limits = {r.lang: r.q + margin for r in limits}
+    done_with(told, sample)
     return models
 
 
@@ -238,10 +253,11 @@ def identify(docs: DataFrame, models: Models, text: str = "text", most: int = 64
     names are replaced; other columns and repeated rows pass through.
     """
     new = ["lang_pred", "score", "cross_entropy", "rejected"]
-    keep = [c for c in docs.columns if c not in new]
+    keep = [c for c in docs.columns if c.lower() not in new]
     told = docs.sparkSession.sparkContext.broadcast(models)
     at = keep.index(text)
 
+    @lean
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = told.value
         tokens = _Tokens(m) if m.langs else None
@@ -264,8 +280,8 @@ def identify(docs: DataFrame, models: Models, text: str = "text", most: int = 64
             cols = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), h if isinstance(h, pa.Array) else pa.array(h, pa.float64()), pa.array(gone)]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*keep, *new])
 
-    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
-    return docs.select(*keep).mapInArrow(f, ", ".join([*kinds, "lang_pred string, score double, cross_entropy double, rejected boolean"]))
+    kinds = [f"{q} {docs.schema[c].dataType.simpleString()}" for c, q in zip(keep, quoted(keep), strict=True)]
+    return docs.select(*quoted(keep)).mapInArrow(f, ", ".join([*kinds, "lang_pred string, score double, cross_entropy double, rejected boolean"]))
 
 
 def remainder(key: Column, divisor: int) -> Column:
