@@ -1,7 +1,8 @@
 """Secret scans with a random forest that removes false positives. DataFrame functions only.
 
-A candidate is a run of 16 or more key characters with a digit, or a value of 6 or more
-characters that is assigned to a name with a keyword; the name and its '=' are context.
+A candidate is a run of 16 or more key characters with a digit, a value of 6 or more
+characters that is assigned to a name with a keyword, or a private key block; the name and
+its '=' are context. A value without a keyword before it needs 16 characters and a digit.
 Its features are length, shares and transitions of character classes, dictionary
 coverage, the path, and neighbouring words. The forest is grown level by level from grouped counts of binned
 features over labelled findings, and applied as an expression on literal arrays.
@@ -24,7 +25,12 @@ _NAMES = "token|secret|passw|pwd|api|key|auth|bearer|credential|private|access"
 _SIGN = r"""[=:]>?[ \t]{0,2}["'`]?(?:(?i:bearer|basic) )?"""
 #: The short look-behind fails at most places before the long one is tried.
 ASSIGNED = rf"""(?<={_SIGN})(?<=(?i:{_NAMES})[A-Za-z0-9_\-]{{0,24}}["'`]?[ \t]{{0,2}}:?{_SIGN})(?!(?i:bearer|basic)\b)[{KEY}.!?@#$%^*~]{{5,}}[{KEY}!@#$%^*~]"""
-CANDIDATE = rf"(?<![{KEY}])(?:{ASSIGNED}|{RUN}){PADDING}"
+#: In quotes a value may hold any character but quotes and white space.
+QUOTED = rf"""(?<=(?i:{_NAMES})[A-Za-z0-9_\-]{{0,24}}["'`]?[ \t]{{0,2}}:?[=:]>?[ \t]{{0,2}}["'`])[^\s"'`]{{6,128}}(?=["'`])"""
+BLOCK = r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[A-Za-z0-9+/=\s:,\-]{0,16000}?-----END [A-Z ]{0,24}PRIVATE KEY-----"
+CANDIDATE = rf"""(?<![{KEY}])(?:{BLOCK}|(?<=["'`]){QUOTED}|{ASSIGNED}|{RUN}){PADDING}"""
+#: Parts candidates from the text around them; texts that hold it themselves are scanned twice instead.
+MARK = "\uffff"
 MASK = "[SECRET]"
 #: Words that make a candidate likely to be an identifier or a placeholder.
 WORDS = ("example", "sample", "test", "dummy", "placeholder", "changeme", "your", "here", "insert", "fake", "default", "value", "name", "user", "index", "version", "image", "file", "data", "table", "column", "config", "module", "class", "function", "service", "server", "client", "message", "request", "response", "report", "build", "release", "package", "static", "assets", "http", "www", "com")
@@ -147,13 +153,17 @@ def labelled_findings(spark: SparkSession, n: int = 6_000, seed: int = 1) -> Dat
     mix = F.regexp_replace(F.base64(F.unhex(F.concat(h("a"), h("b")))), "[^A-Za-z0-9]", "")
     word = pick("w", ["report", "image", "config", "module", "table", "release", "package", "service", "index", "version"])
     hexes = F.substring(h("x"), 1, 40)
-    plain = pick("plain", ["required", "string", "nobody", "Johnson", "different", "request.headers", "config.get_token", "os.environ", "$DB_PASSWORD", "your_token1", "2024-01-02", "20240102", "version2", "module.key_1", "www.example.com/a1", "NoneType"])
-    true = F.element_at(F.array(hexes, F.substring(h("x"), 1, 32), F.concat(F.lit("sk_live_"), F.substring(mix, 1, 24)), F.substring(mix, 1, 40), F.concat(F.lit("ghp_"), F.substring(mix, 1, 36)), F.concat(F.lit("AKIA"), F.upper(F.substring(h("k"), 1, 16))), F.upper(hexes), F.substring(mix, 1, 10), F.substring(h("x"), 1, 12), F.concat(F.substring(mix, 1, 8), F.lit("!"), F.substring(h("x"), 1, 1))), (r("kind", 10) + 1).cast("int"))
+    kind = pick("block", ["RSA PRIVATE KEY", "PRIVATE KEY", "OPENSSH PRIVATE KEY", "EC PRIVATE KEY"])
+    block = F.concat(F.lit("-----BEGIN "), kind, F.lit("-----\n"), F.substring(mix, 1, 40), F.lit("\n"), F.repeat(F.concat(F.substring(mix, 3, 38), F.lit("\n")), (r("lines", 12) + 1).cast("int")), F.lit("-----END "), kind, F.lit("-----"))
+    plain = pick("plain", ["required", "string", "nobody", "Johnson", "different", "request.headers", "config.get_token", "os.environ", "$DB_PASSWORD", "your_token1", "2024-01-02", "20240102", "version2", "module.key_1", "www.example.com/a1", "NoneType", "getTokenFromRequestHeader", "please&thank&you", "readAccessPolicyDocuments", "/etc/app/key.pem", "{{ vault_password }}"])
+    true = F.element_at(F.array(hexes, F.substring(h("x"), 1, 32), F.concat(F.lit("sk_live_"), F.substring(mix, 1, 24)), F.substring(mix, 1, 40), F.concat(F.lit("ghp_"), F.substring(mix, 1, 36)), F.concat(F.lit("AKIA"), F.upper(F.substring(h("k"), 1, 16))), F.upper(hexes), F.substring(mix, 1, 10), F.substring(h("x"), 1, 12), F.concat(F.substring(mix, 1, 8), F.lit("!"), F.substring(h("x"), 1, 1)), F.substring(F.translate(mix, "0123456789", "qWzXvKjYpT"), 1, 24), F.concat(F.substring(mix, 1, 7), F.lit("&"), F.substring(mix, 9, 4)), block, F.concat(pick("w1", ["dragon", "hunter", "summer", "monkey", "winter", "pass"]), r("d", 99).cast("string"), pick("w2", ["secret", "login", "admin", "blue", "word"]), pick("sign", ["!", "", "#", "?"]))), (r("kind2", 14) + 1).cast("int"))
     false = F.element_at(F.array(hexes, h("x"), F.concat_ws("-", F.substring(h("x"), 1, 8), F.substring(h("x"), 9, 4), F.substring(h("x"), 13, 4), F.substring(h("x"), 17, 4), F.substring(h("x"), 21, 12)), F.substring(F.translate(h("x"), "abcdef", "123456"), 1, 16), F.concat_ws("_", word, F.lit("default"), pick("v", ["name", "value", "column"]), r("d", 99).cast("string")), F.concat(F.lit("your_"), pick("v", ["api_key", "token", "secret"]), F.lit("_here_1234")), F.concat(F.lit("/static/assets/"), word, F.lit("-"), r("d", 9999).cast("string")), F.concat(F.lit("EXAMPLEKEY"), F.repeat(F.lit("0"), 12)), F.concat_ws("-", word, F.lit("service-release"), r("d", 99).cast("string")), plain, plain), (r("kind", 11) + 1).cast("int"))
     y = r("y", 2).cast("int")
     given = pick("b", ['token = "', "api_key: ", "password='", "Authorization: Bearer ", "secret=", '"access_key": "', "export AUTH_TOKEN=", 'TOKEN = "', "api_key=", "DB_PASSWORD=", "/v1/items?id=3&token=", "--auth-token=", "SECRET_KEY_FOR_RELEASE_2="])
     named = pick("b", ["password: ", "token = ", "author: ", "key=", "api: ", 'secret="', "access_token=", "private: ", "?api_key="])
-    context = F.when(y == 1, given).when(r("kind", 11) >= 9, named).otherwise(F.when(r("kind", 11) < 3, pick("b", ["commit ", "sha256:", "md5 ", "integrity: ", "revision ", "uuid=", 'checksum = "'])).otherwise(pick("b", ["see ", "id ", "order ", "card ", "file ", "the ", ", ", "key: ", "version=", "image=", "/static?file="])))
+    is_block, is_marked = (y == 1) & (r("kind2", 14) == 12), (y == 1) & (r("kind2", 14) == 11)
+    alone = F.when(is_block, pick("alone", ["", "cat id_rsa: ", "key:", "ssl_key = ", "deploy key "])).when(is_marked, pick("q", ['token = "', "password='", 'DB_PASSWORD="', '"secret": "']))
+    context = F.when(alone.isNotNull(), alone).when(y == 1, given).when(r("kind", 11) >= 9, named).otherwise(F.when(r("kind", 11) < 3, pick("b", ["commit ", "sha256:", "md5 ", "integrity: ", "revision ", "uuid=", 'checksum = "'])).otherwise(pick("b", ["see ", "id ", "order ", "card ", "file ", "the ", ", ", "key: ", "version=", "image=", "/static?file="])))
     before = F.concat(pick("p", ["the report of ", "and then ", "", "in those days ", "use "]), context)
     quote = F.regexp_extract(before, """["']$""", 0)
     path = pick("f", ["src/app.py", "config/prod.env", "tests/test_api.py", "README.md", "src0", ""])
@@ -186,20 +196,39 @@ def _gaps(text: Column, body) -> Column:
         before = F.right(F.concat(F.right(x["gap0"], F.lit(40)), x["c0"], F.right(x["gap"], F.lit(40))), F.lit(40))
         return F.struct(x["gap"].alias("gap"), x["c"].alias("c"), before.alias("before"), F.left(x["next"], F.lit(20)).alias("after"))
 
-    cut = lambda t: F.struct(F.split(t, CANDIDATE, -1).alias("gaps"), F.regexp_extract_all(t, F.lit(CANDIDATE), 0).alias("found"))
-    return _let(text, lambda t: _let(cut(t), rows))
+    every_second = lambda parts, odd: F.filter(parts, lambda _, i: i % 2 == odd)
+    marked = lambda t: F.split(F.regexp_replace(t, CANDIDATE, f"{MARK}$0{MARK}"), MARK, -1)
+    once = lambda t: _let(marked(t), lambda parts: F.struct(every_second(parts, 0).alias("gaps"), every_second(parts, 1).alias("found")))
+    twice = lambda t: F.struct(F.split(t, CANDIDATE, -1).alias("gaps"), F.regexp_extract_all(t, F.lit(CANDIDATE), 0).alias("found"))
+    return _let(text, lambda t: _let(F.when(F.contains(t, F.lit(MARK)), twice(t)).otherwise(once(t)), rows))
+
+
+def _starts(sizes: Column, run: int = 256) -> Column:
+    """Sums of the sizes (long) before each place, in runs, so that long arrays aren't copied over and over."""
+    none = F.array().cast("array<bigint>")
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
+
+    def sums(a: Column, first: Column) -> Column:
+        start = F.struct(none.alias("out"), first.alias("at"))
+        return F.aggregate(a, start, lambda x, y: F.struct(F.array_append(x["out"], x["at"]).alias("out"), (x["at"] + y).alias("at")), lambda x: x["out"])
+
+    def body(size: Column) -> Column:
+        n = F.ceil(F.size(size) / float(run)).cast("int")
+        runs = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(size, i * run + 1, F.lit(run)))).otherwise(F.array().cast("array<array<bigint>>"))
+        return _let(runs, lambda r: F.flatten(F.zip_with(r, sums(F.transform(r, total), F.lit(0).cast("long")), sums)))
+
+    return _let(sizes, body)
 
 
 def _findings(text: Column) -> Column:
     """[(start from 1, c, before, after)] of a text's candidates."""
-    none = F.expr("CAST(array() AS array<struct<start:int,c:string,before:string,after:string>>)")
 
-    def add(a: Column, x: Column) -> Column:
-        start = a["at"] + F.length(x["gap"])
-        row = F.struct(start.alias("start"), x["c"].alias("c"), x["before"].alias("before"), x["after"].alias("after"))
-        return F.struct(F.array_append(a["out"], row).alias("out"), (start + F.length(x["c"])).alias("at"))
+    def body(_: Column, rows: Column) -> Column:
+        sizes = F.transform(rows, lambda x: (F.length(x["gap"]) + F.length(x["c"])).cast("long"))
+        row = lambda x, at: F.struct((at + F.length(x["gap"]) + 1).cast("int").alias("start"), x["c"].alias("c"), x["before"].alias("before"), x["after"].alias("after"))
+        return _let(rows, lambda r: F.zip_with(r, _starts(sizes), row))
 
-    return _gaps(text, lambda _, rows: F.aggregate(rows, F.struct(none.alias("out"), F.lit(1).alias("at")), add, lambda a: a["out"]))
+    return _gaps(text, body)
 
 
 def scan(docs: DataFrame, forest: Forest, key: str = "doc_id", text: str = "text", path: str | None = "source", threshold: float = 0.5) -> DataFrame:
@@ -209,19 +238,18 @@ def scan(docs: DataFrame, forest: Forest, key: str = "doc_id", text: str = "text
     no candidates; repeated rows give theirs each.
     """
     where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")
-    rows = docs.select(F.col(key), where.alias("__path"), F.explode(_findings(F.col(text))).alias("x"))
-    rows = rows.select(key, "__path", "x.*").withColumn("features", feature_array(F.col("c"), F.col("before"), F.col("after"), F.col("__path")))
+    rows = docs.select(F.col(key).alias("key"), where.alias("path"), F.explode(_findings(F.col(text))).alias("x"))
+    rows = rows.select("key", "path", "x.*").withColumn("features", feature_array(F.col("c"), F.col("before"), F.col("after"), F.col("path")))
     score = F.round(forest.score(F.col("features")), 9)
-    return rows.select(key, "start", F.length("c").alias("length"), "c", score.alias("score")).withColumn("is_secret", F.col("score") >= threshold)
+    return rows.select(F.col("key").alias(key), "start", F.length("c").alias("length"), "c", score.alias("score")).withColumn("is_secret", F.col("score") >= threshold)
 
 
 def redact(docs: DataFrame, forest: Forest, text: str = "text", path: str | None = "source", threshold: float = 0.5, mask: str = MASK) -> DataFrame:
-    """docs with each secret in text replaced by mask; other columns and texts stay as they are."""
+    """docs with each secret in text replaced by mask; other columns and texts stay as they are, null and empty texts and repeated rows too."""
     where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")
 
     def shown(x: Column) -> Column:
         features = feature_array(x["c"], x["before"], x["after"], where)
         return F.concat(x["gap"], F.when(F.round(forest.score(features), 9) >= threshold, F.lit(mask)).otherwise(x["c"]))
 
-    new = _gaps(F.col(text), lambda gaps, rows: F.concat(F.array_join(F.transform(rows, shown), ""), F.element_at(gaps, -1)))
-    return docs.withColumn(text, F.when(F.rlike(F.col(text), F.lit(CANDIDATE)), new).otherwise(F.col(text)))
+    return docs.withColumn(text, _gaps(F.col(text), lambda gaps, rows: F.concat(F.array_join(F.transform(rows, shown), ""), F.element_at(gaps, -1))))
