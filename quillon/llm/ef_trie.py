@@ -110,7 +110,7 @@ class Trie:
     """
 
     #: Bits of the keys of words before: relative to their context, which has far fewer children.
-    SECOND, THIRD = 40, 32
+    SECOND, THIRD = 36, 28
 
     @classmethod
     def pack(cls, words: np.ndarray, counts: np.ndarray, node2: np.ndarray, key2: np.ndarray, prob2: np.ndarray, weight2: np.ndarray, node3: np.ndarray, key3: np.ndarray, prob3: np.ndarray) -> bytes:

@@ -74,6 +74,12 @@ def _unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def _opened(payload: bytes) -> list[np.ndarray]:
+    """A payload's words, their counts, which is the end; of each triple its word, the word before, the one before that, count, times; documents."""
+    *words, index, second, sizes, third, counted, times, docs = _unpack(payload)
+    return [*words, np.repeat(index, sizes), np.repeat(second, sizes), third, counted, times, docs]
+
+
 class _Words(dict):
     """Word to its number in the block; 0 is the end, 1 the start."""
 
@@ -106,7 +112,7 @@ def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids.append(words.numbers(t))
             size += len(ids[-1])
             ends += 1
-        if size > 2_000_000:  # fold what is counted
+        if size > 4_000_000:  # fold what is counted
             yield flush()
             words, ids, size, ends = _Words(), [], 0, 0
     if ends:
@@ -155,8 +161,12 @@ def _encode(shards: int, frequent: np.ndarray, hashes: np.ndarray, ids: list[np.
         here, index = np.unique(np.concatenate([w[own], more]), return_inverse=True)
         n = times[own]
         lists = np.repeat(place[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        second, third = (mixed(hashes[x[own]]) >> np.uint64(64 - bits) for x, bits in ((h, Trie.SECOND), (g, Trie.THIRD)))
-        yield s, _pack(hashes[here], total[here].astype(np.uint32), (here == 0).astype(np.uint8), index[: len(own)].astype(np.uint32), second, third.astype(np.uint32), counted[own].astype(np.uint32), n.astype(np.uint32), doc[lists])
+        # the word and the one before it once for each pair, then what differs
+        begin = np.flatnonzero(np.append(True, (w[own][1:] != w[own][:-1]) | (h[own][1:] != h[own][:-1]))) if len(own) else np.zeros(0, np.int64)
+        pair = own[begin]
+        second, third = (mixed(hashes[x]) >> np.uint64(64 - bits) for x, bits in ((h[pair], Trie.SECOND), (g[own], Trie.THIRD)))
+        sizes = np.diff(np.append(begin, len(own))).astype(np.uint32)
+        yield s, _pack(hashes[here], total[here].astype(np.uint32), (here == 0).astype(np.uint8), index[begin].astype(np.uint32), second, sizes, third.astype(np.uint32), counted[own].astype(np.uint32), n.astype(np.uint32), doc[lists])
 
 
 _FLOW = ["shard", "block", "kind", "payload", "keys"]
@@ -240,9 +250,9 @@ def _shard(mu: float, share: float, total: int):
     """Of rows sorted by shard: sums by document of each block, from the shard's trie. total: N + V + 1."""
 
     def solve(blobs: list[tuple[int, bytes]], none: pa.Array) -> Iterator[pa.RecordBatch]:
-        trie = _build([_unpack(p) for _, p in blobs], mu, share, total)
+        trie = _build([_opened(p) for _, p in blobs], mu, share, total)
         for block, payload in blobs:
-            p = _unpack(payload)
+            p = _opened(payload)
             times, docs = p[7], p[8]
             if not len(docs):
                 continue
@@ -315,7 +325,7 @@ def score_texts(docs: DataFrame, trained: Column, key: str = "doc_id", text: str
     log10 probability, of quantised parts. Repeated rows give a row each and count each;
     keys may be of any type and null. Without any training document P1 is 1 for every token
     (N = V = 0). An empty table gives an empty table. Words that share 64 bits of a hash are
-    one; so are words before a word that share 40 bits, and before a pair that share 32,
+    one; so are words before a word that share 36 bits, and before a pair that share 28,
     which touches score alone.
     """
     kind = docs.schema[key].dataType

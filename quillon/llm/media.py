@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, unstage
+from .common import lean, stage, unstage
 from .shingles import text_blocks
 
 LEAST, MOST, BITS = 512, 8192, 11
@@ -96,6 +96,7 @@ def features(samples: bytes) -> str:
     return f"mean={mean:.4f};dev={dev:.4f};cross={cross / len(x):.6f};bits={float(-(p * np.log2(p)).sum()):.4f};blocks={bytes(blocks.astype(np.uint8)).hex()}"
 
 
+@lean
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (text): the media's digest, lengths and digests of its chunks."""
     for b in text_blocks(batches, 0):
@@ -108,6 +109,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.list_(pa.int64()), pa.list_(pa.binary())), strict=True)], ["media", "sizes", "digests"])
 
 
+@lean
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (text): the media's digest and its bytes, compressed; a media that the task has packed already is left out."""
     met = set()
@@ -123,6 +125,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.binary()))], ["media", "media_bytes", "packed"])
 
 
+@lean
 def _owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (media, media_bytes, packed, sizes, foreign, lent): the stored row, with own chunks only."""
     for b in batches:
@@ -163,6 +166,7 @@ def build_store(docs: DataFrame, text: str = "text") -> DataFrame:
     return store
 
 
+@lean
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (media, packed, sizes, foreign, lent): the lent chunks, (owner, owner_seq, chunk)."""
     for b in batches:
@@ -178,6 +182,7 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.binary())], ["owner", "owner_seq", "chunk"])
 
 
+@lean
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of stored rows (media, media_bytes, packed, sizes, foreign, got [(seq, chunk)]): what reading the media gives, verified."""
     for b in batches:
@@ -224,6 +229,7 @@ def media_features(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     store = build_store(docs, text)
     read = stage(read_media(store), "media")
 
+    @lean
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_blocks(batches, 1):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([hashlib.sha256(encode(payload_of(t)[1])).digest() for t in b.column(1).to_pylist()], pa.binary())], [key, "n_bytes", "media"])

@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted_rank, stage
+from .common import done_with, lean, salted_rank, stage
 
 CAPACITY = 4096
 END_ID = 1
 #: Parts of text kept with their ids in a worker, at most; others are merged each time.
-CACHE = 300_000
+CACHE = 150_000
 
 
 #: Latin-1 bytes of plain text: white space, printable ASCII, letters from U+00C0 on. Normalising it is lower-casing.
@@ -100,6 +100,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
     kind = docs.schema[key].dataType
     end = np.asarray([end_id], "<u4").tobytes()
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _Ids(source.value)
         for whole in batches:
