@@ -29,7 +29,16 @@ def _both(spark, d, guard: bool = False):
     return C.normal(read(spark, d, "documents"), "doc_id", guard=guard), C.normal(read(spark, d, "benchmark"), "item_id", guard=guard)
 
 
+def _held(spark, d):
+    """Documents that aren't labelled toxic as training side; benchmark items and the other documents as evaluation side."""
+    docs, toxic = read(spark, d, "documents"), read(spark, d, "labels").where("toxic = 1").select("doc_id").distinct()
+    items = read(spark, d, "benchmark").select(F.concat(F.lit("benchmark:"), F.col("item_id")).alias("id"), "text")
+    evals = items.unionByName(docs.join(toxic, "doc_id", "left_semi").select(F.concat(F.lit("toxic:"), F.col("doc_id")).alias("id"), "text"))
+    return C.normal(docs.join(toxic, "doc_id", "left_anti"), "doc_id"), C.normal(evals, "id")
+
+
 NORM = "trim(regexp_replace(lower(text), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
+HELD = f"WITH tr AS (SELECT doc_id AS id, {NORM} AS norm FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)), ev AS (SELECT 'benchmark:' || item_id AS id, {NORM} AS norm FROM benchmark UNION ALL SELECT 'toxic:' || doc_id, {NORM} FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1))"
 BOTH = f"WITH tr AS (SELECT doc_id AS id, {NORM} AS norm FROM documents), ev AS (SELECT item_id AS id, {NORM} AS norm FROM benchmark)"
 
 
@@ -39,12 +48,22 @@ def _grams(src: str, n: int = 13) -> str:
     return f"SELECT DISTINCT id, unnest(list_transform(range(1, len(chunk) - {n} + 2), lambda i: substr(chunk, i, {n}))) AS gram FROM ({chunk}) WHERE len(chunk) >= {n}"
 
 
-GRAMS = BOTH + f", tg AS ({_grams('tr')}), eg AS ({_grams('ev')}), sh AS (SELECT tg.id AS train_id, eg.id AS eval_id, count(*) AS shared FROM tg JOIN eg USING (gram) GROUP BY 1, 2), nt AS (SELECT id, count(*) AS n FROM tg GROUP BY 1), ne AS (SELECT id, count(*) AS n FROM eg GROUP BY 1), jp AS (SELECT train_id, eval_id, shared, shared / (nt.n + ne.n - shared)::DOUBLE AS j FROM sh JOIN nt ON nt.id = train_id JOIN ne ON ne.id = eval_id)"
+JACCARD = f", tg AS ({_grams('tr')}), eg AS ({_grams('ev')}), sh AS (SELECT tg.id AS train_id, eg.id AS eval_id, count(*) AS shared FROM tg JOIN eg USING (gram) GROUP BY 1, 2), nt AS (SELECT id, count(*) AS n FROM tg GROUP BY 1), ne AS (SELECT id, count(*) AS n FROM eg GROUP BY 1), jp AS (SELECT train_id, eval_id, shared, shared / (nt.n + ne.n - shared)::DOUBLE AS j FROM sh JOIN nt ON nt.id = train_id JOIN ne ON ne.id = eval_id)"
+GRAMS = BOTH + JACCARD
 
 
-@query(BOTH + " SELECT ev.id AS eval_id, min(tr.id) AS train_id FROM ev JOIN tr USING (norm) WHERE norm <> '' GROUP BY 1")
+@query(HELD + " SELECT ev.id AS eval_id, min(tr.id) AS train_id FROM ev JOIN tr USING (norm) WHERE norm <> '' GROUP BY 1")
 def contam_exact(spark, d):
-    return C.exact_matches(*_both(spark, d))
+    return C.exact_matches(*_held(spark, d))
+
+
+@query(HELD + ", m AS (SELECT split_part(ev.id, ':', 1) AS source, len(norm) AS n, ev.id FROM ev WHERE norm <> '' AND norm IN (SELECT norm FROM tr)) SELECT source, count(*) AS matches, sum((n < 80)::INT) AS short, quantile_disc(n, 0.5)::DOUBLE AS median_len FROM m GROUP BY 1")
+def contam_exact_sources(spark, d):
+    """Exact matches by the source of the evaluation row, the most first; how many are short."""
+    train, evals = _held(spark, d)
+    m = evals.join(C.exact_matches(train, evals).select(F.col("eval_id").alias("id")), "id", "left_semi").select(F.split_part("id", F.lit(":"), F.lit(1)).alias("source"), F.length("norm").alias("n"))
+    g = m.groupBy("source").agg(F.count(F.lit(1)).alias("matches"), F.count_if(F.col("n") < 80).alias("short"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY n)").cast("double").alias("median_len"))
+    return g.orderBy(F.desc("matches"), "source")
 
 
 @query(BOTH + ", g AS (SELECT norm, count(*) AS n, min(id) AS first FROM tr GROUP BY 1 HAVING count(*) > 1) SELECT count(*) AS texts, sum(n) AS n_rows, sum((len(norm) < 80)::INT) AS short, round(quantile_disc(len(norm), 0.5), 6) AS median_len FROM g")
@@ -65,37 +84,67 @@ def contam_topk(spark, d):
     return best.orderBy(F.desc("jaccard"), F.desc("eval_id"), F.desc("train_id")).limit(10).select("eval_id", "train_id", F.round("jaccard", 6).alias("jaccard"))
 
 
-def _minhash_sql(n: int = 16, rows: int = 2) -> str:
-    x = f"(('0x' || substr(md5(gram), 1, 8))::BIGINT % {C.PRIME})"
-    mins = ", ".join(f"min(({x} * {a} + {b}) % {C.PRIME})" for a, b in C.coefficients(n))
-    sig = lambda g: f"SELECT id, [{mins}] AS s FROM {g} GROUP BY id"
-    bands = lambda s: f"SELECT id, s, b, s[b * {rows} + 1]::VARCHAR || '-' || s[b * {rows} + 2] AS key FROM {s} CROSS JOIN range(0, {n // rows}) AS r(b)"
-    same = f"list_sum(list_transform(range(1, {n + 1}), lambda i: (t.s[i] = e.s[i])::INT)) / {n}.0::DOUBLE"
-    return f", ts AS ({sig('tg')}), es AS ({sig('eg')}), tb AS ({bands('ts')}), eb AS ({bands('es')}) SELECT DISTINCT t.id AS train_id, e.id AS eval_id, round({same}, 6) AS similarity FROM tb t JOIN eb e ON t.b = e.b AND t.key = e.key"
+def _minhash_sql(n: int = C.PERMUTATIONS, rows: int = C.ROWS) -> str:
+    """Common table expressions ts, es (id, s: signature) and lp (pairs that share a band, their agreement)."""
+    x = f"list_reduce(list_prepend(0::BIGINT, list_transform(string_split(gram, ''), lambda c: unicode(c)::BIGINT)), lambda a, c: (a * {C.BASE} + c) % {C.PRIME})"
+    mins = ", ".join(f"min((x * {a} + {b}) % {C.PRIME})" for a, b in C.coefficients(n))
+    short = f"UNION ALL SELECT id, norm FROM {{}} WHERE len(norm) < {C.GRAM}"
+    sig = lambda g, src: f"SELECT id, [{mins}] AS s FROM (SELECT id, {x} AS x FROM (SELECT id, gram FROM {g} {short.format(src)})) GROUP BY id"
+    key = " || '-' || ".join(f"s[b * {rows} + {j + 1}]" for j in range(rows))
+    bands = lambda s: f"SELECT id, s, b, {key} AS key FROM {s} CROSS JOIN range(0, {n // rows}) AS r(b)"
+    return f", ts AS ({sig('tg', 'tr')}), es AS ({sig('eg', 'ev')}), tb AS ({bands('ts')}), eb AS ({bands('es')}), lp AS (SELECT DISTINCT t.id AS train_id, e.id AS eval_id, {_AGREE} AS similarity FROM tb t JOIN eb e ON t.b = e.b AND t.key = e.key)"
 
 
-@query(GRAMS + _minhash_sql())
+_AGREE = f"list_sum(list_transform(range(1, {C.PERMUTATIONS + 1}), lambda i: (t.s[i] = e.s[i])::INT)) / {C.PERMUTATIONS}.0::DOUBLE"
+
+
+@query(GRAMS + _minhash_sql() + " SELECT train_id, eval_id, round(similarity, 6) AS similarity FROM lp")
 def contam_minhash_lsh(spark, d):
     return C.minhash_pairs(*_both(spark, d)).withColumn("similarity", F.round("similarity", 6))
 
 
-@query(GRAMS + ", df AS (SELECT gram FROM tg WHERE gram IN (SELECT gram FROM eg) GROUP BY 1 HAVING count(*) <= 200), rs AS (SELECT eg.id AS eval_id, tg.id AS train_id, count(*) AS shared FROM tg JOIN df USING (gram) JOIN eg USING (gram) GROUP BY 1, 2) SELECT eval_id, train_id, shared FROM (SELECT *, row_number() OVER (PARTITION BY eval_id ORDER BY shared DESC, train_id) AS rn FROM rs) WHERE rn <= 512")
+RARE = f", df AS (SELECT gram FROM tg WHERE gram IN (SELECT gram FROM eg) GROUP BY 1 HAVING count(*) <= {C.MOST_DF}), rs AS (SELECT eg.id AS eval_id, tg.id AS train_id, count(*) AS shared FROM tg JOIN df USING (gram) JOIN eg USING (gram) GROUP BY 1, 2), rc AS (SELECT eval_id, train_id, shared FROM (SELECT *, row_number() OVER (PARTITION BY eval_id ORDER BY shared DESC, train_id) AS rn FROM rs) WHERE rn <= {C.TOP})"
+SCAN = HELD + JACCARD + _minhash_sql() + RARE + f""", eq AS (SELECT tr.id AS train_id, ev.id AS eval_id FROM tr JOIN ev USING (norm) WHERE norm <> ''), cand AS (SELECT train_id, eval_id FROM lp UNION SELECT train_id, eval_id FROM eq UNION SELECT train_id, eval_id FROM rc),
+sc AS (SELECT c.eval_id, c.train_id, coalesce(j, CASE WHEN q.train_id IS NOT NULL THEN 1 ELSE 0 END) AS j, {_AGREE} AS s FROM cand c LEFT JOIN jp USING (train_id, eval_id) LEFT JOIN (SELECT DISTINCT * FROM eq) q USING (train_id, eval_id) JOIN ts t ON t.id = c.train_id JOIN es e ON e.id = c.eval_id),
+be AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY eval_id ORDER BY j DESC, s DESC, train_id) AS rn FROM sc) WHERE rn = 1),
+scan AS (SELECT ev.id AS eval_id, be.train_id, j AS jaccard, s AS similarity, coalesce(norm <> '' AND norm IN (SELECT norm FROM tr), false) AS exact, coalesce(j >= {C.THRESHOLD}, false) AS jaccard_hit, coalesce(j >= {C.THRESHOLD} OR s >= {C.THRESHOLD}, false) AS near_duplicate FROM ev LEFT JOIN be ON be.eval_id = ev.id)"""
+
+
+@query(SCAN + " SELECT eval_id, train_id, round(jaccard, 6) AS jaccard, round(similarity, 6) AS similarity, exact, jaccard_hit, near_duplicate FROM scan")
+def contam_scan(spark, d):
+    """The whole scan: candidates of three kinds, each evaluation row's best pair, and what it counts as."""
+    return C.scan(*_held(spark, d)).withColumn("jaccard", F.round("jaccard", 6)).withColumn("similarity", F.round("similarity", 6))
+
+
+_RATES = ", ".join(f"round(count(CASE WHEN {c} THEN 1 END) / greatest(count(*), 1)::DOUBLE, 6) AS {n}_rate" for c, n in (("exact", "exact"), ("jaccard_hit", "jaccard"), ("near_duplicate", "neardup")))
+
+
+@query(SCAN + f" SELECT count(*) AS n_eval, count(CASE WHEN exact THEN 1 END) AS exact_matches, count(CASE WHEN jaccard_hit THEN 1 END) AS jaccard_hits, count(CASE WHEN near_duplicate THEN 1 END) AS neardup_hits, {_RATES} FROM scan")
+def contam_report(spark, d):
+    r = C.report(C.scan(*_held(spark, d)))
+    return r.select("n_eval", "exact_matches", "jaccard_hits", "neardup_hits", *[F.round(c, 6).alias(c) for c in ("exact_rate", "jaccard_rate", "neardup_rate")])
+
+
+@query(GRAMS + RARE + " SELECT eval_id, train_id, shared FROM rc")
 def contam_rare_gram(spark, d):
     return C.rare_candidates(*_both(spark, d))
 
 
-@query(BOTH + " SELECT DISTINCT tr.id AS train_id, ev.id AS eval_id FROM tr JOIN ev ON contains(tr.norm, substr(ev.norm, 1, 40)) WHERE len(ev.norm) >= 40")
+WINDOWS = "wv AS (SELECT DISTINCT id, substr(norm, (j * (len(norm) - 40) // 4)::BIGINT + 1, 40) AS w FROM ev CROSS JOIN range(0, 5) r(j) WHERE len(norm) >= 40), wh AS (SELECT DISTINCT tr.id AS train_id, wv.id AS eval_id FROM tr JOIN wv ON contains(tr.norm, w))"
+
+
+@query(f"{BOTH}, {WINDOWS} SELECT train_id, eval_id FROM wh")
 def contam_window40(spark, d):
     return C.window_hits(*_both(spark, d))
 
 
-@query(BOTH + " SELECT tr.id AS doc_id FROM tr WHERE NOT EXISTS (SELECT 1 FROM ev WHERE len(ev.norm) >= 40 AND contains(tr.norm, substr(ev.norm, 1, 40)))")
+@query(f"{BOTH}, {WINDOWS} SELECT id AS doc_id FROM tr WHERE id NOT IN (SELECT train_id FROM wh)")
 def guard_anti_join(spark, d):
     t, e = _both(spark, d, guard=True)
     return t.join(C.window_hits(t, e).select(F.col("train_id").alias("id")), "id", "left_anti").select(F.col("id").alias("doc_id"))
 
 
-@query(BOTH + ", hit AS (SELECT DISTINCT tr.id AS doc_id FROM tr JOIN ev ON contains(tr.norm, substr(ev.norm, 1, 40)) WHERE len(ev.norm) >= 40) SELECT count(*) AS n, round(avg(quality), 6) AS acc, round(avg(CASE WHEN h.doc_id IS NULL THEN quality END), 6) AS acc_clean FROM labels l LEFT JOIN hit h USING (doc_id)")
+@query(f"{BOTH}, {WINDOWS} SELECT count(*) AS n, round(avg(quality), 6) AS acc, round(avg(CASE WHEN doc_id NOT IN (SELECT train_id FROM wh) THEN quality END), 6) AS acc_clean FROM labels")
 def accuracy_without_contaminated(spark, d):
     h = C.window_hits(*_both(spark, d)).select(F.col("train_id").alias("doc_id")).distinct().withColumn("hit", F.lit(True))
     l = read(spark, d, "labels").join(h, "doc_id", "left")  # noqa: E741
@@ -170,10 +219,10 @@ def pii_redact(spark, d):
 WORDS = "list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')"
 
 
-@query(f"WITH c AS (SELECT conv_id, turn, text, {WORDS} AS w FROM conversations WHERE turn = 0) SELECT conv_id, i, md5(CASE WHEN i = len(w) THEN text ELSE array_to_string(w[1:i], ' ') END) AS prefix FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM c)")
+@query(f"WITH c AS (SELECT conv_id, turn, text, {WORDS} AS w FROM conversations) SELECT conv_id, turn, i, md5(CASE WHEN i = len(w) THEN text ELSE array_to_string(w[1:i], ' ') END) AS prefix FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM c)")
 def word_prefixes(spark, d):
-    c = read(spark, d, "conversations").where("turn = 0").select("conv_id", F.posexplode(prefixes(F.col("text"))).alias("i", "p"))
-    return c.select("conv_id", (F.col("i") + 1).cast("long").alias("i"), F.md5("p").alias("prefix"))
+    c = read(spark, d, "conversations").select("conv_id", "turn", F.posexplode(prefixes(F.col("text"))).alias("i", "p"))
+    return c.select("conv_id", "turn", (F.col("i") + 1).cast("long").alias("i"), F.md5("p").alias("prefix"))
 
 
 @query("SELECT conv_id, turn, md5('State:' || chr(10) || text || chr(10) || 'Question:' || chr(10) || 'type: choice' || chr(10) || 'Who speaks?' || chr(10) || 'Candidate:' || chr(10) || c || chr(10) || 'Decision:') AS path, c AS candidate FROM conversations CROSS JOIN (VALUES ('system'), ('user'), ('assistant')) v(c)")
