@@ -25,9 +25,11 @@ class EliasFano:
         zeros = np.flatnonzero(np.unpackbits(bits, bitorder="little") == 0)
         # the i-th zero ends high part i; before it stand as many ones as numbers with parts up to i
         self.start = np.concatenate([[0], np.minimum(zeros - np.arange(len(zeros)), self.n)]).astype(np.int64)
-        self.lows = np.frombuffer(data, np.uint8, (self.n * self.low + 7) // 8 + 8, at + size)
+        held = self.low * -(-self.n // 64) * 8 + 8
+        # a word at every byte: a number's low bits lie within one
+        self.lows = np.ndarray((held - 7,), "<u8", data, at + size, (1,))
         self.most = int(np.diff(self.start).max(initial=0)).bit_length()
-        self.size = at + size + len(self.lows)
+        self.size = at + size + held
 
     @staticmethod
     def pack(values: np.ndarray, universe: int) -> bytes:
@@ -37,21 +39,22 @@ class EliasFano:
         bits = np.zeros(n + (universe >> low) + 2, np.uint8)
         bits[high + np.arange(n)] = 1
         packed = np.packbits(bits, bitorder="little").tobytes()
-        lows = np.zeros((n * low + 7) // 8 + 8, np.uint8)
-        for at in range(0, n if low else 0, 1 << 16):  # 2^16 numbers of any width end on a whole byte
-            some = values[at : at + (1 << 16), None] >> np.arange(low, dtype=np.uint64) & U(1)
-            row = np.packbits(some.astype(np.uint8).ravel(), bitorder="little")
-            lows[at * low // 8 : at * low // 8 + len(row)] = row
-        return struct.pack("<QQQ", n, low, len(packed)) + packed + lows.tobytes()
+        # 64 numbers fill ``low`` words; the j-th of each 64 goes to the same place of its words
+        rows = np.zeros((-(-n // 64), 64), np.uint64)
+        rows.ravel()[:n] = values & U((1 << low) - 1)
+        words = np.zeros((len(rows), low + 1), np.uint64)
+        for j in range(64 if low else 0):
+            w, shift = divmod(j * low, 64)
+            words[:, w] |= rows[:, j] << U(shift)
+            if shift + low > 64:
+                words[:, w + 1] |= rows[:, j] >> U(64 - shift)
+        return struct.pack("<QQQ", n, low, len(packed)) + packed + words[:, :low].astype("<u8").tobytes() + bytes(8)
 
     def lows_at(self, i: np.ndarray) -> np.ndarray:
         if not self.low:
             return np.zeros(len(i), np.uint64)
         bit = i.astype(np.int64) * self.low
-        word = np.zeros(len(i), np.uint64)
-        for b in range(8):
-            word |= self.lows[(bit >> 3) + b].astype(np.uint64) << U(8 * b)
-        return (word >> (bit & 7).astype(np.uint64)) & U((1 << self.low) - 1)
+        return (self.lows[bit >> 3] >> (bit & 7).astype(np.uint64)) & U((1 << self.low) - 1)
 
     def find(self, x: np.ndarray, begin: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
         """Place of x by successor search, within places begin to end of each where given; -1 where it is missing."""

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import lean, shards_for
+from .common import lean, shards_for, stage
 from .ef_trie import Trie
 from .shingles import mixed, text_blocks
 
@@ -46,8 +46,8 @@ MU, B = 1000.0, 0.002
 BLOCK = 1_500_000
 #: Words with a share of 1 / FREQUENT of the tokens or more are split into SPLIT shards.
 FREQUENT, SPLIT = 2_000, 16
-#: MB of text a shard: small ones up to MANY shards, beyond that larger ones, so that a block's rows stay long.
-SMALL_MB, LARGE_MB, MANY = 8, 64, 4096
+#: MB of the table a shard: small ones up to MANY shards, beyond that larger ones, so that a block's rows stay long.
+SMALL_MB, LARGE_MB, MANY = 5, 40, 4096
 #: Partitions of a shuffle, at most; each then holds several shards or blocks, one after the other.
 PARTS = 20_000
 _END, _START = (xxhash.xxh3_64_intdigest(x, seed=1) for x in (b"end", b"start"))
@@ -349,4 +349,5 @@ def score_texts(docs: DataFrame, trained: Column, key: str = "doc_id", text: str
     sums = sent.mapInArrow(_shard(mu, share, n + v + 1), flow).select("block", "kind", "payload", "keys")
     by_block = sums.repartition(parts, "block").sortWithinPartitions("block")
     out = by_block.mapInArrow(_texts(mu, share, n + v + 1, starts), f"key {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    out = stage(out, "scores")  # one short row a document; the job's batches are kept small
     return out.select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
