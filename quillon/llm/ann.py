@@ -195,9 +195,12 @@ def fit_index(x: np.ndarray, total: int, radius: float, lists: int, k: int, copi
         return ix
     row, lst = ix.post(x)
     first = np.searchsorted(row, np.arange(len(x) + 1))
-    s = x[some] @ x.T
-    s[np.arange(len(some)), some] = -np.inf
-    true = np.argpartition(-s, near - 1, axis=1)[:, :near]
+    true = []
+    for at in range(0, len(some), 32):  # a few rows of the sample's length at a time
+        part = some[at : at + 32]
+        s = x[part] @ x.T
+        s[np.arange(len(part)), part] = -np.inf
+        true += list(np.argpartition(s, len(x) - near, axis=1)[:, len(x) - near :])
     d = np.sqrt(_d2(np.concatenate([x[some], np.zeros((len(some), 1))], 1).astype(np.float32), graph.c))
     least = np.sort(d, axis=1)[:, min(NEAR, n) - 1]
     want = np.array([[min(d[i, lst[first[t] : first[t + 1]]]) / max(least[i], 1e-12) for t in true[i]] for i in range(len(some))])
