@@ -44,14 +44,21 @@ def render(key: Column) -> Column:
     return F.replace(F.replace(key, F.lit("_"), F.lit(" ")), F.lit("."), F.lit(": "))
 
 
-def gram_chunks(text: Column, n: int = 13, step: int = 256) -> Column:
-    """Pieces of a text that together hold each n-gram once: position arithmetic stays short on long texts."""
-    starts = F.sequence(F.lit(0), F.greatest(F.length(text) - n, F.lit(0)), F.lit(step))
-    return F.transform(starts, lambda k: F.substring(text, k + 1, F.lit(step + n - 1)))
+def in_context(text: Column, pattern: str, before: int, after: int) -> Column:
+    """[(hit, before, after)] of the pattern's matches: what stands up to so many characters before and after each, other matches apart.
 
+    A mark is set around matches and the text is split by it; the mark itself counts as a space.
+    """
+    mark = "\u0001"
+    marked = F.regexp_replace(F.translate(text, mark, " "), f"({pattern})", f"{mark}$1{mark}")
 
-def chunk_grams(chunk: Column, n: int = 13) -> Column:
-    return F.when(F.length(chunk) >= n, F.transform(F.sequence(F.lit(1), F.length(chunk) - n + 1), lambda i: F.substring(chunk, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    def rows(p: Column) -> Column:
+        n = (F.size(p) / 2).cast("int")
+        at = lambda i: F.element_at(p, i)
+        row = lambda i: F.struct(at(i * 2).alias("hit"), F.right(at(i * 2 - 1), F.lit(before)).alias("before"), F.left(at(i * 2 + 1), F.lit(after)).alias("after"))
+        return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), row))
+
+    return F.coalesce(F.transform(F.array(F.split(marked, mark, -1)), rows)[0], F.expr("CAST(array() AS array<struct<hit:string,before:string,after:string>>)"))
 
 
 def words(text: Column) -> Column:

@@ -151,63 +151,124 @@ def accuracy_without_contaminated(spark, d):
     return l.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("quality"), 6).alias("acc"), F.round(F.avg(F.when(F.col("hit").isNull(), F.col("quality"))), 6).alias("acc_clean"))
 
 
-def _channel_sql(c: str, where: str = "true") -> str:
-    return f"SELECT doc_id, hit FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{P.CHANNELS[c]}')) AS hit FROM documents) WHERE {where}"
+#: Lines that hold every channel, real and placeholder: the tables have no cards and IBANs.
+SAMPLES = [
+    (-1, "Write to jane.roe@firm.co or user7@firm.co, or call +49 (30) 901 820 44."),
+    (-2, "Card 4539 5787 6362 1486 is good, 4539 5787 6362 1487 is not, 4111-1111-1111-1111 is for tests."),
+    (-3, "IBAN DE89 3704 0044 0532 0130 00, bad DE89 3704 0044 0532 0130 01, none XX89370400440532013000."),
+    (-4, "He lives at 22 Baker Hill Road, she at 123 Main Street, and it took 15 minutes Drive."),
+    (-5, "Mary Johnson met Dr. Wilson and John Smith; Susan left with Mr. Brown."),
+    (-6, "See 410 U.S. 113 350 1998 and 555 010 4477; the ISBN is 978-3-16-148410-0."),
+    (-7, "Patricia called 212-867-5309 twice"),
+    (-8, None),
+]
 
 
-DIGITS = "regexp_replace(hit, '[^0-9]', '', 'g')"
+def _pii_docs(spark, d):
+    docs = read(spark, d, "documents").select("doc_id", F.lit("documents").alias("file"), F.col("lang").alias("family"), "text")
+    lines = spark.createDataFrame([(i, "samples", "lines", t) for i, t in SAMPLES], "doc_id long, file string, family string, text string")
+    return docs.unionByName(lines)
+
+
+def _pii(spark, d):
+    return P.hits(_pii_docs(spark, d), "doc_id", "text", "file", "family")
 
 
-def _channel(name: str, where: str = "true"):
+_quote = lambda x: x.replace("'", "''")
+_in = lambda xs: "(" + ", ".join(f"'{_quote(x)}'" for x in xs) + ")"
+_list = lambda xs: "[" + ", ".join(f"'{_quote(x)}'" for x in xs) + "]"
+_has = lambda c, xs: "(" + " OR ".join(f"contains({c}, '{x}')" for x in xs) + ")"
+DIGITS = "regexp_replace(hit, '[^0-9]', '', 'g')"
+COMPACT = "replace(hit, ' ', '')"
+_KINDS = lambda c: f"len(list_distinct(string_split({c}, '')))"
+_TOKENS = "regexp_extract_all(lower(hit), '[a-z0-9'']+')"
+_BODY = f"{_TOKENS}[2:len({_TOKENS}) - 1]"
+_WORD = "string_split_regex(hit, '[ \\t\\n]+')"
+_LUHN = f"(list_sum(list_transform(range(1, len({DIGITS}) + 1), lambda i: CASE WHEN (len({DIGITS}) - i) % 2 = 0 THEN substr({DIGITS}, i, 1)::INT ELSE (substr({DIGITS}, i, 1)::INT * 2) // 10 + (substr({DIGITS}, i, 1)::INT * 2) % 10 END)) % 10 = 0)"
+_MOVED = f"(substr({COMPACT}, 5) || left({COMPACT}, 4))"
+_MOD97 = f"(list_reduce(list_prepend(0::BIGINT, list_transform(string_split({_MOVED}, ''), lambda x: CASE WHEN x BETWEEN '0' AND '9' THEN x::BIGINT ELSE unicode(x) - 55 END)), lambda a, x: CASE WHEN x > 9 THEN (a * 100 + x) % 97 ELSE (a * 10 + x) % 97 END) = 1)"
+_COUNTS = {
+    "email": "true",
+    "phone": f"len({DIGITS}) BETWEEN 10 AND 15 AND NOT regexp_matches(lower(right(b, 24) || hit || left(a, 8)), '{P.CITATION}')",
+    "iban": f"len({COMPACT}) >= 15",
+    "card": f"len({DIGITS}) BETWEEN 13 AND 19 AND regexp_matches(hit, '[ -]') AND NOT regexp_matches({DIGITS}, '^97[89]')",
+    "street": f"len({_TOKENS}) >= 3 AND NOT list_has_any({_BODY}, {_list(P.NOT_STREETS)}) AND NOT (list_contains(['hwy', 'highway', 'pkwy', 'parkway'], {_TOKENS}[-1]) AND len(list_filter({_BODY}, lambda x: len(x) > 2)) = 0)",
+    "name_full": f"{_WORD}[1] IN {_in(P.GIVEN)} AND {_WORD}[-1] IN {_in(P.SURNAMES)}",
+    "name_titled": f"{_WORD}[-1] IN {_in(P.GIVEN + P.SURNAMES)}",
+    "name_given": f"hit IN {_in(P.GIVEN)} AND regexp_extract(a, '^[ \\t\\n]+([A-Z][a-z]+)\\b', 1) NOT IN {_in(P.SURNAMES)} AND NOT regexp_matches(b, '(?:Mr|Mrs|Ms|Miss|Dr|Prof)\\.?[ \\t\\n]+$')",
+}
+_LOCAL, _DOMAIN = "split_part(lower(hit), '@', 1)", "split_part(lower(hit), '@', 2)"
+_NAMES = f"len(list_filter(list_transform({_WORD.replace('hit', 'lower(hit)')}, lambda p: rtrim(p, '.')), lambda p: p NOT IN ('mr', 'mrs', 'ms', 'miss', 'dr', 'prof') AND p NOT IN {_in(P.PLACEHOLDER_NAMES)})) = 0"
+_FAKE = {
+    "email": f"{_DOMAIN} IN {_in(P.PLACEHOLDER_DOMAINS)} OR regexp_matches({_DOMAIN}, '\\.(example|test)$') OR {_LOCAL} IN {_in(P.PLACEHOLDER_LOCALS)} OR regexp_matches({_LOCAL}, '^(user|test|sample|foo|bar)[0-9]*$') OR {_has(_DOMAIN, ('example', 'placeholder', 'fake'))}",
+    "phone": f"{_has(DIGITS, P.PLACEHOLDER_DIGITS)} OR {_KINDS(DIGITS)} <= 2 OR {DIGITS} IN {_in(P.WHOLE_NUMBERS)}",
+    "iban": f"starts_with({COMPACT}, 'XX') OR contains({COMPACT}, 'EXAMPLE') OR {_KINDS(f'substr({COMPACT}, 5)')} <= 2 OR NOT {_MOD97}",
+    "card": f"{_KINDS(DIGITS)} <= 2 OR (starts_with({DIGITS}, '4444') AND {_KINDS(DIGITS)} <= 3) OR {DIGITS} IN {_in(P.TEST_CARDS)} OR NOT {_LUHN}",
+    "street": f"{_has('lower(hit)', P.STREET_WORDS)} OR regexp_extract(lower(hit), '^[0-9]+ ([a-z0-9.''\\-]+)', 1) IN {_in(P.PLACEHOLDER_STREETS)}",
+    **dict.fromkeys(("name_full", "name_titled", "name_given"), _NAMES),
+}
+_MASK = "array_to_string(list_transform(range(1, len(hit) + 1), lambda i: CASE WHEN regexp_matches(substr(hit, i, 1), '[0-9]') AND len(regexp_replace(substr(hit, i + 1), '[^0-9]', '', 'g')) >= 2 THEN 'X' ELSE substr(hit, i, 1) END), '')"
+_SHOWN = {
+    "email": "left(split_part(hit, '@', 1), 1) || CASE WHEN len(split_part(hit, '@', 1)) <= 2 THEN '*' ELSE repeat('*', len(split_part(hit, '@', 1)) - 3) || right(split_part(hit, '@', 1), 2) END || '@' || left(split_part(hit, '@', 2), 1) || '***.' || string_split(hit, '.')[-1]",
+    **dict.fromkeys(("phone", "iban", "card"), _MASK),
+    "street": "regexp_replace(hit, '[0-9]', 'X', 'g')",
+    **dict.fromkeys(("name_full", "name_titled", "name_given"), f"array_to_string(list_transform({_WORD}, lambda p: left(p, 1) || repeat('*', len(p) - 1)), ' ')"),
+}
+
+
+def _pii_sql() -> str:
+    """Common table expression hits (doc_id, file, family, channel, hit, label, redacted)."""
+    values = ", ".join(f"({i}, 'samples', 'lines', {'NULL' if t is None else chr(39) + _quote(t) + chr(39)})" for i, t in SAMPLES)
+    src = f"src AS (SELECT doc_id, 'documents' AS file, lang AS family, text FROM documents UNION ALL SELECT * FROM (VALUES {values}) v(doc_id, file, family, text))"
+    one = lambda c: f"SELECT doc_id, file, family, '{c}' AS channel, hit, CASE WHEN {_FAKE[c]} THEN '{P.PLACEHOLDER}' ELSE '{P.REAL}' END AS label, {_SHOWN[c]} AS redacted FROM (SELECT doc_id, file, family, p[2 * i] AS hit, right(p[2 * i - 1], 32) AS b, left(p[2 * i + 1], 32) AS a FROM (SELECT *, unnest(range(1, len(p) // 2 + 1)) AS i FROM (SELECT doc_id, file, family, string_split(regexp_replace(text, '({_quote(P.CHANNELS[c])})', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS p FROM src))) WHERE {_COUNTS[c]}"
+    return f"WITH {src}, hits AS ({' UNION ALL '.join(map(one, P.CHANNELS))})"
+
+
+PII = _pii_sql()
+
+
+def _channel(name: str):
     def f(spark, d):
-        h = P.hits(read(spark, d, "documents").select("doc_id", "text", "lang"), "doc_id", "text", "lang")
-        return h.where(F.col("channel") == name).select("doc_id", "hit")
+        return _pii(spark, d).where(F.col("channel") == name).select("doc_id", "hit", "label", "redacted")
 
     f.__name__ = f"pii_{name}"
-    query(_channel_sql(name, where) if where else None)(f)
-
+    query(f"{PII} SELECT doc_id, hit, label, redacted FROM hits WHERE channel = '{name}'")(f)
 
-_channel("email")
-_channel("phone", f"len({DIGITS}) BETWEEN 10 AND 15")
-_channel("street")
-_channel("titled_name")
-_channel("card", "")
-_channel("iban", "")
 
+for _name in P.CHANNELS:
+    _channel(_name)
 
-def _pii(spark, d):
-    return P.hits(read(spark, d, "documents").select("doc_id", "text", "lang"), "doc_id", "text", "lang")
 
-
-@query()
-def pii_names(spark, d):
-    return P.name_hits(read(spark, d, "documents"), "doc_id", "text")
+@query(f"{PII} SELECT file, family, channel, label, count(*) AS n FROM hits GROUP BY 1, 2, 3, 4")
+def pii_rollup(spark, d):
+    return P.rollup(_pii(spark, d), "file", "family")
 
 
-_SIMPLE = " UNION ALL ".join(f"SELECT doc_id, lang, '{c}' AS channel, hit FROM ({_channel_sql(c, w).replace('SELECT doc_id, hit', 'SELECT doc_id, lang, hit').replace('SELECT doc_id, unnest', 'SELECT doc_id, lang, unnest')})" for c, w in (("email", "true"), ("phone", f"len({DIGITS}) BETWEEN 10 AND 15"), ("street", "true"), ("titled_name", "true")))
-LABEL = f"CASE WHEN channel = 'email' AND regexp_matches(lower(hit), '(example\\.com|example\\.org|example\\.net|test\\.com)$') THEN 'placeholder' WHEN channel = 'phone' AND (len(list_distinct(string_split({DIGITS}, ''))) <= 3 OR contains({DIGITS}, '555')) THEN 'placeholder' ELSE 'real' END"
+_EX = f"label <> '{P.REAL}', family, redacted"
 
 
-@query(f"SELECT lang AS family, channel, label, count(*) AS n FROM (SELECT lang, channel, {LABEL} AS label FROM ({_SIMPLE})) GROUP BY 1, 2, 3")
-def pii_rollup(spark, d):
-    return P.rollup(_pii(spark, d).where(F.col("channel").isin("email", "phone", "street", "titled_name")))
+@query(f"{PII}, f AS (SELECT channel, label, redacted, min(family) AS family FROM hits GROUP BY 1, 2, 3), p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY {_EX}) AS r FROM f) WHERE r <= 40), c AS (SELECT *, row_number() OVER (PARTITION BY channel, label ORDER BY {_EX}) AS c FROM p) SELECT channel, label, redacted FROM c ORDER BY c > CASE WHEN channel IN {_in(P.CONTACT)} THEN 4 ELSE 3 END, list_position({_list(P.CHANNELS)}, channel), {_EX} LIMIT 20")
+def pii_examples(spark, d):
+    return P.examples(_pii(spark, d), "family")
 
 
-@query(f"SELECT channel, hit FROM (SELECT channel, hit, row_number() OVER (PARTITION BY channel ORDER BY md5(hit), hit) AS rn FROM (SELECT DISTINCT channel, hit FROM ({_SIMPLE}))) WHERE rn <= 4")
-def pii_examples(spark, d):
-    h = _pii(spark, d).where(F.col("channel").isin("email", "phone", "street", "titled_name")).select("channel", "hit").distinct()
-    return h.withColumn("rn", F.row_number().over(W.partitionBy("channel").orderBy(F.md5("hit"), "hit"))).where("rn <= 4").drop("rn")
+_VERDICT = f"count(CASE WHEN channel IN {_in(P.CONTACT)} AND label = '{P.REAL}' THEN 1 END) AS contact_real, count(CASE WHEN channel IN {_in(P.CONTACT)} AND label <> '{P.REAL}' THEN 1 END) AS contact_placeholder, count(CASE WHEN channel IN ('name_full', 'name_titled') AND label = '{P.REAL}' THEN 1 END) AS full_real, count(CASE WHEN channel = 'name_given' AND label = '{P.REAL}' THEN 1 END) AS given_real"
 
 
-@query(f"SELECT r AS real, p AS placeholder, CASE WHEN r > 0 THEN 'review' WHEN p > 0 THEN 'placeholders only' ELSE 'clean' END AS verdict FROM (SELECT count(CASE WHEN label = 'real' THEN 1 END) AS r, count(CASE WHEN label = 'placeholder' THEN 1 END) AS p FROM (SELECT {LABEL} AS label FROM ({_SIMPLE})))")
+@query(f"{PII}, v AS (SELECT file, {_VERDICT} FROM hits GROUP BY 1 UNION ALL SELECT 'all', {_VERDICT} FROM hits) SELECT *, CASE WHEN contact_real > 0 THEN 'contact-looks-real' WHEN full_real + given_real > 0 THEN 'names-only' WHEN contact_placeholder > 0 THEN 'contact-placeholder-only' ELSE 'clean' END AS verdict FROM v")
 def pii_verdict(spark, d):
-    return P.verdict(_pii(spark, d).where(F.col("channel").isin("email", "phone", "street", "titled_name"))).select("real", "placeholder", "verdict")
+    """The verdict on each file and on all."""
+    found = _pii(spark, d)
+    out = P.verdict(found).withColumn("file", F.lit("all"))
+    for file in ("documents", "samples"):
+        out = out.unionByName(P.verdict(found.where(F.col("file") == file)).withColumn("file", F.lit(file)))
+    return out
 
 
 def _redact_sql() -> str:
     t = "text"
-    for name, p in P.CHANNELS.items():
-        t = f"regexp_replace({t}, '{p}', '[{name.upper()}]', 'g')"
+    for name in P.CONTACT:
+        t = f"regexp_replace({t}, '{_quote(P.CHANNELS[name])}', '[{name.upper()}]', 'g')"
     return t
 
 
