@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _modules():
-    from . import answers, datasets, generated, texts
+    from . import answers, datasets, generated, records, texts
 
-    return [answers, datasets, generated, texts]
+    return [answers, datasets, generated, records, texts]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
