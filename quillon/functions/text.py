@@ -130,3 +130,91 @@ def iter_strings(text: pd.Series) -> pd.Series:
         return out
 
     return text.map(one)
+
+
+@F.pandas_udf(T.StringType())
+def pretty_json(text: pd.Series) -> pd.Series:
+    """JSON text over several lines, keys in the order they have; other text as it is."""
+
+    def one(t):
+        try:
+            return json.dumps(json.loads(t), indent=2, ensure_ascii=False)
+        except (TypeError, ValueError):
+            return t
+
+    return text.map(one)
+
+
+def row_id(df, names: tuple[str, ...], fallback: Column) -> Column:
+    """The first of the named columns that there is and that isn't null, else fallback."""
+    return F.coalesce(*[F.col(c).cast("string") for c in names if c in df.columns], fallback)
+
+
+def source_of(row_id: Column) -> Column:
+    """What stands before the first colon."""
+    return F.split_part(row_id, F.lit(":"), F.lit(1))
+
+
+def main_field(state: Column) -> Column:
+    """The key of a map's longest text, the first one on ties; null texts count as empty."""
+    longest = lambda a, b: F.when(F.length(F.coalesce(F.element_at(state, b), F.lit(""))) > F.length(F.coalesce(F.element_at(state, a), F.lit(""))), b).otherwise(a)
+    keys = F.map_keys(state)
+    return F.aggregate(F.slice(keys, F.lit(2), F.greatest(F.size(keys) - 1, F.lit(0))), keys[0], longest)
+
+
+def with_text(state: Column, field: Column, f) -> Column:
+    """The map with one field's text replaced by f of it."""
+    return F.transform_values(state, lambda k, v: F.when(k == field, f(v)).otherwise(v))
+
+
+def without_nulls(state: Column) -> Column:
+    """The map without keys whose value is null."""
+    return F.map_filter(state, lambda k, v: v.isNotNull())
+
+
+def label_of(qtype: Column, at: Column, labels: Column, ids: Column, levels: Column) -> Column:
+    """The answer at a place in words: yes or no, a candidate's label or else its id, a level's text."""
+    said = F.coalesce(F.nullif(F.element_at(labels, at + 1), F.lit("")), F.element_at(ids, at + 1))
+    return F.when(qtype == "boolean", F.when(at == 1, "yes").otherwise("no")).when(qtype == "score", F.element_at(levels, at + 1)).otherwise(said)
+
+
+def ranking(p: Column) -> Column:
+    """Places (long, from 0) by falling p; ties stay in order."""
+    return F.transform(F.array_sort(F.transform(p, lambda x, i: F.struct((-x).alias("x"), i.cast("long").alias("i")))), lambda s: s["i"])
+
+
+def artifact_name(path: Column, net: str, tag: Column) -> Column:
+    """gguf-LEVEL or mlx-LEVEL of a file, and a plus with the tag where there is one."""
+    file = F.regexp_extract(path, "[^/]*$", 0)
+    packed = F.concat(F.lit("gguf-"), F.regexp_replace(F.regexp_replace(file, f"^{net}\\.", ""), r"\.gguf$", ""))
+    base = F.when(F.endswith(path, F.lit(".gguf")), packed).otherwise(F.concat(F.lit("mlx-"), F.regexp_extract(file, "-mlx-([^-]*)$", 1)))
+    return F.when(F.coalesce(tag, F.lit("")) == "", base).otherwise(F.concat_ws("+", base, tag))
+
+
+def artifact_level(name: Column) -> Column:
+    """The level in an artifact's name; null for other names."""
+    return F.when(F.rlike(name, F.lit("^(gguf|mlx)-")), F.regexp_extract(name, "^[a-z]+-([^+]*)", 1))
+
+
+def run_tag(tag: Column, suffixes: tuple[str, ...], prefixes: dict[str, str]) -> Column:
+    """A run's tag without the first suffix that fits, prefixes rewritten."""
+    out = F.coalesce(*[F.when(F.endswith(tag, F.lit(x)), F.left(tag, F.length(tag) - len(x))) for x in suffixes], tag)
+    for old, new in prefixes.items():
+        out = F.when(F.startswith(out, F.lit(old)), F.concat(F.lit(new), F.substring(out, F.lit(len(old) + 1), F.length(out)))).otherwise(out)
+    return out
+
+
+def packed_layout(questions, key: str, order: str, n_state: str, n_question: str, candidates: list[int]):
+    """Of questions packed behind one state (key), a row per candidate: its first token, its first position, and how many tokens its last one sees.
+
+    Lengths are in tokens. A candidate sees the state, its own question and itself; positions
+    of each question go on from the state, those of each candidate from its question.
+    """
+    from pyspark.sql.window import Window as W
+
+    all_ = sum(candidates)
+    before = F.sum(F.col(n_question) + all_).over(W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, 0)) - F.col(n_question) - all_
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("candidate"), F.lit(sum(candidates[:i])).alias("at"), F.lit(k).alias("k")) for i, k in enumerate(candidates)]))
+    rows = questions.withColumn("before", before).select("*", each.alias("c"))
+    own = F.col(n_state) + F.col(n_question)
+    return rows.select(key, order, F.col("c.candidate").alias("candidate"), (own + F.col("before") + F.col("c.at")).alias("token"), own.alias("position"), (own + F.col("c.k")).alias("visible"))

@@ -88,18 +88,28 @@ def family_weights(df: DataFrame, by: str, alpha: float) -> DataFrame:
     return c.crossJoin(total).select(by, "n", (F.col("w") / F.col("all_")).alias("p_family"), (F.col("w") / F.col("all_") / F.col("n")).alias("p_row"))
 
 
-def prior_augment(df: DataFrame, key: str, group: str, text: str, target: str, share: float, salt: str = "pick") -> DataFrame:
-    """For a share of rows, a row with another row's text of the same group and the group's mean target.
+def prior_augment(df: DataFrame, key: str, group: str, text: str, target: str, share: float, salt: str = "pick", buckets: int = 256) -> DataFrame:
+    """(key, group, corruption, donor, text, mean_target): for a share of rows, a row with a corrupted text and its group's mean target.
 
-    Groups of one row are left alone. Donors are found by rank, one equi-join.
+    Half of them, by a hash, get another row's text of the same group, the others the first
+    fifth of their own words (four at least, all if there are eight or fewer) in drawn
+    order. Groups of one row are left alone. Donors are found by an exact rank that no task
+    counts a whole group for.
     """
-    sized = df.withColumn("r", F.row_number().over(W.partitionBy(group).orderBy(key)) - 1)
-    n = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg(target).alias("mean_target"))
-    taken = sized.join(n, group).where(F.col("n") >= 2).where(coin(F.col(key).cast("string"), share, salt))
+    spread = df.withColumn("__b", F.pmod(F.xxhash64(key), F.lit(buckets)))
+    sizes = spread.groupBy(group, "__b").agg(F.count(F.lit(1)).alias("__n"), F.sum(F.col(target).cast("double")).alias("__s"))
+    before = W.partitionBy(group).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    sizes = sizes.select(group, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"), F.sum("__n").over(W.partitionBy(group)).alias("n"), (F.sum("__s").over(W.partitionBy(group)) / F.sum("__n").over(W.partitionBy(group))).alias("mean_target"))
+    ranked = spread.withColumn("__r", F.row_number().over(W.partitionBy(group, "__b").orderBy(key)) - 1).join(sizes, [group, "__b"]).withColumn("r", F.col("__first") + F.col("__r"))
+    taken = ranked.where(F.col("n") >= 2).where(coin(F.col(key).cast("string"), share, salt))
+    taken = taken.withColumn("corruption", F.when(draw(2, F.lit("corrupt"), F.col(key)) == 0, "donor").otherwise("shuffled"))
     step = 1 + draw(F.col("n") - 1, F.lit("donor"), F.col(key))
-    want = taken.select(key, group, F.pmod(F.col("r") + step, F.col("n")).cast("int").alias("r"), "mean_target")
-    donor = sized.select(group, "r", F.col(key).alias("donor"), F.col(text).alias("donor_text"))
-    return want.join(donor, [group, "r"]).select(key, group, "donor", "donor_text", "mean_target")
+    want = taken.select(key, group, "corruption", F.when(F.col("corruption") == "donor", F.pmod(F.col("r") + step, F.col("n"))).alias("r"), F.col(text).alias("own"), "mean_target")
+    donor = ranked.select(group, "r", F.col(key).alias("donor"), F.col(text).alias("donor_text"))
+    words = F.filter(F.split("own", "[ \t\n]+"), lambda w: w != "")
+    few = F.when(F.size(words) > 8, F.slice(words, F.lit(1), F.greatest(F.lit(4), (F.size(words) / 5).cast("int")))).otherwise(words)
+    drawn = F.transform(F.array_sort(F.transform(few, lambda w, i: F.struct(F.md5(F.concat_ws("|", F.col(key).cast("string"), i.cast("string"))).alias("h"), w.alias("w")))), lambda x: x["w"])
+    return want.join(donor, [group, "r"], "left").select(key, group, "corruption", "donor", F.coalesce("donor_text", F.array_join(drawn, " ")).alias("text"), "mean_target")
 
 
 def greedy_pack(df: DataFrame, shard: str, key: str, k: str, width: str, budget: int) -> DataFrame:
@@ -122,9 +132,10 @@ def greedy_pack(df: DataFrame, shard: str, key: str, k: str, width: str, budget:
     return df.select(shard, key, k, width).groupBy(shard).applyInPandas(f, f"{shard} {types[shard]}, {key} {types[key]}, pack long")
 
 
-def refund_decision(days: Column, condition: Column, tier: Column, opened: Column) -> Column:
-    """Ordered rules: late, damaged, opened, premium."""
-    return F.when(days > 30, "deny").when(condition == "damaged", "review").when(opened & (tier != "premium"), "partial").when(tier == "premium", "approve").when(days <= 14, "approve").otherwise("review")
+def refund_decision(days: Column, condition: Column, tier: Column, opened: Column, window: Column, defective: Column, grace: Column, fee: Column) -> Column:
+    """A case under a policy: defective goods have a window of their own and then a review; beyond the return window a gold customer's grace gets a review, others a refusal; opened goods cost the fee, if there is one."""
+    late = F.when((tier == "gold") & (days <= window + grace), "review").otherwise("reject")
+    return F.when(condition == "defective", F.when(days <= defective, "approve").otherwise("review")).when(days > window, late).when(opened & (fee > 0), "partial").otherwise("approve")
 
 
 def urn_probs(counts: Column) -> Column:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.functions import vec
 from quillon.functions.hashing import draw
 from quillon.operators.dataset import refund_decision, urn_probs
 
-CONDITIONS = ("good", "damaged")
-TIERS = ("basic", "plus", "premium")
+CONDITIONS = ("unopened", "opened", "defective")
+TIERS = ("standard", "standard", "gold")
 COLOURS = ("red", "blue", "green", "black", "white", "yellow")
 
 
@@ -18,11 +19,18 @@ def _pick(names: tuple[str, ...], *parts):
 
 
 def refund_cases(spark: SparkSession, n: int, seed: int = 1) -> DataFrame:
-    """(id, days, condition, tier, opened, text, decision)."""
+    """(id, source_group, policy and case columns, text, decision): drawn policies and cases with the decision that follows; the group is the policy."""
     i, s = F.col("id"), F.lit(seed)
-    rows = spark.range(n).select("id", draw(60, s, F.lit("days"), i).cast("int").alias("days"), _pick(CONDITIONS, s, F.lit("cond"), i).alias("condition"), _pick(TIERS, s, F.lit("tier"), i).alias("tier"), (draw(2, s, F.lit("open"), i) == 1).alias("opened"))
-    text = F.concat(F.lit("Bought "), F.col("days").cast("string"), F.lit(" days ago, "), F.col("condition"), F.lit(", customer "), F.col("tier"), F.when(F.col("opened"), ", opened.").otherwise(", sealed."))
-    return rows.withColumn("text", text).withColumn("decision", refund_decision(F.col("days"), F.col("condition"), F.col("tier"), F.col("opened")))
+    number = lambda name, *xs: F.element_at(F.array(*map(F.lit, xs)), (draw(len(xs), s, F.lit(name), i) + 1).cast("int")).alias(name)
+    rows = spark.range(n).select(
+        "id", number("window", 14, 30, 45, 60), number("defective", 90, 180, 365), number("grace", 0, 7, 14), number("fee", 0, 0, 10, 15),
+        draw(121, s, F.lit("days"), i).cast("int").alias("days"), _pick(CONDITIONS, s, F.lit("cond"), i).alias("condition"), _pick(TIERS, s, F.lit("tier"), i).alias("tier"),
+    )
+    opened = F.col("condition") != "unopened"
+    decision = refund_decision(F.col("days"), F.col("condition"), F.col("tier"), opened, F.col("window"), F.col("defective"), F.col("grace"), F.col("fee"))
+    text = F.format_string("Returns within %d days, defects within %d, gold grace %d, fee %d. Bought %d days ago, %s, %s customer.", "window", "defective", "grace", "fee", "days", "condition", "tier")
+    group = F.concat_ws(":", F.lit("refund"), "window", "defective", "grace", "fee")
+    return rows.select("id", group.alias("source_group"), "window", "defective", "grace", "fee", "days", "condition", "tier", opened.alias("opened"), text.alias("text"), decision.alias("decision"))
 
 
 def urns(spark: SparkSession, n: int, seed: int = 1) -> DataFrame:
@@ -47,3 +55,68 @@ def learning_rate(spark: SparkSession, steps: int, warmup: int, peak: float, flo
     t = (F.col("step") - warmup) / float(max(1, steps - warmup))
     lr = F.when(F.col("step") < warmup, F.lit(peak) * (F.col("step") + 1) / float(warmup)).otherwise(floor + (peak - floor) * 0.5 * (1 + F.cos(F.pi() * t)))
     return spark.range(steps).select(F.col("id").alias("step")).withColumn("lr", lr)
+
+
+#: Questions with replies that mean yes, no, or neither.
+REPLIES = (
+    ("Will you come to the game?", ("I bought a ticket weeks ago.", "Nothing could keep me away."), ("I am on call that night.", "My knee is in a cast."), ("If the rain stops.", "Maybe for the second half.")),
+    ("Is the soup any good?", ("I am on my third bowl.", "Ask for the recipe."), ("The dog left it alone.", "I would rather have water."), ("It needs salt, but it is warm.",)),
+    ("Did the parcel arrive?", ("I am wearing what was in it.",), ("The shelf in the hall is empty.", "They sent it back."), ("One of the two boxes did.",)),
+)
+MEANINGS = ("yes", "no", "conditional")
+
+
+def implicatures(spark: SparkSession, n: int, seed: int = 1) -> DataFrame:
+    """(id, source_group, question, reply, qtype, hard, probs): indirect replies with what they mean, as a choice and as a boolean of one group, the question."""
+    i, s = F.col("id"), F.lit(seed)
+    table = F.array(*[F.struct(F.lit(q).alias("q"), F.array(*[F.array(*map(F.lit, r)) for r in (a, b, c)]).alias("r")) for q, a, b, c in REPLIES])
+    rows = spark.range(n).select("id", F.element_at(table, (draw(len(REPLIES), s, F.lit("q"), i) + 1).cast("int")).alias("t"), draw(3, s, F.lit("m"), i).cast("int").alias("m"))
+    replies = F.element_at(F.col("t.r"), F.col("m") + 1)
+    rows = rows.select("id", F.col("t.q").alias("question"), F.element_at(replies, (draw(F.size(replies), s, F.lit("r"), i) + 1).cast("int")).alias("reply"), "m")
+    choice = F.struct(F.lit("choice").alias("qtype"), F.col("m").alias("hard"), vec.one_hot(3, "m").alias("probs"))
+    yes = (F.col("m") == 0).cast("int")
+    both = F.explode(F.array(choice, F.struct(F.lit("boolean").alias("qtype"), yes.alias("hard"), vec.one_hot(2, yes).alias("probs")))).alias("x")
+    return rows.select("id", F.concat(F.lit("implicature:"), "question").alias("source_group"), "question", "reply", both).select("id", "source_group", "question", "reply", "x.*")
+
+
+# What an answer about a related topic says of the topic asked about.
+FLIP = {"yes": "no", "no": "yes", "probably_yes": "probably_no", "probably_no": "probably_yes", "middle": "middle", "conditional": "conditional"}
+SUGGEST = {"yes": "probably_no", "probably_yes": "probably_no", "no": "probably_yes", "probably_no": "probably_yes", "middle": "middle", "conditional": "probably_no"}
+PARTIAL = {"yes": "middle", "probably_yes": "middle", "middle": "middle", "conditional": "conditional", "no": "probably_no", "probably_no": "probably_no"}
+
+
+def implied(level, relation):
+    """The label of an answer of a level: as it is where the topics are one (null), turned by their relation, or ``other`` for unrelated topics."""
+    turned = [F.when(relation == name, F.element_at(F.create_map(*[F.lit(x) for kv in rule.items() for x in kv]), level)) for name, rule in (("negate", FLIP), ("suggests_opposite", SUGGEST), ("partial", PARTIAL))]
+    return F.when(relation.isNull(), level).otherwise(F.coalesce(*turned, F.when(relation == "orthogonal", "other")))
+
+
+def topic_items(topics: DataFrame, contrasts: DataFrame, contexts: list[str], n: int, seed: int = 1) -> DataFrame:
+    """(topic, answer_topic, relation, level, question, answer, context, label): n distinct items of all there are, by a hash; fewer raise when read.
+
+    topics: (topic, question, level, answer). contrasts: (topic, answer_topic, relation). A
+    contrast asks about one topic and answers about the other.
+    """
+    asked, said = topics.select("topic", "question").distinct(), topics.select(F.col("topic").alias("answer_topic"), "level", "answer").distinct()
+    direct = asked.join(said, F.col("topic") == F.col("answer_topic")).withColumn("relation", F.lit(None).cast("string"))
+    related = contrasts.join(asked, "topic").join(said.where(F.col("level").isin("yes", "no", "middle", "conditional")), "answer_topic")
+    every = direct.unionByName(related).withColumn("context", F.explode(F.array(*map(F.lit, contexts)))).dropDuplicates(["question", "answer", "context"])
+    every = every.withColumn("label", implied(F.col("level"), F.col("relation")))
+    h = F.xxhash64(F.lit(seed), "question", "answer", "context")
+    out = every.orderBy(h, "question", "answer", "context").limit(n)
+    total = F.broadcast(every.agg(F.count(F.lit(1)).alias("__all")))  # one row
+    enough = F.when(F.col("__all") < n, F.raise_error(F.concat(F.lit("only "), F.col("__all").cast("string"), F.lit(" distinct items")))).otherwise(F.lit(True)).cast("boolean")
+    return out.crossJoin(total).where(enough).drop("__all")
+
+
+def merged(base: DataFrame, synthetic: DataFrame, key: str = "id") -> DataFrame:
+    """Training rows of both; a repeated id raises when read."""
+    both = base.unionByName(synthetic)
+    again = both.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    one = F.when(F.col("__n") > 1, F.raise_error(F.concat(F.lit("repeated id "), F.col(key).cast("string")))).otherwise(F.lit(True)).cast("boolean")
+    return both.join(again.where(one).select(key), key, "left_semi")
+
+
+def receipt(rows: DataFrame, label: str, role: str) -> DataFrame:
+    """(role, label, n): what a merge added, by role and label, and in all."""
+    return rows.rollup(role, label).agg(F.count(F.lit(1)).alias("n"))

@@ -163,12 +163,17 @@ def pack_questions_over_budget(spark, d):
 MIX = "(SELECT l.doc_id, lang, toxic, text FROM documents d JOIN labels l USING (doc_id))"
 
 
-@query(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS r, count(*) OVER (PARTITION BY lang) AS n, avg(toxic) OVER (PARTITION BY lang) AS m FROM {MIX}), w AS (SELECT doc_id, lang, m, (r + 1 + {md5_draw('n - 1', "'donor'", 'doc_id')}) % n AS want FROM r WHERE n >= 2 AND {COIN.replace('pick|0.25', 'pick|0.25')})
-SELECT w.doc_id, w.lang, r.doc_id AS donor, md5(r.text) AS donor_md5, round(w.m, 6) AS mean_target FROM w JOIN r ON r.lang = w.lang AND r.r = w.want""")
+@query(f"""WITH r AS (SELECT *, count(*) OVER (PARTITION BY lang) AS n, avg(toxic) OVER (PARTITION BY lang) AS m FROM {MIX}), w AS (SELECT doc_id, lang, m, text, {md5_draw('2', "'corrupt'", 'doc_id')} AS c FROM r WHERE n >= 2 AND {COIN}), ws AS (SELECT *, list_filter(string_split_regex(text, '[ \\t\\n]+'), lambda x: x <> '') AS all_ FROM w),
+fs AS (SELECT *, CASE WHEN len(all_) > 8 THEN all_[1:greatest(4, len(all_) // 5)] ELSE all_ END AS few FROM ws), s AS (SELECT doc_id, lang, m, c, array_to_string(list_transform(list_sort(list_transform(range(1, len(few) + 1), lambda i: {{'h': md5(doc_id || '|' || (i - 1)), 'w': few[i]}})), lambda x: x.w), ' ') AS shuffled FROM fs)
+SELECT doc_id, lang, CASE WHEN c = 0 THEN 'donor' ELSE 'shuffled' END AS corruption, CASE WHEN c = 1 THEN md5(shuffled) END AS shuffled_md5, true AS sound, round(m, 6) AS mean_target FROM s""")
 def prior_augmentation(spark, d):
+    """For a quarter of the rows a donor's text or their own words cut and shuffled; sound: a donor is another row of the group, and the text is its own."""
     rows = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id").select("doc_id", "lang", "toxic", "text")
     out = D.prior_augment(rows, "doc_id", "lang", "text", "toxic", 0.25)
-    return out.select("doc_id", "lang", "donor", F.md5("donor_text").alias("donor_md5"), F.round("mean_target", 6).alias("mean_target"))
+    told = rows.select(F.col("doc_id").alias("donor"), F.col("lang").alias("donor_lang"), F.col("text").alias("donor_text"))
+    sound = F.when(F.col("corruption") == "donor", (F.col("donor") != F.col("doc_id")) & (F.col("donor_lang") == F.col("lang")) & F.col("donor_text").eqNullSafe(F.col("text"))).otherwise(F.col("donor").isNull())
+    out = out.join(told, "donor", "left").withColumn("sound", F.coalesce(sound, F.lit(False)))
+    return out.select("doc_id", "lang", "corruption", F.when(F.col("corruption") == "shuffled", F.md5("text")).alias("shuffled_md5"), "sound", F.round("mean_target", 6).alias("mean_target"))
 
 
 @query("SELECT count(*) AS n_rows, count(DISTINCT doc_id) AS n_ids, count(*) - count(DISTINCT doc_id) AS repeated FROM (SELECT doc_id FROM documents UNION ALL SELECT doc_id FROM labels)")
@@ -190,14 +195,15 @@ def set_ops_ids(spark, d):
     return out
 
 
-REFUND = "CASE WHEN days > 30 THEN 'deny' WHEN cond = 'damaged' THEN 'review' WHEN opened AND tier <> 'premium' THEN 'partial' WHEN tier = 'premium' THEN 'approve' WHEN days <= 14 THEN 'approve' ELSE 'review' END"
+REFUND = "CASE WHEN cond = 'defective' THEN CASE WHEN days <= defective THEN 'approve' ELSE 'review' END WHEN days > win THEN CASE WHEN tier = 'gold' AND days <= win + grace THEN 'review' ELSE 'reject' END WHEN opened AND fee > 0 THEN 'partial' ELSE 'approve' END"
 
 
-@query(f"SELECT decision, count(*) AS n FROM (SELECT {REFUND} AS decision FROM (SELECT date_diff('day', o_orderdate, l_shipdate) AS days, CASE WHEN l_returnflag = 'R' THEN 'damaged' ELSE 'good' END AS cond, l_linestatus = 'O' AS opened, CASE WHEN substr(o_orderpriority, 1, 1) = '1' THEN 'premium' ELSE 'basic' END AS tier FROM orders JOIN lineitem ON o_orderkey = l_orderkey)) GROUP BY 1")
+@query(f"SELECT decision, count(*) AS n FROM (SELECT {REFUND} AS decision FROM (SELECT date_diff('day', o_orderdate, l_shipdate) AS days, CASE WHEN l_returnflag = 'R' THEN 'defective' ELSE 'opened' END AS cond, l_linestatus = 'O' AS opened, CASE WHEN substr(o_orderpriority, 1, 1) = '1' THEN 'gold' ELSE 'standard' END AS tier, [14, 30, 45, 60][o_orderkey % 4 + 1] AS win, 90 AS defective, 14 AS grace, o_orderkey % 3 * 5 AS fee FROM orders JOIN lineitem ON o_orderkey = l_orderkey)) GROUP BY 1")
 def refund_rules(spark, d):
     c = read(spark, d, "orders").join(read(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    tier = F.when(F.substring("o_orderpriority", 1, 1) == "1", "premium").otherwise("basic")
-    rule = D.refund_decision(F.datediff("l_shipdate", "o_orderdate"), F.when(F.col("l_returnflag") == "R", "damaged").otherwise("good"), tier, F.col("l_linestatus") == "O")
+    tier = F.when(F.substring("o_orderpriority", 1, 1) == "1", "gold").otherwise("standard")
+    window = F.element_at(F.array(*map(F.lit, (14, 30, 45, 60))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    rule = D.refund_decision(F.datediff("l_shipdate", "o_orderdate"), F.when(F.col("l_returnflag") == "R", "defective").otherwise("opened"), tier, F.col("l_linestatus") == "O", window, F.lit(90), F.lit(14), F.col("o_orderkey") % 3 * 5)
     return c.select(rule.alias("decision")).groupBy("decision").agg(F.count(F.lit(1)).alias("n"))
 
 

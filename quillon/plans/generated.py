@@ -10,7 +10,7 @@ from quillon.operators import generators as G
 
 from .answers import TWO
 from .base import md5_draw, over, pred_sql, predictions, read
-from .datasets import IDENT
+from .datasets import IDENT, REFUND
 
 Q, SQL = {}, {}
 
@@ -25,12 +25,64 @@ def query(sql: str | None = None):
     return add
 
 
-_CASES = f"SELECT id, {md5_draw('60', '1', chr(39) + 'days' + chr(39), 'id')} AS days, ['good', 'damaged'][{md5_draw('2', '1', chr(39) + 'cond' + chr(39), 'id')} + 1] AS cond, ['basic', 'plus', 'premium'][{md5_draw('3', '1', chr(39) + 'tier' + chr(39), 'id')} + 1] AS tier, {md5_draw('2', '1', chr(39) + 'open' + chr(39), 'id')} = 1 AS opened FROM range(0, 500) r(id)"
+_d = lambda m, *p: md5_draw(str(m), "1", *[f"'{x}'" if x.isalpha() and x != "id" else x for x in p])
+_CASES = f"SELECT id, [14, 30, 45, 60][{_d(4, 'window', 'id')} + 1] AS win, [90, 180, 365][{_d(3, 'defective', 'id')} + 1] AS defective, [0, 7, 14][{_d(3, 'grace', 'id')} + 1] AS grace, [0, 0, 10, 15][{_d(4, 'fee', 'id')} + 1] AS fee, {_d(121, 'days', 'id')} AS days, ['unopened', 'opened', 'defective'][{_d(3, 'cond', 'id')} + 1] AS cond, ['standard', 'standard', 'gold'][{_d(3, 'tier', 'id')} + 1] AS tier FROM range(0, 500) r(id)"
 
 
-@query(f"SELECT id, days, cond AS condition, tier, opened, 'Bought ' || days || ' days ago, ' || cond || ', customer ' || tier || CASE WHEN opened THEN ', opened.' ELSE ', sealed.' END AS text, CASE WHEN days > 30 THEN 'deny' WHEN cond = 'damaged' THEN 'review' WHEN opened AND tier <> 'premium' THEN 'partial' WHEN tier = 'premium' THEN 'approve' WHEN days <= 14 THEN 'approve' ELSE 'review' END AS decision FROM ({_CASES})")
+@query(f"SELECT id, 'refund:' || win || ':' || defective || ':' || grace || ':' || fee AS source_group, days, cond AS condition, tier, opened, {REFUND} AS decision FROM (SELECT *, cond <> 'unopened' AS opened FROM ({_CASES}))")
 def refund_generator(spark, d):
-    return G.refund_cases(spark, 500)
+    return G.refund_cases(spark, 500).select("id", "source_group", "days", "condition", "tier", "opened", "decision")
+
+
+_T = "[" + ", ".join("{'q': '" + q + "', 'r': [" + ", ".join("[" + ", ".join(f"'{x}'" for x in r) + "]" for r in rs) + "]}" for q, *rs in G.REPLIES) + "]"
+
+
+@query(f"WITH a AS (SELECT id, {_T}[{_d(len(G.REPLIES), 'q', 'id')} + 1] AS t, {_d(3, 'm', 'id')} AS m FROM range(0, 400) r(id)), b AS (SELECT id, t.q AS question, t.r[m + 1][{md5_draw('len(t.r[m + 1])', '1', chr(39) + 'r' + chr(39), 'id')} + 1] AS reply, m FROM a) SELECT id, question, reply, 'choice' AS qtype, m AS hard FROM b UNION ALL SELECT id, question, reply, 'boolean', (m = 0)::INT FROM b")
+def implicature_generator(spark, d):
+    return G.implicatures(spark, 400).select("id", "question", "reply", "qtype", "hard")
+
+
+_LEVELS = ("yes", "no", "middle", "conditional", "probably_yes", "probably_no")
+_RELATIONS = ("negate", "suggests_opposite", "partial", "orthogonal")
+_RULES = " ".join(f"WHEN relation = '{r}' AND level = '{a}' THEN '{b}'" for r, rule in (("negate", G.FLIP), ("suggests_opposite", G.SUGGEST), ("partial", G.PARTIAL)) for a, b in rule.items())
+_IMPLIED = f"CASE WHEN relation IS NULL THEN level {_RULES} WHEN relation = 'orthogonal' THEN 'other' END"
+
+
+@query(f"SELECT doc_id, relation, level, {_IMPLIED} AS label FROM (SELECT doc_id, [NULL, {', '.join(repr(x) for x in _RELATIONS)}][doc_id % 5 + 1] AS relation, [{', '.join(repr(x) for x in _LEVELS)}][doc_id % 6 + 1] AS level FROM documents)")
+def implied_labels(spark, d):
+    """What an answer of each level says under each relation of its topic to the one asked about."""
+    i = F.col("doc_id")
+    relation = F.element_at(F.array(F.lit(None), *map(F.lit, _RELATIONS)), (i % 5 + 1).cast("int"))
+    level = F.element_at(F.array(*map(F.lit, _LEVELS)), (i % 6 + 1).cast("int"))
+    return read(spark, d, "documents").select("doc_id", relation.alias("relation"), level.alias("level")).withColumn("label", G.implied(F.col("level"), F.col("relation")))
+
+
+_TOPICS = "SELECT p_brand AS topic, 'Do you like ' || p_type || '?' AS question, ['yes', 'no', 'middle', 'conditional', 'probably_yes'][p_size % 5 + 1] AS level, 'About ' || p_brand || ' of size ' || p_size || '.' AS answer FROM part"
+_EVERY = f"WITH t AS ({_TOPICS}), asked AS (SELECT DISTINCT topic, question FROM t), said AS (SELECT DISTINCT topic AS answer_topic, level, answer FROM t), c AS (SELECT a.topic, b.topic AS answer_topic, ['negate', 'partial', 'orthogonal'][len(a.topic || b.topic) % 3 + 1] AS relation FROM (SELECT DISTINCT topic FROM t) a JOIN (SELECT DISTINCT topic FROM t) b ON b.topic > a.topic AND substr(a.topic, 7, 1) = substr(b.topic, 7, 1)), e AS (SELECT asked.topic, answer_topic, NULL AS relation, level, question, answer FROM asked JOIN said ON topic = answer_topic UNION ALL SELECT c.topic, c.answer_topic, relation, level, question, answer FROM c JOIN asked ON asked.topic = c.topic JOIN said ON said.answer_topic = c.answer_topic WHERE level IN ('yes', 'no', 'middle', 'conditional'))"
+
+
+@query(_EVERY + " SELECT relation, count(*) AS n FROM (SELECT DISTINCT question, answer, relation FROM e, (VALUES ('at dinner'), ('on a walk')) v(context)) GROUP BY 1")
+def topic_items_by_relation(spark, d):
+    """All distinct items of a topic graph over parts, by relation; question and answer tell the context apart."""
+    p = read(spark, d, "part")
+    level = F.element_at(F.array(*map(F.lit, ("yes", "no", "middle", "conditional", "probably_yes"))), F.col("p_size") % 5 + 1)
+    t = p.select(F.col("p_brand").alias("topic"), F.concat(F.lit("Do you like "), "p_type", F.lit("?")).alias("question"), level.alias("level"), F.concat(F.lit("About "), "p_brand", F.lit(" of size "), F.col("p_size").cast("string"), F.lit(".")).alias("answer"))
+    names = t.select("topic").distinct()
+    other = names.select(F.col("topic").alias("answer_topic"))
+    pairs = names.join(other, (F.substring("topic", 7, 1) == F.substring("answer_topic", 7, 1)) & (F.col("answer_topic") > F.col("topic")))
+    relation = F.element_at(F.array(*map(F.lit, ("negate", "partial", "orthogonal"))), (F.length(F.concat("topic", "answer_topic")) % 3 + 1).cast("int"))
+    asked, said = t.select("topic", "question").distinct(), t.select(F.col("topic").alias("answer_topic"), "level", "answer").distinct()
+    direct = asked.join(said, F.col("topic") == F.col("answer_topic")).withColumn("relation", F.lit(None).cast("string"))
+    related = pairs.withColumn("relation", relation).join(asked, "topic").join(said.where(F.col("level").isin("yes", "no", "middle", "conditional")), "answer_topic")
+    return direct.unionByName(related).select("question", "answer", "relation").distinct().groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("WITH m AS (SELECT doc_id::VARCHAR AS id, 'base' AS role, CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS label FROM labels UNION ALL SELECT 's' || item_id, 'synthetic', 'item' FROM benchmark) SELECT role, label, count(*) AS n FROM m GROUP BY ROLLUP (role, label)")
+def merge_receipt(spark, d):
+    """Rows of a base and of a synthetic set, merged with ids that must be distinct, counted by role and label."""
+    base = read(spark, d, "labels").select(F.col("doc_id").cast("string").alias("id"), F.lit("base").alias("role"), F.when(F.col("quality") == 1, "good").otherwise("bad").alias("label"))
+    synthetic = read(spark, d, "benchmark").select(F.concat(F.lit("s"), "item_id").alias("id"), F.lit("synthetic").alias("role"), F.lit("item").alias("label"))
+    return G.receipt(G.merged(base, synthetic), "label", "role")
 
 
 _URN = f"SELECT id, list_transform(range(1, {md5_draw('5', '1', chr(39) + 'k' + chr(39), 'id')} + 3), lambda j: {md5_draw('12', '1', chr(39) + 'c' + chr(39), 'id', 'j')} + 1) AS counts FROM range(0, 300) r(id)"
