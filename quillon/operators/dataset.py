@@ -75,9 +75,30 @@ def balanced_sample(df: DataFrame, n: int, by: str, key: str, seed: int = 0) ->
     return first_n(df, n, [by], [draw(1_000_000_007, F.lit(seed), F.col(key)), F.col(key)])
 
 
+#: Questions that one task packs, about.
+SHARD = 50_000
+
+
+def ordered_rank(keys: DataFrame, key: str, sample: int = 4096, cuts: int = 256) -> DataFrame:
+    """keys (distinct) with rank (long, from 0) in order, exact, with no task that holds them all.
+
+    Keys are dealt to ranges between ``cuts`` values of a sample by hash, ranked within
+    each, and moved by the number of keys in the ranges before.
+    """
+    some = sorted(r[0] for r in keys.select(key).where(F.col(key).isNotNull()).orderBy(F.xxhash64(key)).limit(sample).collect())  # bounded
+    marks = [some[i] for i in range(len(some) // cuts, len(some), max(1, len(some) // cuts))] if len(some) > cuts else []
+    kind = keys.schema[key].dataType
+    bounds = F.array(*[F.lit(m).cast(kind) for m in marks]).cast(T.ArrayType(kind))
+    dealt = keys.withColumn("__range", F.size(F.filter(bounds, lambda b: b <= F.col(key))))
+    sizes = dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))  # one row a range
+    first = sizes.select("__range", F.coalesce(F.sum("__n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__first"))
+    ranked = dealt.withColumn("__r", F.row_number().over(W.partitionBy("__range").orderBy(key)) - 1)
+    return ranked.join(F.broadcast(first), "__range").select(*keys.columns, (F.col("__first") + F.col("__r")).alias("rank"))  # cuts rows
+
+
 def every_nth_group(df: DataFrame, group: str, n: int = 14) -> DataFrame:
     """Rows of each n-th group in order; groups, not rows, are numbered."""
-    g = df.select(group).distinct().withColumn("__i", F.row_number().over(W.orderBy(group)) - 1).where(F.pmod("__i", F.lit(n)) == 0).select(group)
+    g = ordered_rank(df.select(group).distinct(), group).where(F.pmod("rank", F.lit(n)) == 0).select(group)
     return df.join(g, group, "left_semi")
 
 
@@ -145,8 +166,14 @@ def urn_probs(counts: Column) -> Column:
     return F.concat(head, F.array(F.lit(1.0) - F.aggregate(head, F.lit(0.0), lambda a, x: a + x)))
 
 
-def warmup_percentiles(df: DataFrame, by: str, order: list[Column], value: str, skip: int = 20) -> DataFrame:
-    kept = df.withColumn("__rn", F.row_number().over(W.partitionBy(by).orderBy(*order))).where(F.col("__rn") > skip)
+def warmup_percentiles(df: DataFrame, by: str, order: list[str], value: str, skip: int = 20) -> DataFrame:
+    """n and percentiles of each key's values without its first ``skip`` rows in order, which all tasks cut before the shuffle finds them.
+
+    order: columns that tell a key's rows apart.
+    """
+    at = F.struct(*order)
+    last = first_n(df.select(by, at.alias("__at")), skip, [by], [F.col("__at")]).groupBy(by).agg(F.max("__at").alias("__last"))
+    kept = df.join(last, by).where(at > F.col("__last"))
     return kept.groupBy(by).agg(F.count(F.lit(1)).alias("n"), *[F.percentile(value, F.lit(q)).alias(n) for n, q in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99))])
 
 

@@ -1,31 +1,49 @@
-"""Bootstraps on sufficient statistics: rows are summed by group first; draws are hashes of (draw, slot)."""
+"""Bootstraps on sufficient statistics: rows are summed by group first; draws are hashes of (draw, group)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.hashing import draw
 
+#: Cumulative shares of how often a group is drawn (Poisson of mean 1), in millionths.
+SHARES = [int(1e6 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(7)]
+
 
-def group_sums(rows: DataFrame, group: str, **sums) -> DataFrame:
-    """(g from 0, n, sums): one row per group, numbered by group."""
-    from pyspark.sql.window import Window as W
+def group_sums(rows: DataFrame, group: str, **sums: Column) -> DataFrame:
+    """(g, n, sums): one row per group. A group's rows are drawn together."""
+    return rows.groupBy(F.col(group).alias("g")).agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()])
 
-    s = rows.groupBy(F.col(group).alias("__group")).agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()])
-    # groups only, after the sum over rows
-    return s.withColumn("g", F.row_number().over(W.orderBy("__group")) - 1)
 
+def times(seed: int) -> Column:
+    """How often draw b takes group g: Poisson of mean 1 by a hash, so groups need no numbers and no draw needs all groups."""
+    u = draw(1_000_000, F.lit(seed), F.col("b"), F.col("g"))
+    return sum((F.when(u >= s, 1).otherwise(0) for s in SHARES[1:]), F.when(u >= SHARES[0], 1).otherwise(0)).cast("double")
 
-def bootstrap(sums: DataFrame, statistic, draws: int = 200, seed: int = 0, least: int = 5) -> DataFrame:
+
+def bootstrap(sums: DataFrame, statistic: Column, draws: int = 500, seed: int = 0, least: int = 5) -> DataFrame:
     """(lo, hi, p_below): percentiles 2.5 and 97.5 and share at or below 0 of statistic over resampled groups; null under ``least`` groups.
 
-    statistic: a Column of the summed columns. Each draw takes as many groups as there are,
-    with replacement; draws x groups rows, so groups are the unit to keep few.
+    statistic: a Column of the summed columns. Each group meets each draw in its own task
+    and draws are summed before the shuffle, which holds one row a draw and task.
     """
-    columns = [c for c in sums.columns if c not in ("g", "__group")]
-    size = F.broadcast(sums.agg(F.count(F.lit(1)).cast("int").alias("k")))  # one row
-    slots = sums.sparkSession.range(draws).withColumnRenamed("id", "b").crossJoin(size).where(F.col("k") >= least).select("b", "k", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("slot"))
-    picks = slots.select("b", draw(F.col("k"), F.lit(seed), F.col("b"), F.col("slot")).cast("int").alias("g"))
-    each = picks.join(sums, "g").groupBy("b").agg(*[F.sum(c).alias(c) for c in columns]).select(statistic.alias("stat"))
-    return each.agg(F.percentile("stat", F.lit(0.025)).alias("lo"), F.percentile("stat", F.lit(0.975)).alias("hi"), F.avg((F.col("stat") <= 0).cast("double")).alias("p_below"))
+    columns = [c for c in sums.columns if c != "g"]
+    each = sums.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b")).withColumn("times", times(seed))
+    totals = each.groupBy("b").agg(F.count(F.lit(1)).alias("groups"), *[F.sum(F.col(c) * F.col("times")).alias(c) for c in columns])
+    stat = totals.where(F.col("groups") >= least).select(statistic.alias("stat"))
+    return stat.agg(F.percentile("stat", F.lit(0.025)).alias("lo"), F.percentile("stat", F.lit(0.975)).alias("hi"), F.avg((F.col("stat") <= 0).cast("double")).alias("p_below"))
+
+
+def gap(a: DataFrame, b: DataFrame, statistic: Column, draws: int = 1000, seed: int = 0) -> DataFrame:
+    """(lo, hi, p_below) of the statistic of a less that of b, each resampled by itself. a, b: group sums."""
+
+    def side(sums: DataFrame, at: int, name: str) -> DataFrame:
+        columns = [c for c in sums.columns if c != "g"]
+        each = sums.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b")).withColumn("times", times(at))
+        return each.groupBy("b").agg(*[F.sum(F.col(c) * F.col("times")).alias(c) for c in columns]).select("b", statistic.alias(name))
+
+    both = side(a, seed, "x").join(side(b, seed + 1, "y"), "b").select((F.col("x") - F.col("y")).alias("stat"))
+    return both.agg(F.percentile("stat", F.lit(0.025)).alias("lo"), F.percentile("stat", F.lit(0.975)).alias("hi"), F.avg((F.col("stat") <= 0).cast("double")).alias("p_below"))

@@ -21,9 +21,16 @@ def centroids(rows: DataFrame, vector: str, label: str) -> DataFrame:
     return each.agg(F.array_sort(F.collect_list(F.struct("label", "v"))).alias("centroids"))
 
 
+def few_labels(rows: DataFrame, label: str, most: int = 10_000) -> DataFrame:
+    """rows; over ``most`` labels raise, as what has a row a label is broadcast."""
+    if rows.select(label).distinct().limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} labels")
+    return rows
+
+
 def score_by_centroids(rows: DataFrame, key: str, vector: str, label: str, scale: float = 10.0) -> DataFrame:
     """(key, gold, z, p, t): softmax over scaled cosine to each label's centroid; no shuffle of rows."""
-    all_ = F.broadcast(centroids(rows, vector, label))  # one row: labels x dimensions numbers
+    all_ = F.broadcast(centroids(few_labels(rows, label), vector, label))  # one row: labels, 10,000 at most, x dimensions
     z = F.transform("centroids", lambda c: F.lit(scale) * vec.cosine(F.col(vector), c["v"]))
     out = rows.crossJoin(all_).select(key, F.col(label).alias("gold"), z.alias("z"))
     return out.withColumn("p", vec.softmax("z")).withColumn("t", vec.one_hot(F.size("z"), "gold"))
@@ -58,3 +65,22 @@ def decide(states: DataFrame, scorer: Scorer, max_questions: int = 64) -> DataFr
     p = z.withColumn("p", vec.softmax(F.transform("zs", lambda s: s["logit"]))).withColumn("candidate_ids", F.transform("zs", lambda s: s["cid"]))
     a = answers(p)
     return a.groupBy("state_id").agg(F.array_sort(F.collect_list(F.struct("q", F.col("id").alias("question"), "qtype", "candidate_ids", "p", "answer", "confidence", "score"))).alias("answers"))
+
+
+def scored_or_failed(rows: DataFrame, scorer: Scorer, schema: str, key: str = "id") -> DataFrame:
+    """rows (key, ...) scored a batch at a time, and row by row where a batch fails, so one bad row doesn't sink the others: (schema, error)."""
+
+    def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            try:
+                yield pd.concat(scorer(iter([b]))).assign(error=None)
+            except Exception:  # noqa: BLE001 - whatever a scorer raises is told of the rows that raise it
+                for i in range(len(b)):
+                    one = b.iloc[i : i + 1]
+                    try:
+                        yield pd.concat(scorer(iter([one]))).assign(error=None)
+                    except Exception as e:  # noqa: BLE001
+                        yield one[[key]].assign(error=f"{type(e).__name__}: {e}")
+
+    names = [c.split()[0] for c in schema.split(", ")]
+    return rows.mapInPandas(lambda bs: (x.reindex(columns=[*names, "error"]) for x in f(bs)), f"{schema}, error string")

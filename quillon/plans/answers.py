@@ -8,7 +8,8 @@ from pyspark.sql.window import Window as W
 from quillon.functions import vec
 from quillon.functions.hashing import draw
 from quillon.operators import metrics as M
-from quillon.operators.resample import bootstrap, group_sums
+from quillon.operators.scoring import few_labels
+from quillon.operators.resample import SHARES, bootstrap, gap, group_sums
 
 from .base import ARGMAX, BRIER, CONF, ENTROPY, HIT, NLL, md5_draw, over, pred_sql, predictions, read
 
@@ -138,15 +139,34 @@ def score_mae(spark, d):
     return predictions(spark, d).groupBy("family").agg(F.round(F.avg(F.abs(vec.expected_level("p") - F.col("gold"))), 6).alias("mae"))
 
 
-def _boot_sql(sums: str, stat: str, draws: int, seed: int) -> str:
-    pick = md5_draw("k", str(seed), "b", "slot")
-    return f"""s AS ({sums}), k AS (SELECT count(*) AS k FROM s), picks AS (SELECT b, {pick} AS g FROM range(0, {draws}) AS r(b) CROSS JOIN k CROSS JOIN range(0, 1000) AS q(slot) WHERE slot < k AND k >= 5),
-st AS (SELECT b, {stat} AS stat FROM picks JOIN s USING (g) GROUP BY 1) SELECT round(quantile_cont(stat, 0.025), 6) AS lo, round(quantile_cont(stat, 0.975), 6) AS hi, round(avg(CASE WHEN stat <= 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS p_below FROM st"""
+def _times(seed: int) -> str:
+    return "(" + " + ".join(f"(u{seed} >= {x})::INT" for x in SHARES) + ")"
 
 
-@query(PRED + ", " + _boot_sql(f"SELECT grp, row_number() OVER (ORDER BY grp) - 1 AS g, count(*) AS n, sum({HIT}) AS x FROM pred GROUP BY 1", "sum(x) / sum(n)", 200, 1))
+def _drawn(sums: str, stat: str, columns: list[str], draws: int, seed: int, least: int = 5) -> str:
+    """SQL of (b, stat): the statistic of each draw of the groups that ``sums`` gives as g and columns."""
+    u = md5_draw("1000000", str(seed), "b", "g")
+    totals = ", ".join(f"sum({c} * {_times(seed)}) AS {c}" for c in columns)
+    return f"(SELECT b, {stat} AS stat FROM (SELECT b, count(*) AS groups, {totals} FROM (SELECT *, {u} AS u{seed} FROM ({sums}) CROSS JOIN range(0, {draws}) r(b)) GROUP BY b) WHERE groups >= {least})"
+
+
+def _boot_sql(sums: str, stat: str, draws: int, seed: int, columns: tuple[str, ...] = ("n", "x")) -> str:
+    return f"st AS (SELECT * FROM {_drawn(sums, stat, list(columns), draws, seed)}) {_ENDS}"
+
+
+_ENDS = "SELECT round(quantile_cont(stat, 0.025), 6) AS lo, round(quantile_cont(stat, 0.975), 6) AS hi, round(avg(CASE WHEN stat <= 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS p_below FROM st"
+
+
+@query(PRED + ", " + _boot_sql(f"SELECT grp AS g, count(*) AS n, sum({HIT}) AS x FROM pred GROUP BY 1", "x / n", 500, 1))
 def group_bootstrap_ci(spark, d):
-    return bootstrap(group_sums(predictions(spark, d), "grp", x=M.hit()), F.col("x") / F.col("n"), 200, 1).select(*r6("lo", "hi", "p_below"))
+    return bootstrap(group_sums(predictions(spark, d), "grp", x=M.hit()), F.col("x") / F.col("n"), 500, 1).select(*r6("lo", "hi", "p_below"))
+
+
+@query(PRED + ", " + _boot_sql(f"SELECT vec_id // 5 AS g, count(*) AS n, sum({BRIER}) AS x FROM pred GROUP BY 1", "x / n", 2000, 4))
+def case_bootstrap(spark, d):
+    """Cases of five questions each, drawn whole."""
+    p = predictions(spark, d).withColumn("case", F.expr("vec_id div 5"))
+    return bootstrap(group_sums(p, "case", x=vec.brier("p", "t")), F.col("x") / F.col("n"), 2000, 4).select(*r6("lo", "hi", "p_below"))
 
 
 TWO = PRED + ", " + pred_sql(5.0, "other") + f", both_ AS (SELECT a.vec_id, a.family, a.grp, a.p AS p, b.p AS q, a.t AS t, a.gold AS gold FROM pred a JOIN other b USING (vec_id))"
@@ -159,17 +179,29 @@ def _two(spark, d):
     return predictions(spark, d).join(other, "vec_id")
 
 
-@query(TWO + ", " + _boot_sql(f"SELECT grp, row_number() OVER (ORDER BY grp) - 1 AS g, count(*) AS n, sum({BRIER} - {BRIER_Q}) AS x FROM both_ GROUP BY 1", "sum(x) / sum(n)", 200, 2))
+@query(TWO + ", " + _boot_sql(f"SELECT grp AS g, count(*) AS n, sum({BRIER} - {BRIER_Q}) AS x FROM both_ GROUP BY 1", "x / n", 2000, 2))
 def paired_bootstrap(spark, d):
     s = group_sums(_two(spark, d), "grp", x=vec.brier("p", "t") - vec.brier("q", "t"))
-    return bootstrap(s, F.col("x") / F.col("n"), 200, 2).select(*r6("lo", "hi", "p_below"))
+    return bootstrap(s, F.col("x") / F.col("n"), 2000, 2).select(*r6("lo", "hi", "p_below"))
+
+
+@query(TWO + ", " + _boot_sql(f"SELECT floor(list_sum(p[1:3]) * 10)::BIGINT AS g, count(*) AS n, sum({NLL} - {NLL_Q}) AS x FROM both_ GROUP BY 1", "x / n", 1000, 6))
+def state_group_bootstrap(spark, d):
+    """Rows drawn by the state that they share."""
+    state = F.floor(F.aggregate(F.slice("p", 1, 3), F.lit(0.0), lambda a, x: a + x) * 10)
+    s = group_sums(_two(spark, d).withColumn("state", state), "state", x=vec.nll("p", "t") - vec.nll("q", "t"))
+    return bootstrap(s, F.col("x") / F.col("n"), 1000, 6).select(*r6("lo", "hi", "p_below"))
 
 
-@query(PRED + ", " + _boot_sql(f"SELECT grp, row_number() OVER (ORDER BY grp) - 1 AS g, count(*) AS n, sum(CASE WHEN family = 'f0' THEN {HIT} END) AS a, count(CASE WHEN family = 'f0' THEN 1 END) AS na, sum(CASE WHEN family = 'f1' THEN {HIT} END) AS b, count(CASE WHEN family = 'f1' THEN 1 END) AS nb FROM pred GROUP BY 1".replace(" AS b,", " AS bb,"), "sum(a) / nullif(sum(na), 0) - sum(bb) / nullif(sum(nb), 0)", 200, 3))
+_SIDE = lambda f: f"SELECT vec_id AS g, 1 AS n, {HIT} AS x FROM pred WHERE family = '{f}'"
+
+
+@query(f"{PRED}, st AS (SELECT a.stat - b.stat AS stat FROM {_drawn(_SIDE('f0'), 'x / n', ['n', 'x'], 1000, 7, 0)} a JOIN {_drawn(_SIDE('f1'), 'x / n', ['n', 'x'], 1000, 8, 0)} b ON a.b = b.b) {_ENDS}")
 def gap_bootstrap(spark, d):
-    f0, f1 = F.col("family") == "f0", F.col("family") == "f1"
-    s = group_sums(predictions(spark, d), "grp", a=F.when(f0, M.hit()), na=f0.cast("double"), bb=F.when(f1, M.hit()), nb=f1.cast("double"))
-    return bootstrap(s, F.col("a") / F.nullif(F.col("na"), F.lit(0.0)) - F.col("bb") / F.nullif(F.col("nb"), F.lit(0.0)), 200, 3).select(*r6("lo", "hi", "p_below"))
+    """The gap between two families, rows of each resampled by themselves."""
+    p = predictions(spark, d)
+    side = lambda f: group_sums(p.where(F.col("family") == f), "vec_id", x=M.hit())
+    return gap(side("f0"), side("f1"), F.col("x") / F.col("n"), 1000, 7).select(*r6("lo", "hi", "p_below"))
 
 
 @query(TWO + f""", f AS (SELECT family, avg({HIT}) AS acc, avg(CASE WHEN (list_position(q, list_max(q)) - 1) = gold THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS acc_b, avg({NLL}) AS nll, avg({NLL_Q}) AS nll_b, count(*) AS n FROM both_ GROUP BY 1)
@@ -214,7 +246,7 @@ SELECT vec_id, string_agg(c::VARCHAR, ',' ORDER BY {md5_draw('1000000007', '8',
 def distractor_options(spark, d):
     """The gold label and four drawn ones, in drawn order; the label set is one row."""
     e = read(spark, d, "embeddings").select("vec_id", "label")
-    labels = F.broadcast(e.agg(F.array_sort(F.collect_set("label")).alias("labels")))  # one row of labels
+    labels = F.broadcast(few_labels(e, "label").agg(F.array_sort(F.collect_set("label")).alias("labels")))  # one row of labels
     opts = F.transform("labels", lambda c: F.struct(F.when(c == F.col("label"), F.lit(-1).cast("long")).otherwise(draw(1000000007, F.lit(7), F.col("vec_id"), c)).alias("h"), c.alias("c")))
     chosen = F.slice(F.array_sort(opts), 1, 5)
     shown = F.array_sort(F.transform(chosen, lambda s: F.struct(draw(1000000007, F.lit(8), F.col("vec_id"), s["c"]).alias("h"), s["c"].alias("c"))))

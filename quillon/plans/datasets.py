@@ -121,7 +121,8 @@ def balanced_sample(spark, d):
 @query(f"SELECT doc_id, toxic FROM (SELECT doc_id, toxic, row_number() OVER (PARTITION BY toxic ORDER BY {md5_draw('1000000007', '4', 'doc_id')}, doc_id) AS rn FROM labels) WHERE rn <= CASE WHEN toxic = 1 THEN 10 ELSE 30 END")
 def stratified_mix(spark, d):
     n = read(spark, d, "labels").withColumn("rn", F.row_number().over(W.partitionBy("toxic").orderBy(H.draw(1_000_000_007, F.lit(4), F.col("doc_id")), "doc_id")))
-    return n.where(F.col("rn") <= F.when(F.col("toxic") == 1, 10).otherwise(30)).select("doc_id", "toxic")
+    # the larger limit by itself cuts each task's rows before the shuffle
+    return n.where(F.col("rn") <= 30).where(F.col("rn") <= F.when(F.col("toxic") == 1, 10).otherwise(30)).select("doc_id", "toxic")
 
 
 @query("SELECT event_id, user_id FROM events WHERE user_id IN (SELECT user_id FROM (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS i FROM (SELECT DISTINCT user_id FROM events)) WHERE i % 14 = 0)")
@@ -131,7 +132,7 @@ def every_nth_group(spark, d):
 
 @query("SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.99), 6) AS p99 FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events) WHERE rn > 20 GROUP BY 1")
 def warmup_latency_percentiles(spark, d):
-    out = D.warmup_percentiles(read(spark, d, "events"), "event_type", [F.col("ts"), F.col("event_id")], "value")
+    out = D.warmup_percentiles(read(spark, d, "events"), "event_type", ["ts", "event_id"], "value")
     return out.select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("p50", "p90", "p99")])
 
 
@@ -150,7 +151,8 @@ def _questions(spark, d):
 @query()
 def pack_questions(spark, d):
     docs = _questions(spark, d).where(F.col("k") * F.col("width") <= PACK_BUDGET)
-    shard = F.concat_ws("-", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(8)).cast("string"))
+    shards = max(8, docs.count() // D.SHARD)  # so that a shard's questions fit one task
+    shard = F.concat_ws("-", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("string"))
     return D.greedy_pack(docs.withColumn("shard", shard), "shard", "doc_id", "k", "width", PACK_BUDGET)
 
 
@@ -245,6 +247,20 @@ def latency_tumbling(spark, d):
     return g.agg(F.count(F.lit(1)).alias("n"), F.round(F.percentile("value", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("value", F.lit(0.9)), 6).alias("p90")).select("event_type", F.col("w.start").alias("start"), "n", "p50", "p90")
 
 
+@query("SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS start, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")
+def latency_stream(spark, d):
+    """The windows as a stream with a watermark over the files of the table, run to its end; its percentiles are approximate, so they aren't shown."""
+    import uuid
+
+    from quillon.streaming.streams import windows_once
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    at = f"{base}/stream-{uuid.uuid4().hex}"
+    read(spark, d, "events").select("ts", "event_type", "value").write.parquet(f"{at}/in")
+    w = windows_once(spark, read(spark, d, "events").select("ts", "event_type", "value"), f"{at}/in", at, late="60 days")
+    return w.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("mean", 6).alias("mean"))
+
+
 @query("SELECT json_extract_string(props, '$.k') AS k, count(*) AS n FROM events GROUP BY 1")
 def json_dig(spark, d):
     return read(spark, d, "events").select(F.get_json_object("props", "$.k").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
@@ -257,21 +273,6 @@ def json_leaf_values(spark, d):
     return read(spark, d, "events").select("event_id", leaf_values("props").alias("leaves"))
 
 
-EDGES = [("rent", "lease"), ("rent", "sell"), ("hire", "fire"), ("open", "close"), ("join", "leave"), ("open", "lease")]
-
-
-@query("WITH e(a, b) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in EDGES) + "), n AS (SELECT DISTINCT x FROM (SELECT a AS x FROM e UNION ALL SELECT b FROM e)) SELECT l.x AS topic, r.x AS other, CASE WHEN EXISTS (SELECT 1 FROM e WHERE (a = l.x AND b = r.x) OR (a = r.x AND b = l.x)) THEN 'flip' WHEN EXISTS (SELECT 1 FROM e p JOIN e q ON p.a = q.a WHERE p.b = l.x AND q.b = r.x) THEN 'suggest' ELSE 'orthogonal' END AS relation FROM n l JOIN n r ON l.x < r.x")
-def topic_graph_labels(spark, d):
-    """Relation of each pair of topics in a small labelled graph."""
-    e = spark.createDataFrame(EDGES, "a string, b string")
-    n = e.select(F.col("a").alias("x")).union(e.select("b")).distinct()
-    pair = n.select(F.col("x").alias("topic")).join(n.select(F.col("x").alias("other")), F.col("topic") < F.col("other"))
-    flip = e.select(F.least("a", "b").alias("topic"), F.greatest("a", "b").alias("other")).distinct().withColumn("flip", F.lit(True))
-    s = e.select("a", F.col("b").alias("topic")).join(e.select("a", F.col("b").alias("other")), "a").select("topic", "other").distinct().withColumn("suggest", F.lit(True))
-    out = pair.join(flip, ["topic", "other"], "left").join(s, ["topic", "other"], "left")
-    return out.select("topic", "other", F.when(F.col("flip"), "flip").when(F.col("suggest"), "suggest").otherwise("orthogonal").alias("relation"))
-
-
 @query(f"SELECT source, family, split, count(*) AS n FROM (SELECT 'language' AS source, 'language' AS family, sha1(text) AS g FROM documents UNION ALL SELECT 'quality', 'quality', sha1(text) FROM documents JOIN labels USING (doc_id), range(0, 2)) s(source, family, g), LATERAL (SELECT {SPLIT.replace("doc_id", "g")} AS split) GROUP BY 1, 2, 3")
 def document_records(spark, d):
     from quillon.sources.adapters import document_records as build

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import json
+import hashlib
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
@@ -20,10 +21,11 @@ def _guard(path: str, unsealed: bool) -> str:
     return path
 
 
-def read_records(spark: SparkSession, paths: str | list[str], unsealed: bool = False, strict: bool = True) -> DataFrame:
-    """Records from JSON lines; a malformed line or unsound record raises, sealed splits are refused."""
+def read_records(spark: SparkSession, paths: str | list[str], unsealed: bool = False, strict: bool = True, most: int | None = None) -> DataFrame:
+    """Records from JSON lines, the first ``most`` where given; a malformed line or unsound record raises, sealed splits are refused."""
     paths = [_guard(p, unsealed) for p in ([paths] if isinstance(paths, str) else paths)]
     rows = spark.read.schema(RECORD).option("mode", "FAILFAST").json(paths)
+    rows = rows if most is None else rows.limit(most)
     return require_sound(rows) if strict else rows
 
 
@@ -43,6 +45,13 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").json(path)
 
 
+def write_records(records: DataFrame, path: str) -> int:
+    """Writes sound records as JSON lines and returns how many; an unsound one raises and an existing path isn't overwritten."""
+    seen = Observation()
+    require_sound(records).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("errorifexists").json(path)
+    return int(seen.get["n"])
+
+
 def only_ids(df: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     """Rows whose id is wanted; a wanted id without a row raises when read."""
     found = ids.select(key).distinct().join(df.withColumn("__found", F.lit(True)), key, "left")
@@ -77,12 +86,59 @@ def verified(spark: SparkSession, path: str, sha256: str) -> str:
     return path
 
 
-def write_manifest(df: DataFrame, by: list[str], path: str) -> dict:
-    """Counts by rollup as one JSON file through Spark's text writer; returns them."""
-    rows = df.rollup(*by).agg(F.count(F.lit(1)).alias("n")).limit(10_000).collect()  # one row per group of a manifest
-    found = {"counts": [r.asDict() for r in rows]}
-    df.sparkSession.createDataFrame([(json.dumps(found, sort_keys=True),)], "value string").coalesce(1).write.mode("errorifexists").text(path)
-    return found
+def write_manifest(df: DataFrame, by: list[str], path: str, files: str | None = None, licenses: str | None = None) -> DataFrame:
+    """Writes a manifest as JSON lines and returns it: (kind, name, value, bytes).
+
+    count: rows by rollup of the columns given; file: digest and size of each file under
+    ``files``; license: rows of each value of the column ``licenses``. Every group is
+    written; none comes to the driver.
+    """
+    named = F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("*")) for c in by])
+    none = F.lit(None).cast("long")
+    out = df.rollup(*by).agg(F.count(F.lit(1)).alias("n")).select(F.lit("count").alias("kind"), named.alias("name"), F.col("n").cast("string").alias("value"), none.alias("bytes"))
+    if files:
+        out = out.unionAll(file_digests(df.sparkSession, files).select(F.lit("file"), F.regexp_extract("path", "[^/]*$", 0), "sha256", "bytes"))
+    if licenses:
+        out = out.unionAll(df.groupBy(licenses).agg(F.count(F.lit(1)).alias("n")).select(F.lit("license"), F.col(licenses), F.col("n").cast("string"), none))
+    out.write.mode("errorifexists").json(path)
+    return df.sparkSession.read.schema(out.schema).json(path)
+
+
+def copy_verbatim(spark: SparkSession, source: str, target: str) -> str:
+    """Copies a file byte for byte through Hadoop's file systems, to a path that isn't there yet; returns its digest, which both have, or raises."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    a, b = (jvm.org.apache.hadoop.fs.Path(x) for x in (source, target))
+    if b.getFileSystem(conf).exists(b):
+        raise FileExistsError(target)
+    jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, conf)
+    before, after = ([r.sha256 for r in file_digests(spark, x).select("sha256").collect()] for x in (source, target))  # one file each
+    if before != after:
+        raise RuntimeError(f"{target} isn't a copy of {source}")
+    return after[0]
+
+
+def tokenised(df: DataFrame, root: str, version: str, tokens: Column, key: str = "id") -> DataFrame:
+    """(key, tokens), kept under root by a digest of version and columns: the first call writes, later ones read."""
+    spark = df.sparkSession
+    path = f"{root}/{hashlib.sha256(f'{version}|{key}|{tokens}'.encode()).hexdigest()[:16]}"
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        df.select(key, tokens.alias("tokens")).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def report_lines(df: DataFrame, title: str, most: int = 1000) -> list[str]:
+    """A small result as Markdown; over ``most`` rows raise, as a report isn't an export."""
+    rows = df.limit(most + 1).collect()  # bounded
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    cell = lambda x: "" if x is None else f"{x:.6g}" if isinstance(x, float) else str(x).replace("|", "\\|")
+    return [f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *("| " + " | ".join(map(cell, r)) + " |" for r in rows), ""]
+
+
+def public(df: DataFrame, ids: list[str]) -> DataFrame:
+    """The variant of a result that may be published: ids and counts, no texts."""
+    return df.select(*[c for c in df.columns if c in ids or df.schema[c].dataType.typeName() in ("long", "integer", "double", "boolean")])
 
 
 def markdown_sections(spark: SparkSession, path: str) -> DataFrame:
@@ -99,6 +155,46 @@ def instruction_bank(sections: DataFrame) -> DataFrame:
     return items.withColumn("__n", n).where(F.when(F.col("__n") != F.col("idx"), F.raise_error(F.concat_ws(" ", F.lit("items of"), "heading", F.lit("don't count up")))).otherwise(F.lit(True)).cast("boolean")).drop("__n", "line")
 
 
+def json_blocks(sections: DataFrame) -> DataFrame:
+    """(path, heading, block from 0, body) of fenced JSON blocks in order; body is null where a block isn't JSON."""
+    order = W.partitionBy("path").orderBy("line")
+    fence = F.rlike("text", F.lit(r"^\s*```"))
+    opens = F.rlike("text", F.lit(r"^\s*```json\s*$"))
+    marked = sections.withColumn("n", F.sum(fence.cast("int")).over(order)).withColumn("open", F.last(F.when(fence, opens), ignorenulls=True).over(order))
+    body = marked.where(F.col("open") & (F.col("n") % 2 == 1)).groupBy("path", "n").agg(F.min_by("heading", "line").alias("heading"), F.array_sort(F.collect_list(F.when(~fence, F.struct("line", "text")))).alias("lines"))
+    text = F.array_join(F.transform("lines", lambda x: x["text"]), "\n")
+    sound = F.try_parse_json(text).isNotNull()
+    return body.select("path", "heading", (F.row_number().over(W.partitionBy("path").orderBy("n")) - 1).alias("block"), F.when(sound, text).alias("body"))
+
+
+def authored(blocks: DataFrame, section: str | None = None, index: int = 0) -> DataFrame:
+    """(id, description) of the index-th candidate list under headings that hold ``section``, in any case: what an author wrote for a source."""
+    kind = T.ArrayType(T.StructType([T.StructField("id", T.StringType()), T.StructField("description", T.StringType())]))
+    rows = blocks.withColumn("c", F.from_json("body", kind)).where(F.col("c")[0]["id"].isNotNull())
+    if section:
+        rows = rows.where(F.contains(F.lower("heading"), F.lit(section.lower())))
+    nth = rows.withColumn("__n", F.row_number().over(W.partitionBy("path").orderBy("block")) - 1).where(F.col("__n") == index)
+    return nth.select("path", F.explode("c").alias("c")).select("path", "c.id", F.trim("c.description").alias("description")).where("description <> ''")
+
+
+def authored_criteria(described: DataFrame) -> DataFrame:
+    """(path, criteria): a map of true and false where an author described both."""
+    both = described.where(F.col("id").isin("true", "false")).groupBy("path").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("id", "description")))).alias("criteria"))
+    return both.where(F.size("criteria") == 2)
+
+
+def header_name(cell: Column) -> Column:
+    """A table header as a column name: lower case, words joined by underscores."""
+    return F.regexp_replace(F.regexp_replace(F.lower(cell), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+
+
+def cell_number(cell: Column) -> Column:
+    """A table cell as a number: signs of thousands, per cent and emphasis taken off; null for words."""
+    bare = F.regexp_replace(cell, r"[*,\s]", "")
+    share = F.endswith(bare, F.lit("%"))
+    return F.regexp_replace(bare, "%$", "").try_cast("double") / F.when(share, 100.0).otherwise(1.0)
+
+
 def markdown_tables(sections: DataFrame) -> DataFrame:
     """(path, heading, line, cells) of table rows without separators, links and back quotes taken off."""
     rows = sections.where(F.rlike("text", F.lit(r"^\s*\|")) & ~F.rlike("text", F.lit(r"^[\s|:\-]+$")))
@@ -106,6 +202,42 @@ def markdown_tables(sections: DataFrame) -> DataFrame:
     return rows.select("path", "heading", "line", F.transform(F.split(bare, r"\|"), lambda c: F.trim(c)).alias("cells"))
 
 
+def table_values(tables: DataFrame) -> DataFrame:
+    """(path, heading, line, column, text, number) of every cell below the first row of each heading's table, which names the columns."""
+    head = tables.groupBy("path", "heading").agg(F.min("line").alias("top"), F.min_by("cells", "line").alias("names"))
+    rows = tables.join(head, ["path", "heading"]).where("line > top")
+    each = rows.select("path", "heading", "line", F.posexplode(F.arrays_zip("names", "cells")).alias("i", "x"))
+    return each.select("path", "heading", "line", header_name(F.col("x.names")).alias("column"), F.col("x.cells").alias("text"), cell_number(F.col("x.cells")).alias("number"))
+
+
+def csv_in_zip(spark: SparkSession, path: str, member: str, columns: list[str], most: int, skip: tuple[str, ...] = ()) -> DataFrame:
+    """The first ``most`` rows of a CSV file inside zip files, without its header and rows whose first column is in skip; read line by line."""
+
+    def f(batches):
+        import csv
+        import io
+        import zipfile
+
+        for b in batches:
+            for data in b.column(0).to_pylist():
+                with zipfile.ZipFile(io.BytesIO(data)).open(member) as raw:
+                    rows, out = csv.DictReader(io.TextIOWrapper(raw, "utf-8", newline="")), []
+                    for row in rows:
+                        if row[columns[0]] not in skip:
+                            out.append([row[c] for c in columns])
+                        if len(out) == most:
+                            break
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*out, strict=True)] if out else [pa.array([], pa.string())] * len(columns), columns)
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+    return files.mapInArrow(f, ", ".join(f"`{c}` string" for c in columns)).limit(most)
+
+
+def item_rows(spark: SparkSession, path: str, schema: T.StructType | str, metric: str = "correct") -> DataFrame:
+    """Rows of JSON lines by item; those without the metric are left out."""
+    return spark.read.schema(schema).json(path).where(F.col(metric).isNotNull())
+
+
 def predictions_file(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Rows of the ``predictions`` list of a JSON report."""
     return spark.read.option("multiLine", True).schema(schema).json(path).select(F.explode("predictions").alias("p")).select("p.*")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from quillon.operators.scoring import Scorer, decide
 from quillon.sources.files import append_new
 
 
@@ -23,3 +24,24 @@ def latency_windows(events: DataFrame, ts: str = "ts", value: str = "value", by:
 def append_once(stream: DataFrame, path: str, checkpoint: str, key: str = "id") -> StreamingQuery:
     """Appends each batch's rows that aren't written yet, so a batch that is run again adds nothing."""
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: append_new(df.dropDuplicates([key]), path, key)).trigger(availableNow=True).start()
+
+
+def decide_stream(stream: DataFrame, scorer: Scorer, path: str, checkpoint: str) -> StreamingQuery:
+    """Answers requests as they come: each batch is decided as a table and its answers appended once by state_id."""
+
+    def one(df: DataFrame, _: int) -> None:
+        append_new(decide(df.dropDuplicates(["state_id"]), scorer), path, "state_id")
+
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(one).trigger(availableNow=True).start()
+
+
+def windows_once(spark: SparkSession, events: DataFrame, folder: str, checkpoint: str, **how) -> DataFrame:
+    """latency_windows over all files that a folder of events holds now, run as a stream to its end; returns what its sink holds."""
+    out = f"{checkpoint}/sink"
+    late = latency_windows(read_stream(spark, folder, events.schema), **how)
+
+    def one(df: DataFrame, _: int) -> None:
+        df.write.mode("overwrite").parquet(out)
+
+    late.writeStream.outputMode("complete").option("checkpointLocation", f"{checkpoint}/state").foreachBatch(one).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
