@@ -122,6 +122,15 @@ def shards_for(df: DataFrame, mb_each: float, least: int = 8) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")), int(known / (mb_each * 1e6)))
 
 
+def even_homes(spark: SparkSession, parts: int) -> list[int]:
+    """A number for each of ``parts`` partitions that Spark's hash deals to it: rows with these numbers fill partitions evenly, where hashes of other numbers leave some empty and others several times full."""
+    home = F.pmod(F.hash("id"), F.lit(parts)).alias("part")
+    out = list(range(parts))
+    for r in spark.range(16 * parts).groupBy(home).agg(F.min("id").alias("id")).collect():  # parts rows
+        out[r.part] = r.id
+    return out
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -79,7 +79,9 @@ class EliasFano:
         return np.where(ok, lo, -1)
 
     def at(self, i: np.ndarray) -> np.ndarray:
-        high = np.searchsorted(self.start, i, side="right") - 1
+        # runs of places that are asked for in order are looked up once
+        new = np.append(True, i[1:] != i[:-1]) if len(i) else np.zeros(0, bool)
+        high = (np.searchsorted(self.start, i[new], side="right") - 1)[np.cumsum(new) - 1]
         return high.astype(np.uint64) << U(self.low) | self.lows_at(i)
 
 

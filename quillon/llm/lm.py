@@ -36,14 +36,14 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import lean, shards_for, stage
+from .common import even_homes, lean, shards_for, stage
 from .ef_trie import Trie
 from .shingles import mixed, text_blocks
 
 #: Smoothing, chosen by the likelihood of held-out documents.
 MU, B = 1000.0, 0.002
 #: Tokens of a block of documents.
-BLOCK = 1_500_000
+BLOCK = 1_000_000
 #: Words with a share of 1 / FREQUENT of the tokens or more are split into SPLIT shards.
 FREQUENT, SPLIT = 2_000, 16
 #: MB of the table a shard: small ones up to MANY shards, beyond that larger ones, so that a block's rows stay long.
@@ -169,17 +169,17 @@ def _encode(shards: int, frequent: np.ndarray, hashes: np.ndarray, ids: list[np.
         yield s, _pack(hashes[here], total[here].astype(np.uint32), (here == 0).astype(np.uint8), index[begin].astype(np.uint32), second, sizes, third.astype(np.uint32), counted[own].astype(np.uint32), n.astype(np.uint32), doc[lists])
 
 
-_FLOW = ["shard", "block", "kind", "payload", "keys"]
+_FLOW = ["home", "shard", "block", "kind", "payload", "keys"]
 
 
-def _row(shard: int, block: int, kind: int, payload: bytes, keys: pa.Array) -> pa.RecordBatch:
-    """One row; keys: the keys of a block's documents, or none."""
+def _row(home: int, shard: int, block: int, kind: int, payload: bytes, keys: pa.Array) -> pa.RecordBatch:
+    """One row; home: what it is dealt by; keys: the keys of a block's documents, or none."""
     held = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)
-    return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([block]), pa.array([kind]), pa.array([payload], pa.binary()), held], _FLOW)
+    return pa.RecordBatch.from_arrays([pa.array([home]), pa.array([shard]), pa.array([block]), pa.array([kind]), pa.array([payload], pa.binary()), held], _FLOW)
 
 
-def _blocks(shards: int, frequent: np.ndarray):
-    """Rows (shard, block, kind, payload, keys) of documents (key, trained, text): kind 0 the documents themselves, 1 a shard's words and triples."""
+def _blocks(shards: int, homes: list[int], frequent: np.ndarray):
+    """Rows (home, shard, block, kind, payload, keys) of documents (key, trained, text): kind 0 the documents themselves, 1 a shard's words and triples."""
 
     @lean
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,9 +190,9 @@ def _blocks(shards: int, frequent: np.ndarray):
             number, trained = at << 24 | block, np.array(train, bool)
             whole = pa.concat_arrays(keys)
             size = np.array([len(x) for x in ids], np.uint32)
-            yield _row(number % shards, number, 0, _pack(size, trained.astype(np.uint8)), whole)
+            yield _row(homes[number % len(homes)], -1, number, 0, _pack(size, trained.astype(np.uint8)), whole)
             for s, payload in _encode(shards, frequent, np.array(words.hashes, np.uint64), ids, trained):
-                yield _row(s, number, 1, payload, whole[:0])
+                yield _row(homes[s % len(homes)], s, number, 1, payload, whole[:0])
 
         for b in text_blocks(batches, 2):
             keys.append(b.column(0))
@@ -246,7 +246,7 @@ def _answers(trie: Trie, p: list[np.ndarray], mu: float, share: float, total: in
     return np.log10(c + 1)[p[3]], prob - weight, (c > 0)[p[3]]
 
 
-def _shard(mu: float, share: float, total: int):
+def _shard(homes: list[int], mu: float, share: float, total: int):
     """Of rows sorted by shard: sums by document of each block, from the shard's trie. total: N + V + 1."""
 
     def solve(blobs: list[tuple[int, bytes]], none: pa.Array) -> Iterator[pa.RecordBatch]:
@@ -259,14 +259,14 @@ def _shard(mu: float, share: float, total: int):
             # documents of the block that the shard has a token of
             here, at = np.unique(docs, return_inverse=True)
             base, score, known = (np.bincount(at, np.repeat(v, times), len(here)) for v in _answers(trie, p, mu, share, total))
-            yield _row(0, block, 1, _pack(here, base, score, known.astype(np.uint32)), none)
+            yield _row(homes[block % len(homes)], 0, block, 1, _pack(here, base, score, known.astype(np.uint32)), none)
 
     @lean
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, blobs, none = None, [], None
         for b in batches:
-            none = b.column(4).flatten()[:0]
-            for i, (shard, block, kind) in enumerate(zip(*(b.column(j).to_pylist() for j in range(3)), strict=True)):
+            none = b.column(5).flatten()[:0]
+            for i, (shard, block, kind) in enumerate(zip(*(b.column(j).to_pylist() for j in (1, 2, 3)), strict=True)):
                 if kind != 1:
                     yield b.slice(i, 1)
                     continue
@@ -274,7 +274,7 @@ def _shard(mu: float, share: float, total: int):
                     if blobs:
                         yield from solve(blobs, none)
                     key, blobs = shard, []
-                blobs.append((block, b.column(3)[i].as_py()))
+                blobs.append((block, b.column(4)[i].as_py()))
         if blobs:
             yield from solve(blobs, none)
 
@@ -344,10 +344,11 @@ def score_texts(docs: DataFrame, trained: Column, key: str = "doc_id", text: str
     parts = min(shards, PARTS)
     to_arrow_type(kind)  # a key that Arrow can't carry fails here, not in a task
     keys = f"keys array<{kind.simpleString()}>"
-    flow = f"shard long, block long, kind long, payload binary, {keys}"
-    sent = use.mapInArrow(_blocks(shards, frequent), flow).repartition(parts, "shard").sortWithinPartitions("shard")
-    sums = sent.mapInArrow(_shard(mu, share, n + v + 1), flow).select("block", "kind", "payload", "keys")
-    by_block = sums.repartition(parts, "block").sortWithinPartitions("block")
+    homes = even_homes(docs.sparkSession, parts)
+    flow = f"home long, shard long, block long, kind long, payload binary, {keys}"
+    sent = use.mapInArrow(_blocks(shards, homes, frequent), flow).repartition(parts, "home").sortWithinPartitions("shard")
+    sums = sent.mapInArrow(_shard(homes, mu, share, n + v + 1), flow).select("home", "block", "kind", "payload", "keys")
+    by_block = sums.repartition(parts, "home").sortWithinPartitions("block").drop("home")
     out = by_block.mapInArrow(_texts(mu, share, n + v + 1, starts), f"key {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     out = stage(out, "scores")  # one short row a document; the job's batches are kept small
     return out.select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
