@@ -67,8 +67,11 @@ def decide(states: DataFrame, scorer: Scorer, max_questions: int = 64) -> DataFr
     return a.groupBy("state_id").agg(F.array_sort(F.collect_list(F.struct("q", F.col("id").alias("question"), "qtype", "candidate_ids", "p", "answer", "confidence", "score"))).alias("answers"))
 
 
-def scored_or_failed(rows: DataFrame, scorer: Scorer, schema: str, key: str = "id") -> DataFrame:
-    """rows (key, ...) scored a batch at a time, and row by row where a batch fails, so one bad row doesn't sink the others: (schema, error)."""
+def scored_or_failed(rows: DataFrame, scorer: Scorer, schema: str) -> DataFrame:
+    """rows scored a batch at a time, and row by row where a batch fails, so one bad row doesn't sink the others: (schema, error).
+
+    schema: columns to keep, the scorer's own among them; those are null where it failed.
+    """
 
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -80,7 +83,12 @@ def scored_or_failed(rows: DataFrame, scorer: Scorer, schema: str, key: str = "i
                     try:
                         yield pd.concat(scorer(iter([one]))).assign(error=None)
                     except Exception as e:  # noqa: BLE001
-                        yield one[[key]].assign(error=f"{type(e).__name__}: {e}")
+                        yield one.assign(error=f"{type(e).__name__}: {e}")
 
     names = [c.split()[0] for c in schema.split(", ")]
-    return rows.mapInPandas(lambda bs: (x.reindex(columns=[*names, "error"]) for x in f(bs)), f"{schema}, error string")
+
+    def shaped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in f(batches):
+            yield pd.DataFrame({c: x[c] if c in x else pd.Series([None] * len(x), index=x.index, dtype=object) for c in (*names, "error")})
+
+    return rows.mapInPandas(shaped, f"{schema}, error string")

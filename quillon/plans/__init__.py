@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _modules():
-    from . import answers, datasets, generated, records, reports, texts
+    from . import answers, datasets, generated, records, reports, suites, texts
 
-    return [answers, datasets, generated, records, reports, texts]
+    return [answers, datasets, generated, records, reports, suites, texts]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
