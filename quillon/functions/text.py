@@ -45,7 +45,7 @@ def render(key: Column) -> Column:
 
 
 def in_context(text: Column, pattern: str, before: int, after: int) -> Column:
-    """[(hit, before, after)] of the pattern's matches: what stands up to so many characters before and after each, other matches apart.
+    """[(hit, before, after)] of the pattern's matches: what stands up to so many characters before and after each, as far as the match but one next to it.
 
     A mark is set around matches and the text is split by it; the mark itself counts as a space.
     """
@@ -54,8 +54,8 @@ def in_context(text: Column, pattern: str, before: int, after: int) -> Column:
 
     def rows(p: Column) -> Column:
         n = (F.size(p) / 2).cast("int")
-        at = lambda i: F.element_at(p, i)
-        row = lambda i: F.struct(at(i * 2).alias("hit"), F.right(at(i * 2 - 1), F.lit(before)).alias("before"), F.left(at(i * 2 + 1), F.lit(after)).alias("after"))
+        near = lambda i, *steps: F.concat(*[F.coalesce(F.get(p, i * 2 - 1 + k), F.lit("")) for k in steps])
+        row = lambda i: F.struct(near(i, 0).alias("hit"), F.right(near(i, -3, -2, -1), F.lit(before)).alias("before"), F.left(near(i, 1, 2, 3), F.lit(after)).alias("after"))
         return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), row))
 
     return F.coalesce(F.transform(F.array(F.split(marked, mark, -1)), rows)[0], F.expr("CAST(array() AS array<struct<hit:string,before:string,after:string>>)"))

@@ -220,7 +220,7 @@ def _pii_sql() -> str:
     """Common table expression hits (doc_id, file, family, channel, hit, label, redacted)."""
     values = ", ".join(f"({i}, 'samples', 'lines', {'NULL' if t is None else chr(39) + _quote(t) + chr(39)})" for i, t in SAMPLES)
     src = f"src AS (SELECT doc_id, 'documents' AS file, lang AS family, text FROM documents UNION ALL SELECT * FROM (VALUES {values}) v(doc_id, file, family, text))"
-    one = lambda c: f"SELECT doc_id, file, family, '{c}' AS channel, hit, CASE WHEN {_FAKE[c]} THEN '{P.PLACEHOLDER}' ELSE '{P.REAL}' END AS label, {_SHOWN[c]} AS redacted FROM (SELECT doc_id, file, family, p[2 * i] AS hit, right(p[2 * i - 1], 32) AS b, left(p[2 * i + 1], 32) AS a FROM (SELECT *, unnest(range(1, len(p) // 2 + 1)) AS i FROM (SELECT doc_id, file, family, string_split(regexp_replace(text, '({_quote(P.CHANNELS[c])})', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS p FROM src))) WHERE {_COUNTS[c]}"
+    one = lambda c: f"SELECT doc_id, file, family, '{c}' AS channel, hit, CASE WHEN {_FAKE[c]} THEN '{P.PLACEHOLDER}' ELSE '{P.REAL}' END AS label, {_SHOWN[c]} AS redacted FROM (SELECT doc_id, file, family, p[2 * i] AS hit, right(CASE WHEN i > 1 THEN p[2 * i - 3] || p[2 * i - 2] ELSE '' END || p[2 * i - 1], 32) AS b, left(p[2 * i + 1] || coalesce(p[2 * i + 2], '') || coalesce(p[2 * i + 3], ''), 32) AS a FROM (SELECT *, unnest(range(1, len(p) // 2 + 1)) AS i FROM (SELECT doc_id, file, family, string_split(regexp_replace(text, '({_quote(P.CHANNELS[c])})', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS p FROM src))) WHERE {_COUNTS[c]}"
     return f"WITH {src}, hits AS ({' UNION ALL '.join(map(one, P.CHANNELS))})"
 
 

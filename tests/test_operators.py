@@ -69,8 +69,109 @@ def test_checksums(spark):
     assert one(spark, pii.iban_ok(F.lit("GB82WEST12345698765431"))) is False
     assert one(spark, pii.luhn_ok(F.lit("4111 1111 1111 1111"))) is True
     assert one(spark, pii.luhn_ok(F.lit("4111 1111 1111 1112"))) is False
-    docs = spark.createDataFrame([(1, "pay 4111 1111 1111 1111 to GB82WEST12345698765432, Dr. Smith, 12 Main Street", "f")], "doc_id long, text string, lang string")
-    assert {r.channel for r in pii.hits(docs, "doc_id", "text", "lang").collect()} == {"card", "iban", "titled_name", "street"}
+
+
+def brute_hits(t):
+    """All eight channels by Python's own regular expressions, from the rules as said."""
+    import re
+
+    out = []
+    lists = set(pii.GIVEN), set(pii.SURNAMES)
+
+    def luhn(n):
+        d = [int(c) for c in reversed(n)]
+        return (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
+
+    def real(channel, h):
+        n, low = re.sub("[^0-9]", "", h), h.lower()
+        if channel == "email":
+            local, domain = low.split("@")
+            return not (domain in pii.PLACEHOLDER_DOMAINS or re.search(r"[.](example|test)$", domain) or local in pii.PLACEHOLDER_LOCALS or re.fullmatch("(user|test|sample|foo|bar)[0-9]*", local) or any(x in domain for x in ("example", "placeholder", "fake")))
+        if channel == "phone":
+            return not (any(x in n for x in pii.PLACEHOLDER_DIGITS) or len(set(n)) <= 2 or n in pii.WHOLE_NUMBERS)
+        if channel == "iban":
+            c = h.replace(" ", "")
+            return not (c.startswith("XX") or "EXAMPLE" in c or len(set(c[4:])) <= 2) and int("".join(str(int(x, 36)) for x in c[4:] + c[:4])) % 97 == 1
+        if channel == "card":
+            return luhn(n) and len(set(n)) > 2 and n not in pii.TEST_CARDS and not (n.startswith("4444") and len(set(n)) <= 3)
+        if channel == "street":
+            return not any(x in low for x in pii.STREET_WORDS) and re.match(r"[0-9]+ ([a-z0-9.'-]+)", low)[1] not in pii.PLACEHOLDER_STREETS
+        return not all(p in pii.PLACEHOLDER_NAMES for p in (w.rstrip(".") for w in low.split()) if p not in ("mr", "mrs", "ms", "miss", "dr", "prof"))
+
+    for channel, pattern in pii.CHANNELS.items():
+        for m in re.finditer(pattern, t):
+            h, n, w = m[0], re.sub("[^0-9]", "", m[0]), m[0].split()
+            tokens = re.findall("[a-z0-9']+", h.lower())
+            ok = {
+                "email": True,
+                "phone": 10 <= len(n) <= 15 and not re.search(pii.CITATION, t[max(0, m.start() - 24) : m.end() + 8].lower()),
+                "iban": len(h.replace(" ", "")) >= 15,
+                "card": 13 <= len(n) <= 19 and bool(re.search("[ -]", h)) and n[:3] not in ("978", "979"),
+                "street": len(tokens) >= 3 and not set(tokens[1:-1]) & set(pii.NOT_STREETS),
+                "name_full": w[0] in lists[0] and w[-1] in lists[1],
+                "name_titled": w[-1] in lists[0] | lists[1],
+                "name_given": h in lists[0] and not re.search(r"(?:Mr|Mrs|Ms|Miss|Dr|Prof)[.]?\s+$", t[: m.start()]) and not ((x := re.match(r"\s+([A-Z][a-z]+)\b", t[m.end() :])) and x[1] in lists[1]),
+            }[channel]
+            if ok:
+                out.append((channel, h, pii.REAL if real(channel, h) else pii.PLACEHOLDER))
+    return out
+
+
+def test_personal_data_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    parts = ["jane.roe@firm.co", "user7@firm.co", "a@b.example", "+49 (30) 901 820 44", "212-867-5309", "555 010 4477", "in 410 F. 2d 212 867 5309", "4539 5787 6362 1486", "4111-1111-1111-1111", "4539578763621486", "978-3-16-148410-0", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "XX89370400440532013000", "22 Baker Hill Road", "123 Main Street", "15 minutes Drive", "Mary Johnson", "Dr. Wilson", "Mr. John Smith", "Susan", "Linda", "met with", "and then", "caf\u00e9"]
+    texts = [" , ".join(rng.sample(parts, rng.randint(1, 8))) for _ in range(120)] + ["", " ".join(parts * 300)]
+    df = spark.createDataFrame([*enumerate(texts), (-1, None)], "doc_id long, text string")
+    got = {}
+    for r in pii.hits(df, "doc_id", "text").collect():
+        got.setdefault(r.doc_id, []).append((r.channel, r.hit, r.label))
+    for i, t in enumerate(texts):
+        assert sorted(got.get(i, [])) == sorted(brute_hits(t)), t[:200]
+    assert {c for h in got.values() for c, _, _ in h} == set(pii.CHANNELS) and -1 not in got
+    v = pii.verdict(pii.hits(df.where("doc_id < 0"), "doc_id", "text")).first()
+    assert v.verdict == "clean"
+    only = spark.createDataFrame([(1, "Susan met Linda"), (2, "4539 5787 6362 1486")], "doc_id long, text string")
+    assert pii.verdict(pii.hits(only.where("doc_id = 1"), "doc_id", "text")).first().verdict == "names-only"
+    assert pii.verdict(pii.hits(only, "doc_id", "text")).first().verdict == "contact-looks-real"
+
+
+def test_contamination_scan_brute_force(spark, monkeypatch):
+    """Planted exact, near and unlike texts; grams met by broadcast and by a join."""
+    import random
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
+    base = [" ".join(word() for _ in range(rng.randint(3, 60))) for _ in range(40)]
+    evals = [b if i % 4 == 0 else b.replace("a", "b", 2) if i % 4 == 1 else b[: len(b) // 3] + " " + word() * 9 if i % 4 == 2 else " ".join(word() for _ in range(20)) for i, b in enumerate(base)] + ["short", "", None]
+    train = [*base, "short", "", None, base[0], "x" * 40_000]
+    t = contamination.normal(spark.createDataFrame(list(enumerate(train)), "id0 long, text string"), "id0")
+    e = contamination.normal(spark.createDataFrame(list(enumerate(evals)), "id0 long, text string"), "id0")
+
+    def grams(x):
+        return {x[i : i + 13] for i in range(len(x) - 12)} if x else set()
+
+    norm = lambda x: None if x is None else " ".join(x.lower().split())
+    for most in (4_000_000, 0):
+        monkeypatch.setattr(contamination, "WANTED", most)
+        pairs = {(r.train_id, r.eval_id): (r.shared, r.jaccard) for r in contamination.jaccard_pairs(t, e).collect()}
+        want = {}
+        for i, a in enumerate(map(norm, train)):
+            for j, b in enumerate(map(norm, evals)):
+                if both := len(grams(a) & grams(b)):
+                    want[i, j] = (both, pytest.approx(both / len(grams(a) | grams(b))))
+        assert pairs == want
+    rows = {r.eval_id: r for r in contamination.scan(t, e).collect()}
+    assert len(rows) == len(evals)
+    for j, x in enumerate(evals):
+        best = max(((len(grams(norm(a)) & grams(norm(x))) / max(1, len(grams(norm(a)) | grams(norm(x)))), -i) for i, a in enumerate(train) if a), default=(0, 0))
+        if x and len(x) >= 13 and best[0] >= 0.3:
+            assert (rows[j].jaccard, rows[j].train_id) == (pytest.approx(best[0]), -best[1])
+        assert rows[j].exact == (bool(x) and norm(x) in set(map(norm, train)))
+        assert rows[j].jaccard_hit == (best[0] >= 0.8 or x == "short") and (rows[j].near_duplicate or not rows[j].jaccard_hit)
+    r = contamination.report(contamination.scan(t, e)).first()
+    assert (r.n_eval, r.exact_matches) == (len(evals), sum(x.exact for x in rows.values()))
 
 
 def test_contamination_on_empty_short_and_equal_texts(spark):
@@ -89,19 +190,25 @@ def test_contamination_sees_through_compatibility_forms(spark, tmp_path):
     copies = {1: item.replace(" ", "\u00a0"), 2: item.replace("ffi", "\ufb03").replace("fi", "\ufb01"), 3: "".join(chr(ord(c) + 0xFEE0) if c.isalpha() else c for c in item), 4: "\u2003" + item.upper() + "\u3000", 5: "a text of another kind that has nothing in common"}
     spark.createDataFrame(list(copies.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(9, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(5, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     got = {n: queries()[n](spark, str(tmp_path)).collect() for n in ("contam_exact", "contam_jaccard13", "contam_minhash_lsh", "contam_rare_gram", "contam_window40", "guard_anti_join")}
     brute = {i for i, t in copies.items() if " ".join(unicodedata.normalize("NFKC", t).lower().split()) == item}
-    assert brute == {1, 2, 3, 4} and [(r.eval_id, r.train_id) for r in got["contam_exact"]] == [(9, 1)]
+    assert brute == {1, 2, 3, 4} and [(r.eval_id, r.train_id) for r in got["contam_exact"]] == [("benchmark:9", 1)]
     assert {r.train_id for r in got["contam_jaccard13"] if r.jaccard == 1} == brute and {r.train_id for r in got["contam_minhash_lsh"] if r.similarity == 1} == brute
     assert {r.train_id for r in got["contam_rare_gram"]} == brute and {r.train_id for r in got["contam_window40"]} == brute
     # the guard has no NFKC, but Unicode white space
     assert {r.doc_id for r in got["guard_anti_join"]} == {2, 3, 5}
 
 
-def test_long_texts_give_each_gram_once(spark):
-    body = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(3000))
-    df = contamination.normal(spark.createDataFrame([(1, body)], "doc_id long, text string"), "doc_id")
-    assert {r.gram for r in contamination.grams(df).collect()} == {body[i : i + 13] for i in range(len(body) - 12)}
+def test_windows_are_found_wherever_they_stand(spark):
+    import random
+
+    rng = random.Random(5)
+    item = " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(40))
+    parts = {1: item[:60], 2: item[-60:], 3: item[len(item) // 2 - 60 : len(item) // 2 + 60], 4: item[30:50]}
+    t = contamination.normal(spark.createDataFrame([(i, f"before it {p} after it") for i, p in parts.items()], "id0 long, text string"), "id0")
+    e = contamination.normal(spark.createDataFrame([(9, item), (8, "under forty")], "id0 long, text string"), "id0")
+    assert {(r.train_id, r.eval_id) for r in contamination.window_hits(t, e).collect()} == {(1, 9), (2, 9), (3, 9)}
 
 
 def test_packs_keep_the_budget(spark):
@@ -128,8 +235,21 @@ def test_registered_packs_count_questions_over_the_budget(spark, tmp_path):
 
 
 def test_mail_cleaning_and_claims(spark):
-    mail = "Hello,\nI need help.\nThis message is confidential.\nOn Monday Bob wrote:\n> old text"
-    assert one(spark, probes.clean_email(F.col("t")), t=mail) == "Hello,\nI need help."
+    mails = {
+        "Hello,\nI need help.\nThis message is confidential and for the addressee.\nOn Monday 3 May Bob wrote:\n> old text": "Hello,\nI need help.",
+        "I need it.\nIs this confidential?\nThanks,\nAnn Lee": "I need it.\nIs this confidential?",
+        "Preciso do contrato.\nEm seg., 3 de mai. de 2024 Ana <ana@x.com> escreveu:\n> antigo": "Preciso do contrato.",
+        "Quiero ayuda.\nEl lun, 3 may 2024, Ana Ruiz\n<ana@x.com> escribi\u00f3:\n> viejo": "Quiero ayuda.",
+        "Please refund me.\nFrom: Shop <s@x.com>\nSent: Monday": "Please refund me.",
+        "De: 10/09 a 15/09\nPara: 20/09 favor trocar": "De: 10/09 a 15/09\nPara: 20/09 favor trocar",
+        "It broke.\nDe: Maria Souza\nEnviado em: segunda\nold": "It broke.",
+        "Fine then.\nSent from my iPhone": "Fine then.",
+        "Thanks for the quick reply.\nCan you call me?": "Thanks for the quick reply.\nCan you call me?",
+        "": "",
+    }
+    for mail, want in mails.items():
+        assert one(spark, probes.clean_email(F.col("t")), t=mail) == want
+    assert one(spark, probes.whole_clean_email(F.col("t")), t="word " * 2000) == ("word " * 2000).strip()
     assert one(spark, probes.number_in_text(F.lit("0.8543"), F.lit("0.854"))) is False
 
 
@@ -176,3 +296,110 @@ def test_decide_scores_each_question_once_and_rejects_empty_requests(spark):
     assert len(got) == 2 and all(r.answers[0].answer == 1 for r in got)
     with pytest.raises(Exception, match="1 to 64"):
         decide(spark.createDataFrame([("s", "t", [])], schema), scorer).collect()
+
+
+def test_more_files(spark, tmp_path):
+    import zipfile
+
+    rec = adapters.boolean(spark.createDataFrame([(i, f"text {i}", 0.25) for i in range(8)], "k long, t string, p double"), "s", "k", "t", F.col("p"), F.sha1("t"), "Is it?")
+    assert files.write_records(rec, f"{tmp_path}/r") == 8
+    assert files.read_records(spark, f"{tmp_path}/r", most=3).count() == 3
+    with pytest.raises(Exception, match="split"):
+        files.write_records(rec.withColumn("split", F.lit("no")), f"{tmp_path}/bad")
+    (tmp_path / "one.txt").write_text("a\nb\n")
+    assert files.copy_verbatim(spark, f"{tmp_path}/one.txt", f"{tmp_path}/two.txt") == files.file_digests(spark, f"{tmp_path}/one.txt").first().sha256
+    with pytest.raises(FileExistsError):
+        files.copy_verbatim(spark, f"{tmp_path}/one.txt", f"{tmp_path}/two.txt")
+    m = files.write_manifest(rec, ["family", "split"], f"{tmp_path}/m", f"{tmp_path}/one.txt", "license_class").collect()
+    assert {(r.kind, r.value) for r in m} >= {("count", "8"), ("license", "8")} and any(r.kind == "file" and r.bytes == 4 for r in m)
+    with zipfile.ZipFile(tmp_path / "names.zip", "w") as z:
+        z.writestr("names.csv", "name,n\nALL,9\nSmith,3\n\"Lee, A\",2\nOrr,1\n")
+    assert [tuple(r) for r in files.csv_in_zip(spark, f"{tmp_path}/names.zip", "names.csv", ["name", "n"], 2, ("ALL",)).collect()] == [("Smith", "3"), ("Lee, A", "2")]
+    (tmp_path / "spec.md").write_text('## Candidates\n```json\n[{"id": "true", "description": " Yes. "}, {"id": "false", "description": "No."}]\n```\n## Other\n```json\n{bad\n```\n## Table\n| Run name | Score (%) |\n|---|---|\n| a | 12.5% |\n| b | **1,200** |\n| c | none |\n')
+    s = files.markdown_sections(spark, f"{tmp_path}/spec.md")
+    blocks = files.json_blocks(s)
+    assert [(r.heading, r.body is None) for r in blocks.orderBy("block").collect()] == [("Candidates", False), ("Other", True)]
+    described = files.authored(blocks, "candidates")
+    assert {(r.id, r.description) for r in described.collect()} == {("true", "Yes."), ("false", "No.")}
+    assert files.authored_criteria(described).first().criteria == {"true": "Yes.", "false": "No."}
+    values = {(r.column, r.text): r.number for r in files.table_values(files.markdown_tables(s)).collect()}
+    assert values["score", "12.5%"] == 0.125 and values["score", "**1,200**"] == 1200 and values["score", "none"] is None and ("run_name", "a") in values
+    for _ in range(2):
+        assert files.tokenised(rec, f"{tmp_path}/cache", "v1", F.split("state", " ")).count() == 8
+    lines = files.report_lines(rec.groupBy("family").count(), "Counts")
+    assert lines[0] == "## Counts" and lines[-2] == "| s | 8 |"
+    with pytest.raises(ValueError):
+        files.report_lines(spark.range(20), "x", 10)
+    assert files.public(spark.createDataFrame([("i", "secret", 2)], "id string, text string, n long"), ["id"]).columns == ["id", "n"]
+    (tmp_path / "items.jsonl").write_text('{"case": 1, "correct": true}\n{"case": 2, "missing": true}\n')
+    assert files.item_rows(spark, f"{tmp_path}/items.jsonl", "case long, correct boolean").count() == 1
+
+
+def test_stream_of_requests_is_answered_once(spark, tmp_path):
+    from quillon.streaming.streams import decide_stream, read_stream
+
+    schema = "state_id string, state string, questions array<struct<id:string,type:string,instruction:string,candidates:array<struct<id:string,text:string>>>>"
+    q = [("q1", "choice", "which?", [("a", "x"), ("b", "longer")])]
+    rows = spark.createDataFrame([("s", "t", q), ("r", "t", q), ("s", "t", q)], schema)
+    rows.write.parquet(f"{tmp_path}/in")
+
+    def scorer(batches):
+        for b in batches:
+            yield b.assign(logit=b["candidate"].str.len().astype(float))
+
+    for _ in range(2):
+        decide_stream(read_stream(spark, f"{tmp_path}/in", rows.schema), scorer, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    assert sorted(r.state_id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["r", "s"]
+
+
+def test_topic_sampler_and_merges(spark):
+    from quillon.operators import generators as G
+
+    topics = spark.createDataFrame([("tea", "Do you like tea?", "yes", "I love tea."), ("tea", "Do you like tea?", "no", "Never tea."), ("milk", "Is there milk?", "yes", "There is milk.")], "topic string, question string, level string, answer string")
+    contrasts = spark.createDataFrame([("tea", "milk", "negate"), ("milk", "tea", "orthogonal")], "topic string, answer_topic string, relation string")
+    every = G.topic_items(topics, contrasts, ["at home", "at work"], 12).collect()
+    assert len({(r.question, r.answer, r.context) for r in every}) == 12
+    assert {(r.level, r.label) for r in every if r.relation == "negate"} == {("yes", "no")} and {r.label for r in every if r.relation == "orthogonal"} == {"other"}
+    some = [(r.question, r.answer, r.context) for r in G.topic_items(topics, contrasts, ["at home", "at work"], 5).collect()]
+    assert some == [(r.question, r.answer, r.context) for r in G.topic_items(topics.repartition(3), contrasts, ["at home", "at work"], 5).collect()]
+    with pytest.raises(Exception, match="only 12 distinct items"):
+        G.topic_items(topics, contrasts, ["at home", "at work"], 13).collect()
+    a = spark.createDataFrame([("1", "x")], "id string, v string")
+    with pytest.raises(Exception, match="repeated id"):
+        G.merged(a, a).collect()
+
+
+def test_ordered_rank_is_exact(spark):
+    import random
+
+    values = random.Random(2).sample(range(100_000), 3000)
+    got = dataset.ordered_rank(spark.createDataFrame([(v,) for v in values], "v long"), "v", sample=500, cuts=16).collect()
+    assert [r.v for r in sorted(got, key=lambda r: r["rank"])] == sorted(values) and sorted(r["rank"] for r in got) == list(range(3000))
+    names = [f"n{v}" for v in values[:40]]
+    got = dataset.ordered_rank(spark.createDataFrame([(v,) for v in names], "v string"), "v", sample=20, cuts=4).collect()
+    assert [r.v for r in sorted(got, key=lambda r: r["rank"])] == sorted(names)
+
+
+def test_alternation_stops_with_the_shorter_class(spark):
+    from quillon.operators import reports
+
+    def by_hand(rows, most):
+        left, out = {k: [i for i, x in rows if x == k] for k in (1, 0)}, []
+        while len(out) < most:
+            want = 1 if len(out) % 2 == 0 else 0
+            if not left[want]:
+                break
+            out.append(left[want].pop(0))
+        return out
+
+    for rows, most in (([(i, int(i % 5 == 0)) for i in range(30)], 100), ([(i, int(i % 5 > 0)) for i in range(30)], 100), ([(i, i % 2) for i in range(30)], 7)):
+        got = reports.alternate(spark.createDataFrame(rows, "i int, k int"), "k", 1, 0, [F.col("i")], most).orderBy("place").collect()
+        assert [r.i for r in got] == by_hand(rows, most)
+
+
+def test_small_text_functions(spark):
+    assert one(spark, text.pretty_json(F.col("t")), t='{"b":[1],"a":"\u00e9"}') == '{\n  "b": [\n    1\n  ],\n  "a": "\u00e9"\n}'
+    assert one(spark, text.pretty_json(F.col("t")), t="plain") == "plain"
+    got = one(spark, F.transform(text.in_context(F.col("t"), "[0-9]+", 3, 2), lambda m: F.concat_ws("|", m["before"], m["hit"], m["after"])), t="abcd12ef345\u0001g")
+    assert got == ["bcd|12|ef", "2ef|345| g"]
+    assert one(spark, F.size(text.in_context(F.col("t"), "[0-9]+", 3, 2)), t="none") == 0
