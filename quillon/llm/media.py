@@ -228,6 +228,7 @@ def media_features(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     store = build_store(docs, text)
     read = stage(read_media(store), "media")
+    unstage(store)
 
     @lean
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

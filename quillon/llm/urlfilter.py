@@ -97,4 +97,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], key: str = "page_
     shared = group.join(said, "component").select("node", "component", F.when(F.col("allows") == 1, "allow").when(F.col("blocks") == 1, "block").alias("shared"))
     own = pages.select(key, "url").withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     own = with_rule(own, rules).withColumn("node", node_of(F.col("url")))
-    return own.join(shared, "node", "left").select(key, "host", "path", "rule", F.coalesce("rule_verdict", "shared", F.lit("allow")).alias("verdict"), "component")
+    said = lambda df: df.select(key, "host", "path", "rule", F.coalesce("rule_verdict", "shared", F.lit("allow")).alias("verdict"), "component")
+    # null urls, however many, stay out of the join, where they would meet in one task
+    alone = own.where("node is null").withColumns({"shared": F.lit(None).cast("string"), "component": F.lit(None).cast("string")})
+    return said(own.where("node is not null").join(shared, "node", "left")).unionAll(said(alone))

@@ -446,14 +446,24 @@ def test_nearest_keeps_copies_apart(spark):
 
 
 def test_media_round_trip(spark, docs, empty):
-    from quillon.llm.media import build_store, decode, encode, gear_cuts, media_features, payload_of
+    """Against Python's own WAVE writer and reader."""
+    import io
+    import wave
 
-    got = collections.Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_sha256) for r in media_features(docs).collect())
+    from quillon.llm.media import build_store, decode, gear_cuts, media_features
+
+    got = collections.Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256) for r in media_features(docs.withColumn("media", F.lit("clash")).withColumn("n_bytes", F.lit(0))).collect())
     want = collections.Counter()
     for r in docs.collect():
-        n, p = payload_of(r.text)
-        assert len(p) % 64 == 0 and len(p) >= 64 and decode(encode(p)) == p
-        want[r.doc_id, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), hashlib.sha256(encode(p)).hexdigest()] += 1
+        raw = (r.text or "").encode()
+        p = raw + bytes(64 - len(raw) % 64 if len(raw) % 64 or not raw else 0)
+        with wave.open(held := io.BytesIO(), "wb") as w:
+            w.setnchannels(1), w.setsampwidth(1), w.setframerate(8000)
+            w.writeframes(p)
+        media = held.getvalue()
+        with wave.open(io.BytesIO(media)) as w:
+            assert w.readframes(len(p) + 1) == p == decode(media)
+        want[r.doc_id, len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(media), hashlib.sha256(media).hexdigest()] += 1
     assert got == want
     assert media_features(empty).count() == 0
     body = random.Random(1).randbytes(100_000)
@@ -603,6 +613,48 @@ def test_url_rules_follow_aliases(spark):
     assert U.judge(pages.limit(0), URL_RULES).count() == 0
 
 
+def test_url_query_against_sql_on_pages_with_edges(spark, tmp_path):
+    """Chains, stars, hosts in capitals, relative and odd links, many null urls: the registered query and its SQL."""
+    import duckdb
+
+    from quillon.llm.queries import ORACLE_SQL, QUERIES
+
+    rng = random.Random(6)
+    hosts = ["example.com", "www.example.com", "A.example.net", "b.net", "c.org", "d.example.org", "com.evil.org"]
+    urls = [f"http://{rng.choice(hosts)}/{rng.choice(['en', 'es', 'fr', 'x'])}/{i}" for i in range(120)]
+    rows = []
+    for i, u in enumerate(urls):
+        to = rng.choice([*urls, f"/es/{i}", "//b.net/es/z", f"rel{i}?a=1&amp;b=2#x", "?q=1"])
+        html = rng.choice([None, "", "<p>plain</p>", f'<LINK href="{to}" REL="canonical">', f"<link rel=canonical href='{to}'>", f'<meta http-equiv="refresh" content="0; url={to}">', f'<link rel="canonical" href="{to}"><meta http-equiv=refresh content="5;URL={rng.choice(urls)}">'])
+        rows.append((i, u + rng.choice(["", "#top", "?a=b"]), html))
+    rows += [(1000 + i, None, '<link rel="canonical" href="http://b.net/es/1">') for i in range(30)] + [(2000, "no scheme", "x"), (2001, "", None), (5, urls[5], None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = QUERIES["op6_redirect_equivalence"](spark, str(tmp_path)).select("page_id", "host", "path", "rule", "verdict", "component").collect()
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.sql(f"SELECT page_id, host, path, rule, verdict, component FROM ({ORACLE_SQL['op6_redirect_equivalence']})").fetchall()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    shared = collections.Counter(r.component for r in got if r.component)
+    assert max(shared.values()) > 20 and {r.verdict for r in got if r.rule is None} == {"allow", "block"}
+
+
+def test_operators_on_clashing_columns_and_repeated_rows(spark, docs):
+    from quillon.llm.jaccard_join import jaccard_components
+    from quillon.llm.packing import pack_documents
+    from quillon.llm.queries import URL_RULES, tokenizer_path
+    from quillon.llm.urlfilter import judge
+
+    clash = docs
+    for c in ("length", "rank", "piece", "start", "sequence_id", "offset", "__bucket", "cls", "token", "leader", "key", "n", "sketch"):
+        clash = clash.withColumn(c, F.lit("x"))
+    want = sorted((str(r.doc_id), r.piece, r.length, r.ids_crc32) for r in pack_documents(docs, tokenizer_path()).collect())
+    assert sorted((str(r.doc_id), r.piece, r.length, r.ids_crc32) for r in pack_documents(clash, tokenizer_path()).collect()) == want
+    assert sorted(map(str, jaccard_components(clash).collect())) == sorted(map(str, jaccard_components(docs).collect()))
+    pages = spark.createDataFrame([(1, "http://a.net/es/x", None), (1, "http://a.net/es/x", None), (2, None, None)], "page_id long, url string, html string")
+    odd = pages.withColumn("host", F.lit(1)).withColumn("node", F.lit(2)).withColumn("component", F.lit(3)).withColumn("rule", F.lit(4)).withColumn("shared", F.lit(5))
+    assert sorted(r.verdict for r in judge(odd, URL_RULES).collect()) == ["allow", "block", "block"]
+
+
 def test_components_of_a_path_and_a_star(spark):
     from quillon.llm.common import components
 
