@@ -79,9 +79,10 @@ class EliasFano:
         return np.where(ok, lo, -1)
 
     def at(self, i: np.ndarray) -> np.ndarray:
-        # runs of places that are asked for in order are looked up once
-        new = np.append(True, i[1:] != i[:-1]) if len(i) else np.zeros(0, bool)
-        high = (np.searchsorted(self.start, i[new], side="right") - 1)[np.cumsum(new) - 1]
+        # in rising order, so that neighbouring places are read one after the other
+        order = np.argsort(i)
+        high = np.empty(len(i), np.int64)
+        high[order] = np.searchsorted(self.start, i[order], side="right") - 1
         return high.astype(np.uint64) << U(self.low) | self.lows_at(i)
 
 
@@ -157,8 +158,8 @@ class Trie:
         out = np.full(len(node), -1)
         known = np.flatnonzero(node >= 0)
         if len(known) and keys.n:
-            n = node[known]
-            begin, end = (pointers.at(n + j).astype(np.int64) for j in (0, 1))
+            places, at = np.unique(np.concatenate([n := node[known], n + 1]), return_inverse=True)
+            begin, end = pointers.at(places).astype(np.int64)[at].reshape(2, -1)
             out[known] = keys.find((n.astype(np.uint64) << U(bits)) + key[known].astype(np.uint64), begin, end)
         return out
 
