@@ -218,3 +218,15 @@ def packed_layout(questions, key: str, order: str, n_state: str, n_question: str
     rows = questions.withColumn("before", before).select("*", each.alias("c"))
     own = F.col(n_state) + F.col(n_question)
     return rows.select(key, order, F.col("c.candidate").alias("candidate"), (own + F.col("before") + F.col("c.at")).alias("token"), own.alias("position"), (own + F.col("c.k")).alias("visible"))
+
+
+def character_ids(text: Column) -> Column:
+    """A code point for each character: a tokenizer's stand-in that cuts each segment by itself."""
+    return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c))
+
+
+def under_one_state(questions, key: str, state: str, *aggregates):
+    """Aggregates of each key's questions; a key whose rows don't share one state raises when read."""
+    g = questions.groupBy(key).agg(F.min(state).alias("__low"), F.max(state).alias("__high"), *aggregates)
+    one = F.when(~F.col("__low").eqNullSafe(F.col("__high")), F.raise_error(F.concat(F.lit("states differ under "), F.col(key).cast("string")))).otherwise(F.lit(True)).cast("boolean")
+    return g.where(one).drop("__low", "__high")

@@ -93,3 +93,30 @@ def letter_prompt(state: Column, instruction: Column, labels: Column) -> Column:
 def cloze_prompts(state: Column, instruction: Column, labels: Column) -> Column:
     """[(prompt, continuation)]: a prompt whose likeliest continuation is the answer."""
     return F.transform(labels, lambda x: F.struct(F.concat_ws("\n", state, instruction, F.lit("Answer:")).alias("prompt"), F.concat(F.lit(" "), x).alias("continuation")))
+
+
+def with_split(records: DataFrame, split_fn) -> DataFrame:
+    """records with the split that a function of their group gives."""
+    return records.withColumn("split", split_fn(F.col("source_group")))
+
+
+def taught_records(rows: DataFrame, guard: DataFrame, file: str = "taught", share: int = 5) -> DataFrame:
+    """Records of teacher rows (i, j, state, type, instruction, keys, answer, teacher_p, teacher_ok) that nothing rejects.
+
+    guard: (norm), normal texts of states that training must not see. The target is the
+    answer, or the teacher's probability on it with the rest spread evenly. share per cent,
+    by a hash of file and state, are dev. Keys are options of a choice or levels of a score.
+    """
+    from quillon.functions.text import normalise_ascii
+
+    kept = rows.where(reject_reason().isNull()).withColumn("norm", normalise_ascii(F.col("state"))).join(guard.select("norm").distinct(), "norm", "left_anti")
+    k = F.when(F.col("type") == "noul", 2).otherwise(F.size("keys"))
+    at = F.when(F.col("type") == "choice", F.array_position("keys", F.col("answer")) - 1).when(F.col("type") == "noul", (F.col("answer") == "true").cast("int")).otherwise(F.expr("try_cast(answer AS INT)")).cast("int")
+    kept = kept.withColumn("k", k).withColumn("at", at)
+    probs = F.when(F.col("teacher_p").isNull(), vec.one_hot(F.col("k"), "at")).otherwise(vec.teacher_target(F.col("k"), "at", "teacher_p"))
+    target = F.struct(F.lit("label_distribution").alias("semantic_kind"), F.when(F.col("teacher_p").isNull(), "hard_pseudo_label").otherwise("teacher_distribution").alias("provenance"), probs.alias("probs"), F.col("at").alias("hard"))
+    none = lambda c: F.lit(None).cast(QUESTION[c].dataType)
+    options = F.transform("keys", lambda x: F.struct(x.alias("id"), x.alias("label"), F.lit("").alias("description")))
+    question = F.struct(F.concat(F.lit("q"), F.col("j").cast("string")).alias("id"), F.when(F.col("type") == "noul", "boolean").otherwise(F.col("type")).alias("type"), F.col("instruction"), F.when(F.col("type") == "choice", options).otherwise(none("candidates")).alias("candidates"), F.when(F.col("type") == "score", F.col("keys")).otherwise(none("levels")).alias("levels"), none("criteria").alias("criteria"))
+    group = F.concat_ws(":", F.lit("taught"), F.lit(file), F.col("i").cast("string"))
+    return kept.select(F.concat_ws(":", group, F.col("j").cast("string")).alias("id"), F.lit(file).alias("source"), group.alias("source_group"), F.concat(F.lit("taught."), F.col("type")).alias("family"), F.when(h100(F.concat_ws("|", F.lit(file), "norm")) < share, "dev").otherwise("train").alias("split"), F.lit("B").alias("license_class"), "state", question.alias("question"), target.alias("target"), F.lit(None).cast("map<string,string>").alias("meta"))

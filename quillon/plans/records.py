@@ -164,3 +164,25 @@ def taught_rejects(spark, d):
     answer = F.when(i % 4 == 0, pick("a", "b", "z")).when(i % 4 == 1, pick("true", "false", "maybe")).when(i % 4 == 2, pick("0", "2", "5")).otherwise("x")
     t = read(spark, d, "documents").select(F.col("text").alias("state"), pick("choice", "noul", "score", "rank").alias("type"), keys.alias("keys"), answer.alias("answer"), (i % 11 != 0).alias("teacher_ok"))
     return t.select(F.coalesce(R.reject_reason(), F.lit("kept")).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+_KEYS = "len(CASE WHEN t = 'noul' THEN ['n', 'y'] ELSE keys END)"
+_AT = "CASE t WHEN 'choice' THEN list_position(keys, answer) - 1 WHEN 'noul' THEN (answer = 'true')::INT ELSE try_cast(answer AS INT) END"
+_PLAIN = "trim(regexp_replace(lower(text), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
+
+
+@query(f"WITH t AS ({_TAUGHT}), k AS (SELECT doc_id, t, {_KEYS} AS k, {_AT} AS ix, CASE WHEN doc_id % 2 = 0 THEN 0.7::DOUBLE END AS tp FROM t WHERE {_TEACH} IS NULL AND {_PLAIN} NOT IN (SELECT {_PLAIN} FROM documents JOIN labels USING (doc_id) WHERE toxic = 1)) SELECT 'taught:docs:' || doc_id || ':0' AS id, 'taught.' || t AS family, ix::INT AS hard, list_transform(range(0, k), lambda j: round(CASE WHEN tp IS NULL THEN (j = ix)::INT::DOUBLE WHEN j = ix THEN tp ELSE (1 - tp) / (k - 1) END, 6)) AS probs FROM k")
+def taught_records(spark, d):
+    """Teacher answers to records, but for those whose state is one of labelled toxic documents."""
+    i = F.col("doc_id")
+    pick = lambda *xs: F.element_at(F.array(*map(F.lit, xs)), (i % len(xs) + 1).cast("int"))
+    none = F.array().cast("array<string>")
+    keys = F.when(i % 4 == 1, none).when(i % 13 == 0, F.array(F.lit("a"))).otherwise(F.array(*map(F.lit, "abc")))
+    answer = F.when(i % 4 == 0, pick("a", "b", "z")).when(i % 4 == 1, pick("true", "false", "maybe")).when(i % 4 == 2, pick("0", "2", "5")).otherwise("x")
+    docs = read(spark, d, "documents")
+    rows = docs.select(i.alias("i"), F.lit(0).alias("j"), F.col("text").alias("state"), pick("choice", "noul", "score", "rank").alias("type"), F.lit("Which?").alias("instruction"), keys.alias("keys"), answer.alias("answer"), F.when(i % 2 == 0, 0.7).alias("teacher_p"), (i % 11 != 0).alias("teacher_ok"))
+    from quillon.functions.text import normalise_ascii
+
+    guard = docs.join(read(spark, d, "labels").where("toxic = 1"), "doc_id", "left_semi").select(normalise_ascii(F.col("text")).alias("norm"))
+    r = R.taught_records(rows, guard, "docs")
+    return r.select("id", "family", F.col("target.hard").alias("hard"), F.transform("target.probs", lambda p: F.round(p, 6)).alias("probs"))
