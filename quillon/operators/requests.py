@@ -76,7 +76,7 @@ def reject_reason() -> Column:
     out = F.when(F.lit(False), F.lit(None).cast("string"))
     for name, holds in reasons:
         out = out.when(F.coalesce(holds, F.lit(True)), name)
-    return out.when(~t.isin("choice", "noul", "score"), F.concat(F.lit("type_"), t)).when((t == "choice") & (k < 2), "k<2")
+    return out.when(~t.isin("choice", "noul", "score"), F.concat(F.lit("type_"), t)).when(t.isin("choice", "score") & (k < 2), "k<2")
 
 
 def request_of(records: DataFrame) -> DataFrame:

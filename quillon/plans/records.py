@@ -150,7 +150,7 @@ def option_requests(spark, d):
     return read(spark, d, "conversations").select("conv_id", "turn", c.alias("c")).select("conv_id", "turn", F.transform("c", lambda x: x["label"]).alias("labels"), F.transform("c", lambda x: x["id"]).alias("ids"))
 
 
-_TEACH = "(CASE WHEN doc_id % 11 = 0 THEN 'teacher_disagreed' WHEN trim(text) = '' THEN 'empty_state' WHEN t = 'choice' AND NOT list_contains(keys, answer) THEN 'bad_choice' WHEN t = 'noul' AND answer NOT IN ('true', 'false') THEN 'bad_noul' WHEN t = 'score' AND NOT (answer ~ '^[0-9]+$' AND answer::INT < len(keys)) THEN 'bad_score' WHEN t NOT IN ('choice', 'noul', 'score') THEN 'type_' || t WHEN t = 'choice' AND len(keys) < 2 THEN 'k<2' END)"
+_TEACH = "(CASE WHEN doc_id % 11 = 0 THEN 'teacher_disagreed' WHEN trim(text) = '' THEN 'empty_state' WHEN t = 'choice' AND NOT list_contains(keys, answer) THEN 'bad_choice' WHEN t = 'noul' AND answer NOT IN ('true', 'false') THEN 'bad_noul' WHEN t = 'score' AND NOT (answer ~ '^[0-9]+$' AND answer::INT < len(keys)) THEN 'bad_score' WHEN t NOT IN ('choice', 'noul', 'score') THEN 'type_' || t WHEN t IN ('choice', 'score') AND len(keys) < 2 THEN 'k<2' END)"
 _TAUGHT = "SELECT doc_id, text, ['choice', 'noul', 'score', 'rank'][doc_id % 4 + 1] AS t, CASE WHEN doc_id % 4 = 1 THEN []::VARCHAR[] WHEN doc_id % 13 = 0 THEN ['a'] ELSE ['a', 'b', 'c'] END AS keys, CASE doc_id % 4 WHEN 0 THEN ['a', 'b', 'z'][doc_id % 3 + 1] WHEN 1 THEN ['true', 'false', 'maybe'][doc_id % 3 + 1] WHEN 2 THEN ['0', '2', '5'][doc_id % 3 + 1] ELSE 'x' END AS answer FROM documents"
 
 
