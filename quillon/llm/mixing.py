@@ -6,102 +6,96 @@ relative entropy; these are exponentially tilted, ``r = min(cap, exp(lambda * z)
 ``z`` the document's size over its source's mean size. The multipliers are the roots of
 the gradient of a convex dual, found by Newton steps kept inside a shrinking bracket.
 
-Documents of one source and size have one rate, so the dual is summed over the staged
-counts by (source, size), never over documents again. What reaches the driver is one row
-per source, at most ``max_sources``.
+Documents of one source and size have one rate, so the dual is summed over staged counts
+by (source, size), never over documents again, and it falls into a part for each source:
+the task that holds a source's counts takes its Newton steps, all sources side by side.
+What reaches the driver is a few sums, however many sources there are.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from quillon.operators.dataset import ordered_rank
+
 from .common import done_with, n_words, quoted, stage
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 CAP = 2
+#: Sources whose table is broadcast, at most; a larger one is joined by hash or sort.
+FEW = 100_000
 
 
-def source_targets(sizes: dict[str | None, int], share: float = SHARE, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP) -> dict[str | None, float]:
-    """Words that each source is to give: share of all sizes by repeating weights in code-point order, null last.
+def source_targets(tops: DataFrame, share: float = SHARE, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
+    """tops (source, total) with src (long, the source's number in code-point order, null last) and target: the words that it is to give.
 
-    A target stops at cap times its source's size; the excess goes to the other sources by
-    weight until none is above.
+    Targets are in proportion to repeating weights and stop at cap times the source's
+    total, the excess going to the others by weight until none is above: then the ones
+    that aren't full have one level, target over weight, which the rounds raise. A round
+    is two sums over sources.
     """
-    names = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
-    left, free, out = share * sum(sizes.values()), set(names), {}
-    while free:
-        total = sum(weight[s] for s in names if s in free)
-        part = {s: left * weight[s] / total for s in names if s in free}
-        full = [s for s in names if s in free and part[s] > cap * sizes[s]]
-        if not full:
-            out.update(part)
+    named = ordered_rank(tops.where("source is not null"), "source").withColumnRenamed("rank", "src")
+    none = tops.where("source is null").crossJoin(F.broadcast(tops.agg(F.count("source").alias("src"))))  # one row each
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("src") % len(weights) + 1).cast("int"))
+    rows = stage(named.unionByName(none).withColumn("weight", weight), "mix-sources")
+    all_ = rows.agg(F.sum("total").alias("words"), F.sum("weight").alias("weight")).first()
+    words, weighed, filled = share * (all_.words or 0), all_.weight or 0.0, -1
+    level = words / weighed if weighed else 0.0
+    while True:
+        full = F.col("weight") * level > cap * F.col("total")
+        got = rows.where(full).agg(F.count(F.lit(1)).alias("n"), F.sum(cap * F.col("total")).alias("words"), F.sum("weight").alias("weight")).first()
+        if got.n == filled:
+            return rows.withColumn("target", F.when(full, cap * F.col("total")).otherwise(F.col("weight") * level).cast("double"))
+        filled, left = got.n, weighed - (got.weight or 0.0)
+        level = (words - (got.words or 0)) / left if left > 1e-9 * weighed else math.inf
+
+
+def newton(size: np.ndarray, n: np.ndarray, target: float, cap: float = CAP, tolerance: float = 1e-10, most: int = 200) -> np.ndarray:
+    """Rates of n documents of each size (over 0) that give target words: Newton steps on the dual, halving the bracket where a step leaves it."""
+    size, n = size.astype(float), n.astype(float)
+    total, top = float((size * n).sum()), math.log(cap)
+    if target <= 0:
+        return np.zeros(len(size))
+    if target >= cap * total * (1 - 1e-12):
+        return np.full(len(size), float(cap))
+    mean = total / n.sum()
+    z, want = size / mean, target / mean
+    lam, lo, hi = 0.0, -2000.0 / z.min(), top / z.min()
+    for _ in range(most):
+        rate = np.exp(np.minimum(lam * z, top))
+        miss, bend = float((n * z * rate).sum()) - want, float((n * z * z * rate)[lam * z < top].sum())
+        lo, hi = (lam, hi) if miss < 0 else (lo, lam)
+        if abs(miss) <= tolerance * want or hi - lo <= 1e-15 * max(1.0, abs(lo)):
             break
-        for s in full:
-            out[s] = float(cap * sizes[s])
-            left -= out[s]
-            free.discard(s)
-    return out
-
+        step = lam - miss / bend if bend > 0 else math.inf
+        lam = step if lo < step < hi else (lo + hi) / 2
+    return np.exp(np.minimum(lam * z, top))
 
-def newton(counts: DataFrame, means: dict[int, float], targets: dict[int, float], totals: dict[int, int], least: dict[int, int], cap: float = CAP, tolerance: float = 1e-9, most: int = 60) -> dict[int, float]:
-    """The dual's multipliers: {source number: lambda}. counts: (src int, size long, n long) with size over 0.
 
-    Every step is one job that sums gradient and curvature over counts for the sources
-    that haven't met their target yet. infinite: all copies at the cap; -infinite: none.
-    """
-    spark, top = counts.sparkSession, math.log(cap)
-    lam, bracket, done = {}, {}, {}
-    for s, t in targets.items():
-        if totals[s] == 0 or t <= 0:
-            done[s] = -math.inf
-        elif t >= cap * totals[s] * (1 - 1e-12):
-            done[s] = math.inf
-        else:
-            z = least[s] / means[s]
-            lam[s], bracket[s] = 0.0, [-2000.0 / z, top / z]
-    for _ in range(most):
-        if not lam:
-            break
-        now = F.broadcast(spark.createDataFrame([(s, float(x), float(means[s])) for s, x in lam.items()], "src int, lam double, mean double"))  # one row per source, at most max_sources
-        z = F.col("size") / F.col("mean")
-        rate = F.exp(F.least(F.col("lam") * z, F.lit(top)))
-        sums = counts.join(now, "src").groupBy("src").agg(F.sum(F.col("n") * z * rate).alias("g"), F.sum(F.when(F.col("lam") * z < top, F.col("n") * z * z * rate).otherwise(0.0)).alias("h")).collect()
-        for r in sums:
-            s, want = r.src, targets[r.src] / means[r.src]
-            miss = r.g - want
-            bracket[s][0 if miss < 0 else 1] = lam[s]
-            lo, hi = bracket[s]
-            step = lam[s] - miss / r.h if r.h > 0 else math.inf
-            if abs(miss) <= tolerance * want or hi - lo <= 1e-15 * max(1.0, abs(lo)):
-                done[s] = lam.pop(s)
-            else:
-                lam[s] = step if lo < step < hi else (lo + hi) / 2
-    return done | lam
-
-
-def _rounded(cap: int):
+def _copies(cap: int):
     def f(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Copies of each size class of one source: largest first, what rounding leaves over is carried to the next smaller size."""
+        """Rates and copies of each size of one source: largest first, what rounding leaves over is carried to the next smaller size."""
         pdf = pdf.sort_values("size", ascending=False)
+        rates = newton(pdf["size"].to_numpy(), pdf["n"].to_numpy(), float(pdf["target"].iloc[0]), cap)
         out, carry = [], 0.0
-        for size, n, rate in zip(pdf["size"], pdf["n"], pdf["rate"], strict=True):
+        for size, n, rate in zip(pdf["size"].tolist(), pdf["n"].tolist(), rates.tolist(), strict=True):
             want = rate * n
             k = min(max(int(math.floor(want + carry / size + 0.5)), 0), cap * n)
             carry += (want - k) * size
             out.append(k)
-        return pdf.assign(copies=out)[["src", "size", "copies"]]
+        return pd.DataFrame({"src": pdf["src"], "size": pdf["size"], "all": pdf["n"], "copies": out, "rate": rates})
 
     return f
 
 
-def mix(docs: DataFrame, size: Column | None = None, key: str = "doc_id", source: str = "source", share: float = SHARE, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, max_sources: int = 100_000, buckets: int = 1024) -> DataFrame:
+def mix(docs: DataFrame, size: Column | None = None, key: str = "doc_id", source: str = "source", share: float = SHARE, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, buckets: int = 1024) -> DataFrame:
     """docs with size, source_size, target, rate and copies (int, 0 to cap) beside their own columns.
 
     size: words of ``text`` unless given. Null sources are one source, null texts and
@@ -109,9 +103,8 @@ def mix(docs: DataFrame, size: Column | None = None, key: str = "doc_id", source
     Repeated rows are rows of their own. Columns of docs named like the new ones are
     replaced; any others, whatever their names, are carried in one struct and clash with
     nothing. Within a source and size, copies go to documents by (hash of key, key): reruns
-    agree. More than max_sources sources raise ValueError: it bounds what is broadcast.
+    agree.
     """
-    spark = docs.sparkSession
     new = ["size", "source_size", "target", "rate", "copies"]
     own = [c for c in docs.columns if c.lower() not in new]
     size = n_words(F.col("text")) if size is None else size
@@ -119,35 +112,23 @@ def mix(docs: DataFrame, size: Column | None = None, key: str = "doc_id", source
     d = docs.select(F.struct(*quoted(own)).alias("doc"), F.col(source).alias("source"), F.col(key).alias("key"), salt.alias("salt"), size.cast("long").alias("size"))
     d = d.withColumn("bucket", F.pmod("salt", F.lit(buckets)).cast("int"))
     slim = stage(d.groupBy("source", "size", "bucket").agg(F.count(F.lit(1)).alias("n")), "mix-sizes")
-    some = F.col("size") > 0
-    tops = slim.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("total"), F.min(F.when(some, F.col("size"))).alias("least"), F.sum(F.when(some, F.col("n"))).alias("full")).limit(max_sources + 1).collect()
-    if len(tops) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
-    tops.sort(key=lambda r: (r.source is None, r.source or ""))
-    number = {r.source: i for i, r in enumerate(tops)}
-    totals = {number[r.source]: int(r.total) for r in tops}
-    targets = {number[s]: t for s, t in source_targets({r.source: int(r.total) for r in tops}, share, weights, cap).items()}
-    means = {number[r.source]: r.total / r.full if r.full else 1.0 for r in tops}
-    least = {number[r.source]: int(r.least or 1) for r in tops}
-    kind = docs.select(F.col(source).alias("source")).schema["source"].dataType.simpleString()
-    names = F.broadcast(spark.createDataFrame([(i, s) for s, i in number.items()], f"src int, name {kind}"))  # one row per source, at most max_sources
-    coded = slim.join(names, F.col("source").eqNullSafe(F.col("name"))).select("src", "size", "bucket", "n")
-    counts = stage(coded.where("size > 0").groupBy("src", "size").agg(F.sum("n").alias("n")), "mix-counts")
-    lam = newton(counts, means, targets, totals, least, cap)
-    table = F.broadcast(spark.createDataFrame([(i, s, float(lam.get(i, -math.inf)), float(means[i]), totals[i], float(targets[i])) for s, i in number.items()], f"src int, name {kind}, lam double, mean double, source_size long, target double"))  # as above
-    tilted = F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(math.log(cap))))
-    rate = F.when(F.col("lam") == F.lit(math.inf), F.lit(float(cap))).when(F.col("lam") == F.lit(-math.inf), F.lit(0.0)).otherwise(tilted)
-    rated = counts.join(table, "src").select("src", "size", "n", rate.alias("rate"))
-    classes = rated.groupBy("src").applyInPandas(_rounded(cap), "src int, size long, copies long")
-    classes = stage(rated.join(classes, ["src", "size"]).select("src", "size", F.col("n").alias("all"), "copies", "rate"), "mix-classes")
+    tops = stage(slim.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("total")), "mix-totals")
+    sources = source_targets(tops, share, weights, cap).select("src", F.col("source").alias("name"), F.col("total").alias("source_size"), "target")
+    sources = stage(sources, "mix-targets")
+    small = sources.limit(FEW + 1).count() <= FEW
+    told = lambda df: F.broadcast(df) if small else df  # noqa: E731 - FEW rows at most
+    coded = slim.join(told(sources.select("src", "name")), F.col("source").eqNullSafe(F.col("name"))).select("src", "size", "bucket", "n").where("size > 0")
+    counts = coded.groupBy("src", "size").agg(F.sum("n").alias("n")).join(told(sources.select("src", "target")), "src")
+    classes = counts.groupBy("src").applyInPandas(_copies(cap), "src long, size long, all long, copies long, rate double")
+    classes = stage(classes, "mix-classes")
     # every copy beyond the whole ones of a class goes to one document; buckets get theirs by running counts
-    sub = coded.where("size > 0").groupBy("src", "size", "bucket").agg(F.sum("n").alias("n")).join(classes, ["src", "size"])
+    sub = coded.groupBy("src", "size", "bucket").agg(F.sum("n").alias("n")).join(classes, ["src", "size"])
     sub = sub.withColumn("upto", F.sum("n").over(W.partitionBy("src", "size").orderBy("bucket"))).withColumn("more", F.expr("copies % all"))
     extra = F.expr("((upto * more) div all) - (((upto - n) * more) div all)")
     sub = sub.select("src", "size", "bucket", "rate", F.expr("copies div all").alias("base"), extra.alias("extra"))
-    coded_docs = d.join(table, F.col("source").eqNullSafe(F.col("name"))).select("doc", "key", "salt", "size", "bucket", "src", "source_size", "target")
+    coded_docs = d.join(told(sources), F.col("source").eqNullSafe(F.col("name"))).select("doc", "key", "salt", "size", "bucket", "src", "source_size", "target")
     at = F.row_number().over(W.partitionBy("src", "size", "bucket").orderBy("salt", "key"))
     out = coded_docs.withColumn("at", at).join(sub.hint("merge"), ["src", "size", "bucket"], "left")
     copies = F.coalesce(F.col("base") + F.when(F.col("at") <= F.col("extra"), 1).otherwise(0), F.lit(0)).cast("int")
-    done_with(counts)
+    done_with(tops)
     return out.select("doc.*", "size", "source_size", "target", F.coalesce("rate", F.lit(0.0)).alias("rate"), copies.alias("copies"))

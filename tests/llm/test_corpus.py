@@ -851,3 +851,43 @@ def test_pipeline(spark, docs, empty, tmp_path):
     for _, f in corpus_pipeline.STAGES:
         step = f(spark, step, str(tmp_path))
     assert step.count() == 0
+
+
+def test_mix_of_more_sources_than_are_broadcast(spark, monkeypatch):
+    from quillon.llm import mixing
+
+    rng = random.Random(2)
+    rows = [(i, f"s{rng.randrange(400)}" if i % 50 else None, rng.randint(0, 9)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, words int")
+    few = sorted(map(str, mixing.mix(df, F.col("words")).collect()))
+    monkeypatch.setattr(mixing, "FEW", 10)
+    out = mixing.mix(df, F.col("words")).collect()
+    assert sorted(map(str, out)) == few and len(out) == len(rows)
+    sizes = collections.Counter()
+    for _, s, n in rows:
+        sizes[s] += n
+    want = shares(dict(sizes))
+    taken = collections.Counter()
+    for r in out:
+        assert r.target == pytest.approx(float(want[r.source])) and r.source_size == sizes[r.source]
+        taken[r.source] += r.copies * r.size
+    assert all(abs(taken[s] - float(t)) <= 5 for s, t in want.items())
+
+
+def test_newton_rates_are_of_least_relative_entropy():
+    """Against bisection, and against moves between two sizes that keep the words."""
+    from quillon.llm.mixing import newton
+
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        size = np.unique(rng.integers(1, 5000, 20))
+        n = rng.integers(1, 100, len(size))
+        target = float(rng.uniform(0.01, 1.99) * (size * n).sum())
+        rate = newton(size, n, target)
+        assert (rate * n * size).sum() == pytest.approx(target, rel=1e-8) and rate.max() <= 2 + 1e-12
+        lo, hi = -50.0, 50.0
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if (np.minimum(2, np.exp(np.minimum(mid * size / size.mean(), 50))) * n * size).sum() < target else (lo, mid)
+        assert rate == pytest.approx(np.minimum(2, np.exp(np.minimum(lo * size / size.mean(), 50))), rel=1e-5)
+    assert (newton(size, n, 0.0) == 0).all() and (newton(size, n, 2.0 * (size * n).sum()) == 2).all()
