@@ -150,14 +150,14 @@ def facts(df: DataFrame, s: Source, split: str) -> DataFrame:
     return _record(rows, s, split, _key(split), _by_text(s, "page", page), F.struct("claim", "evidence"), q, vec.one_hot(3, at), at)
 
 
-def yes_no(name: str, columns: dict[str, str], truth: Column, instruction: str, said: Column, by: str | None = None) -> Adapter:
-    """A boolean question on columns {state field: column}; group by the text of column ``by``, or by row."""
+def yes_no(name: str, columns: dict[str, str], truth: str, instruction: str, said: tuple[str, str], by: str | None = None) -> Adapter:
+    """A boolean question on columns {state field: column}; truth: an SQL expression; group by the text of column ``by``, or by row."""
 
     def adapt(df: DataFrame, s: Source, split: str) -> DataFrame:
-        rows = require(df, "key", *columns.values()).where(truth.isNotNull())
+        rows = require(df, "key", *columns.values()).where(F.expr(truth).isNotNull())
         group = _by_text(s, by, F.col(by)) if by else _by_row(s, split)
-        hard = truth.cast("int")
-        return _record(rows, s, split, _key(split), group, F.struct(*[F.col(c).alias(f) for f, c in columns.items()]), _question(name, "boolean", F.lit(instruction), criteria=said), vec.one_hot(2, hard), hard)
+        hard = F.expr(truth).cast("int")
+        return _record(rows, s, split, _key(split), group, F.struct(*[F.col(c).alias(f) for f, c in columns.items()]), _question(name, "boolean", F.lit(instruction), criteria=criteria(*said)), vec.one_hot(2, hard), hard)
 
     return adapt
 
@@ -264,7 +264,6 @@ _RATED = (("prompt", "response"), "helpfulness", _HELPFUL, "How helpful an answe
 
 def sources(emotion_names: list[str] | None = None) -> dict[str, Source]:
     """The registry: every source by name. emotion_names: the label list of go_emotions, which its rows only number."""
-    answer, same = F.col("answer").cast("boolean"), F.col("label") == 1
     every = [
         Source("banking77", "support.routing.intent.banking77", "B", intents("text", "label_text", _ROUTE), ("train", "test")),
         Source("clinc_oos", "support.routing.intent.clinc150", "B", intents("text", "intent", _ROUTE), ("train", "validation", "test"), config="plus"),
@@ -273,9 +272,9 @@ def sources(emotion_names: list[str] | None = None) -> dict[str, Source]:
         Source("multi_nli", "verification.nli.mnli", "D", inference(keep="genre"), ("train", "validation_matched", "validation_mismatched"), admitted=False),
         Source("snli", "verification.nli.snli", "B", inference(), ("train", "validation", "test"), config="plain_text"),
         Source("vitaminc", "verification.fact.vitaminc", "B", facts, ("train", "validation", "test")),
-        Source("boolq", "verification.boolq", "B", yes_no("answer", {"passage": "passage", "question": "question"}, answer, "Does `passage` answer `question` with yes?", criteria("It answers yes.", "It answers no."), by="passage"), ("train", "validation")),
+        Source("boolq", "verification.boolq", "B", yes_no("answer", {"passage": "passage", "question": "question"}, "CAST(answer AS BOOLEAN)", "Does `passage` answer `question` with yes?", ("It answers yes.", "It answers no."), by="passage"), ("train", "validation")),
         Source("halueval", "verification.grounding.halueval", "A", grounded, admitted=False, config="qa"),
-        Source("paws", "verification.paraphrase.paws", "B", yes_no("paraphrase", {"sentence1": "sentence1", "sentence2": "sentence2"}, same, "Do both sentences mean the same?", criteria("They do.", "They don't.")), ("train", "validation", "test"), config="labeled_final"),
+        Source("paws", "verification.paraphrase.paws", "B", yes_no("paraphrase", {"sentence1": "sentence1", "sentence2": "sentence2"}, "label = 1", "Do both sentences mean the same?", ("They do.", "They don't.")), ("train", "validation", "test"), config="labeled_final"),
         Source("civil_comments", "moderation.civil_comments", "A", comments),
         Source("aegis2", "moderation.aegis2", "B", safety, admitted=False),
         Source("ultrafeedback", "quality.score.ultrafeedback_helpfulness", "A", rated_completions, admitted=False),

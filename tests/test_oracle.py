@@ -51,3 +51,13 @@ def test_query(spark, duck, name):
         want = sorted((tuple(norm(dict(zip(rel.columns, x, strict=True))[c]) for c in cols) for x in rel.fetchall()), key=str)
         assert len(got) == len(want)
         assert all(map(same, got, want))
+
+
+def test_queries_are_listed_without_a_session():
+    """The lists of queries and SQL texts need no Spark, so importing builds no column."""
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert set(s) <= set(q) and len(q) > 100"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
