@@ -121,7 +121,8 @@ def _configurations(sizes: list[int], demand: list[int], capacity: int, most: in
     """Whole uses of configurations from the linear programme's optimum, rounded down: [(uses, number of each size)].
 
     Column generation: the basis starts from configurations of one size each; a knapsack
-    over the dual prices brings in the next one until none prices out over 1.
+    over the dual prices brings in the next one until none prices out over 1, or for
+    ``most`` steps; what it has then packs all the same, with a few sequences more.
     """
     k = len(sizes)
     columns = [np.eye(k)[i] * (capacity // sizes[i]) for i in range(k)]

@@ -46,7 +46,24 @@ def feature_array(c: Column, before: Column, after: Column, path: Column) -> Col
     flag = lambda x: F.when(x, 1.0).otherwise(0.0)
     steps = r"(?<=[0-9])[A-Za-z]|(?<=[A-Za-z])[0-9]|(?<=[a-z])[A-Z]|(?<=[A-Z])[a-z]|(?<=[^A-Za-z0-9])[A-Za-z0-9]"
     words = F.regexp_replace(F.lower(c), "(" + "|".join(sorted(WORDS, key=len, reverse=True)) + ")", "")
-    each = [n, share("[0-9]"), share("[A-Z]"), share("[a-z]"), share("[0-9a-fA-F]"), share(r"[^A-Za-z0-9]"), share(steps), F.size(F.array_distinct(F.split(c, ""))) / n, (n - F.length(words)) / n, F.array_max(runs).cast("double"), flag(F.rlike(before, F.lit(KEYWORDS))), flag(F.rlike(before, F.lit(DIGESTS))), flag(F.rlike(before, F.lit(r"""[=:]\W*$"""))), flag(F.rlike(before, F.lit(r"""["'`]$""")) & F.rlike(after, F.lit(r"""^["'`]"""))), flag(F.rlike(path, F.lit(r"(?i)(test|example|fixture|sample|mock|vendor|lock$)"))), flag(F.rlike(c, F.lit(r"^[0-9\-]+$")))]
+    each = [
+        n,
+        share("[0-9]"),
+        share("[A-Z]"),
+        share("[a-z]"),
+        share("[0-9a-fA-F]"),
+        share(r"[^A-Za-z0-9]"),
+        share(steps),
+        F.size(F.array_distinct(F.split(c, ""))) / n,
+        (n - F.length(words)) / n,
+        F.array_max(runs).cast("double"),
+        flag(F.rlike(before, F.lit(KEYWORDS))),
+        flag(F.rlike(before, F.lit(DIGESTS))),
+        flag(F.rlike(before, F.lit(r"""[=:]\W*$"""))),
+        flag(F.rlike(before, F.lit(r"""["'`]$""")) & F.rlike(after, F.lit(r"""^["'`]"""))),
+        flag(F.rlike(path, F.lit(r"(?i)(test|example|fixture|sample|mock|vendor|lock$)"))),
+        flag(F.rlike(c, F.lit(r"^[0-9\-]+$"))),
+    ]
     return F.array(*[F.coalesce(x.cast("double"), F.lit(0.0)) for x in each])
 
 
@@ -156,8 +173,39 @@ def labelled_findings(spark: SparkSession, n: int = 6_000, seed: int = 1) -> Dat
     kind = pick("block", ["RSA PRIVATE KEY", "PRIVATE KEY", "OPENSSH PRIVATE KEY", "EC PRIVATE KEY"])
     block = F.concat(F.lit("-----BEGIN "), kind, F.lit("-----\n"), F.substring(mix, 1, 40), F.lit("\n"), F.repeat(F.concat(F.substring(mix, 3, 38), F.lit("\n")), (r("lines", 12) + 1).cast("int")), F.lit("-----END "), kind, F.lit("-----"))
     plain = pick("plain", ["required", "string", "nobody", "Johnson", "different", "request.headers", "config.get_token", "os.environ", "$DB_PASSWORD", "your_token1", "2024-01-02", "20240102", "version2", "module.key_1", "www.example.com/a1", "NoneType", "getTokenFromRequestHeader", "please&thank&you", "readAccessPolicyDocuments", "/etc/app/key.pem", "{{ vault_password }}"])
-    true = F.element_at(F.array(hexes, F.substring(h("x"), 1, 32), F.concat(F.lit("sk_live_"), F.substring(mix, 1, 24)), F.substring(mix, 1, 40), F.concat(F.lit("ghp_"), F.substring(mix, 1, 36)), F.concat(F.lit("AKIA"), F.upper(F.substring(h("k"), 1, 16))), F.upper(hexes), F.substring(mix, 1, 10), F.substring(h("x"), 1, 12), F.concat(F.substring(mix, 1, 8), F.lit("!"), F.substring(h("x"), 1, 1)), F.substring(F.translate(mix, "0123456789", "qWzXvKjYpT"), 1, 24), F.concat(F.substring(mix, 1, 7), F.lit("&"), F.substring(mix, 9, 4)), block, F.concat(pick("w1", ["dragon", "hunter", "summer", "monkey", "winter", "pass"]), r("d", 99).cast("string"), pick("w2", ["secret", "login", "admin", "blue", "word"]), pick("sign", ["!", "", "#", "?"]))), (r("kind2", 14) + 1).cast("int"))
-    false = F.element_at(F.array(hexes, h("x"), F.concat_ws("-", F.substring(h("x"), 1, 8), F.substring(h("x"), 9, 4), F.substring(h("x"), 13, 4), F.substring(h("x"), 17, 4), F.substring(h("x"), 21, 12)), F.substring(F.translate(h("x"), "abcdef", "123456"), 1, 16), F.concat_ws("_", word, F.lit("default"), pick("v", ["name", "value", "column"]), r("d", 99).cast("string")), F.concat(F.lit("your_"), pick("v", ["api_key", "token", "secret"]), F.lit("_here_1234")), F.concat(F.lit("/static/assets/"), word, F.lit("-"), r("d", 9999).cast("string")), F.concat(F.lit("EXAMPLEKEY"), F.repeat(F.lit("0"), 12)), F.concat_ws("-", word, F.lit("service-release"), r("d", 99).cast("string")), plain, plain), (r("kind", 11) + 1).cast("int"))
+    cut = lambda x, at, n: F.substring(x, at, n)
+    hexed = h("x")
+    secrets = [
+        hexes,
+        cut(hexed, 1, 32),
+        F.concat(F.lit("sk_live_"), cut(mix, 1, 24)),
+        cut(mix, 1, 40),
+        F.concat(F.lit("ghp_"), cut(mix, 1, 36)),
+        F.concat(F.lit("AKIA"), F.upper(cut(h("k"), 1, 16))),
+        F.upper(hexes),
+        cut(mix, 1, 10),
+        cut(hexed, 1, 12),
+        F.concat(cut(mix, 1, 8), F.lit("!"), cut(hexed, 1, 1)),
+        cut(F.translate(mix, "0123456789", "qWzXvKjYpT"), 1, 24),
+        F.concat(cut(mix, 1, 7), F.lit("&"), cut(mix, 9, 4)),
+        block,
+        F.concat(pick("w1", ["dragon", "hunter", "summer", "monkey", "winter", "pass"]), r("d", 99).cast("string"), pick("w2", ["secret", "login", "admin", "blue", "word"]), pick("sign", ["!", "", "#", "?"])),
+    ]
+    others = [
+        hexes,
+        hexed,
+        F.concat_ws("-", cut(hexed, 1, 8), cut(hexed, 9, 4), cut(hexed, 13, 4), cut(hexed, 17, 4), cut(hexed, 21, 12)),
+        cut(F.translate(hexed, "abcdef", "123456"), 1, 16),
+        F.concat_ws("_", word, F.lit("default"), pick("v", ["name", "value", "column"]), r("d", 99).cast("string")),
+        F.concat(F.lit("your_"), pick("v", ["api_key", "token", "secret"]), F.lit("_here_1234")),
+        F.concat(F.lit("/static/assets/"), word, F.lit("-"), r("d", 9999).cast("string")),
+        F.concat(F.lit("EXAMPLEKEY"), F.repeat(F.lit("0"), 12)),
+        F.concat_ws("-", word, F.lit("service-release"), r("d", 99).cast("string")),
+        plain,
+        plain,
+    ]
+    true = F.element_at(F.array(*secrets), (r("kind2", len(secrets)) + 1).cast("int"))
+    false = F.element_at(F.array(*others), (r("kind", len(others)) + 1).cast("int"))
     y = r("y", 2).cast("int")
     given = pick("b", ['token = "', "api_key: ", "password='", "Authorization: Bearer ", "secret=", '"access_key": "', "export AUTH_TOKEN=", 'TOKEN = "', "api_key=", "DB_PASSWORD=", "/v1/items?id=3&token=", "--auth-token=", "SECRET_KEY_FOR_RELEASE_2="])
     named = pick("b", ["password: ", "token = ", "author: ", "key=", "api: ", 'secret="', "access_token=", "private: ", "?api_key="])
