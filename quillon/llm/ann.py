@@ -25,7 +25,7 @@ blocks of bounded size.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -166,6 +166,8 @@ class Index:
     ratio: float
     probes: int
     shelf: np.ndarray  # of each list
+    size: np.ndarray | None = None  # vectors posted to each list, once they are
+    need: int = 0  # vectors that a query is to read at least
 
     def lift(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([x, np.sqrt(np.maximum(self.radius**2 - (x * x).sum(1), 0))[:, None]], 1)
@@ -174,9 +176,23 @@ class Index:
         """(row, list): the lists that vectors go to."""
         return _within(*self.graph.search(self.lift(x), self.copies), self.edge)
 
+    def posted(self, size: np.ndarray, k: int) -> Index:
+        """The index that knows its lists' sizes: a query then reads on until they hold k vectors besides itself, copies allowed for."""
+        need = self.copies * (k + 1)
+        lists = int(np.searchsorted(np.cumsum(np.sort(size)), need)) + 1
+        return replace(self, size=size, need=need, probes=min(len(size), max(self.probes, lists)))
+
     def ask(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, list): the lists that queries read."""
-        return _within(*self.graph.search(np.concatenate([q, np.zeros((len(q), 1))], 1), self.probes), self.ratio, NEAR)
+        ids, d2 = self.graph.search(np.concatenate([q, np.zeros((len(q), 1))], 1), self.probes)
+        row, lst = _within(ids, d2, self.ratio, NEAR)
+        if self.size is None:
+            return row, lst
+        held = self.size[ids]
+        more = (np.cumsum(held, axis=1) - held < self.need) & np.isfinite(d2)
+        i, j = np.nonzero(more)
+        both = np.unique(np.stack([np.append(row, i), np.append(lst, ids[i, j])], 1), axis=0)
+        return both[:, 0], both[:, 1]
 
 
 def fit_index(x: np.ndarray, total: int, radius: float, lists: int, k: int, copies: int = 2, edge: float = 1.015, aim: float = AIM, asked: int = 400) -> Index:
@@ -361,6 +377,11 @@ def nearest(table: DataFrame, queries: Column, key: str = "vec_id", vector: str
     index = spark.sparkContext.broadcast(ix)  # max_lists centroids at most
     kind = rows.schema["vector"].dataType.simpleString()
     posted = stage(use.select(F.col("id").alias("vid"), "vector").mapInArrow(_posted(index, dim), f"list int, vid long, vector {kind}"), "lists")
+    done_with(index)
+    size = np.zeros(len(ix.graph.c), np.int64)
+    for r in posted.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect():  # max_lists rows at most
+        size[r["list"]] = r.n
+    index = spark.sparkContext.broadcast(ix.posted(size, k))  # as above
     asks = rows.where("asks").select(F.col("id").alias("vid"), "vector").dropDuplicates()
     asked = stage(asks.mapInArrow(_asked_of(index, dim), f"shelf int, vid long, vector {kind}, lists array<int>"), "asked")
     done_with(index)

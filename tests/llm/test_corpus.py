@@ -428,6 +428,17 @@ def test_nearest_reads_little_of_50_000_vectors(spark):
     assert size.max() < 8 * size.mean()
 
 
+def test_nearest_finds_as_many_as_asked_for(spark):
+    """Clumps smaller than k, far from each other: lists near a query don't hold enough."""
+    from quillon.llm.ann import nearest
+
+    rng = np.random.default_rng(12)
+    x = np.repeat(rng.normal(size=(150, 24)), 4, axis=0) + 0.001 * rng.normal(size=(600, 24))
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.Counter(r.query_id for r in nearest(df, F.col("vec_id") % 20 == 0, per_list=4).collect())
+    assert got == dict.fromkeys(range(0, 600, 20), 20)
+
+
 def test_nearest_keeps_copies_apart(spark):
     """More equal vectors than a result holds, in lists of several, ids in strings and clashing columns."""
     from quillon.llm.ann import nearest
