@@ -252,13 +252,17 @@ def latency_stream(spark, d):
     """The windows as a stream with a watermark over the files of the table, run to its end; its percentiles are approximate, so they aren't shown."""
     import uuid
 
+    from quillon.sources.files import shared_folder
     from quillon.streaming.streams import windows_once
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    at = f"{base}/stream-{uuid.uuid4().hex}"
-    read(spark, d, "events").select("ts", "event_type", "value").write.parquet(f"{at}/in")
-    w = windows_once(spark, read(spark, d, "events").select("ts", "event_type", "value"), f"{at}/in", at, late="60 days")
-    return w.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("mean", 6).alias("mean"))
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    # times without a zone as moments of UTC and back, whatever the session's zone
+    moment = F.timestamp_micros(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"))
+    events = read(spark, d, "events").select(moment.alias("ts"), "event_type", "value")
+    events.write.parquet(f"{at}/in")
+    w = windows_once(spark, events, f"{at}/in", at, late="60 days")
+    start = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col("start").cast("timestamp_ntz"))
+    return w.select("event_type", start.alias("start"), "n", F.round("mean", 6).alias("mean"))
 
 
 @query("SELECT json_extract_string(props, '$.k') AS k, count(*) AS n FROM events GROUP BY 1")

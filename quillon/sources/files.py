@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import re
+import tempfile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -15,6 +17,22 @@ from quillon.operators.dataset import RECORD, require_sound
 SEALED = "test"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, or else the context's checkpoint folder.
+
+    Where neither is set, a session in one process (as in tests) gets a temporary one; on a
+    cluster, whose machines wouldn't share it, that raises ValueError.
+    """
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir is not set: it names a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-"))
+        found = sc.getCheckpointDir()
+    return found.rstrip("/")
+
+
 def _guard(path: str, unsealed: bool) -> str:
     if not unsealed and path.rstrip("/").rsplit("/", 1)[-1].split(".")[0].split("=")[-1] == SEALED:
         raise PermissionError(f"{path} is sealed")
