@@ -21,18 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from quillon.sources.files import shared_folder
+
 #: Words are runs of anything but ASCII white space; ``bytes.split()`` cuts the same runs.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, or else the context's checkpoint folder; ValueError where neither is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        raise ValueError("spark.checkpoint.dir is not set: it names a folder that driver and executors share")
-    return found.rstrip("/")
-
-
 def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """f as a task that gives its memory back when it ends: Python workers are reused, and allocators keep what was freed."""
 
@@ -92,7 +86,7 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillon/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/quillon/{name}-{uuid.uuid4().hex}"
     with small_batches(spark):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
