@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import done_with, lean, salted_rank, stage
+from .common import lean, salted_rank, stage
 
 CAPACITY = 4096
 END_ID = 1
