@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-
-
 from quillon.operators import requests as R
 from quillon.sources import families as S
 
@@ -122,7 +120,7 @@ def _cases(spark, d):
     return read(spark, d, "labels").select(F.col("doc_id").cast("string").alias("id"), F.lit("triage").alias("workflow"), F.format_string('{"n": %d}', "doc_id").alias("state"), F.expr(_ASKS).alias("questions"), gold.alias("gold"))
 
 
-_DEV = H100.replace("sha256(doc_id::VARCHAR)", "sha256(doc_id::VARCHAR)") + " < 15"
+_DEV = f"{H100} < 15"
 _CASE = f"SELECT 'case:' || doc_id || ':' || q AS id, 'case:' || doc_id AS source_group, 'fitted.triage.' || t AS family, CASE WHEN {_DEV} THEN 'dev' ELSE 'train' END AS split, q AS question, t AS qtype, keys, list_transform(p, lambda x: round(x / list_sum(p), 6)) AS probs FROM (SELECT doc_id, q, t, keys, p FROM labels CROSS JOIN LATERAL (VALUES ('urgent', 'boolean', ['false', 'true'], [1.0::DOUBLE - toxic, toxic::DOUBLE]), ('team', 'choice', ['help', 'legal', 'sales'], [quality + 1.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE]), ('mood', 'score', ['0', '1', '2'], [1.0::DOUBLE, 0.0::DOUBLE, 3.0::DOUBLE])) v(q, t, keys, p))"
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from quillon.functions.text import word_prefixes as prefixes
 from quillon.operators import contamination as C
