@@ -21,8 +21,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Repeated rows stay or go together; where no row has a language, all go.
     """
-    kept = docs.select(F.struct(*quoted(docs.columns)).alias("doc"), "doc_id", "text", "lang")
-    return identify(kept.select("doc", "text"), fit(kept)).where(~F.col("rejected")).select("doc.*")
+    # texts stand beside the struct, not in it too: they are what is passed to Python
+    rest = [c for c in docs.columns if c != "text"]
+    kept = docs.select(F.struct(*quoted(rest)).alias("doc"), "text")
+    found = identify(kept, fit(docs)).where(~F.col("rejected"))
+    return found.select(*[F.col("text") if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
