@@ -98,6 +98,18 @@ def op10_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .fim import fill_in_middle, restore
+
+    seed = F.sha2(F.concat(F.lit("1:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256)
+    h1, h2, h3, h4 = (F.conv(F.substring(seed, 8 * i + 1, 8), 16, 10).cast("long") for i in range(4))
+    form = F.when(h3 % 100 >= 90, "plain").when(h4 % 100 < 20, "spm").otherwise("psm")
+    out = restore(fill_in_middle(documents(spark, sf_dir, "doc_id", "text"), h1, h2, form).drop("text"))
+    return out.select("doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"), F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_entropy_mix": op1_entropy_mix,
     "op2_warc_derivatives": op2_warc_derivatives,
@@ -109,8 +121,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_jaccard_join": op8_jaccard_join,
     "op10_media_chunks": op10_media_chunks,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
+
 def _rule_sql(what: str) -> str:
     """CASE over the rules, longest first."""
     fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
@@ -146,5 +160,12 @@ n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1), o AS (SELECT x.doc_id AS
 l AS (SELECT a, b FROM o JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * o >= 85 * (p.n + q.n - o)), r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM r GROUP BY 1) USING (doc_id)"""
 
+OP11_SQL = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+r AS (SELECT *, length(t) AS n, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2, ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b, CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM r),
+o AS (SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || substr(t, 1, a) || '<S>' || substr(t, b + 1) || '<M>' || substr(t, a + 1, b - a) ELSE '<S>' || substr(t, b + 1) || '<P>' || substr(t, 1, a) || '<M>' || substr(t, a + 1, b - a) END AS o FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars, sha256(o) AS output_sha256, sha256(t) AS restored_sha256 FROM o"""
+
+
 #: Where SQL can say what the query returns. The others depend on a fitted model, a rounding or bytes; tests/llm has their brute-force versions.
-ORACLE_SQL: dict[str, str] = {"op6_redirect_equivalence": _op6_sql(), "op8_jaccard_join": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_redirect_equivalence": _op6_sql(), "op8_jaccard_join": OP8_SQL, "op11_fill_in_middle": OP11_SQL}
