@@ -26,6 +26,9 @@ from quillon.sources.files import shared_folder
 #: Words are runs of anything but ASCII white space; ``bytes.split()`` cuts the same runs.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Heavy keys of a join, at most: those with over a 512th of the rows, and over LEAST_HEAVY. It bounds a broadcast.
+MOST_HEAVY, LEAST_HEAVY = 512, 64
+
 
 def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """f as a task that gives its memory back when it ends: Python workers are reused, and allocators keep what was freed."""
@@ -145,6 +148,29 @@ def salted_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], sal
     return ranked.join(offsets.hint("merge"), [*keys, b]).withColumn(out, F.col(first) + F.col("__row") - 1).drop(b, first, "__row")
 
 
+def joined_by(rows: DataFrame, table: DataFrame, key: str, n: str = "n", most: int = MOST_HEAVY) -> DataFrame:
+    """rows with the columns of table (one row a key) beside them; null where table hasn't the key.
+
+    n: a column of table, the number of rows with its key. A key with over one ``most``-th of
+    all rows is met by a broadcast (there are fewer than ``most`` of them), so no shuffle
+    brings such a key's rows together; other keys are few rows each and are shuffled.
+    Both sides are read more than once: staged tables are meant.
+    """
+    total = table.agg(F.sum(n)).first()[0] or 0
+    heavy = F.col(n) > max(total // most, LEAST_HEAVY)
+    value = [c for c in table.columns if c != key]
+    some = table.where(heavy).limit(1).count()
+    light = table.where(~heavy) if some else table
+    if not some:
+        return rows.join(light, key, "left")
+    mark, = fresh(rows, "heavy")
+    told = F.broadcast(table.where(heavy).select(key, F.struct(*quoted(value)).alias(mark)))  # fewer than ``most`` rows
+    met = rows.join(told, key, "left")
+    far = met.where(F.col(mark).isNull()).drop(mark).join(light, key, "left")
+    near = met.where(F.col(mark).isNotNull()).select("*", *[F.col(mark).getField(c).alias(c) for c in value]).drop(mark)
+    return far.select(near.columns).unionAll(near)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components by alternating large and small stars.
 
