@@ -116,6 +116,12 @@ def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op13_bit_sliced_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bitsliced import rank_documents
+
+    return rank_documents(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_entropy_mix": op1_entropy_mix,
     "op2_warc_derivatives": op2_warc_derivatives,
@@ -129,6 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_media_chunks": op10_media_chunks,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_simhash": op12_simhash,
+    "op13_bit_sliced_search": op13_bit_sliced_search,
 }
 
 
@@ -174,5 +181,14 @@ o AS (SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || substr(t,
 SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars, sha256(o) AS output_sha256, sha256(t) AS restored_sha256 FROM o"""
 
 
+OP13_SQL = """WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM documents),
+q AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY 1), g AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS l FROM n),
+p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2), d AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+i AS (SELECT doc_id, p.term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // l))) AS impact FROM p JOIN d USING (term) JOIN n USING (doc_id) CROSS JOIN g),
+s AS (SELECT item_id, doc_id, sum(impact)::BIGINT AS score FROM q JOIN i USING (term) GROUP BY 1, 2 HAVING sum(impact) > 0)
+SELECT item_id, CAST(row_number() OVER w AS INTEGER) AS rank, doc_id, score FROM s WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY rank <= 20"""
+
+
 #: Where SQL can say what the query returns. The others depend on a fitted model, a rounding or bytes; tests/llm has their brute-force versions.
-ORACLE_SQL: dict[str, str] = {"op6_redirect_equivalence": _op6_sql(), "op8_jaccard_join": OP8_SQL, "op11_fill_in_middle": OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_redirect_equivalence": _op6_sql(), "op8_jaccard_join": OP8_SQL, "op11_fill_in_middle": OP11_SQL, "op13_bit_sliced_search": OP13_SQL}
