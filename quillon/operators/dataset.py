@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -109,6 +111,58 @@ def family_weights(df: DataFrame, by: str, alpha: float) -> DataFrame:
     return c.crossJoin(total).select(by, "n", (F.col("w") / F.col("all_")).alias("p_family"), (F.col("w") / F.col("all_") / F.col("n")).alias("p_row"))
 
 
+#: Families whose cumulative shares are told to all tasks, at most (a name and 16 bytes each).
+MOST_FAMILIES = 1_000_000
+
+
+def family_draws(df: DataFrame, key: str, by: str, alpha: float, steps: int, slots: int, seed: int = 0) -> DataFrame:
+    """(step, slot, family, key): a row of df for each slot of each step, its family drawn with P ~ n^alpha, then a row of it alike.
+
+    Draws are hashes of (seed, step, slot), so a step is drawn alike whenever and wherever it
+    is drawn. A family is the first one in order whose cumulative share is over the draw,
+    found by binary search in shares that all tasks have; its row is met by its exact rank,
+    so the join's keys are spread however large a family is. Rows with a null family or key
+    are never drawn; keys must be distinct. An empty table gives no draws.
+    """
+    spark = df.sparkSession
+    known = df.where(F.col(by).isNotNull() & F.col(key).isNotNull()).select(F.col(by).alias("__family"), F.col(key).alias("__key"))
+    counts = sorted(map(tuple, known.groupBy("__family").agg(F.count(F.lit(1)).alias("n")).limit(MOST_FAMILIES + 1).collect()))
+    if len(counts) > MOST_FAMILIES:
+        raise ValueError(f"over {MOST_FAMILIES} families")
+    kind = df.schema[by].dataType
+    if not counts:
+        return spark.createDataFrame([], T.StructType([T.StructField("step", T.LongType()), T.StructField("slot", T.LongType()), T.StructField("family", kind), T.StructField(key, df.schema[key].dataType)]))
+    n = np.array([c for _, c in counts], np.int64)
+    share = np.cumsum(n.astype(float) ** alpha)
+    told = spark.sparkContext.broadcast((share / share[-1], n))
+
+    @F.pandas_udf("struct<at: int, row: long>")
+    def placed(u: pd.Series, v: pd.Series) -> pd.DataFrame:
+        cumulative, sizes = told.value
+        at = np.minimum(np.searchsorted(cumulative, u.to_numpy(), side="right"), len(sizes) - 1)
+        return pd.DataFrame({"at": at, "row": np.minimum((v.to_numpy() * sizes[at]).astype(np.int64), sizes[at] - 1)})
+
+    def unit(what: str) -> Column:  # 56 bits of two draws
+        hi, lo = (draw(1 << 28, F.lit(seed), F.lit(f"{what}{i}"), F.col("step"), F.col("slot")) for i in (1, 2))
+        return (hi * (1 << 28) + lo).cast("double") / float(1 << 56)
+
+    every = spark.range(steps * slots).select(F.expr(f"id div {slots}").alias("step"), (F.col("id") % slots).alias("slot"))
+    drawn = every.select("step", "slot", placed(unit("family"), unit("row")).alias("p"))
+    names = F.broadcast(spark.createDataFrame([(i, f) for i, (f, _) in enumerate(counts)], T.StructType([T.StructField("at", T.IntegerType()), T.StructField("family", kind)])))  # MOST_FAMILIES rows at most
+    wanted = drawn.select("step", "slot", F.col("p.at").alias("at"), F.col("p.row").alias("rank")).join(names, "at").drop("at")
+    ranked = group_rank(known.select(F.col("__family").alias("family"), F.col("__key").alias(key)), "family", key)
+    return wanted.join(ranked, ["family", "rank"]).select("step", "slot", "family", key)
+
+
+def group_rank(df: DataFrame, group: str, key: str, buckets: int = 256) -> DataFrame:
+    """(group, key, rank long from 0): an exact place within its group for each row, by a drawn bucket of the key, then the key; no task ranks a whole group."""
+    dealt = df.select(group, key, draw(buckets, F.lit("rank"), F.col(key)).alias("__b"))
+    before = W.partitionBy(group).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    first = dealt.groupBy(group, "__b").agg(F.count(F.lit(1)).alias("__n")).select(group, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+    ranked = dealt.withColumn("__r", F.row_number().over(W.partitionBy(group, "__b").orderBy(key)) - 1)
+    return ranked.join(first, [group, "__b"]).select(group, key, (F.col("__first") + F.col("__r")).alias("rank"))
+
+
 def prior_augment(df: DataFrame, key: str, group: str, text: str, target: str, share: float, salt: str = "pick", buckets: int = 256) -> DataFrame:
     """(key, group, corruption, donor, text, mean_target): for a share of rows, a row with a corrupted text and its group's mean target.
 
@@ -135,8 +189,6 @@ def prior_augment(df: DataFrame, key: str, group: str, text: str, target: str, s
 
 def greedy_pack(df: DataFrame, shard: str, key: str, k: str, width: str, budget: int) -> DataFrame:
     """(shard, key, pack): questions by width into packs with (paths + k) x widest <= budget; one over it raises."""
-    import pandas as pd
-
     def f(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([width, key])
         pack, paths, out = 0, 0, []

@@ -127,3 +127,19 @@ def same_order(a: DataFrame, b: DataFrame, place: str, key: str) -> DataFrame:
     """One row: places at which two reads hold different keys, or only one holds any."""
     both = a.select(place, F.col(key).alias("x")).join(b.select(place, F.col(key).alias("y")), place, "full")
     return both.agg(F.count(F.lit(1)).alias("places"), F.count_if(~F.col("x").eqNullSafe(F.col("y"))).alias("different"))
+
+
+def localise(pairs: DataFrame, mine: str, reference: str, norm_weights: Column, head: Column, question: str, eps: float = 1e-6) -> DataFrame:
+    """One row: where an artifact's hidden vectors depart from the reference's, and the logits read from both.
+
+    The logit of a vector is its root-mean-square norm, weighted, times the head. Rows where
+    either vector is null take no part.
+    """
+
+    def logit(h: str) -> Column:
+        scale = F.sqrt(vec.dot(h, h) / F.size(h) + eps)
+        return vec.dot(vec.let(scale, lambda s: F.transform(F.zip_with(h, norm_weights, lambda x, w: x.cast("double") * w), lambda x: x / s)), head)
+
+    both = pairs.where(F.col(mine).isNotNull() & F.col(reference).isNotNull())
+    rows = both.select(question, vec.relative_l2(mine, reference).alias("rel"), F.abs(logit(mine) - logit(reference)).alias("off"))
+    return rows.agg(F.count_distinct(question).alias("n_questions"), F.count(F.lit(1)).alias("n_paths"), F.max("rel").alias("hidden_rel_l2_max"), F.avg("rel").alias("hidden_rel_l2_mean"), F.max("off").alias("logit_abs_max"), F.avg("off").alias("logit_abs_mean"))

@@ -229,18 +229,6 @@ def majority_baseline(spark, d):
     return c.groupBy("source").agg(F.max(F.struct("n", "lang"))["lang"].alias("majority"), F.round(F.max("n") / F.sum("n"), 6).alias("accuracy"))
 
 
-FAIR = "documents JOIN labels USING (doc_id)"
-IDENT = {"fem": "la|une|las", "masc": "le|un|los", "other": "der|die|das"}
-
-
-@query("WITH c AS (SELECT doc_id, toxic, quality, lower(text) AS t FROM " + FAIR + "), g AS (" + " UNION ALL ".join(f"SELECT '{k}' AS cat, toxic, quality FROM c WHERE regexp_matches(t, '(^|[^a-z])({v})([^a-z]|$)')" for k, v in IDENT.items()) + ") SELECT cat, count(*) AS n, round(avg(CASE WHEN toxic = 0 THEN 1 - quality END), 6) AS false_rate, round(avg(CASE WHEN toxic = 1 THEN quality END), 6) AS missed_rate FROM g GROUP BY 1")
-def fairness_groups(spark, d):
-    c = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id").withColumn("low", F.lower("text"))
-    cats = F.array_compact(F.array(*[F.when(F.rlike("low", F.lit(f"(^|[^a-z])({v})([^a-z]|$)")), F.lit(k)) for k, v in IDENT.items()]))
-    g = c.select(F.explode(cats).alias("cat"), "toxic", "quality")
-    return g.groupBy("cat").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(F.col("toxic") == 0, 1 - F.col("quality"))), 6).alias("false_rate"), F.round(F.avg(F.when(F.col("toxic") == 1, F.col("quality"))), 6).alias("missed_rate"))
-
-
 @query("SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS start, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY 1, 2")
 def latency_tumbling(spark, d):
     g = read(spark, d, "events").groupBy("event_type", F.window("ts", "1 day").alias("w"))

@@ -10,7 +10,7 @@ from quillon.operators import generators as G
 
 from .answers import TWO
 from .base import md5_draw, over, pred_sql, predictions, read
-from .datasets import IDENT, REFUND
+from .datasets import REFUND
 
 Q, SQL = {}, {}
 
@@ -131,14 +131,3 @@ _RATE = "SELECT lang, source, count(*) AS n, avg(quality) AS q, avg(toxic) AS t
 def pooled_deltas(spark, d):
     r = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.avg("quality").alias("q"), F.avg("toxic").alias("t")).withColumn("x", F.col("q") - F.col("t"))
     return r.groupBy("lang").agg(F.round(F.sum(F.col("q") * F.col("n")) / F.sum("n"), 6).alias("pooled"), F.count_if(F.col("x") > 0.01).alias("better"), F.count_if(F.col("x") < -0.01).alias("worse"), F.count_if(F.abs("x") <= 0.01).alias("flat"), F.round(F.percentile("x", F.lit(0.5)), 6).alias("median_delta"))
-
-
-@query("WITH c AS (SELECT toxic, quality, lower(text) AS t FROM documents JOIN labels USING (doc_id)), o AS (SELECT avg(CASE WHEN toxic = 0 THEN 1 - quality END) AS base FROM c), g AS (" + " UNION ALL ".join(f"SELECT '{k}' AS cat, toxic, quality FROM c WHERE regexp_matches(t, '(^|[^a-z])({v})([^a-z]|$)')" for k, v in IDENT.items()) + ") SELECT cat, round(avg(CASE WHEN toxic = 0 THEN 1 - quality END) - any_value(base), 6) AS gap FROM g CROSS JOIN o GROUP BY 1")
-def fairness_gaps(spark, d):
-    c = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id").withColumn("low", F.lower("text"))
-    rate = F.avg(F.when(F.col("toxic") == 0, 1 - F.col("quality")))
-    cats = F.array_compact(F.array(*[F.when(F.rlike("low", F.lit(f"(^|[^a-z])({v})([^a-z]|$)")), F.lit(k)) for k, v in IDENT.items()]))
-    g = c.select(F.explode(cats).alias("cat"), "toxic", "quality").groupBy("cat").agg(rate.alias("r"))
-    return g.crossJoin(F.broadcast(c.agg(rate.alias("base")))).select("cat", F.round(F.col("r") - F.col("base"), 6).alias("gap"))  # one row
-
-

@@ -135,18 +135,6 @@ def usage_totals(spark, d):
     return c.rollup("role").agg(F.count(F.lit(1)).alias("requests"), F.sum("n").alias("tokens"), F.sum("turn").alias("retries"), F.count_if(F.col("n") == 0).alias("failures"), F.round(F.sum("n") * 0.000002, 6).alias("cost"))
 
 
-_IDENT = {"woman": "she|her|woman|women", "man": "he|his|man|men", "article": "der|die|das|le|la|el"}
-
-
-@query("WITH c AS (SELECT DISTINCT ON (k) split_part(id, '-', 1) AS k, t FROM (SELECT (doc_id // 2)::VARCHAR || '-' || (doc_id % 2) AS id, lower(text) AS t, split_part((doc_id // 2)::VARCHAR || '-' || (doc_id % 2), '-', 1) AS k, doc_id FROM documents) ORDER BY k, doc_id) SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS category, count(*) AS comments FROM c WHERE regexp_matches(t, '(^|[^a-z])({v})([^a-z]|$)')" for k, v in _IDENT.items()) + ") WHERE comments > 0")
-def identity_counts(spark, d):
-    """Identity words by category over distinct comments: of rows whose ids share what stands before the hyphen, the first one counts."""
-    c = read(spark, d, "documents").select(F.concat_ws("-", F.expr("doc_id div 2"), F.col("doc_id") % 2).alias("id"), "doc_id", F.lower("text").alias("t"))
-    c = c.groupBy(F.split_part("id", F.lit("-"), F.lit(1)).alias("k")).agg(F.min_by("t", "doc_id").alias("t"))
-    cats = F.array_compact(F.array(*[F.when(F.rlike("t", F.lit(f"(^|[^a-z])({v})([^a-z]|$)")), F.lit(k)) for k, v in _IDENT.items()]))
-    return c.select(F.explode(cats).alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("comments"))
-
-
 @query(TWO + f" SELECT vec_id, round(tv, 6) AS tv FROM (SELECT vec_id, {over('0.5::DOUBLE * abs(p[i] - q[i])')} AS tv FROM both_) ORDER BY tv DESC, vec_id LIMIT 3")
 def worst_three(spark, d):
     return R.furthest(_two(spark, d), "vec_id").select("vec_id", *r6("tv"))

@@ -324,12 +324,6 @@ def inject_variants_flips(spark, d):
     return out.select("variant", "n", F.round("flip_rate", 6).alias("flip_rate"), F.round("to_target", 6).alias("to_target"))
 
 
-@query("SELECT doc_id, regexp_matches(text, '(^|[^0-9.])' || replace((n_chars % 1000)::VARCHAR, '.', '\\.') || '([^0-9]|$)') AS found FROM documents")
-def claims_forward(spark, d):
-    """Whether each document says the number that its row has, as a whole number and not within another."""
-    return read(spark, d, "documents").select("doc_id", probes.number_in_text(F.col("text"), (F.col("n_chars") % 1000).cast("string")).alias("found"))
-
-
 _DECIMALS = "unnest(regexp_extract_all(regexp_replace(regexp_replace(text, '`[^`]*`', '', 'g'), '\\[[^\\]]*\\]\\([^)]*\\)', '', 'g'), '[0-9]+\\.[0-9]+'))"
 
 
