@@ -162,11 +162,11 @@ def group_bootstrap_ci(spark, d):
     return bootstrap(group_sums(predictions(spark, d), "grp", x=M.hit()), F.col("x") / F.col("n"), 500, 1).select(*r6("lo", "hi", "p_below"))
 
 
-@query(PRED + ", " + _boot_sql(f"SELECT vec_id // 5 AS g, count(*) AS n, sum({BRIER}) AS x FROM pred GROUP BY 1", "x / n", 2000, 4))
+@query(PRED + ", " + _boot_sql(f"SELECT vec_id // 5 AS g, count(*) AS n, sum({BRIER}) AS x FROM pred GROUP BY 1", "x / n", 10_000, 4))
 def case_bootstrap(spark, d):
     """Cases of five questions each, drawn whole."""
     p = predictions(spark, d).withColumn("case", F.expr("vec_id div 5"))
-    return bootstrap(group_sums(p, "case", x=vec.brier("p", "t")), F.col("x") / F.col("n"), 2000, 4).select(*r6("lo", "hi", "p_below"))
+    return bootstrap(group_sums(p, "case", x=vec.brier("p", "t")), F.col("x") / F.col("n"), 10_000, 4).select(*r6("lo", "hi", "p_below"))
 
 
 TWO = PRED + ", " + pred_sql(5.0, "other") + f", both_ AS (SELECT a.vec_id, a.family, a.grp, a.p AS p, b.p AS q, a.t AS t, a.gold AS gold FROM pred a JOIN other b USING (vec_id))"
@@ -185,12 +185,12 @@ def paired_bootstrap(spark, d):
     return bootstrap(s, F.col("x") / F.col("n"), 2000, 2).select(*r6("lo", "hi", "p_below"))
 
 
-@query(TWO + ", " + _boot_sql(f"SELECT floor(list_sum(p[1:3]) * 10)::BIGINT AS g, count(*) AS n, sum({NLL} - {NLL_Q}) AS x FROM both_ GROUP BY 1", "x / n", 1000, 6))
+@query(TWO + ", " + _boot_sql(f"SELECT floor(list_sum(p[1:3]) * 10)::BIGINT AS g, count(*) AS n, sum({NLL} - {NLL_Q}) AS x FROM both_ GROUP BY 1", "x / n", 10_000, 6))
 def state_group_bootstrap(spark, d):
     """Rows drawn by the state that they share."""
     state = F.floor(F.aggregate(F.slice("p", 1, 3), F.lit(0.0), lambda a, x: a + x) * 10)
     s = group_sums(_two(spark, d).withColumn("state", state), "state", x=vec.nll("p", "t") - vec.nll("q", "t"))
-    return bootstrap(s, F.col("x") / F.col("n"), 1000, 6).select(*r6("lo", "hi", "p_below"))
+    return bootstrap(s, F.col("x") / F.col("n"), 10_000, 6).select(*r6("lo", "hi", "p_below"))
 
 
 _SIDE = lambda f: f"SELECT vec_id AS g, 1 AS n, {HIT} AS x FROM pred WHERE family = '{f}'"
@@ -213,10 +213,10 @@ def model_compare_gates(spark, d):
 
 
 @query(TWO + f""", a AS (SELECT family, count(*)::DOUBLE AS n, max({over('0.5::DOUBLE * abs(p[i] - q[i])')}) AS tv, sum(((list_position(p, list_max(p))) <> list_position(q, list_max(q)))::INT)::DOUBLE AS ch FROM both_ GROUP BY 1), z AS (SELECT *, (ch + 28) / (n + 6000) AS pool FROM a), zz AS (SELECT *, CASE WHEN pool > 0 THEN (ch / n - 28 / 6000.0::DOUBLE) / sqrt(pool * (1 - pool) * (1 / n + 1 / 6000.0::DOUBLE)) ELSE 0 END AS z FROM z)
-SELECT family, round(tv, 6) AS tv_max, ch::BIGINT AS n_argmax_diff, round(z, 6) AS z, CASE WHEN tv > 0.5 OR z > 1.645 THEN 'no' WHEN z < -1.645 THEN 'pass' ELSE 'at floor' END AS verdict FROM zz""")
+SELECT family, round(tv, 6) AS tv_max, ch::BIGINT AS n_argmax_diff, round(z, 6) AS z, CASE WHEN tv > 0.07677 OR z > 1.645 THEN 'no' WHEN z < -1.645 THEN 'pass' ELSE 'at floor' END AS verdict FROM zz""")
 def floor_gate(spark, d):
     a = _two(spark, d).groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.lit(0).alias("n_nonfinite"), F.max(vec.total_variation("p", "q")).alias("tv_max"), F.sum((vec.argmax("p") != vec.argmax("q")).cast("long")).alias("n_argmax_diff"))
-    return M.floor_gate(a, 6000, 0.5, 28).select("family", *r6("tv_max"), "n_argmax_diff", *r6("z"), "verdict")
+    return M.floor_gate(a, 6000, 7.677e-02, 28).select("family", *r6("tv_max"), "n_argmax_diff", *r6("z"), "verdict")
 
 
 @query(TWO + f" SELECT family, count(*) AS n, round(avg({HIT}), 6) AS acc, round(avg({NLL}), 6) AS nll_1, round(avg({NLL_Q}), 6) AS nll_t FROM both_ GROUP BY ROLLUP (family)")

@@ -52,11 +52,11 @@ def _labelled(*columns: str):
 #: Two halves of a text stand for the two texts of a row.
 _LEFT, _RIGHT = "left(text, length(text) div 2)", "substring(text, int(length(text) div 2) + 1)"
 _json = lambda **kv: "to_json(struct_pack(" + ", ".join(f"{k} := {v}" for k, v in kv.items()) + "))"
-_INTENT = f"SELECT {{key}} AS \"row\", {{grp}} AS grp, '{{q}}' AS question, 'choice' AS qtype, (SELECT count(DISTINCT {{c}}) FROM documents) AS k, (SELECT count(DISTINCT b.{{c}}) FROM documents b WHERE b.{{c}} < d.{{c}}) AS hard, {_json(message='left(d.text, len(d.text) // 2)')} AS state, NULL AS probs FROM documents d WHERE {{c}} IS NOT NULL"
+_INTENT = f"SELECT {{key}} AS \"row\", {{grp}} AS grp, '{{q}}' AS question, 'choice' AS qtype, (SELECT count(DISTINCT {{c}}) FROM documents) AS k, (SELECT count(DISTINCT b.{{c}}) FROM documents b WHERE b.{{c}} < d.{{c}}) AS hard, {_json(message='d.text')} AS state, NULL AS probs FROM documents d WHERE {{c}} IS NOT NULL"
 
-_register("adapter_intent", "banking77", _docs(f"{_LEFT} AS `text`", "lang AS label_text"), _INTENT.format(key="'train:' || d.doc_id", grp="'banking77:train:' || d.doc_id", q="intent", c="lang"))
-_register("adapter_intent_test_split", "clinc_oos", _docs(f"{_LEFT} AS `text`", "source AS intent"), _INTENT.format(key="'validation:' || d.doc_id", grp="'clinc_oos:validation:' || d.doc_id", q="intent", c="source"), "validation")
-_register("adapter_two_questions", "bitext", _docs(f"{_LEFT} AS `instruction`", "lang AS intent", "source AS category"), " UNION ALL ".join(_INTENT.format(key=f"d.doc_id || ':{q}'", grp="'bitext:' || d.doc_id", q=q, c=c) for q, c in (("intent", "lang"), ("category", "source"))))
+_register("adapter_intent", "banking77", _docs("text AS `text`", "lang AS label_text"), _INTENT.format(key="'train:' || d.doc_id", grp="'banking77:train:' || d.doc_id", q="intent", c="lang"))
+_register("adapter_intent_test_split", "clinc_oos", _docs("text AS `text`", "source AS intent"), _INTENT.format(key="'validation:' || d.doc_id", grp="'clinc_oos:validation:' || d.doc_id", q="intent", c="source"), "validation")
+_register("adapter_two_questions", "bitext", _docs("text AS `instruction`", "lang AS intent", "source AS category"), " UNION ALL ".join(_INTENT.format(key=f"d.doc_id || ':{q}'", grp="'bitext:' || d.doc_id", q=q, c=c) for q, c in (("intent", "lang"), ("category", "source"))))
 _NLI = f"SELECT 'train:' || d.doc_id AS \"row\", '{{n}}:premise:' || substr(sha1(left(text, len(text) // 2)), 1, 16) AS grp, 'nli' AS question, 'choice' AS qtype, 3 AS k, d.doc_id % 4 AS hard, {_json(premise='left(text, len(text) // 2)', hypothesis='substr(text, len(text) // 2 + 1)')} AS state, NULL AS probs {D} WHERE d.doc_id % 4 < 3"
 for _name, _source in (("adapter_nli", "snli"), ("adapter_nli_unscreened", "multi_nli")):
     _register(_name, _source, _docs(f"{_LEFT} AS `premise`", f"{_RIGHT} AS `hypothesis`", "int(doc_id % 4) AS label", "source AS genre"), _NLI.format(n=_source))
@@ -69,10 +69,10 @@ _register("adapter_boolq", "boolq", _labelled(f"{_LEFT} AS `passage`", f"{_RIGHT
 _register("adapter_grounded", "halueval", _docs("lang AS knowledge", "source AS question", f"{_LEFT} AS `right_answer`", f"{_RIGHT} AS `hallucinated_answer`"), " UNION ALL ".join(f"SELECT doc_id || ':{t}' AS \"row\", 'halueval:' || doc_id AS grp, 'grounded' AS question, 'boolean' AS qtype, 2 AS k, {h} AS hard, {_json(knowledge='lang', question='d.source', answer=a)} AS state, NULL AS probs {D}" for t, h, a in (("right", 1, "left(text, len(text) // 2)"), ("halu", 0, "substr(text, len(text) // 2 + 1)"))))
 _register("adapter_paraphrase", "paws", _labelled(f"{_LEFT} AS `sentence1`", f"{_RIGHT} AS `sentence2`", "toxic AS label"), f"SELECT 'train:' || doc_id AS \"row\", 'paws:train:' || doc_id AS grp, 'paraphrase' AS question, 'boolean' AS qtype, 2 AS k, toxic AS hard, {_json(sentence1='left(text, len(text) // 2)', sentence2='substr(text, len(text) // 2 + 1)')} AS state, NULL AS probs {L}")
 _SHARES = {a: f"((d.doc_id * {i + 3}) % 120) / 100.0::DOUBLE" for i, a in enumerate(S.ATTRIBUTES)}
-_register("adapter_comments", "civil_comments", _docs(f"{_LEFT} AS `text`", *[f"doc_id * {i + 3} % 120 / 100D AS {a}" for i, a in enumerate(S.ATTRIBUTES)]), " UNION ALL ".join(f"SELECT doc_id || ':{a}' AS \"row\", 'civil_comments:' || doc_id AS grp, 'attribute' AS question, 'boolean' AS qtype, 2 AS k, ({e} >= 0.5)::INT AS hard, {_json(comment='left(text, len(text) // 2)')} AS state, [round(1 - {e}, 6), round({e}, 6)] AS probs {D} WHERE trim(left(text, len(text) // 2)) <> '' AND {e} <= 1" for a, e in _SHARES.items()))
+_register("adapter_comments", "civil_comments", _docs("text AS `text`", *[f"doc_id * {i + 3} % 120 / 100D AS {a}" for i, a in enumerate(S.ATTRIBUTES)]), " UNION ALL ".join(f"SELECT doc_id || ':{a}' AS \"row\", 'civil_comments:' || doc_id AS grp, 'attribute' AS question, 'boolean' AS qtype, 2 AS k, ({e} >= 0.5)::INT AS hard, {_json(comment='text')} AS state, [round(1 - {e}, 6), round({e}, 6)] AS probs {D} WHERE trim(text) <> '' AND {e} <= 1" for a, e in _SHARES.items()))
 _STEP = f"(least(greatest({_SHARES['toxicity']}, 0), 1) * 4)"
-_register("adapter_toxicity_level", "civil_comments#score", _docs(f"{_LEFT} AS `text`", "doc_id * 3 % 120 / 100D AS toxicity"), f"SELECT *, list_position(probs, list_max(probs)) - 1 AS hard FROM (SELECT doc_id || ':score' AS \"row\", 'civil_comments:' || doc_id AS grp, 'toxicity_level' AS question, 'score' AS qtype, 5 AS k, {_json(comment='left(text, len(text) // 2)')} AS state, list_transform(range(0, 5), lambda i: round(greatest(0.0::DOUBLE, 1 - abs({_STEP} - i)), 6)) AS probs {D} WHERE trim(left(text, len(text) // 2)) <> '' AND {_SHARES['toxicity']} <= 1)")
-_register("adapter_safety", "aegis2", _labelled(f"{_LEFT} AS `prompt`", "CASE WHEN toxic = 1 THEN 'Unsafe' WHEN quality = 1 THEN 'safe' ELSE 'unclear' END AS prompt_safety"), f"SELECT doc_id::VARCHAR AS \"row\", 'aegis2:' || doc_id AS grp, 'unsafe' AS question, 'boolean' AS qtype, 2 AS k, toxic AS hard, {_json(prompt='left(text, len(text) // 2)')} AS state, NULL AS probs {L} WHERE (toxic = 1 OR quality = 1) AND left(text, len(text) // 2) <> ''")
+_register("adapter_toxicity_level", "civil_comments#score", _docs("text AS `text`", "doc_id * 3 % 120 / 100D AS toxicity"), f"SELECT *, list_position(probs, list_max(probs)) - 1 AS hard FROM (SELECT doc_id || ':score' AS \"row\", 'civil_comments:' || doc_id AS grp, 'toxicity_level' AS question, 'score' AS qtype, 5 AS k, {_json(comment='text')} AS state, list_transform(range(0, 5), lambda i: round(greatest(0.0::DOUBLE, 1 - abs({_STEP} - i)), 6)) AS probs {D} WHERE trim(text) <> '' AND {_SHARES['toxicity']} <= 1)")
+_register("adapter_safety", "aegis2", _labelled("text AS `prompt`", "CASE WHEN toxic = 1 THEN 'Unsafe' WHEN quality = 1 THEN 'safe' ELSE 'unclear' END AS prompt_safety"), f"SELECT doc_id::VARCHAR AS \"row\", 'aegis2:' || doc_id AS grp, 'unsafe' AS question, 'boolean' AS qtype, 2 AS k, toxic AS hard, {_json(prompt='text')} AS state, NULL AS probs {L} WHERE (toxic = 1 OR quality = 1) AND text <> ''")
 
 
 def _completions(spark, d):
@@ -83,12 +83,12 @@ def _completions(spark, d):
 
 
 _register("adapter_completions", "ultrafeedback", _completions, f"SELECT conv_id || ':' || j AS \"row\", 'ultrafeedback:' || conv_id AS grp, 'helpfulness' AS question, 'score' AS qtype, 5 AS k, turn % 5 AS hard, {_json(instruction=chr(39) + 'go on' + chr(39), response='text')} AS state, NULL AS probs FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS j FROM conversations WHERE role = 'assistant') WHERE turn % 7 <> 0")
-_register("adapter_levels", "helpsteer2#train", _docs("lang AS prompt", f"{_LEFT} AS `response`", "int(doc_id % 6) AS helpfulness"), f"SELECT 'train:' || doc_id AS \"row\", 'helpsteer2#train:prompt:' || substr(sha1(lang), 1, 16) AS grp, 'helpfulness' AS question, 'score' AS qtype, 5 AS k, doc_id % 6 AS hard, {_json(prompt='lang', response='left(text, len(text) // 2)')} AS state, NULL AS probs {D} WHERE doc_id % 6 < 5")
-_register("adapter_mood", "sst5", _docs(f"{_LEFT} AS `text`", "int(doc_id % 6) AS label"), f"SELECT 'train:' || doc_id AS \"row\", 'sst5:train:' || doc_id AS grp, 'sentiment' AS question, 'score' AS qtype, 5 AS k, doc_id % 6 AS hard, {_json(text='left(text, len(text) // 2)')} AS state, NULL AS probs {D} WHERE doc_id % 6 < 5")
+_register("adapter_levels", "helpsteer2#train", _docs("lang AS prompt", "text AS `response`", "int(doc_id % 6) AS helpfulness"), f"SELECT 'train:' || doc_id AS \"row\", 'helpsteer2#train:prompt:' || substr(sha1(lang), 1, 16) AS grp, 'helpfulness' AS question, 'score' AS qtype, 5 AS k, doc_id % 6 AS hard, {_json(prompt='lang', response='text')} AS state, NULL AS probs {D} WHERE doc_id % 6 < 5")
+_register("adapter_mood", "sst5", _docs("text AS `text`", "int(doc_id % 6) AS label"), f"SELECT 'train:' || doc_id AS \"row\", 'sst5:train:' || doc_id AS grp, 'sentiment' AS question, 'score' AS qtype, 5 AS k, doc_id % 6 AS hard, {_json(text='text')} AS state, NULL AS probs {D} WHERE doc_id % 6 < 5")
 _register("adapter_replies", "circa", _docs("lang AS context", f"{_LEFT} AS `question-X`", f"{_RIGHT} AS `answer-Y`", "CASE WHEN doc_id % 5 > 0 THEN source END AS goldstandard1"), f"SELECT doc_id::VARCHAR AS \"row\", 'circa:' || doc_id AS grp, 'meaning' AS question, 'choice' AS qtype, (SELECT count(DISTINCT source) FROM documents WHERE doc_id % 5 > 0) AS k, (SELECT count(DISTINCT b.source) FROM documents b WHERE b.doc_id % 5 > 0 AND b.source < d.source) AS hard, {_json(context='lang', question='left(text, len(text) // 2)', answer='substr(text, len(text) // 2 + 1)')} AS state, NULL AS probs {D} WHERE doc_id % 5 > 0 AND d.source IS NOT NULL")
 _register("adapter_holdings", "casehold", _docs(f"{_LEFT} AS `context`", f"array(lang, source, {_RIGHT}) AS endings", "int(doc_id % 3) AS label"), f"SELECT 'test:' || doc_id AS \"row\", 'casehold:test:' || doc_id AS grp, 'holding' AS question, 'choice' AS qtype, 3 AS k, doc_id % 3 AS hard, {_json(context='left(text, len(text) // 2)')} AS state, NULL AS probs {D}", "test")
 _NAME = "['" + "','".join(EMOTIONS) + "'][n + 1]"
-_register("adapter_emotions", "go_emotions", _docs(f"{_LEFT} AS `text`", "array(int(doc_id % 10), int((doc_id % 10 + 3) % 10)) AS labels"), f"SELECT doc_id || ':' || {_NAME} AS \"row\", 'go_emotions:' || doc_id AS grp, 'emotion' AS question, 'boolean' AS qtype, 2 AS k, list_contains([doc_id % 10, (doc_id % 10 + 3) % 10], n)::INT AS hard, {_json(text='left(text, len(text) // 2)')} AS state, NULL AS probs FROM (SELECT *, unnest(list_distinct([doc_id % 10, (doc_id % 10 + 3) % 10, 0, 7])) AS n FROM documents)", "test")
+_register("adapter_emotions", "go_emotions", _docs("text AS `text`", "array(int(doc_id % 10), int((doc_id % 10 + 3) % 10)) AS labels"), f"SELECT doc_id || ':' || {_NAME} AS \"row\", 'go_emotions:' || doc_id AS grp, 'emotion' AS question, 'boolean' AS qtype, 2 AS k, list_contains([doc_id % 10, (doc_id % 10 + 3) % 10], n)::INT AS hard, {_json(text='text')} AS state, NULL AS probs FROM (SELECT *, unnest(list_distinct([doc_id % 10, (doc_id % 10 + 3) % 10, 0, 7])) AS n FROM documents)", "test")
 
 
 def query(sql: str | None = None):

@@ -21,7 +21,8 @@ def query(sql: str | None = None):
     return add
 
 
-OPTIONS, MOST = 8, 60
+#: Options shown, rows of a language, rows of a theme.
+OPTIONS, MOST, THEME = 20, 300, 400
 LABELS = "Where does the text come from?"
 
 
@@ -33,13 +34,13 @@ def _cases(spark, d):
     out = S.label_suites(docs, "source", "lang", "doc_id", "text", "source", LABELS, OPTIONS, MOST)
     out = out.unionByName(S.fixed_suite(docs, F.concat(F.lit("pair-"), "lang"), "doc_id", half, "choice", "Does the first follow from the second?", ["yes", "open", "no"], F.when(F.col("doc_id") % 4 < 3, F.col("doc_id") % 4), MOST))
     for name, column in (("good", "quality"), ("toxic", "toxic")):
-        out = out.unionByName(S.fixed_suite(english, name, "doc_id", F.col("text"), "boolean", f"Is the text {name}?", ["no", "yes"], F.col(column), MOST))
-    return out.unionByName(S.fixed_suite(english, "length", "doc_id", F.col("text"), "score", "How long is the text?", ["short", "medium", "long"], F.when(F.col("n_chars") < 500, 0).when(F.col("n_chars") < 2000, 1).otherwise(2), MOST))
+        out = out.unionByName(S.fixed_suite(english, name, "doc_id", F.col("text"), "boolean", f"Is the text {name}?", ["no", "yes"], F.col(column), THEME))
+    return out.unionByName(S.fixed_suite(english, "length", "doc_id", F.col("text"), "score", "How long is the text?", ["short", "medium", "long"], F.when(F.col("n_chars") < 500, 0).when(F.col("n_chars") < 2000, 1).otherwise(2), THEME))
 
 
 _LABELS = "(SELECT list(DISTINCT source ORDER BY source) FROM documents WHERE source IS NOT NULL)"
 _H = lambda s: md5_draw("1000000007", str(s), "doc_id", "c")
-_FIRST = lambda sql: f"SELECT suite, k::VARCHAR AS id, state, qtype, instruction, options, gold::INT AS gold FROM (SELECT *, row_number() OVER (PARTITION BY suite ORDER BY k) AS rn FROM ({sql})) WHERE rn <= {MOST}"
+_FIRST = lambda sql, most: f"SELECT suite, k::VARCHAR AS id, state, qtype, instruction, options, gold::INT AS gold FROM (SELECT *, row_number() OVER (PARTITION BY suite ORDER BY k) AS rn FROM ({sql})) WHERE rn <= {most}"
 _HALVES = "left(text, len(text) // 2) || chr(10) || substr(text, len(text) // 2 + 1)"
 _ENGLISH = "documents JOIN labels USING (doc_id) WHERE lang = 'en'"
 _SOURCE = f"""SELECT suite, k::VARCHAR AS id, state, 'choice' AS qtype, '{LABELS}' AS instruction, options, (list_position(options, source) - 1)::INT AS gold FROM (SELECT 'source-' || lang AS suite, doc_id AS k, text AS state, source,
@@ -47,9 +48,9 @@ _SOURCE = f"""SELECT suite, k::VARCHAR AS id, state, 'choice' AS qtype, '{LABELS
  FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL) WHERE rn <= {MOST})"""
 CASES = "cases AS (" + " UNION ALL ".join([
     _SOURCE,
-    _FIRST(f"SELECT 'pair-' || lang AS suite, doc_id AS k, {_HALVES} AS state, 'choice' AS qtype, 'Does the first follow from the second?' AS instruction, ['yes', 'open', 'no'] AS options, doc_id % 4 AS gold FROM documents WHERE doc_id % 4 < 3 AND lang IS NOT NULL"),
-    *(_FIRST(f"SELECT '{n}' AS suite, doc_id AS k, text AS state, 'boolean' AS qtype, 'Is the text {n}?' AS instruction, ['no', 'yes'] AS options, {c} AS gold FROM {_ENGLISH}") for n, c in (("good", "quality"), ("toxic", "toxic"))),
-    _FIRST(f"SELECT 'length' AS suite, doc_id AS k, text AS state, 'score' AS qtype, 'How long is the text?' AS instruction, ['short', 'medium', 'long'] AS options, CASE WHEN n_chars < 500 THEN 0 WHEN n_chars < 2000 THEN 1 ELSE 2 END AS gold FROM {_ENGLISH}"),
+    _FIRST(f"SELECT 'pair-' || lang AS suite, doc_id AS k, {_HALVES} AS state, 'choice' AS qtype, 'Does the first follow from the second?' AS instruction, ['yes', 'open', 'no'] AS options, doc_id % 4 AS gold FROM documents WHERE doc_id % 4 < 3 AND lang IS NOT NULL", MOST),
+    *(_FIRST(f"SELECT '{n}' AS suite, doc_id AS k, text AS state, 'boolean' AS qtype, 'Is the text {n}?' AS instruction, ['no', 'yes'] AS options, {c} AS gold FROM {_ENGLISH}", THEME) for n, c in (("good", "quality"), ("toxic", "toxic"))),
+    _FIRST(f"SELECT 'length' AS suite, doc_id AS k, text AS state, 'score' AS qtype, 'How long is the text?' AS instruction, ['short', 'medium', 'long'] AS options, CASE WHEN n_chars < 500 THEN 0 WHEN n_chars < 2000 THEN 1 ELSE 2 END AS gold FROM {_ENGLISH}", THEME),
 ]) + ")"
 
 
