@@ -319,6 +319,6 @@ def rank_documents(docs: DataFrame, items: DataFrame, k: int = 20, key: str = "d
         ranked = ranked.join(F.broadcast(names), "item").select(F.col("name").alias(item_key), "rank", F.col("key").alias(key), "score")
         out = ranked if out is None else out.unionAll(ranked)
     if out is None:
-        of = T.StructType().add(item_key, asked.schema["item"].dataType).add("rank", "int").add(key, docs.schema[key].dataType).add("score", "long")
+        of = T.StructType().add(item_key, asked.schema["item"].dataType).add("rank", T.IntegerType()).add(key, docs.schema[key].dataType).add("score", "long")
         return spark.createDataFrame([], of)
     return out

@@ -24,11 +24,12 @@ RUN = rf"(?=[A-Za-z+/_\-]*[0-9])[{KEY}]{{16,}}"
 _NAMES = "token|secret|passw|pwd|api|key|auth|bearer|credential|private|access"
 _SIGN = r"""[=:]>?[ \t]{0,2}["'`]?(?:(?i:bearer|basic) )?"""
 #: The short look-behind fails at most places before the long one is tried.
-ASSIGNED = rf"""(?<={_SIGN})(?<=(?i:{_NAMES})[A-Za-z0-9_\-]{{0,24}}["'`]?[ \t]{{0,2}}:?{_SIGN})(?!(?i:bearer|basic)\b)[{KEY}.!?@#$%^*~]{{5,}}[{KEY}!@#$%^*~]"""
+ASSIGNED = rf"""(?<={_SIGN})(?<=(?i:{_NAMES})[A-Za-z0-9_\-]{{0,64}}["'`]?[ \t]{{0,2}}:?{_SIGN})(?!(?i:bearer|basic)\b)[{KEY}.!?@#$%^*~]{{5,}}[{KEY}!@#$%^*~]"""
 #: In quotes a value may hold any character but quotes and white space.
-QUOTED = rf"""(?<=(?i:{_NAMES})[A-Za-z0-9_\-]{{0,24}}["'`]?[ \t]{{0,2}}:?[=:]>?[ \t]{{0,2}}["'`])[^\s"'`]{{6,128}}(?=["'`])"""
-BLOCK = r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[A-Za-z0-9+/=\s:,\-]{0,16000}?-----END [A-Z ]{0,24}PRIVATE KEY-----"
-CANDIDATE = rf"""(?<![{KEY}])(?:{BLOCK}|(?<=["'`]){QUOTED}|{ASSIGNED}|{RUN}){PADDING}"""
+QUOTED = rf"""(?<=(?i:{_NAMES})[A-Za-z0-9_\-]{{0,64}}["'`]?[ \t]{{0,2}}:?[=:]>?[ \t]{{0,2}}["'`])[^\s"'`]{{6,}}+(?=["'`])"""
+#: A block of any length: its body ends at the next five hyphens, so no place is read twice.
+BLOCK = r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?!-----)[A-Za-z0-9+/=\s:,.\-])*+-----END [A-Z ]*PRIVATE KEY-----"
+CANDIDATE = rf"""{BLOCK}|(?<![{KEY}])(?:(?<=["'`]){QUOTED}|{ASSIGNED}|{RUN}){PADDING}"""
 #: Parts candidates from the text around them; texts that hold it themselves are scanned twice instead.
 MARK = "\uffff"
 MASK = "[SECRET]"
@@ -183,6 +184,8 @@ def labelled_findings(spark: SparkSession, n: int = 6_000, seed: int = 1) -> Dat
         F.concat(F.lit("ghp_"), cut(mix, 1, 36)),
         F.concat(F.lit("AKIA"), F.upper(cut(h("k"), 1, 16))),
         F.upper(hexes),
+        F.concat_ws("-", pick("slack", ["xoxb", "xoxp", "xapp"]), cut(F.translate(hexed, "abcdef", "123456"), 1, 11), cut(F.translate(hexed, "abcdef", "123456"), 12, 12), cut(mix, 1, 24)),
+        F.concat(pick("vendor", ["glpat-", "AIza", "npm_", "dop_v1_", "hf_"]), cut(mix, 1, 35)),
         cut(mix, 1, 10),
         cut(hexed, 1, 12),
         F.concat(cut(mix, 1, 8), F.lit("!"), cut(hexed, 1, 1)),
@@ -209,8 +212,9 @@ def labelled_findings(spark: SparkSession, n: int = 6_000, seed: int = 1) -> Dat
     y = r("y", 2).cast("int")
     given = pick("b", ['token = "', "api_key: ", "password='", "Authorization: Bearer ", "secret=", '"access_key": "', "export AUTH_TOKEN=", 'TOKEN = "', "api_key=", "DB_PASSWORD=", "/v1/items?id=3&token=", "--auth-token=", "SECRET_KEY_FOR_RELEASE_2="])
     named = pick("b", ["password: ", "token = ", "author: ", "key=", "api: ", 'secret="', "access_token=", "private: ", "?api_key="])
-    is_block, is_marked = (y == 1) & (r("kind2", 14) == 12), (y == 1) & (r("kind2", 14) == 11)
-    alone = F.when(is_block, pick("alone", ["", "cat id_rsa: ", "key:", "ssl_key = ", "deploy key "])).when(is_marked, pick("q", ['token = "', "password='", 'DB_PASSWORD="', '"secret": "']))
+    is_block, is_marked = (y == 1) & (r("kind2", len(secrets)) == 14), (y == 1) & (r("kind2", len(secrets)) == 13)
+    is_token = (y == 1) & r("kind2", len(secrets)).isin(7, 8) & (r("bare", 2) == 0)
+    alone = F.when(is_block, pick("alone", ["", "cat id_rsa: ", "key:", "ssl_key = ", "deploy key "])).when(is_marked, pick("q", ['token = "', "password='", 'DB_PASSWORD="', '"secret": "'])).when(is_token, pick("bare", ["", "use ", "see ", "it is "]))
     context = F.when(alone.isNotNull(), alone).when(y == 1, given).when(r("kind", 11) >= 9, named).otherwise(F.when(r("kind", 11) < 3, pick("b", ["commit ", "sha256:", "md5 ", "integrity: ", "revision ", "uuid=", 'checksum = "'])).otherwise(pick("b", ["see ", "id ", "order ", "card ", "file ", "the ", ", ", "key: ", "version=", "image=", "/static?file="])))
     before = F.concat(pick("p", ["the report of ", "and then ", "", "in those days ", "use "]), context)
     quote = F.regexp_extract(before, """["']$""", 0)
