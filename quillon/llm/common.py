@@ -14,6 +14,7 @@ import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -203,5 +204,26 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionAll(e.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
 
 
+def bit_map(keys: DataFrame, column: str, most: int) -> np.ndarray:
+    """A bit map of the hashes of longs, two bits each: a power of two of bits, about 16 for each long, ``most`` at most. It bounds what reaches the driver and is broadcast."""
+    n = keys.count()
+    size = min(most, 1 << max(10, (16 * n - 1).bit_length()))
+    h = F.xxhash64(column)
+    at = F.col("at")
+    twice = keys.select(F.explode(F.array(F.pmod(h, F.lit(size)), F.pmod(F.shiftrightunsigned(h, 32), F.lit(size)))).alias("at"))
+    rows = twice.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))).alias("bits")).toArrow()  # size / 64 rows
+    words = np.zeros(size // 64, np.uint64)
+    words[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().astype(np.int64).view(np.uint64)
+    return words
+
+
+def in_bit_map(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes (xxhash64 of the longs, unsigned) may be of longs in the map: all that are, few that aren't."""
+    has = np.ones(len(hashes), bool)
+    for at in (hashes % np.uint64(64 * len(words)), (hashes >> np.uint64(32)) % np.uint64(64 * len(words))):
+        has &= words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1) == 1
+    return has
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, done_with, lean, shards_for, stage
+from .common import bit_map, components, done_with, in_bit_map, lean, shards_for, stage
 from .shingles import WordHashes, shingle_sets, text_blocks
 
 #: A shingle is common if tasks that saw it often (LOCAL times or more) saw it COMMON times together.
@@ -390,19 +390,6 @@ def _linked(rows: DataFrame, marks: DataFrame, tokens: DataFrame, num: int, den:
     return sets.mapInArrow(_join_groups(num, den), "a long, b long")
 
 
-def _bits(keys: DataFrame, column: str, most: int) -> np.ndarray:
-    """A bit map of hashed longs, two bits each: a power of two of bits, about 16 for each long, ``most`` at most. It bounds what reaches the driver and is broadcast."""
-    n = keys.count()
-    size = min(most, 1 << max(10, (16 * n - 1).bit_length()))
-    h = F.xxhash64(column)
-    at = F.col("at")
-    twice = keys.select(F.explode(F.array(F.pmod(h, F.lit(size)), F.pmod(F.shiftrightunsigned(h, 32), F.lit(size)))).alias("at"))
-    rows = twice.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))).alias("bits")).toArrow()  # size / 64 rows
-    words = np.zeros(size // 64, np.uint64)
-    words[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().astype(np.int64).view(np.uint64)
-    return words
-
-
 def _whole(words: int, told) -> object:
     """Of rows (hash of the key, text): (cls, tokens) of the texts whose key may be one of those in told's bit map."""
 
@@ -411,10 +398,7 @@ def _whole(words: int, told) -> object:
         known, bits = WordHashes(), told.value
         for b in text_blocks(batches, 1):
             h = np.asarray(b.column(0), np.int64).view(np.uint64)
-            has = np.ones(len(h), bool)
-            for at in (h % np.uint64(64 * len(bits)), (h >> np.uint64(32)) % np.uint64(64 * len(bits))):
-                has &= bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1) == 1
-            b = b.filter(pa.array(has))
+            b = b.filter(pa.array(in_bit_map(bits, h)))
             found = [s for s in shingle_sets(b.column(1).to_pylist(), words, known) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([_class(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["cls", "tokens"])
 
@@ -476,7 +460,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     first = sets.where("cls is not null").groupBy("cls").agg(F.min(F.struct(F.col("key").isNull().alias("none"), F.xxhash64("key").alias("hash"))).alias("first"))
     asked = stage(_sifted(groups, marks, num, den, parts), "asked")
     wanted = asked.select("cls").unionAll(held.select("cls")).unionAll(large.select(F.col("leader").alias("cls"))).distinct() if some else asked.select("cls").distinct()
-    told = spark.sparkContext.broadcast(_bits(first.join(wanted, "cls").select(F.col("first.hash").alias("hash")), "hash", FILTER))
+    told = spark.sparkContext.broadcast(bit_map(first.join(wanted, "cls").select(F.col("first.hash").alias("hash")), "hash", FILTER))
     texts = docs.select(F.xxhash64(F.xxhash64("key")).alias("hash"), "text")
     tokens = stage(texts.mapInArrow(_whole(words, told), "cls long, tokens binary").join(wanted, "cls", "left_semi").dropDuplicates(["cls"]), "tokens")
     done_with(told)

@@ -17,15 +17,18 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean
+from .common import bit_map, in_bit_map, lean
 from .shingles import text_blocks
 
 DATE = "2024-01-01T00:00:00Z"
+#: Bits of the map of repeated pages, at most (16 MB): it bounds a broadcast; beyond it more ids than needed hold places.
+REPEATED = 1 << 27
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space
 _DROP = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|$)", re.S | re.I)
 _BREAK = re.compile(r"<(?:/?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|title|head|body|blockquote|pre|hr|dt|dd)\b)[^>]*>", re.I)
@@ -129,22 +132,23 @@ def verify(what: str, claimed: str | None, data: bytes) -> None:
             raise ValueError(f"{what} doesn't match its digest")
 
 
-def payload_text(http: list[tuple[str, str]], payload: bytes) -> str:
-    """A payload as text: chunks joined, gzip and deflate unpacked, in the charset of its header or its own meta tag, else UTF-8.
-
-    What can't be unpacked stays as it is; bytes that aren't of the charset become U+FFFD.
-    """
+def content(http: list[tuple[str, str]], payload: bytes) -> bytes:
+    """A payload with its chunks joined, gzip and deflate unpacked; what can't be unpacked stays as it is."""
     at = {k.lower(): v for k, v in http}
     if at.get("transfer-encoding", "").lower() == "chunked":
         payload = _joined(payload)
-    coding = at.get("content-encoding", "").lower()
-    if coding in ("gzip", "x-gzip", "deflate"):
+    if at.get("content-encoding", "").lower() in ("gzip", "x-gzip", "deflate"):
         for bits in (47, -15):
             try:
-                payload = zlib.decompressobj(bits).decompress(payload)
-                break
+                return zlib.decompressobj(bits).decompress(payload)
             except zlib.error:
                 pass
+    return payload
+
+
+def payload_text(http: list[tuple[str, str]], payload: bytes) -> str:
+    """Content as text in the charset of its header or its own meta tag, else UTF-8; bytes that aren't of the charset become U+FFFD."""
+    at = {k.lower(): v for k, v in http}
     said = _CHARSET.search(at.get("content-type", "")) or _CHARSET.search(payload[:2048].decode("latin-1"))
     try:
         return payload.decode(said[1] if said else "utf-8", "replace")
@@ -166,10 +170,11 @@ def _joined(payload: bytes) -> bytes:
     return payload
 
 
-def response_record(key: str, url: str | None, body: str | None, date: str = DATE) -> bytes:
+def response_record(key: str, url: str | None, body: str | None, date: str = DATE, again: str = "") -> bytes:
+    """A page's response record; its id depends on key, url and body, and on ``again``, which tells rows apart that are alike."""
     payload = (body or "").encode()
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: " + str(len(payload)).encode() + b"\r\n\r\n" + payload
-    headers = [("WARC-Type", "response"), ("WARC-Record-ID", record_id("response", key, url or "")), ("WARC-Date", date)]
+    headers = [("WARC-Type", "response"), ("WARC-Record-ID", record_id("response", key, url or "", digest(payload), *([again] if again else []))), ("WARC-Date", date)]
     if url:
         headers.append(("WARC-Target-URI", url))
     return build_record([*headers, ("WARC-Payload-Digest", digest(payload)), ("Content-Type", "application/http; msgtype=response")], block)
@@ -181,52 +186,96 @@ def plain_text(page: str) -> str:
     return "\n".join(x for x in (" ".join(line.split()) for line in text.split("\n")) if x)
 
 
+def media_type(http: list[tuple[str, str]], payload: bytes) -> str:
+    """The payload's media type by its header, lower case; without one text/html where it looks like text, else application/octet-stream."""
+    said = next((v for k, v in http if k.lower() == "content-type"), "").split(";")[0].strip().lower()
+    return said or ("application/octet-stream" if b"\0" in payload[:1024] else "text/html")
+
+
+def is_text(media: str) -> bool:
+    return media.startswith("text/") or media.endswith(("+xml", "+json")) or media in ("application/xml", "application/json", "application/javascript")
+
+
+def is_markup(media: str) -> bool:
+    return media in ("text/html", "text/xml", "application/xml") or media.endswith("+xml")
+
+
 def derive_record(record: bytes) -> Iterator[dict]:
-    """The metadata and the conversion record of one response record; nothing for records of other types."""
+    """The metadata and, for payloads of text, the conversion record of one response record; nothing for records of other types.
+
+    A record that can't be read, has no id or doesn't match its digests raises ValueError.
+    """
     for headers, block in parse_records(record):
         at = {k.lower(): v for k, v in headers}
         if at.get("warc-type") != "response":
             continue
-        source = at["warc-record-id"]
+        source = at.get("warc-record-id")
+        if not source:
+            raise ValueError("no record id")
         head, _, payload = block.partition(b"\r\n\r\n")
         status, _, lines = head.partition(b"\r\n")
         http = _headers(lines)
         verify(f"block of {source}", at.get("warc-block-digest"), block)
         verify(f"payload of {source}", claimed := at.get("warc-payload-digest"), payload)
-        page = payload_text(http, payload)
-        title = _TITLE.search(page)
-        links = [{"tag": t.lower(), "url": html.unescape(u)} for t, u in _HREF.findall(_DROP.sub(" ", page))]
+        payload = content(http, payload)
+        media = media_type(http, payload)
+        page = payload_text(http, payload) if is_text(media) else ""
+        marked = is_markup(media)
+        title = _TITLE.search(page) if marked else None
+        links = [{"tag": t.lower(), "url": html.unescape(u)} for t, u in _HREF.findall(_DROP.sub(" ", page))] if marked else []
         meta = {"warc": headers, "status": status.decode("utf-8", "replace"), "http": http, "title": " ".join(html.unescape(title[1]).split()) if title else None, "links": links}
         shared = [("WARC-Date", at.get("warc-date", DATE)), *([("WARC-Target-URI", at["warc-target-uri"])] if "warc-target-uri" in at else []), ("WARC-Refers-To", source)]
-        for kind, mime, body in (("metadata", "application/json", json.dumps(meta, ensure_ascii=False, sort_keys=True).encode()), ("conversion", "text/plain; charset=utf-8", plain_text(page).encode())):
+        made = [("metadata", "application/json", json.dumps(meta, ensure_ascii=False, sort_keys=True).encode())]
+        if is_text(media):
+            made.append(("conversion", "text/plain; charset=utf-8", (plain_text(page) if marked else page).encode()))
+        for kind, mime, body in made:
             name = record_id(kind, source)
             data = build_record([("WARC-Type", kind), ("WARC-Record-ID", name), *shared, ("Content-Type", mime)], body)
             yield {"record_type": kind, "record_id": name, "refers_to": source, "target_uri": at.get("warc-target-uri"), "warc_date": shared[0][1], "content_type": mime, "content_length": len(body), "block_digest": digest(body), "source_payload_digest": claimed, "source_block_digest": at.get("warc-block-digest"), "n_links": len(links), "body": body.decode(), "record": data}
 
 
-_OUT = {"record_type": "string", "record_id": "string", "refers_to": "string", "target_uri": "string", "warc_date": "string", "content_type": "string", "content_length": "long", "block_digest": "string", "source_payload_digest": "string", "source_block_digest": "string", "n_links": "long", "body": "string", "record": "binary"}
+_OUT = {"record_type": "string", "record_id": "string", "refers_to": "string", "target_uri": "string", "warc_date": "string", "content_type": "string", "content_length": "long", "block_digest": "string", "source_payload_digest": "string", "source_block_digest": "string", "n_links": "long", "body": "string", "problem": "string", "record": "binary"}
 _ARROW = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
 
 
 def responses(pages: DataFrame, key: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
-    """(key, record binary): a response record for each page; a null url has no target, a null body is empty, a null key names nothing. Repeated rows give a record each."""
+    """(key, record binary): a response record for each page; a null url has no target, a null body is empty, a null key names nothing.
+
+    Ids are hashes of key, url and body, so pages that differ have different ones. Repeated
+    rows give a record each, and their places (partition, row) go into their ids; a bit map of
+    bounded size tells them from the others. Other columns aren't read; an empty table has no
+    records.
+    """
     kind = pages.schema[key].dataType.simpleString()
+    mark = F.xxhash64(F.col(f"`{key}`").cast("string"), f"`{url}`", f"`{body}`")
+    rows = pages.select(F.col(f"`{key}`"), F.col(f"`{url}`").cast("string"), F.col(f"`{body}`").cast("string"), F.xxhash64(mark).alias("_again"))
+    alike = pages.select(mark.alias("mark")).groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    told = pages.sparkSession.sparkContext.broadcast(bit_map(alike, "mark", REPEATED))
 
     @lean
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, part = 0, TaskContext.get().partitionId()
         for b in text_blocks(batches, 2):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([response_record("" if k is None else str(k), u, t) for k, u, t in zip(*(c.to_pylist() for c in b.columns), strict=True)], pa.binary())], [key, "record"])
+            again = in_bit_map(told.value, np.asarray(b.column(3), np.int64).view(np.uint64))
+            out = []
+            for k, u, t, twice in zip(*(c.to_pylist() for c in b.columns[:3]), again.tolist(), strict=True):
+                out.append(response_record("" if k is None else str(k), u, t, again=f"{part}:{at}" if twice else ""))
+                at += 1
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], [key, "record"])
 
-    return pages.select(key, url, body).mapInArrow(f, f"`{key}` {kind}, record binary")
+    return rows.mapInArrow(f, f"`{key}` {kind}, record binary")
 
 
 def derive(records: DataFrame, key: str = "page_id") -> DataFrame:
-    """(key, record_type, record_id, refers_to, target_uri, ...) of the two records derived from each response in ``record``.
-
-    Null and empty records derive nothing, nor do records of other types; a block or payload
-    that doesn't match its digest, or a cut record, raises. The metadata record lists the
-    response's WARC and HTTP headers in order, repeated ones too. Repeated rows derive theirs
-    each.
+    """(key, record_type, record_id, refers_to, target_uri, ..., problem, record) of the records derived from each response in ``record``.
+
+    A response has a metadata record and, where its media type is of text, a conversion
+    record. Null and empty records derive nothing, nor do records of other types. A record
+    that is cut, has no id or length, or doesn't match a digest gives one row with
+    ``record_type`` invalid, the reason in ``problem`` and nothing else; the others go on. The
+    metadata record lists the response's WARC and HTTP headers in order, repeated ones too.
+    Repeated rows derive theirs each, an empty table nothing. Columns but the key and
+    ``record`` aren't read.
     """
     kind = records.schema[key].dataType.simpleString()
 
@@ -235,18 +284,23 @@ def derive(records: DataFrame, key: str = "page_id") -> DataFrame:
         for b in text_blocks(batches, 1):
             row, out = [], []
             for i, r in enumerate(b.column(1).to_pylist()):
-                for d in derive_record(r or b""):
-                    row.append(i), out.append(d)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), *(pa.array([d[c] for d in out], _ARROW[t]) for c, t in _OUT.items())], [key, *_OUT])
+                try:
+                    found = list(derive_record(r or b""))
+                except ValueError as e:
+                    found = [{"record_type": "invalid", "problem": str(e)}]
+                row += [i] * len(found)
+                out += found
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), *(pa.array([d.get(c) for d in out], _ARROW[t]) for c, t in _OUT.items())], [key, *_OUT])
 
-    return records.select(key, "record").mapInArrow(f, f"`{key}` {kind}, " + ", ".join(f"{c} {t}" for c, t in _OUT.items()))
+    return records.select(F.col(f"`{key}`"), "record").mapInArrow(f, f"`{key}` {kind}, " + ", ".join(f"{c} {t}" for c, t in _OUT.items()))
 
 
 def read_warc(spark, path: str) -> DataFrame:
-    """(path, seq, record binary) of the records in WARC files, gzip or plain, byte for byte; an empty file has none.
+    """(path, seq, record binary, problem) of the records in WARC files, gzip or plain, byte for byte; an empty file has none.
 
-    A file's packed bytes (2 GB at most, as Spark's reader of whole files has it) and one
-    unpacked record are held at a time.
+    Where a file can't be read on, a last row has the reason in ``problem`` and a null record;
+    what stands before it is whole. A file's packed bytes (2 GB at most, as Spark's reader of
+    whole files has it) and one unpacked record are held at a time.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
@@ -255,10 +309,15 @@ def read_warc(spark, path: str) -> DataFrame:
         for b in batches:
             for i in range(b.num_rows):
                 name = b.column(0)[i].as_py()
-                for n, (_, _, record) in enumerate(raw_records(b.column(1)[i].as_py())):
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n]), pa.array([record], pa.binary())], ["path", "seq", "record"])
-
-    return files.mapInArrow(f, "path string, seq long, record binary")
+                row = lambda n, record, problem, name=name: pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n]), pa.array([record], pa.binary()), pa.array([problem], pa.string())], ["path", "seq", "record", "problem"])
+                n = 0
+                try:
+                    for n, (_, _, record) in enumerate(raw_records(b.column(1)[i].as_py()), 1):
+                        yield row(n - 1, record, None)
+                except (ValueError, zlib.error) as e:
+                    yield row(n, None, str(e))
+
+    return files.mapInArrow(f, "path string, seq long, record binary, problem string")
 
 
 def write_warc(records: DataFrame, path: str) -> DataFrame:

@@ -494,11 +494,14 @@ def test_warc_derivatives(spark, tmp_path):
     resp = responses(pages.withColumn("record", F.lit("clash")))
     out = derive(resp).collect()
     assert len(out) == 8
-    source = {r.page_id: dict(next(parse_records(r.record))[0]) for r in resp.collect()}
+    heads = [(r.page_id, dict(next(parse_records(r.record))[0])) for r in resp.collect()]
+    assert len({h["WARC-Record-ID"] for _, h in heads}) == 4 and len({r.record_id for r in out}) == 8
+    source = dict(heads)
+    ids = {h["WARC-Record-ID"]: k for k, h in heads}
     for r in out:
         headers, block = next(parse_records(r.record))
         h = dict(headers)
-        assert h["WARC-Refers-To"] == source[r.page_id]["WARC-Record-ID"] == r.refers_to
+        assert h["WARC-Refers-To"] == r.refers_to and ids[r.refers_to] == r.page_id and r.problem is None
         assert h["WARC-Block-Digest"] == digest(block) and int(h["Content-Length"]) == len(block)
         assert r.source_payload_digest == source[r.page_id]["WARC-Payload-Digest"]
     text = next(r for r in out if r.page_id == 1 and r.record_type == "conversion")
@@ -601,6 +604,37 @@ def test_warc_odd_records(spark, tmp_path):
     assert [r for _, _, r in got] == [two, bad, tight, two]
 
 
+def test_warc_bad_records_do_not_end_the_job(spark, tmp_path):
+    import gzip
+
+    from quillon.llm.warc import build_record, derive, parse_records, read_warc, responses
+
+    def response(payload, media="text/html", warc=(("WARC-Record-ID", "<urn:uuid:1>"),)):
+        return build_record([("WARC-Type", "response"), *warc], f"HTTP/1.1 200 OK\r\nContent-Type: {media}\r\n\r\n".encode() + payload)
+
+    good, png = response(b"<p>x</p>"), response(b"\x89PNG\0\0", "image/png")
+    plain, feed, none = response(b"a < b\n", "text/plain"), response(b"<a><b>t</b></a>", "application/rss+xml"), build_record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:2>")], b"HTTP/1.1 200 OK\r\n\r\n\0\0")
+    rows = [(1, good), (2, png), (3, response(b"y", warc=())), (4, good[:-9]), (5, good.replace(b"<p>x", b"<p>y")), (6, None), (7, b""), (8, b"nonsense"), (9, plain), (10, feed), (11, none), (1, good)]
+    out = derive(spark.createDataFrame(rows, "page_id long, record binary").withColumn("problem", F.lit("clash"))).collect()
+    kinds = sorted((r.page_id, r.record_type, r.problem) for r in out)
+    assert [k for k in kinds if k[0] == 1] == [(1, "conversion", None)] * 2 + [(1, "metadata", None)] * 2
+    assert [k[1] for k in kinds if k[0] in (2, 11)] == ["metadata", "metadata"]
+    assert {k[0]: k[2] for k in kinds if k[1] == "invalid"} == {3: "no record id", 4: "cut record", 5: "block of <urn:uuid:1> doesn't match its digest", 8: "no record where one should begin"}
+    assert {r.page_id: r.body for r in out if r.record_type == "conversion"} == {1: "x", 9: "a < b\n", 10: "t"}
+    # ids: null keys with one url and other bodies, repeated rows, and the same ids however rows are dealt
+    pages = spark.createDataFrame([(None, "http://a/", "x"), (None, "http://a/", "y"), (None, None, "x"), (4, "http://a/", "x")] + [(5, "http://a/", "z")] * 50, "page_id long, url string, html string")
+    ids = lambda df: [dict(next(parse_records(r.record))[0])["WARC-Record-ID"] for r in responses(df).collect()]
+    first = ids(pages)
+    assert len(set(first)) == len(first) == 54
+    assert len(set(ids(pages.repartition(5))) & set(first)) >= 4
+    assert responses(pages.limit(0)).count() == 0
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(good) + gzip.compress(good[:-9]))
+    (tmp_path / "b.warc").write_bytes(good + b"junk")
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(good)[:-4])
+    got = sorted((r.path.rsplit("/", 1)[1], r.seq, r.record, r.problem) for r in read_warc(spark, str(tmp_path)).collect())
+    assert [(g[0][0], g[1], g[3]) for g in got] == [("a", 0, None), ("a", 1, "cut record"), ("b", 0, None), ("b", 1, "no record where one should begin"), ("c", 0, "cut gzip member")] and got[0][2] == good
+
+
 def test_url_rules_follow_aliases(spark):
     from quillon.llm import urlfilter as U
     from quillon.llm.queries import URL_RULES
