@@ -29,6 +29,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Heavy keys of a join, at most: those with over a 512th of the rows, and over LEAST_HEAVY. It bounds a broadcast.
 MOST_HEAVY, LEAST_HEAVY = 512, 64
+#: Edge ends (16 bytes each) that one task may hold: with more, the centres of stars are met by broadcasts.
+FEW_EDGES = 200_000
 
 
 def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -149,27 +151,27 @@ def salted_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], sal
     return ranked.join(offsets.hint("merge"), [*keys, b]).withColumn(out, F.col(first) + F.col("__row") - 1).drop(b, first, "__row")
 
 
-def joined_by(rows: DataFrame, table: DataFrame, key: str, n: str = "n", most: int = MOST_HEAVY) -> DataFrame:
-    """rows with the columns of table (one row a key) beside them; null where table hasn't the key.
+def heavy_of(counts: DataFrame, n: str = "n", most: int = MOST_HEAVY, least: int | None = None) -> DataFrame | None:
+    """Of rows (keys, n), one a key, the keys with over one ``most``-th of all and over ``least``: fewer than ``most`` rows, as a local table; None where there are none."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    keys = counts.where(F.col(n) > max(total // most, LEAST_HEAVY if least is None else least)).drop(n)
+    found = keys.collect()  # fewer than ``most``
+    return counts.sparkSession.createDataFrame(found, keys.schema) if found else None
 
-    n: a column of table, the number of rows with its key. A key with over one ``most``-th of
-    all rows is met by a broadcast (there are fewer than ``most`` of them), so no shuffle
-    brings such a key's rows together; other keys are few rows each and are shuffled.
-    Both sides are read more than once: staged tables are meant.
+
+def joined_by(rows: DataFrame, table: DataFrame, keys: str | list[str], heavy: DataFrame | None, how: str = "left") -> DataFrame:
+    """rows with the columns of table (one row a key) beside them; ``left`` or ``inner``.
+
+    heavy: the keys that many rows have (``heavy_of``). These are met by a broadcast of their
+    rows of table, so no shuffle brings a key's rows together; others are shuffled. rows is
+    read twice where there are heavy keys, so a staged table is meant.
     """
-    total = table.agg(F.sum(n)).first()[0] or 0
-    heavy = F.col(n) > max(total // most, LEAST_HEAVY)
-    value = [c for c in table.columns if c != key]
-    some = table.where(heavy).limit(1).count()
-    light = table.where(~heavy) if some else table
-    if not some:
-        return rows.join(light, key, "left")
-    mark, = fresh(rows, "heavy")
-    told = F.broadcast(table.where(heavy).select(key, F.struct(*quoted(value)).alias(mark)))  # fewer than ``most`` rows
-    met = rows.join(told, key, "left")
-    far = met.where(F.col(mark).isNull()).drop(mark).join(light, key, "left")
-    near = met.where(F.col(mark).isNotNull()).select("*", *[F.col(mark).getField(c).alias(c) for c in value]).drop(mark)
-    return far.select(near.columns).unionAll(near)
+    if heavy is None:
+        return rows.join(table, keys, how)
+    told = F.broadcast(heavy)  # fewer than MOST_HEAVY rows
+    near = rows.join(told, keys, "left_semi").join(F.broadcast(table.join(told, keys, "left_semi")), keys, how)
+    far = rows.join(told, keys, "left_anti").join(table, keys, how)
+    return near.unionByName(far)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -178,8 +180,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges: two columns a, b of one orderable type, nulls and loops ignored. Returns
     (node, component) for each node with an edge; the component is its smallest node.
     The edges are rewritten until every node points at the smallest one; each round is a
-    staged table, and a star's centre is reduced with partial aggregates, so a hub with
-    a third of all edges doesn't meet in one task.
+    staged table. A star's centre is reduced with partial aggregates, and meets its edges by
+    a broadcast where they are many, so a hub with a third of all edges doesn't meet in one task.
     """
     spark = edges.sparkSession
     kind = edges.schema[0].dataType
@@ -192,12 +194,26 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen = (mark.n, mark.x)
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(least, "hi").select("hi", F.explode(F.array(F.struct(F.col("hi").alias("x"), F.col("m").alias("y")), F.struct(F.col("lo").alias("x"), F.col("m").alias("y")))).alias("p")).select(F.col("p.x").alias("hi"), F.col("p.y").alias("lo")).where("hi <> lo").distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        # in a task of few edges the centres of stars do no harm
+        held, heavy = [], None
+        if 2 * mark.n > FEW_EDGES:
+            low = stage(low, "low")
+            held.append(low)
+            heavy = heavy_of(low.select("u", "n"))
+        large = joined_by(both, low.drop("n"), "u", heavy, "inner").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        heavy = None
+        if 2 * mark.n > FEW_EDGES:
+            large = stage(large, "large")
+            held.append(large)
+        least = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count(F.lit(1)).alias("n"))
+        if 2 * mark.n > FEW_EDGES:
+            least = stage(least, "least")
+            held.append(least)
+            heavy = heavy_of(least.select("hi", "n"))
+        small = joined_by(large, least.drop("n"), "hi", heavy, "inner").select("hi", F.explode(F.array(F.struct(F.col("hi").alias("x"), F.col("m").alias("y")), F.struct(F.col("lo").alias("x"), F.col("m").alias("y")))).alias("p")).select(F.col("p.x").alias("hi"), F.col("p.y").alias("lo")).where("hi <> lo").distinct()
         new = stage(small, "edges")
-        unstage(e)
+        done_with(e, *held)
         e = new
     if not seen:
         return spark.createDataFrame([], T.StructType([T.StructField("node", kind), T.StructField("component", kind)]))

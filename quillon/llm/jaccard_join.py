@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_map, components, done_with, in_bit_map, lean, shards_for, stage
+from .common import bit_map, components, done_with, heavy_of, in_bit_map, joined_by, lean, shards_for, stage
 from .shingles import WordHashes, shingle_sets, text_blocks
 
 #: A shingle is common if tasks that saw it often (LOCAL times or more) saw it COMMON times together.
@@ -430,24 +430,26 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     parts = max(shards_for(docs, 8), shards_for(sets, 16))
     rare = sets.select(F.explode("rare").alias("token"), "cls", "heat").repartition(parts, "token")
     rare_stars = rare.mapInArrow(_stars, "leader long, cls long")
-    often = sets.select(F.explode("often").alias("token"), "cls", "heat").distinct()
-    lead = often.groupBy("token").agg(F.max(F.struct("heat", "cls")).alias("top")).select("token", F.col("top.cls").alias("leader"))
-    often_stars = often.join(lead, "token").where("leader <> cls").select("leader", "cls")
+    often = stage(sets.select(F.explode("often").alias("token"), "cls", "heat").distinct(), "often")
+    lead = stage(often.groupBy("token").agg(F.max(F.struct("heat", "cls")).alias("top"), F.count(F.lit(1)).alias("n")).select("token", F.col("top.cls").alias("leader"), "n"), "lead")
+    often_stars = joined_by(often, lead.drop("n"), "token", heavy_of(lead.select("token", "n")), "inner").where("leader <> cls").select("leader", "cls")
     stars = stage(rare_stars.unionAll(often_stars).distinct(), "stars")
-    done_with(common)
+    done_with(common, often, lead)
 
     # groups by leader: a small one is one block, its leader included; of large ones each class goes to a block of its size class, the leader to all
     marks = stage(sets.where("sketch is not null").select("cls", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["cls"]), "marks")
     grown = stars.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).withColumn("large", F.col("n") > BLOCK)
-    size = stage(grown.select("leader", "large"), "leaders")
-    small = stars.join(size.where("not large"), "leader").select("leader", "cls").unionAll(size.where("not large").select("leader", F.col("leader").alias("cls")))
+    size = stage(grown, "leaders")
+    led = heavy_of(size.select("leader", "n"))
+    small = stars.join(size.where("not large"), "leader").select("leader", "cls") if led is None else joined_by(stars, size.select("leader", "large"), "leader", led).where("not large").select("leader", "cls")
+    small = small.unionAll(size.where("not large").select("leader", F.col("leader").alias("cls")))
     groups = small.select("leader", F.lit(0).cast("long").alias("block"), "cls", F.col("cls").alias("label"), F.lit(True).alias("probe"))
     large = size.where("large").select("leader")
     some = bool(large.limit(1).count())
     if some:
         # Jaccard at the threshold needs sizes of the same or neighbouring classes
         step = F.floor(F.log(F.col("n").cast("double")) / (math.log(den / min(num, 0.999 * den)) * (1 + 1e-6))).cast("int")
-        held = stars.join(large, "leader").join(marks.select("cls", "n"), "cls").select("leader", "cls", step.alias("step"))
+        held = joined_by(stars, large, "leader", led, "inner").join(marks.select("cls", "n"), "cls").select("leader", "cls", step.alias("step"))
         many = held.groupBy("leader", "step").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
         many = stage(many, "blocks")
         number = lambda at: (F.pmod("step", F.lit(_STEPS)) * _SPAN + at).cast("long").alias("block")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, stage, unstage
+from .common import done_with, heavy_of, joined_by, lean, stage, unstage
 from .shingles import text_blocks
 
 LEAST, MOST, BITS = 512, 8192, 11
@@ -152,8 +152,8 @@ def build_store(docs: DataFrame, text: str = "text") -> DataFrame:
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     lists = stage(texts.mapInArrow(_chunks, "media binary, sizes array<long>, digests array<binary>").dropDuplicates(["media"]), "chunks")
     places = lists.select("media", F.posexplode("digests").alias("seq", "digest"))
-    owner = places.groupBy("digest").agg(F.min(F.struct("media", "seq")).alias("own"), F.max(F.struct("media", "seq")).alias("last")).where("own <> last").select("digest", "own")
-    foreign = places.join(owner, "digest").where(F.struct("media", "seq") != F.col("own")).select("media", F.struct("seq", F.col("own.media").alias("owner"), F.col("own.seq").alias("owner_seq")).alias("f"))
+    owner = stage(places.groupBy("digest").agg(F.min(F.struct("media", "seq")).alias("own"), F.max(F.struct("media", "seq")).alias("last"), F.count(F.lit(1)).alias("n")).where("own <> last").select("digest", "own", "n"), "owners")
+    foreign = joined_by(places, owner.drop("n"), "digest", heavy_of(owner.select("digest", "n")), "inner").where(F.struct("media", "seq") != F.col("own")).select("media", F.struct("seq", F.col("own.media").alias("owner"), F.col("own.seq").alias("owner_seq")).alias("f"))
     foreign = stage(foreign, "foreign")
     lent = foreign.select(F.col("f.owner").alias("media"), F.col("f.owner_seq").alias("seq")).distinct().groupBy("media").agg(F.collect_list("seq").alias("lent"))  # at most a media's chunks
     told = foreign.groupBy("media").agg(F.sort_array(F.collect_list("f")).alias("foreign"))  # as above
@@ -161,8 +161,7 @@ def build_store(docs: DataFrame, text: str = "text") -> DataFrame:
     held = held.join(lists.select("media", "sizes"), "media").join(told, "media", "left").join(lent, "media", "left").select("media", "media_bytes", "packed", "sizes", "foreign", "lent")
     kept = "media binary, media_bytes long, packed binary, sizes array<long>, foreign array<struct<seq:int,owner:binary,owner_seq:int>>, lent array<int>"
     store = stage(held.mapInArrow(_owned, kept), "store")
-    unstage(lists)
-    unstage(foreign)
+    done_with(lists, foreign, owner)
     return store
 
 
@@ -210,8 +209,18 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_media(store: DataFrame) -> DataFrame:
     """One verified row for each media of the store; a missing or changed chunk raises."""
     asked = store.where("foreign is not null").select("media", F.explode("foreign").alias("f")).select("media", "f.seq", "f.owner", "f.owner_seq")
-    fetch = store.where("lent is not null").select("media", "packed", "sizes", "foreign", "lent").mapInArrow(_fetch, "owner binary, owner_seq int, chunk binary")
-    got = asked.join(fetch, ["owner", "owner_seq"]).groupBy("media").agg(F.collect_list(F.struct("seq", "chunk")).alias("got"))  # at most a media's bytes
+    lending, lent = ("media", "packed", "sizes", "foreign", "lent"), "owner binary, owner_seq int, chunk binary"
+    fetch = store.where("lent is not null").select(*lending).mapInArrow(_fetch, lent)
+    # a chunk that very many media lack (their number bounds what is broadcast: MOST_HEAVY chunks) isn't shuffled to them
+    place = ["owner", "owner_seq"]
+    heavy = heavy_of(asked.groupBy(*place).agg(F.count(F.lit(1)).alias("n")))
+    met = asked.join(fetch, place) if heavy is None else None
+    if heavy is not None:
+        told = F.broadcast(heavy)
+        some = store.where("lent is not null").join(F.broadcast(heavy.select(F.col("owner").alias("media")).distinct()), "media", "left_semi")
+        hot = stage(some.select(*lending).mapInArrow(_fetch, lent).join(told, place, "left_semi"), "hot")
+        met = asked.join(told, place, "left_semi").join(F.broadcast(hot), place).unionByName(asked.join(told, place, "left_anti").join(fetch, place))
+    got = met.groupBy("media").agg(F.collect_list(F.struct("seq", "chunk")).alias("got"))  # at most a media's bytes
     out = "media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks long, n_owned long"
     columns = ["media", "media_bytes", "packed", "sizes", "foreign"]
     alone = store.where("foreign is null").select(*columns, F.lit(None).cast("array<struct<seq:int,chunk:binary>>").alias("got")).mapInArrow(_rebuild, out)
@@ -235,6 +244,6 @@ def media_features(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         for b in text_blocks(batches, 1):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([hashlib.sha256(encode(payload_of(t)[1])).digest() for t in b.column(1).to_pylist()], pa.binary())], [key, "n_bytes", "media"])
 
-    ids = docs.select(key, text, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes")).mapInArrow(digest, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_bytes long, media binary")
-    # a media that many documents share meets them in several places
-    return ids.join(read, "media").select(key, "n_bytes", *[c for c in read.columns if c != "media"])
+    ids = stage(docs.select(key, text, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes")).mapInArrow(digest, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_bytes long, media binary"), "ids")
+    # a media that very many documents share isn't shuffled to them
+    return joined_by(ids, read, "media", heavy_of(ids.groupBy("media").agg(F.count(F.lit(1)).alias("n"))), "inner").select(key, "n_bytes", *[c for c in read.columns if c != "media"])

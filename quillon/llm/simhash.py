@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, done_with, joined_by, lean, shards_for, stage
+from .common import components, done_with, heavy_of, joined_by, lean, shards_for, stage
 from .shingles import text_blocks
 
 #: Seed of the hash of a shingle, and differing bits of a link at most.
@@ -186,16 +186,14 @@ def near_links(classes: DataFrame, parts: int, many: int = MANY) -> DataFrame:
     rows = _dealt_out(classes.select(F.lit(-1).cast("long").alias("free"), "fp"))
     for left in range(ROUNDS, 0, -1):
         dealt = stage(rows, "buckets")
-        # more members than ``many``: few rows for each row counted, as each stands for over ``many``
-        large = stage(dealt.groupBy("free", "kept").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > (many if left > 1 else 1 << 62)).select("free", "kept", "n"), "large")
+        # counts of buckets with over ``many`` members, so there are few of them for the rows that they stand for
+        large = stage(dealt.groupBy("free", "kept").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > (many if left > 1 else 1 << 62)), "large")
         more = bool(large.limit(1).count())
-        named = F.struct("free", "kept")
+        small = dealt
         if more:
-            dealt, large = dealt.withColumn("bucket", named), large.select(named.alias("bucket"), "n", F.lit(True).alias("large"))
-            dealt = stage(joined_by(dealt, large, "bucket").select("free", "kept", "fp", F.coalesce("large", F.lit(False)).alias("large")), "sized")
+            marked = large.select("free", "kept", F.lit(True).alias("large"))
+            dealt = stage(joined_by(dealt, marked, ["free", "kept"], heavy_of(large)).select("free", "kept", "fp", F.coalesce("large", F.lit(False)).alias("large")), "sized")
             small = dealt.where("not large")
-        else:
-            small = dealt
         links = stage(small.select("free", "kept", "fp").repartition(parts, "free", "kept").sortWithinPartitions("free", "kept").mapInArrow(_links, "a long, b long").distinct(), "links")
         found = links if found is None else found.unionAll(links)
         if not more:
@@ -225,6 +223,6 @@ def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     named = classes.join(label, classes["fp"] == label["node"], "left").select("fp", "n", "least", F.coalesce("component", "fp").alias("component"))
     named = stage(named, "named")
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
-    ids = stage(joined_by(named, smallest, "component", "members").select("fp", "n", "component_id"), "ids")
+    ids = stage(joined_by(named, smallest.drop("members"), "component", heavy_of(smallest.select("component", F.col("members").alias("n")))).select("fp", "n", "component_id"), "ids")
     done_with(classes, named)
-    return joined_by(prints, ids, "fp").select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return joined_by(prints, ids.drop("n"), "fp", heavy_of(ids.select("fp", "n"))).select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

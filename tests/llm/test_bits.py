@@ -172,7 +172,7 @@ def test_simhash_links_of_crowded_buckets(spark, monkeypatch):
 
 def test_joined_by_keeps_hot_keys_apart(spark):
     """One key has half of all rows; no task gets over four times the mean, without adaptive splitting."""
-    from quillon.llm.common import joined_by
+    from quillon.llm.common import heavy_of, joined_by
 
     rows = spark.range(0, 60000, 1, 8).select(F.when(F.col("id") % 2 == 0, F.lit(7)).when(F.col("id") % 101 == 0, None).otherwise(F.col("id")).alias("k"), "id")
     table = rows.where("k is not null and k % 5 <> 1").groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("v", F.col("k") * 2)
@@ -181,7 +181,7 @@ def test_joined_by_keeps_hot_keys_apart(spark):
     try:
         for k, v in off.items():
             spark.conf.set(k, v)
-        out = joined_by(rows, table, "k")
+        out = joined_by(rows, table.drop("n"), "k", heavy_of(table.select("k", "n")))
         got = out.withColumn("part", F.spark_partition_id()).collect()
     finally:
         for k, v in before.items():
@@ -192,6 +192,28 @@ def test_joined_by_keeps_hot_keys_apart(spark):
     assert max(sizes.values()) <= 4 * sum(sizes.values()) / len(sizes)
 
 
+def test_components_with_heavy_centres(spark, monkeypatch):
+    from quillon.llm import common
+
+    monkeypatch.setattr(common, "FEW_EDGES", 0)
+    monkeypatch.setattr(common, "LEAST_HEAVY", 3)
+    rng = random.Random(8)
+    edges = [(0, i) for i in range(1, 400)] + [(1000, i) for i in range(900, 1000)] + [(i, i + 1) for i in range(2000, 2040)] + [(rng.randint(3000, 3100), rng.randint(3000, 3100)) for _ in range(80)] + [(5, 5), (None, 1)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    got = dict(map(tuple, common.components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == {x: find(x) for x in parent}
+
+
 def terms_of(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
 

@@ -632,7 +632,7 @@ def test_warc_bad_records_do_not_end_the_job(spark, tmp_path):
     (tmp_path / "b.warc").write_bytes(good + b"junk")
     (tmp_path / "c.warc.gz").write_bytes(gzip.compress(good)[:-4])
     got = sorted((r.path.rsplit("/", 1)[1], r.seq, r.record, r.problem) for r in read_warc(spark, str(tmp_path)).collect())
-    assert [(g[0][0], g[1], g[3]) for g in got] == [("a", 0, None), ("a", 1, "cut record"), ("b", 0, None), ("b", 1, "no record where one should begin"), ("c", 0, "cut gzip member")] and got[0][2] == good
+    assert [(g[0][0], g[1], g[3]) for g in got] == [("a", 0, None), ("a", 1, "cut record"), ("b", 0, None), ("b", 1, "no record where one should begin"), ("c", 0, None), ("c", 1, "cut gzip member")] and got[0][2] == good
 
 
 def test_url_rules_follow_aliases(spark):
