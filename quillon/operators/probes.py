@@ -1,13 +1,9 @@
-"""Robustness variants, flips, serialised paths, claims and mail cleaning."""
+"""Robustness variants, flips, serialised paths and the decimals that texts state."""
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def paths(df: DataFrame, state: Column, qtype: str, instruction: str, candidates: list[str]) -> DataFrame:
@@ -66,68 +62,7 @@ def findings(rates: DataFrame, control: str = "neutral", points: float = 0.02) -
     return rates.where(F.col("variant") != control).crossJoin(F.broadcast(c)).withColumn("finding", F.col("flip_rate") - F.col("c") > points).drop("c")  # one row
 
 
-def number_in_text(doc: Column, number: Column) -> Column:
-    """The number stands in the text as a whole."""
-    return F.rlike(doc, F.concat(F.lit(r"(^|[^0-9.])"), F.replace(number, F.lit("."), F.lit(r"\.")), F.lit(r"([^0-9]|$)")))
-
-
 def decimals(doc: Column) -> Column:
     """Decimals of a text without code spans and links."""
     bare = F.regexp_replace(F.regexp_replace(doc, "`[^`]*`", ""), r"\[[^\]]*\]\([^)]*\)", "")
     return F.regexp_extract_all(bare, F.lit(r"[0-9]+\.[0-9]+"), 0)
-
-
-#: What begins a quoted part, in English, Portuguese and Spanish. Attributions carry a date, header names an address or a dated header line after them.
-_ATTRIBUTION = re.compile(r"\s*(?:On|Em|El)\b(?=.*[0-9]).*\b(?:wrote|escreveu|escribi[oó]):\s*$|\s*On .*\bwrote:\s*$", re.I)
-_TAIL = re.compile(r".*\S@\S+\s+(?:wrote|escreveu|escribi[oó]):\s*$", re.I)
-_HEAD = re.compile(r"\s*(?:On|Em|El) (?=.*[0-9])", re.I)
-_RULE = re.compile(r"\s*-{2,}\s*(?:(?:original|forwarded) message|mensagem (?:original|encaminhada)|mensaje (?:original|reenviado))\b|\s*_{8,}\s*$", re.I)
-_FROM = re.compile(r"\s*From:\s*\S|\s*De:\s.*[@<]", re.I)
-_NAMED = re.compile(r"\s*De:\s+\S", re.I)
-_DATED = re.compile(r"\s*(?:Sent|Enviad[oa](?: em| el)?):\s|\s*(?:Date|Data|Fecha):\s.*[0-9]{4}", re.I)
-_CLOSING = re.compile(r"\s*(?:--|(?i:(?:best|kind|warm|warmest|many thanks|thanks|thank you|regards|cheers|sincerely)(?: (?:and|&) regards| regards| wishes| again| in advance| a lot| so much)?)[\s,;:!.]*(?:[^\W\d_a-z][\w'\-]*[\s,.]*){0,3})$")
-_LATIN = re.compile(r"\s*(?:atenciosamente|att|abraços?|um abraço|cordialmente|grat[oa]|(?:muito )?obrigad[oa]s?|cumprimentos|saudações|(?:un )?saludos?(?: cordiales)?|atentamente|(?:muchas )?gracias)[\s,!.]*$", re.I)
-_DEVICE = re.compile(r"\s*(?:sent from|enviad[oa] (?:do|pelo|pela|desde|via))(?: my| meu| minha| mi)? (?:[\w\-]+ ?){1,4}[\s.!]*$", re.I)
-_LEGAL = re.compile(r"\b(?:e-?mail|message|information|contents?)\b[^.]{0,60}\bconfidential\b|received this (?:e-?mail|message) in error|\b(?:esta|este) (?:mensagem|e-?mail|mensaje|correo)\b[^.]{0,80}(?:confidencia|sigilos|privilegiad)|por (?:engano|error)\b|antes de imprimir\b[^.]{0,100}(?:ambiente|planeta|natureza)", re.I)
-
-
-def _own_lines(lines: list[str]) -> list[str]:
-    """Lines before the first quoted part; the first line of a mail isn't one."""
-    for i, line in enumerate(lines):
-        follows = next((x for x in lines[i + 1 :] if x.strip()), "")
-        quoted = line.lstrip().startswith(">") or _ATTRIBUTION.match(line) or _RULE.match(line) or _FROM.match(line) or (_NAMED.match(line) and _DATED.match(follows))
-        if quoted and i:
-            return lines[:i]
-        if _TAIL.match(line) and i:
-            # a long attribution is wrapped: its head goes too
-            return lines[: i - 1 if _HEAD.match(lines[i - 1]) and i > 1 else i]
-    return lines
-
-
-def _unsigned(lines: list[str]) -> list[str]:
-    """Lines before a closing or a device's footer, looked for in the last two fifths and the last eight lines."""
-    for i in range(max(int(len(lines) * 0.6), len(lines) - 8, 1), len(lines)):
-        if _CLOSING.match(lines[i]) or _LATIN.match(lines[i]) or _DEVICE.match(lines[i]):
-            return lines[:i]
-    return lines
-
-
-def clean_mail(text: str | None, most: int | None = 3000) -> str | None:
-    """A mail's own words: without quoted parts, signature and sentences of disclaimers, at most so many characters (whole: None)."""
-    if text is None:
-        return None
-    lines = _unsigned(_own_lines(text.replace("\r\n", "\n").replace("\r", "\n").split("\n")))
-    kept = [s for s in re.split(r"(?<=[.!?])(?=\s)|(?=\n\s*[A-ZÀ-Þ])", "\n".join(lines)) if not _LEGAL.search(s)]
-    return "".join(kept).strip()[:most]
-
-
-@F.pandas_udf(T.StringType())
-def clean_email(text: pd.Series) -> pd.Series:
-    """clean_mail of each text, cut to the length that a state may have."""
-    return text.map(clean_mail, na_action=None)
-
-
-@F.pandas_udf(T.StringType())
-def whole_clean_email(text: pd.Series) -> pd.Series:
-    """clean_mail of each text, uncut."""
-    return text.map(lambda t: clean_mail(t, None), na_action=None)

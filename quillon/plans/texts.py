@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillon.functions.text import word_prefixes as prefixes
 from quillon.operators import contamination as C
 from quillon.operators import pii as P
-from quillon.operators import probes
+from quillon.operators import mail, probes
 
 from .base import md5_draw, read
 
@@ -192,9 +192,9 @@ _COUNTS = {
     "iban": f"len({COMPACT}) >= 15",
     "card": f"len({DIGITS}) BETWEEN 13 AND 19 AND regexp_matches(hit, '[ -]') AND NOT regexp_matches({DIGITS}, '^97[89]')",
     "street": f"len({_TOKENS}) >= 3 AND NOT list_has_any({_BODY}, {_list(P.NOT_STREETS)}) AND NOT (list_contains(['hwy', 'highway', 'pkwy', 'parkway'], {_TOKENS}[-1]) AND len(list_filter({_BODY}, lambda x: len(x) > 2)) = 0)",
-    "name_full": f"{_WORD}[1] IN {_in(P.GIVEN)} AND {_WORD}[-1] IN {_in(P.SURNAMES)}",
+    "name_full": f"{_WORD}[1] IN {_in(P.GIVEN)} AND {_WORD}[-1] IN {_in(P.SURNAMES)} AND lower({_WORD}[1]) NOT IN {_in(P.STARTERS)}",
     "name_titled": f"{_WORD}[-1] IN {_in(P.GIVEN + P.SURNAMES)}",
-    "name_given": f"hit IN {_in(P.GIVEN)} AND regexp_extract(a, '^[ \\t\\n]+([A-Z][a-z]+)\\b', 1) NOT IN {_in(P.SURNAMES)} AND NOT regexp_matches(b, '(?:Mr|Mrs|Ms|Miss|Dr|Prof)\\.?[ \\t\\n]+$')",
+    "name_given": f"hit IN {_in(P.GIVEN)} AND lower(hit) NOT IN {_in(P.STARTERS + P.AMBIGUOUS)} AND regexp_extract(a, '^[ \\t\\n]+([A-Z][a-z]+)\\b', 1) NOT IN {_in(P.SURNAMES)} AND NOT regexp_matches(b, '(?:Mr|Mrs|Ms|Miss|Dr|Prof)\\.?[ \\t\\n]+$')",
 }
 _LOCAL, _DOMAIN = "split_part(lower(hit), '@', 1)", "split_part(lower(hit), '@', 2)"
 _NAMES = f"len(list_filter(list_transform({_WORD.replace('hit', 'lower(hit)')}, lambda p: rtrim(p, '.')), lambda p: p NOT IN ('mr', 'mrs', 'ms', 'miss', 'dr', 'prof') AND p NOT IN {_in(P.PLACEHOLDER_NAMES)})) = 0"
@@ -257,11 +257,14 @@ _VERDICT = f"count(CASE WHEN channel IN {_in(P.CONTACT)} AND label = '{P.REAL}'
 @query(f"{PII}, v AS (SELECT file, {_VERDICT} FROM hits GROUP BY 1 UNION ALL SELECT 'all', {_VERDICT} FROM hits) SELECT *, CASE WHEN contact_real > 0 THEN 'contact-looks-real' WHEN full_real + given_real > 0 THEN 'names-only' WHEN contact_placeholder > 0 THEN 'contact-placeholder-only' ELSE 'clean' END AS verdict FROM v")
 def pii_verdict(spark, d):
     """The verdict on each file and on all."""
-    found = _pii(spark, d)
-    out = P.verdict(found).withColumn("file", F.lit("all"))
-    for file in ("documents", "samples"):
-        out = out.unionByName(P.verdict(found.where(F.col("file") == file)).withColumn("file", F.lit(file)))
-    return out
+    return P.verdict(_pii(spark, d), "file").select(F.coalesce("file", F.lit("all")).alias("file"), "contact_real", "contact_placeholder", "full_real", "given_real", "verdict")
+
+
+@query(f"{PII} SELECT doc_id, channel, hit, label FROM hits WHERE channel LIKE 'name%'")
+def pii_listed_names(spark, d):
+    """The name channels with their lists as a table."""
+    names = spark.createDataFrame([(n, "given") for n in P.GIVEN] + [(n, "surname") for n in P.SURNAMES], "name string, kind string")
+    return P.name_hits(_pii_docs(spark, d), names, "doc_id", "text").select("doc_id", "channel", "hit", "label")
 
 
 def _redact_sql() -> str:
@@ -337,7 +340,8 @@ def claims_coverage(spark, d):
 
 @query()
 def email_clean(spark, d):
-    return read(spark, d, "conversations").select("conv_id", "turn", probes.clean_email("text").alias("clean"))
+    """The own words of each message, read as a mail."""
+    return read(spark, d, "conversations").select("conv_id", "turn", mail.clean_mail("text").alias("clean"))
 
 
 @query(f"SELECT item_id, {md5_draw('100', '9', 'item_id')} AS bucket FROM benchmark")
