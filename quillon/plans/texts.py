@@ -85,8 +85,9 @@ def contam_topk(spark, d):
 
 def _minhash_sql(n: int = C.PERMUTATIONS, rows: int = C.ROWS) -> str:
     """Common table expressions ts, es (id, s: signature) and lp (pairs that share a band, their agreement)."""
-    x = f"list_reduce(list_prepend(0::BIGINT, list_transform(string_split(gram, ''), lambda c: unicode(c)::BIGINT)), lambda a, c: (a * {C.BASE} + c) % {C.PRIME})"
-    mins = ", ".join(f"min((x * {a} + {b}) % {C.PRIME})" for a, b in C.coefficients(n))
+    wrap = "18446744073709551615::UHUGEINT"
+    x = f"list_reduce(list_prepend(0::UHUGEINT, list_transform(string_split(gram, ''), lambda c: greatest(unicode(c), 0)::UHUGEINT)), lambda a, c: (a * {C.BASE}::UHUGEINT + c) & {wrap})"
+    mins = ", ".join(f"min(((x * {a}::UHUGEINT + {b}::UHUGEINT) & {wrap})::UBIGINT % {C.MERSENNE}::UBIGINT)" for a, b in C.coefficients(n))
     short = f"UNION ALL SELECT id, norm FROM {{}} WHERE len(norm) < {C.GRAM}"
     sig = lambda g, src: f"SELECT id, [{mins}] AS s FROM (SELECT id, {x} AS x FROM (SELECT id, gram FROM {g} {short.format(src)})) GROUP BY id"
     key = " || '-' || ".join(f"s[b * {rows} + {j + 1}]" for j in range(rows))
@@ -132,6 +133,17 @@ def contam_rare_gram(spark, d):
 WINDOWS = "wv AS (SELECT DISTINCT id, substr(norm, (j * (len(norm) - 40) // 4)::BIGINT + 1, 40) AS w FROM ev CROSS JOIN range(0, 5) r(j) WHERE len(norm) >= 40), wh AS (SELECT DISTINCT tr.id AS train_id, wv.id AS eval_id FROM tr JOIN wv ON contains(tr.norm, w))"
 
 
+@query(GRAMS + RARE + " SELECT eval_id, train_id, shared FROM rc")
+def contam_gram_index(spark, d):
+    """The same from a stored index of training grams, to which half of the training texts are appended."""
+    import uuid
+
+    t, e = _both(spark, d)
+    index = C.GramIndex(spark, f"grams_{uuid.uuid4().hex}", 16)
+    index.add(t.where("id % 2 = 0")).add(t.where("id % 2 = 1"))
+    return index.candidates(e)
+
+
 @query(f"{BOTH}, {WINDOWS} SELECT train_id, eval_id FROM wh")
 def contam_window40(spark, d):
     return C.window_hits(*_both(spark, d))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -33,6 +34,13 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, so that later plans read it instead of making it anew and a lost executor costs a read."""
+    path = f"{shared_folder(df.sparkSession)}/quillon/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _guard(path: str, unsealed: bool) -> str:
     if not unsealed and path.rstrip("/").rsplit("/", 1)[-1].split(".")[0].split("=")[-1] == SEALED:
         raise PermissionError(f"{path} is sealed")
