@@ -7,16 +7,16 @@ relative entropy; these are exponentially tilted, ``r = min(cap, exp(lambda * z)
 the gradient of a convex dual, found by Newton steps kept inside a shrinking bracket.
 
 Documents of one source and size have one rate, so the dual is summed over staged counts
-by (source, size), never over documents again, and it falls into a part for each source:
-the task that holds a source's counts takes its Newton steps, all sources side by side.
-What reaches the driver is a few sums, however many sources there are.
+by (source, size), never over documents again, and it falls into a part for each source. A
+Newton step is one job for all sources: gradient and curvature are grouped sums of partial
+sums, and the next multipliers follow from them, in a table of one row a source. So no task
+holds a source, and what reaches the driver is a few numbers, however many sources there are.
 """
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,40 +57,58 @@ def source_targets(tops: DataFrame, share: float = SHARE, weights: tuple[float,
         level = (words - (got.words or 0)) / left if left > 1e-9 * weighed else math.inf
 
 
-def newton(size: np.ndarray, n: np.ndarray, target: float, cap: float = CAP, tolerance: float = 1e-10, most: int = 200) -> np.ndarray:
-    """Rates of n documents of each size (over 0) that give target words: Newton steps on the dual, halving the bracket where a step leaves it."""
-    size, n = size.astype(float), n.astype(float)
-    total, top = float((size * n).sum()), math.log(cap)
-    if target <= 0:
-        return np.zeros(len(size))
-    if target >= cap * total * (1 - 1e-12):
-        return np.full(len(size), float(cap))
-    mean = total / n.sum()
-    z, want = size / mean, target / mean
-    lam, lo, hi = 0.0, -2000.0 / z.min(), top / z.min()
-    for _ in range(most):
-        rate = np.exp(np.minimum(lam * z, top))
-        miss, bend = float((n * z * rate).sum()) - want, float((n * z * z * rate)[lam * z < top].sum())
-        lo, hi = (lam, hi) if miss < 0 else (lo, lam)
-        if abs(miss) <= tolerance * want or hi - lo <= 1e-15 * max(1.0, abs(lo)):
+#: Newton steps at most (each also halves a bracket where the step leaves it), and how near a source's words must come to its target.
+STEPS, NEAR = 200, 1e-10
+
+
+def newton_rates(counts: DataFrame, cap: float = CAP, few: int | None = None) -> DataFrame:
+    """counts (src, size, n, target; sizes over 0, one row a source and size) with rate: those that give each source's target.
+
+    A target of 0 or less gives rates 0, one of cap times the source's words or more gives
+    cap. counts are read once a step, so a staged table is meant. Up to ``few`` multipliers
+    are told to all tasks; more are joined.
+    """
+    few = FEW if few is None else few
+    top = math.log(cap)
+    total = F.sum(F.col("size").cast("double") * F.col("n"))
+    first = counts.groupBy("src").agg(total.alias("total"), F.sum("n").cast("double").alias("docs"), F.min("size").cast("double").alias("least"), F.first("target").alias("target"))
+    mean = F.col("total") / F.col("docs")
+    ends = F.when(F.col("target") <= 0, -1).when(F.col("target") >= cap * F.col("total") * (1 - 1e-12), 1).otherwise(0)
+    state = first.select("src", mean.alias("mean"), (F.col("target") / mean).alias("want"), F.lit(0.0).alias("lam"), (-2000.0 * mean / F.col("least")).alias("lo"), (top * mean / F.col("least")).alias("hi"), ends.alias("ends"), (ends != 0).alias("done"))
+    state = stage(state, "mix-state")
+    told = lambda df: F.broadcast(df) if small else df  # noqa: E731 - ``few`` rows at most
+    small = state.limit(few + 1).count() <= few
+    z = F.col("size") / F.col("mean")
+    rate = F.exp(F.least(F.col("lam") * z, F.lit(top)))
+    for _ in range(STEPS):
+        if not state.where("not done").limit(1).count():
             break
-        step = lam - miss / bend if bend > 0 else math.inf
-        lam = step if lo < step < hi else (lo + hi) / 2
-    return np.exp(np.minimum(lam * z, top))
+        rows = counts.select("src", "size", "n").join(told(state.where("not done").select("src", "mean", "lam")), "src")
+        sums = rows.groupBy("src").agg(F.sum(F.col("n") * z * rate).alias("got"), F.sum(F.when(F.col("lam") * z < top, F.col("n") * z * z * rate)).alias("bend"))
+        miss = F.col("got") - F.col("want")
+        met = state.join(told(sums), "src", "left").withColumn("miss", miss)
+        met = met.withColumn("lo", F.when(F.col("miss") < 0, F.col("lam")).otherwise(F.col("lo"))).withColumn("hi", F.when(F.col("miss") >= 0, F.col("lam")).otherwise(F.col("hi")))
+        over = (F.abs("miss") <= NEAR * F.col("want")) | (F.col("hi") - F.col("lo") <= 1e-15 * F.greatest(F.lit(1.0), F.abs("lo")))
+        step = F.col("lam") - F.col("miss") / F.col("bend")
+        step = F.when((F.col("bend") > 0) & (step > F.col("lo")) & (step < F.col("hi")), step).otherwise((F.col("lo") + F.col("hi")) / 2)
+        new = met.select("src", "mean", "want", F.when(F.col("done") | over, F.col("lam")).otherwise(step).alias("lam"), "lo", "hi", "ends", (F.col("done") | over).alias("done"))
+        before, state = state, stage(new, "mix-state")
+        done_with(before)
+    out = counts.join(told(state.select("src", "mean", "lam", "ends")), "src")
+    return out.select(*counts.columns, F.when(F.col("ends") < 0, 0.0).when(F.col("ends") > 0, float(cap)).otherwise(rate).alias("rate"))
 
 
 def _copies(cap: int):
     def f(pdf: pd.DataFrame) -> pd.DataFrame:
         """Rates and copies of each size of one source: largest first, what rounding leaves over is carried to the next smaller size."""
         pdf = pdf.sort_values("size", ascending=False)
-        rates = newton(pdf["size"].to_numpy(), pdf["n"].to_numpy(), float(pdf["target"].iloc[0]), cap)
         out, carry = [], 0.0
-        for size, n, rate in zip(pdf["size"].tolist(), pdf["n"].tolist(), rates.tolist(), strict=True):
+        for size, n, rate in zip(pdf["size"].tolist(), pdf["n"].tolist(), pdf["rate"].tolist(), strict=True):
             want = rate * n
             k = min(max(int(math.floor(want + carry / size + 0.5)), 0), cap * n)
             carry += (want - k) * size
             out.append(k)
-        return pd.DataFrame({"src": pdf["src"], "size": pdf["size"], "all": pdf["n"], "copies": out, "rate": rates})
+        return pd.DataFrame({"src": pdf["src"], "size": pdf["size"], "all": pdf["n"], "copies": out, "rate": pdf["rate"]})
 
     return f
 
@@ -118,8 +136,8 @@ def mix(docs: DataFrame, size: Column | None = None, key: str = "doc_id", source
     small = sources.limit(FEW + 1).count() <= FEW
     told = lambda df: F.broadcast(df) if small else df  # noqa: E731 - FEW rows at most
     coded = slim.join(told(sources.select("src", "name")), F.col("source").eqNullSafe(F.col("name"))).select("src", "size", "bucket", "n").where("size > 0")
-    counts = coded.groupBy("src", "size").agg(F.sum("n").alias("n")).join(told(sources.select("src", "target")), "src")
-    classes = counts.groupBy("src").applyInPandas(_copies(cap), "src long, size long, all long, copies long, rate double")
+    counts = stage(coded.groupBy("src", "size").agg(F.sum("n").alias("n")).join(told(sources.select("src", "target")), "src"), "mix-counts")
+    classes = newton_rates(counts, cap).groupBy("src").applyInPandas(_copies(cap), "src long, size long, all long, copies long, rate double")
     classes = stage(classes, "mix-classes")
     # every copy beyond the whole ones of a class goes to one document; buckets get theirs by running counts
     sub = coded.groupBy("src", "size", "bucket").agg(F.sum("n").alias("n")).join(classes, ["src", "size"])
@@ -130,5 +148,5 @@ def mix(docs: DataFrame, size: Column | None = None, key: str = "doc_id", source
     at = F.row_number().over(W.partitionBy("src", "size", "bucket").orderBy("salt", "key"))
     out = coded_docs.withColumn("at", at).join(sub.hint("merge"), ["src", "size", "bucket"], "left")
     copies = F.coalesce(F.col("base") + F.when(F.col("at") <= F.col("extra"), 1).otherwise(0), F.lit(0)).cast("int")
-    done_with(tops)
+    done_with(tops, counts)
     return out.select("doc.*", "size", "source_size", "target", F.coalesce("rate", F.lit(0.0)).alias("rate"), copies.alias("copies"))

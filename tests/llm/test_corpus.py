@@ -919,20 +919,32 @@ def test_mix_of_more_sources_than_are_broadcast(spark, monkeypatch):
     assert all(abs(taken[s] - float(t)) <= 5 for s, t in want.items())
 
 
-def test_newton_rates_are_of_least_relative_entropy():
-    """Against bisection, and against moves between two sizes that keep the words."""
-    from quillon.llm.mixing import newton
+def test_newton_rates_are_of_least_relative_entropy(spark):
+    """Against bisection; sources at both ends, and of one size."""
+    from quillon.llm.mixing import newton_rates
 
     rng = np.random.default_rng(3)
-    for _ in range(50):
-        size = np.unique(rng.integers(1, 5000, 20))
+    rows, of = [], {}
+    for src in range(24):
+        size = np.unique(rng.integers(1, 5000, 1 if src == 3 else 20))
         n = rng.integers(1, 100, len(size))
         target = float(rng.uniform(0.01, 1.99) * (size * n).sum())
-        rate = newton(size, n, target)
-        assert (rate * n * size).sum() == pytest.approx(target, rel=1e-8) and rate.max() <= 2 + 1e-12
-        lo, hi = -50.0, 50.0
-        for _ in range(200):
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if (np.minimum(2, np.exp(np.minimum(mid * size / size.mean(), 50))) * n * size).sum() < target else (lo, mid)
-        assert rate == pytest.approx(np.minimum(2, np.exp(np.minimum(lo * size / size.mean(), 50))), rel=1e-5)
-    assert (newton(size, n, 0.0) == 0).all() and (newton(size, n, 2.0 * (size * n).sum()) == 2).all()
+        target = 0.0 if src == 0 else 2.0 * (size * n).sum() if src == 1 else target
+        of[src] = (size, n, target)
+        rows += [(src, int(a), int(b), float(target)) for a, b in zip(size, n, strict=True)]
+    df = spark.createDataFrame(rows, "src long, size long, n long, target double")
+    for few in (100, 5):
+        got = collections.defaultdict(dict)
+        for r in newton_rates(df, few=few).collect():
+            got[r.src][r["size"]] = r.rate
+        for src, (size, n, target) in of.items():
+            rate = np.array([got[src][x] for x in size.tolist()])
+            if src < 2:
+                assert (rate == 2.0 * src).all()
+                continue
+            assert (rate * n * size).sum() == pytest.approx(target, rel=1e-8) and rate.max() <= 2 + 1e-12
+            lo, hi = -50.0, 50.0
+            for _ in range(200):
+                mid = (lo + hi) / 2
+                lo, hi = (mid, hi) if (np.minimum(2, np.exp(np.minimum(mid * size / size.mean(), 50))) * n * size).sum() < target else (lo, mid)
+            assert rate == pytest.approx(np.minimum(2, np.exp(np.minimum(lo * size / size.mean(), 50))), rel=1e-5)
