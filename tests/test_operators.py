@@ -1,5 +1,7 @@
 """The reference's own invariants and edge cases, on small tables."""
 
+import collections
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,6 +173,10 @@ def test_contamination_scan_brute_force(spark, monkeypatch):
                 if both := len(grams(a) & grams(b)):
                     want[i, j] = (both, pytest.approx(both / len(grams(a) | grams(b))))
         assert pairs == want
+    monkeypatch.setattr(contamination, "WANTED", max(1, sum(len(x or "") for x in evals) // 3))  # some lots
+    rare = {(r.eval_id, r.train_id): r.shared for r in contamination.rare_candidates(t, e, 3, 50).collect()}
+    df = collections.Counter(g for a in train for g in grams(norm(a)))
+    assert rare == {(j, i): k for j, x in enumerate(evals) for i, a in enumerate(train) if (k := sum(df[g] <= 3 for g in grams(norm(x)) & grams(norm(a))))}
     rows = {r.eval_id: r for r in contamination.scan(t, e).collect()}
     assert len(rows) == len(evals)
     for j, x in enumerate(evals):
@@ -183,6 +189,67 @@ def test_contamination_scan_brute_force(spark, monkeypatch):
     assert (r.n_eval, r.exact_matches) == (len(evals), sum(x.exact for x in rows.values()))
 
 
+def test_signatures_are_the_rule_in_64_bits(spark):
+    texts = ["", "short", "exactly 13 ch", "a longer text of more than thirteen characters, twice over and more", "日本語のテキストがここにあります。もう少し長く。", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, norm string")
+    got = {r.id: r.sig for r in contamination.signatures(df, 8).collect()}
+    assert set(got) == {0, 1, 2, 3, 4}
+
+    def h(gram):
+        x = 0
+        for c in gram:
+            x = (x * contamination.BASE + ord(c)) % 2**64
+        return x
+
+    for i, t in enumerate(texts[:5]):
+        grams = [t[j : j + 13] for j in range(len(t) - 12)] or [t]
+        assert got[i] == [min((a * h(g) + b) % 2**64 % (2**61 - 1) for g in grams) for a, b in contamination.coefficients(8)]
+    assert max(map(max, got.values())) > 2**40
+
+
+def test_gram_index_reads_no_training_text(spark, tmp_path):
+    """A second evaluation set meets the stored index after the training files are gone, without an exchange on the index's side."""
+    import random
+    import shutil
+    import uuid
+
+    rng = random.Random(2)
+    make = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    train = [make(30) for _ in range(40)]
+    spark.createDataFrame(list(enumerate(train)), "id long, norm string").write.parquet(f"{tmp_path}/t")
+    evals = [spark.createDataFrame([(j, train[rng.randrange(40)][:60] + " " + make(5)) for j in range(6)] + [(90, None), (91, "x")], "id long, norm string").cache() for _ in range(2)]
+    t = spark.read.parquet(f"{tmp_path}/t")
+    want = [sorted(map(tuple, contamination.rare_candidates(t, e, 5, 3).collect())) for e in evals]
+    index = contamination.GramIndex(spark, f"g_{uuid.uuid4().hex}", 8)
+    index.add(t.where("id < 25")).add(t.where("id >= 25"))
+    assert sorted(map(tuple, index.candidates(evals[0], 5, 3).select("eval_id", "train_id", "shared").collect())) == want[0] and want[0]
+    shutil.rmtree(f"{tmp_path}/t")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for most in (before, "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+            spark.conf.set("spark.sql.adaptive.enabled", "false")
+            found = index.shared(evals[1], 5)
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            lines = plan.split("\n")
+            at = next(i for i, x in enumerate(lines) if "FileScan" in x and index.name in x)
+            indent = len(lines[at]) - len(lines[at].lstrip(" :+-*()0123456789"))
+            above = []
+            for x in reversed(lines[:at]):
+                d = len(x) - len(x.lstrip(" :+-*()0123456789"))
+                if d < indent:
+                    above.append(x)
+                    indent = d
+                if "Join" in x:
+                    break
+            assert not any("Exchange" in x for x in above), plan
+            assert "SelectedBucketsCount: 8 out of 8" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sorted(map(tuple, index.candidates(evals[1], 5, 3).select("eval_id", "train_id", "shared").collect())) == want[1]
+
+
 def test_contamination_on_empty_short_and_equal_texts(spark):
     t = contamination.normal(spark.createDataFrame([(1, ""), (2, None), (3, "short"), (4, "A text that is long enough"), (5, "a  text that is long enough")], "doc_id long, text string"), "doc_id")
     e = contamination.normal(spark.createDataFrame([(9, "a text that is long ENOUGH"), (8, "")], "doc_id long, text string"), "doc_id")
@@ -299,16 +366,31 @@ def test_files_round_trip_and_seal(spark, tmp_path):
 
 
 def test_stream_windows(spark, tmp_path):
-    from quillon.streaming.streams import append_once, latency_windows, read_stream
-
-    rows = spark.range(100).select("id", (F.lit("2024-01-01").cast("timestamp_ntz") + F.expr("make_dt_interval(0, CAST(id AS INT))")).alias("ts"), F.lit("a").alias("event_type"), F.col("id").cast("double").alias("value"))
-    rows.repartition(3).write.parquet(f"{tmp_path}/in")
-    q = latency_windows(read_stream(spark, f"{tmp_path}/in", rows.schema), late="30 days").writeStream.format("memory").queryName("w").outputMode("complete").start()
-    q.processAllAvailable()
-    q.stop()
-    assert spark.sql("SELECT sum(n) AS n, count(*) AS k FROM w").first()[:] == (100, 5)
-    append_once(read_stream(spark, f"{tmp_path}/in", rows.schema), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/out").count() == 100
+    """Windows end: late rows are dropped and counted, repeated ones count once, state doesn't grow with the stream."""
+    import os
+    import shutil
+
+    from quillon.streaming.streams import append_once, dropped_late, latency_windows, read_stream, run_windows, state_rows
+
+    at = lambda hours: F.lit("2024-01-01").cast("timestamp_ntz") + F.expr(f"make_dt_interval(0, CAST({hours} AS INT))")
+    rows = lambda ids, hours: spark.range(*ids).select("id", at(hours).alias("ts"), F.lit("a").alias("event_type"), F.col("id").cast("double").alias("value"))
+    parts = [rows((0, 240), "id"), rows((200, 240), "id").unionByName(rows((240, 480), "id")), rows((480, 720), "id"), rows((5000, 5007), "5"), rows((720, 960), "id")]
+    (tmp_path / "in").mkdir()
+    for i, p in enumerate(parts):  # one file a batch, in order of time
+        p.coalesce(1).write.parquet(f"{tmp_path}/p{i}")
+        shutil.move(next((tmp_path / f"p{i}").glob("*.parquet")), tmp_path / "in" / f"{i}.parquet")
+        os.utime(tmp_path / "in" / f"{i}.parquet", (1_700_000_000 + 10 * i,) * 2)
+    q = run_windows(read_stream(spark, f"{tmp_path}/in", parts[0].schema), f"{tmp_path}/w", f"{tmp_path}/c", late="2 days", key="id")
+    # 40 days of 24 rows; the three that end within two days of the last row aren't over yet
+    got = {(r.start.month, r.start.day): (r.n, r.mean) for r in spark.read.parquet(f"{tmp_path}/w").collect()}
+    assert all(got[1, d + 1] == (24, 24 * d + 11.5) for d in range(31)) and got[2, 1] == (24, 24 * 31 + 11.5)
+    full = spark.read.parquet(f"{tmp_path}/w").groupBy().agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).first()
+    assert (full.n, full.k) == (37 * 24, 37)
+    assert dropped_late(q) == 7
+    assert state_rows(q) < 200
+    append_once(read_stream(spark, f"{tmp_path}/in", parts[0].schema), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 967
+    assert latency_windows(parts[0]).agg(F.sum("n")).first()[0] == 240
 
 
 def test_decide_scores_each_question_once_and_rejects_empty_requests(spark):
