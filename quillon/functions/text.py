@@ -106,12 +106,12 @@ def leaf_values(text: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("value", T.StringType())])))
 def iter_strings(text: pd.Series) -> pd.Series:
-    """(path, string) of each non-empty string in JSON of any depth, keys in order."""
+    """(path, string) of each non-empty string in JSON of any depth, keys in order; a string by itself, or text that isn't JSON, has the path $."""
 
     def walk(v, path, out):
         if isinstance(v, str):
             if v:
-                out.append({"path": path, "value": v})
+                out.append({"path": path or "$", "value": v})
         elif isinstance(v, dict):
             for k in sorted(v):
                 walk(v[k], f"{path}.{k}" if path else k, out)
@@ -132,6 +132,22 @@ def iter_strings(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
+@F.pandas_udf(T.StringType())
+def dig(text: pd.Series, path: pd.Series) -> pd.Series:
+    """What stands at a path (keys, or places in lists) in JSON: strings as they are, else JSON; null where nothing does."""
+
+    def one(t, parts):
+        try:
+            v = json.loads(t)
+            for p in parts:
+                v = v[int(p)] if isinstance(v, list) else v[p]
+        except (TypeError, ValueError, KeyError, IndexError):
+            return None
+        return v if isinstance(v, str) or v is None else json.dumps(v)
+
+    return pd.Series([one(*x) for x in zip(text, path, strict=True)], dtype=object)
+
+
 @F.pandas_udf(T.StringType())
 def pretty_json(text: pd.Series) -> pd.Series:
     """JSON text over several lines, keys in the order they have; other text as it is."""

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _modules():
-    from . import answers, datasets, generated, matching, records, reports, suites, texts
+    from . import answers, datasets, formats, generated, matching, records, reports, suites, texts
 
-    return [answers, datasets, generated, matching, records, reports, suites, texts]
+    return [answers, datasets, formats, generated, matching, records, reports, suites, texts]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -94,13 +94,6 @@ def regroup_check(spark, d):
     return R.regroup(predictions(spark, d), "family").withColumn("worst", F.round("worst", 9))
 
 
-@query("WITH m AS (SELECT conv_id, turn, list_filter(string_split_regex(text, '[ \\t\\n]+'), lambda w: w <> '') <> regexp_extract_all(text, '[A-Za-z0-9.,]+') AS differs FROM conversations) SELECT count(*) AS n, count(CASE WHEN differs THEN 1 END) AS mismatched, (SELECT list(conv_id || ':' || turn ORDER BY conv_id, turn) FROM (SELECT * FROM m WHERE differs ORDER BY conv_id, turn LIMIT 5)) AS examples FROM m")
-def token_parity(spark, d):
-    c = read(spark, d, "conversations")
-    a, b = F.filter(F.split("text", "[ \t\n]+"), lambda w: w != ""), F.regexp_extract_all("text", F.lit("[A-Za-z0-9.,]+"), 0)
-    return R.token_parity(c, ["conv_id", "turn"], a, b).withColumn("examples", F.transform("examples", lambda e: F.concat_ws(":", e["conv_id"], e["turn"])))
-
-
 _PER_LANG = f"{PRED} SELECT lang, {HIT} AS hit FROM pred JOIN documents ON doc_id = vec_id"
 
 
