@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as TX
 from quillon.functions import tokens as TK
+from quillon.operators import prefixes as PX
 from quillon.operators import reports as R
 from quillon.sources.files import shared_folder
 from quillon.sources.lines import read_json_lines
@@ -62,6 +63,15 @@ def json_dig_by_column(spark, d):
     return e.select("event_id", TX.dig(nest, path).alias("value"))
 
 
+@query("""WITH p AS (SELECT conv_id, left(text, 60) || '|' || c || '.' AS p FROM conversations CROSS JOIN (VALUES ('user'), ('use'), ('assistant')) v(c)), t AS (SELECT conv_id, i, left(p, i::INT) AS x FROM (SELECT conv_id, p, unnest(range(1, len(p) + 1)) AS i FROM p)), n AS (SELECT conv_id, i, x FROM t GROUP BY ALL)
+SELECT conv_id, (SELECT count(*) FROM t WHERE t.conv_id = n.conv_id) AS tokens, count(*) AS distinct_tokens, sum(i)::BIGINT AS visible FROM n GROUP BY 1""")
+def shared_prefixes(spark, d):
+    """Tokens (a character each) of every turn's candidates behind its state, and those that a prefix tree computes once."""
+    c = F.explode(F.array(*map(F.lit, ("user", "use", "assistant"))))
+    paths = read(spark, d, "conversations").select("conv_id", "text", c.alias("c")).select("conv_id", TX.character_ids(F.concat(F.left("text", F.lit(60)), F.lit("|"), "c", F.lit("."))).alias("ids"))
+    return PX.shared(PX.prefix_tree(paths, "conv_id", "ids"), "conv_id")
+
+
 def tokenizer_files() -> tuple[str, str]:
     """Two tokenizer files: those of the folder in QUILLON_TOKENIZERS, else the public ones of this machine."""
     at = os.environ.get("QUILLON_TOKENIZERS")

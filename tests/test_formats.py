@@ -81,3 +81,29 @@ def test_token_ids_by_segment(spark):
     paths = spark.createDataFrame([("yes",), ("no",)], "c string").select(TK.segment_token_ids(F.array(F.lit(state), F.lit(question), F.concat(F.lit("\nCandidate:\n"), "c"), F.lit(None)), path).alias("ids")).collect()
     shared = tok.encode(state, add_special_tokens=False).ids + tok.encode(question, add_special_tokens=False).ids
     assert all(p.ids[: len(shared)] == shared for p in paths) and paths[0].ids != paths[1].ids
+
+
+def test_prefix_trees_compute_shared_tokens_once(spark):
+    from quillon.operators import prefixes as PX
+
+    rng = random.Random(3)
+    rows = []
+    for key in range(12):
+        state = [rng.randrange(4) for _ in range(rng.randint(0, 5))]
+        rows += [(key, state + [rng.randrange(3) for _ in range(rng.randint(0, 4))]) for _ in range(rng.randint(1, 9))]
+    rows += [(50, None), (51, []), (None, [1, 2]), (None, [1, 3])]
+    paths = spark.createDataFrame(rows, "k long, ids array<int>")
+    tree = PX.prefix_tree(paths, "k", "ids")
+    got = {}
+    for r in tree.collect():
+        got.setdefault(r.k, []).append(r)
+    pairs = tree.alias("a").join(tree.alias("b"), F.col("a.k").eqNullSafe(F.col("b.k")) & PX.sees(F.col("a.enter"), F.col("b.enter"), F.col("b.leave"))).groupBy("a.k").count().collect()
+    seen = {r.k: r["count"] for r in pairs}
+    for key in {k for k, _ in rows}:
+        own = [tuple(p) for k, p in rows if k == key and p is not None]
+        nodes = {p[: i + 1] for p in own for i in range(len(p))}
+        assert len(got.get(key, [])) == len(nodes) and sum(r.paths for r in got.get(key, [])) == sum(map(len, own))
+        # a node sees the prefixes of itself and no other
+        assert seen.get(key, 0) == sum(a[: len(b)] == b for a in nodes for b in nodes)
+    totals = {r.k: (r.tokens, r.distinct_tokens, r.visible) for r in PX.shared(tree, "k").collect()}
+    assert totals[None] == (4, 3, 1 + 2 + 2) and all(totals[k][2] == seen[k] for k in totals)
