@@ -233,7 +233,9 @@ def media_features(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     A payload is a text's UTF-8 (null: empty) with zero bytes up to a positive multiple of
     64. All figures but n_bytes come from bytes read back from the chunk store. Repeated
-    texts are stored once and give a row each.
+    texts are stored once and give a row each, null and empty ones too; an empty table gives
+    an empty one. Texts of any length are stored whole, in chunks. Other columns aren't read,
+    so their names don't matter.
     """
     store = build_store(docs, text)
     read = stage(read_media(store), "media")

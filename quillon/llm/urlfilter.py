@@ -85,7 +85,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], key: str = "page_
     pages: key, url, html. rules: (allow or block, host, path). redirects: further (a, b)
     pairs of absolute urls. component: the smallest url of the page's aliases, null without
     any. A null url, or one without ://, has empty host and path, fits no rule and is
-    allowed. Repeated rows give a row each.
+    allowed; a null html names no alias. Repeated rows give a row each, an empty table none.
+    Urls and pages of any length are read whole. Other columns aren't read, so their names
+    don't matter.
     """
     edges = alias_edges(pages)
     if redirects is not None:
