@@ -227,6 +227,7 @@ def sealed_style_report(spark, d):
 
 @query(TWO + f", m AS (SELECT vec_id, ({ARGMAX} = list_position(q, list_max(q)) - 1)::INT AS same, list_max(list_transform(range(1, 11), lambda i: abs(p[i] - q[i]))) AS moved FROM both_) SELECT round(avg(same), 6) AS equal_share, round(max(moved), 6) AS max_move, round(quantile_cont(moved, 0.9), 6) AS p90_move FROM m")
 def order_recheck(spark, d):
+    """How far answers move between two scorings of the same questions: two temperatures of one scorer stand for two orders of candidates."""
     moved = F.array_max(F.zip_with("p", "q", lambda a, b: F.abs(a - b)))
     m = _two(spark, d).select((vec.argmax("p") == vec.argmax("q")).cast("double").alias("same"), moved.alias("moved"))
     return m.agg(F.avg("same").alias("equal_share"), F.max("moved").alias("max_move"), F.percentile("moved", F.lit(0.9)).alias("p90_move")).select(*r6("equal_share", "max_move", "p90_move"))
@@ -251,3 +252,10 @@ def distractor_options(spark, d):
     chosen = F.slice(F.array_sort(opts), 1, 5)
     shown = F.array_sort(F.transform(chosen, lambda s: F.struct(draw(1000000007, F.lit(8), F.col("vec_id"), s["c"]).alias("h"), s["c"].alias("c"))))
     return e.crossJoin(labels).select("vec_id", F.array_join(F.transform(shown, lambda s: s["c"].cast("string")), ",").alias("options"))
+
+
+@query(f"{PRED} SELECT family, i AS label, count(*) AS n, round(sum(x), 6) AS mass, round(avg(x), 6) AS prior FROM (SELECT family, unnest(range(0, len(p))) AS i, unnest(p) AS x FROM pred) GROUP BY 1, 2")
+def question_label_prior(spark, d):
+    """The summed probability of each label of each question, and its share."""
+    each = predictions(spark, d).select("family", F.posexplode("p").alias("label", "x"))
+    return each.groupBy("family", F.col("label").cast("long").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x"), 6).alias("mass"), F.round(F.avg("x"), 6).alias("prior"))
