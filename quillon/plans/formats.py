@@ -7,14 +7,17 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from quillon.functions import hashing as H
 from quillon.functions import text as TX
 from quillon.functions import tokens as TK
 from quillon.operators import prefixes as PX
 from quillon.operators import reports as R
+from quillon.sources import files as FL
 from quillon.sources.files import shared_folder
 from quillon.sources.lines import read_json_lines
 
 from .base import read
+from .datasets import SPLIT
 
 Q, SQL = {}, {}
 
@@ -88,3 +91,85 @@ def token_parity(spark, d):
     c = read(spark, d, "conversations")
     one, other = (TK.token_ids("text", p) for p in tokenizer_files())
     return R.token_parity(c, ["conv_id", "turn"], one, other).withColumn("examples", F.transform("examples", lambda e: F.concat_ws(":", e["conv_id"], e["turn"])))
+
+
+def _folder(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"SELECT split, source, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM (SELECT *, {SPLIT} AS split FROM documents) WHERE split <> 'test' GROUP BY 1, 2")
+def splits_round_trip(spark, d):
+    """Documents written to a folder a split and read again, split by split; the sealed one is refused."""
+    at = _folder(spark, "splits")
+    docs = read(spark, d, "documents").withColumn("split", H.assign_split(F.col("doc_id").cast("string")))
+    FL.write_splits(docs, at)
+    out = None
+    for name in ("train", "dev", "calibration"):
+        one = FL.read_split(spark, at, name)
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("split", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query("SELECT doc_id, md5(text) AS text FROM documents WHERE doc_id % 3 < 2 UNION ALL SELECT doc_id, md5('again') FROM documents WHERE doc_id % 3 = 2")
+def append_round_trip(spark, d):
+    """Documents appended in two goes that overlap: rows that are there already aren't written again."""
+    at = _folder(spark, "append")
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    FL.append_new(docs.where("id % 3 < 2"), at)
+    FL.append_new(docs.withColumn("text", F.lit("again")), at)
+    return spark.read.parquet(at).select(F.col("id").alias("doc_id"), F.md5("text").alias("text"))
+
+
+@query("SELECT 'count' AS kind, coalesce(lang, '*') || '/' || coalesce(source, '*') AS name, count(*)::VARCHAR AS value FROM documents GROUP BY ROLLUP (lang, source) UNION ALL SELECT 'license', source, count(*)::VARCHAR FROM documents GROUP BY 2")
+def manifest_round_trip(spark, d):
+    """A manifest of the documents by language and source, and of their sources as licenses, written and read again."""
+    return FL.write_manifest(read(spark, d, "documents"), ["lang", "source"], _folder(spark, "manifest"), licenses="source").select("kind", "name", "value")
+
+
+@query("SELECT lang, max(n_chars)::DOUBLE AS n_chars FROM documents GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3")
+def csv_best_per_key(spark, d):
+    """The longest document of each language from a CSV file with a header, the first three."""
+    at = _folder(spark, "csv")
+    read(spark, d, "documents").select("lang", "n_chars").write.option("header", True).csv(at)
+    return FL.best_per_key(spark, at, "lang", "n_chars", 3)
+
+
+@query("SELECT doc_id, quality, toxic FROM labels WHERE doc_id % 7 <> 3")
+def item_rows_round_trip(spark, d):
+    """Rows of JSON lines by item, some of them without their metric: these are left out."""
+    at = _folder(spark, "items")
+    rows = read(spark, d, "labels").withColumn("correct", F.when(F.col("doc_id") % 7 != 3, F.col("quality")))
+    FL.write_json_lines(rows, at)
+    return FL.item_rows(spark, at, "doc_id long, quality long, toxic long, correct long").select("doc_id", "quality", "toxic")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN md5(text) END AS text FROM documents WHERE doc_id % 2 = 0")
+def only_ids_round_trip(spark, d):
+    """Every second document by its id, from Parquet; an id without a row would raise."""
+    at = _folder(spark, "ids")
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs.write.parquet(at)
+    found = FL.only_ids(spark.read.parquet(at), docs.where("id % 2 = 0"))
+    return found.select(F.col("id").alias("doc_id"), F.md5("text").alias("text"))
+
+
+@query("SELECT count(*) AS files, count(*) AS alike FROM range(0, 3)")
+def verbatim_copies(spark, d):
+    """Files of documents copied byte for byte; the digests of the copies are those of the files."""
+    at = _folder(spark, "copies")
+    read(spark, d, "documents").select("doc_id", "text").repartition(3, "doc_id").write.parquet(f"{at}/from")
+    files = FL.file_digests(spark, f"{at}/from/*.parquet")
+    for r in files.select("path").collect():  # three files
+        FL.copy_verbatim(spark, r.path, f"{at}/to/{r.path.rsplit('/', 1)[1]}")
+    copies = FL.file_digests(spark, f"{at}/to/*.parquet").select("sha256", "bytes")
+    return files.join(copies.withColumn("there", F.lit(1)), ["sha256", "bytes"], "left").agg(F.count(F.lit(1)).alias("files"), F.count("there").alias("alike"))
+
+
+@query("SELECT conv_id, turn, len(text) AS tokens FROM conversations")
+def tokenised_once(spark, d):
+    """Token arrays kept under a version: the second call reads what the first one wrote."""
+    at = _folder(spark, "tokens")
+    c = read(spark, d, "conversations").withColumn("id", F.concat_ws(":", "conv_id", "turn"))
+    FL.tokenised(c, at, "v1", TX.character_ids(F.col("text")))
+    again = FL.tokenised(c.limit(0), at, "v1", TX.character_ids(F.col("text")))
+    return again.select(F.split_part("id", F.lit(":"), F.lit(1)).cast("long").alias("conv_id"), F.split_part("id", F.lit(":"), F.lit(2)).cast("long").alias("turn"), F.size("tokens").alias("tokens"))

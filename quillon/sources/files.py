@@ -146,7 +146,8 @@ def copy_verbatim(spark: SparkSession, source: str, target: str) -> str:
 def tokenised(df: DataFrame, root: str, version: str, tokens: Column, key: str = "id") -> DataFrame:
     """(key, tokens), kept under root by a digest of version and columns: the first call writes, later ones read."""
     spark = df.sparkSession
-    path = f"{root}/{hashlib.sha256(f'{version}|{key}|{tokens}'.encode()).hexdigest()[:16]}"
+    said = re.sub(r"\b([A-Za-z]\w*?)_[0-9]+\b", r"\1", str(tokens))  # names of lambda variables count up
+    path = f"{root}/{hashlib.sha256(f'{version}|{key}|{said}'.encode()).hexdigest()[:16]}"
     done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
         df.select(key, tokens.alias("tokens")).write.mode("overwrite").parquet(path)
