@@ -514,3 +514,19 @@ def test_small_text_functions(spark):
     got = one(spark, F.transform(text.in_context(F.col("t"), "[0-9]+", 3, 2), lambda m: F.concat_ws("|", m["before"], m["hit"], m["after"])), t="abcd12ef345\u0001g")
     assert got == ["bcd|12|ef", "2ef|345| g"]
     assert one(spark, F.size(text.in_context(F.col("t"), "[0-9]+", 3, 2)), t="none") == 0
+
+
+def test_personal_data_beside_letters_that_are_not_ascii(spark, tmp_path):
+    """Word boundaries are those of the SQL: a letter with an accent ends a word."""
+    import duckdb
+
+    from quillon import plans
+
+    texts = ["Häus 212-867-5309 now", "é212-867-5309", "212-867-5309ü", "ñus +49 30 901 820 44", "+49 30 901 820 44é", "éjane.roe@firm.co", "jane.roe@firm.coß", "ßDE89 3704 0044 0532 0130 00é", "é4539 5787 6362 1486", "22 Baker Hill Roadé", "éMary Johnsoné", "Dr. Wilsoné", "Susané Brown", "Susan Smithé", "Dr. \u0085Susan", "Mr. Susan"]
+    spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("pii_phone", "pii_verdict", "pii_rollup", "pii_redact", "pii_listed_names", *(f"pii_{c}" for c in pii.CHANNELS)):
+        df = plans.queries()[name](spark, str(tmp_path))
+        want = con.sql(f"SELECT {', '.join(df.columns)} FROM ({plans.oracle_sql()[name]})").fetchall()
+        assert sorted(map(tuple, df.collect()), key=str) == sorted(want, key=str), name
