@@ -36,7 +36,9 @@ from pyspark.sql.window import Window as W
 from .common import done_with, lean, shards_for, stage
 
 #: Lists at most, vectors a list about, sampled vectors a list: the sample is MAX_LISTS * PER_CENTROID vectors at most.
-MAX_LISTS, LIST, PER_CENTROID = 16_384, 32, 16
+MAX_LISTS, LIST, PER_CENTROID = 4_096, 32, 16
+#: Rows that meet the centroids at once: it bounds the driver's memory while it fits them.
+AT_ONCE = 256
 #: Vectors and queries that one block meets, at most about.
 BLOCK, LOT = 32_768, 16_384
 #: The list whose distance counts as near.
@@ -50,7 +52,7 @@ def _d2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _nearest(x: np.ndarray, c: np.ndarray, price: np.ndarray | float = 0.0) -> np.ndarray:
-    return np.concatenate([np.argmin(_d2(x[i : i + 2048], c) + price, axis=1) for i in range(0, len(x), 2048)])
+    return np.concatenate([np.argmin(_d2(x[i : i + AT_ONCE], c) + price, axis=1) for i in range(0, len(x), AT_ONCE)])
 
 
 def balanced_centroids(x: np.ndarray, lists: int, rounds: int = 6, slack: float = 1.3, most: float = 2.0, least: float = 0.2) -> np.ndarray:
@@ -209,7 +211,8 @@ def fit_index(x: np.ndarray, total: int, radius: float, lists: int, k: int, copi
     near = max(1, min(k, round(k * len(x) / max(1, total)), len(x) - 1))
     if not len(some) or n < 3:
         return ix
-    row, lst = ix.post(x)
+    posts = [ix.post(x[at : at + AT_ONCE]) for at in range(0, len(x), AT_ONCE)]  # a walk holds many vectors and flags a row
+    row, lst = np.concatenate([r + i * AT_ONCE for i, (r, _) in enumerate(posts)]), np.concatenate([p for _, p in posts])
     first = np.searchsorted(row, np.arange(len(x) + 1))
     true = []
     for at in range(0, len(some), 32):  # a few rows of the sample's length at a time
