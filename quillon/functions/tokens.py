@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Texts encoded at once.
+AT_ONCE = 64
+
+
 @functools.lru_cache(maxsize=4)
 def _tokenizer(path: str):
     """The tokenizer of a file that every worker can open, read once a worker."""
@@ -23,8 +27,11 @@ def token_ids(text: Column | str, path: str) -> Column:
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def encode(texts: pd.Series) -> pd.Series:
-        found = iter(_tokenizer(path).encode_batch(texts.dropna().tolist(), add_special_tokens=False))
-        return texts.map(lambda t: None if t is None else next(found).ids)
+        tok, known, ids = _tokenizer(path), texts.dropna().tolist(), []
+        for at in range(0, len(known), AT_ONCE):  # an encoding takes many times its ids
+            ids += [e.ids for e in tok.encode_batch(known[at : at + AT_ONCE], add_special_tokens=False)]
+        found = iter(ids)
+        return texts.map(lambda t: None if t is None else next(found))
 
     return encode(text)
 
