@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from quillon.sources.files import shared_folder
+from quillon.sources.files import shared_folder, unstage
 
 #: Words are runs of anything but ASCII white space; ``bytes.split()`` cuts the same runs.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -100,15 +100,6 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def unstage(df: DataFrame | None) -> None:
-    """Deletes a staged table that no later plan reads."""
-    path = getattr(df, "staged_at", None)
-    if path:
-        spark = df.sparkSession
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate; for a scan of files, their bytes."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
